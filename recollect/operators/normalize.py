@@ -58,6 +58,7 @@ def conversation_turns(sessions: DataFrame) -> DataFrame:
         *[c for c in rows.columns if c != "turn"],
         *[X.blank_to_empty(F.col(f"turn.{c}")).alias(c) for c in ("dia_id", "speaker", "text", "query")],
         X.blank_to_empty(F.col("turn.blip_caption")).alias("caption"),
+        F.coalesce("turn.text", F.lit("")).alias("raw_text"),
     )
 
 
@@ -189,7 +190,7 @@ def conversation_records(conversations: DataFrame, style: str = "plain", strict:
         X.speaker_role(F.col("speaker"), F.col("speaker_a")).alias("role"),
         spoken.alias("text"),
         "ingest_text",
-        F.col("text").alias("raw_text"),
+        "raw_text",
         "query",
         F.col("caption").alias("blip_caption"),
     )
@@ -204,43 +205,59 @@ def number_records(rows: DataFrame) -> DataFrame:
 
 
 def question_records(questions: DataFrame, granularity: str = "message") -> DataFrame:
-    """The ordered ingest table of question haystacks, per message or per pair."""
-    sessions = normalize_haystack(questions).select(
-        "question_id", F.posexplode("sessions").alias("session_pos", "s")
-    )
-    pairs = sessions.select("question_id", "session_pos", "s", F.explode("s.pairs").alias("p"))
-    common = [
-        F.lit("longmemeval").alias("benchmark"),
-        F.col("question_id").alias("unit_id"),
-        F.col("s.source_unit_type").alias("source_unit_type"),
-        F.col("s.session_id").alias("source_unit_id"),
-        F.array("s.session_id").alias("source_unit_ids"),
-        F.col("s.session_id").alias("session_id"),
-        F.col("s.session_date_raw").alias("session_date_raw"),
-        F.col("s.session_timestamp").alias("session_timestamp"),
-        F.col("s.session_timestamp").cast("double").alias("session_ts"),
-        "session_pos",
-    ]
+    """The ordered ingest table of question haystacks.
+
+    ``message`` keeps every non-blank message as written; ``pair`` renders normalised pairs.
+    """
     if granularity == "pair":
-        rows = pairs.select(
-            *common,
-            F.col("p.pair_index").alias("turn_pos"),
-            I.pair_record_id(F.col("s.session_id"), F.col("p.pair_index")).alias("record_id"),
-            F.lit(None).cast("string").alias("role"),
-            render_pair(F.col("p.turns")).alias("text"),
-            pair_messages(F.col("p.turns")).alias("messages"),
-        ).filter(F.size("messages") > 0)
+        rows = _pair_records(questions)
     elif granularity == "message":
-        turns = pairs.select("*", F.posexplode("p.turns").alias("in_pair", "t"))
-        rows = turns.select(
-            *common,
-            (F.col("p.pair_index") * 2 + F.col("in_pair")).alias("turn_pos"),
-            F.concat_ws(":", "s.session_id", F.lit("turn"), F.col("p.pair_index") * 2 + F.col("in_pair")).alias(
-                "record_id"
-            ),
-            F.col("t.role").alias("role"),
-            F.col("t.content").alias("text"),
-        ).filter("text <> ''")
+        rows = _message_records(questions)
     else:
         raise ValueError(f"granularity must be 'message' or 'pair', not {granularity!r}")
     return number_records(rows)
+
+
+def _session_columns(session: str) -> list[Column]:
+    return [
+        F.lit("longmemeval").alias("benchmark"),
+        F.col("question_id").alias("unit_id"),
+        F.lit("session").alias("source_unit_type"),
+        F.col(f"{session}.session_id").alias("source_unit_id"),
+        F.array(f"{session}.session_id").alias("source_unit_ids"),
+        F.col(f"{session}.session_id").alias("session_id"),
+        F.col(f"{session}.session_date_raw").alias("session_date_raw"),
+        F.col(f"{session}.session_timestamp").alias("session_timestamp"),
+        F.col(f"{session}.session_timestamp").cast("double").alias("session_ts"),
+        F.col("session_pos"),
+    ]
+
+
+def _pair_records(questions: DataFrame) -> DataFrame:
+    sessions = normalize_haystack(questions).select(
+        "question_id", F.posexplode("sessions").alias("session_pos", "s")
+    )
+    pairs = sessions.select("*", F.explode("s.pairs").alias("p"))
+    return pairs.select(
+        *_session_columns("s"),
+        F.col("p.pair_index").alias("turn_pos"),
+        I.pair_record_id(F.col("s.session_id"), F.col("p.pair_index")).alias("record_id"),
+        render_pair(F.col("p.turns")).alias("text"),
+        pair_messages(F.col("p.turns")).alias("messages"),
+    ).filter(F.size("messages") > 0)
+
+
+def _message_records(questions: DataFrame) -> DataFrame:
+    ordered = sort_sessions(
+        F.col("haystack_session_ids"), F.col("haystack_dates"), F.col("haystack_sessions")
+    )
+    sessions = questions.select("question_id", F.posexplode(ordered).alias("session_pos", "s"))
+    turns = sessions.select("*", F.posexplode("s.turns").alias("turn_pos", "t"))
+    rows = turns.select(
+        *_session_columns("s"),
+        "turn_pos",
+        F.concat_ws(":", "s.session_id", F.lit("turn"), F.col("turn_pos")).alias("record_id"),
+        F.coalesce("t.role", F.lit("")).alias("role"),
+        F.coalesce("t.content", F.lit("")).alias("text"),
+    )
+    return rows.filter(~X.is_blank(F.col("text")))
