@@ -311,15 +311,16 @@ def config_fingerprint(config_json: Column, judge_contracts: dict | None = None)
     return fingerprint(scientific_inputs(config_json, judge_contracts))
 
 
-def set_digest(rows: DataFrame, digest: str, order: Column, bucket: Column) -> DataFrame:
-    """One digest over all row digests in order, made in two steps.
+def set_digest(rows: DataFrame, digest: str, position: str, fan_in: int = 4096, levels: int = 4) -> DataFrame:
+    """One digest over all row digests in order of a dense 0-based ``position``.
 
-    Rows are digested per ``bucket`` (an order-preserving slice), then the few bucket
-    digests are digested in order, so that no task sees the whole set.
+    Digests are joined and hashed ``fan_in`` at a time, level by level, so that no task
+    ever holds more than ``fan_in`` of them.
     """
-    parts = rows.groupBy(bucket.alias("__b")).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(digest).alias("d")))), lambda x: x["d"]), "\n"), 256).alias("__d"),
-    )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"]), "\n")
-    return parts.agg(F.sum("__n").alias("row_count"), F.sha2(joined, 256).alias("set_sha256"))
+    level = rows.select(F.col(position).cast("bigint").alias("p"), F.col(digest).alias("d"), F.lit(1).cast("bigint").alias("n"))
+    for _ in range(levels):
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"])
+        level = level.groupBy(F.floor(F.col("p") / fan_in).alias("p")).agg(
+            F.sha2(F.array_join(ordered, "\n"), 256).alias("d"), F.sum("n").alias("n")
+        )
+    return level.select(F.col("n").alias("row_count"), F.col("d").alias("set_sha256"))
