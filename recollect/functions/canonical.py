@@ -25,7 +25,7 @@ SECRET_SUFFIXES = ("_password", "_secret", "_token")
 REDACTED = "<redacted>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON text -> sorted keys, no spaces, UTF-8 characters kept."""
 
@@ -39,7 +39,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def context_text(text: pd.Series, is_string: pd.Series) -> pd.Series:
     """A text context passes unchanged, any other JSON value is printed with indent 2."""
     return pd.Series(
@@ -129,7 +129,7 @@ def _redact(value):
     return _redact_string(value) if isinstance(value, str) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_json(text: pd.Series) -> pd.Series:
     """Redact secret-named keys and marked text anywhere in a JSON document."""
     return text.map(lambda t: None if t is None else json.dumps(_redact(json.loads(t)), ensure_ascii=False))

@@ -11,10 +11,11 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import normalize_text
 
-OVERLAP_TYPE = "n_pred int, n_gold int, overlap int, lcs int"
+OVERLAP_TYPE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("n_pred", "n_gold", "overlap", "lcs")])
 
 
 def lcs_length(left: list, right: list) -> int:

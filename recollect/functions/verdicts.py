@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import blank_to_empty, py_strip
 
@@ -24,7 +25,10 @@ STRICT_LABELS = {
     "longmemeval": ("CORRECT", "WRONG", "PASS", "FAIL"),
 }
 
-_FIELDS = "is_object boolean, label string, judgment string, reasoning string, reason string"
+_NAMES = ("label", "judgment", "reasoning", "reason")
+_FIELDS = T.StructType(
+    [T.StructField("is_object", T.BooleanType()), *[T.StructField(n, T.StringType()) for n in _NAMES]]
+)
 
 
 def json_object(text: str | None) -> dict | None:
@@ -38,14 +42,13 @@ def json_object(text: str | None) -> dict | None:
 
 @F.pandas_udf(_FIELDS)
 def _judge_fields(text: pd.Series) -> pd.DataFrame:
-    names = ("label", "judgment", "reasoning", "reason")
     rows = []
     for value in text:
         found = json_object(value)
         rows.append(
-            (found is not None, *(str(found[n]) if found and n in found else None for n in names))
+            (found is not None, *(str(found[n]) if found and n in found else None for n in _NAMES))
         )
-    return pd.DataFrame(rows, columns=["is_object", *names])
+    return pd.DataFrame(rows, columns=["is_object", *_NAMES])
 
 
 def judge_fields(text: Column) -> Column:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.canonical import fingerprint
 from ..functions.text import title_case
@@ -300,7 +301,7 @@ def scientific_inputs(config_json: Column, judge_contracts: dict | None = None)
     """
     contracts = judge_contracts or {}
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def pick(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else json.dumps(_scientific(json.loads(t), contracts), ensure_ascii=False))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +23,13 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
-def _existing(spark: SparkSession, pattern: str) -> bool:
-    """Whether a glob matches anything (the listing alone, no data)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob matches anything; only the listing is done."""
+    try:
+        spark.read.text(pattern)
+        return True
+    except AnalysisException:
+        return False
 
 
 def read_predictions(spark: SparkSession, run_dir: str, benchmark: str, expected: DataFrame) -> DataFrame:
@@ -61,7 +64,7 @@ def read_timing(spark: SparkSession, run_dir: str, evaluations: DataFrame | None
     def files(rank: int, *patterns: str) -> list[DataFrame]:
         frames = []
         for i, pattern in enumerate(patterns):
-            if _existing(spark, f"{run_dir}/{pattern}"):
+            if path_exists(spark, f"{run_dir}/{pattern}"):
                 frame = _json(spark, f"{run_dir}/{pattern}", S.TIMING_FIELDS)
                 position = F.struct(F.lit(rank + i).alias("part"), F.col("_metadata.file_path").alias("path"))
                 frames.append(frame.select(position.alias("position"), *frame.columns))

@@ -11,6 +11,7 @@ from ..functions.text import bounded_label
 from ..operators.ledger import capped_activity, progress_ratio
 from ..operators.scoring import rules_for
 from ..operators.extensions import Registry
+from .runs import path_exists
 
 
 def write_sample(sample: DataFrame, manifest: DataFrame, path: str, order: str) -> None:
@@ -36,8 +37,7 @@ def derive_evaluation(
     spark = evaluations.sparkSession
     version = rules_for(benchmark).evaluator_version
     target = f"{path}/{run_id}/{version}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/derivation")
-    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if path_exists(spark, f"{target}/derivation"):
         known = spark.read.json(f"{target}/derivation").first()
         if known["source_sha256"] != source_sha256:
             raise ValueError(f"{target} was derived from other evaluations")
