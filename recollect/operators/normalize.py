@@ -29,24 +29,23 @@ def unpivot_sessions(conversations: DataFrame, strict: bool = True) -> DataFrame
         F.try_element_at("conversation", F.concat(F.col("entry.key"), F.lit("_date_time"))).alias("__date"),
         F.try_element_at("conversation", F.lit("speaker_a")).alias("speaker_a"),
     )
-    rows = rows.filter(
-        F.startswith(F.col("session_key"), F.lit("session_"))
-        & ~F.endswith(F.col("session_key"), F.lit("_date_time"))
-    )
+    key = F.col("session_key")
+    is_session = F.startswith(key, F.lit("session_")) & ~F.endswith(key, F.lit("_date_time"))
     turns = F.from_json("__turns", f"array<{TURN}>")
     is_list = F.startswith(F.ltrim(F.coalesce("__turns", F.lit(""))), F.lit("["))
     dated = X.blank_to_empty(F.col("__date"))
     if strict:
-        turns = F.when(is_list, turns).otherwise(
-            F.raise_error(F.concat(F.lit("not a list: "), "session_key")).cast(f"array<{TURN}>")
+        # Guarded by the key, since a filter gives no promise about what is evaluated first.
+        turns = F.when(is_list | ~is_session, turns).otherwise(
+            F.raise_error(F.concat(F.lit("not a list: "), key)).cast(f"array<{TURN}>")
         )
-        dated = F.when(dated != "", dated).otherwise(
-            F.raise_error(F.concat(F.lit("no date for "), "session_key")).cast("string")
+        dated = F.when((dated != "") | ~is_session, dated).otherwise(
+            F.raise_error(F.concat(F.lit("no date for "), key)).cast("string")
         )
+    rows = rows.filter(is_session)
     rows = rows.withColumn("turns", turns).withColumn("session_date_raw", dated)
-    return rows.withColumn("session_ts", D.conversation_epoch(F.col("session_date_raw"), strict)).drop(
-        "__turns", "__date"
-    )
+    when = F.when(is_session, D.conversation_epoch(F.col("session_date_raw"), strict))
+    return rows.withColumn("session_ts", when).drop("__turns", "__date")
 
 
 def conversation_turns(sessions: DataFrame) -> DataFrame:
