@@ -48,3 +48,8 @@ def human_date(value: Column) -> Column:
 def created_at(epoch_seconds: Column) -> Column:
     """Epoch seconds -> ISO-8601 with a ``+00:00`` offset."""
     return F.date_format(F.timestamp_seconds(epoch_seconds.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def micros(value: str | Column) -> Column:
+    """Microseconds since the epoch of a timestamp with or without time zone."""
+    return F.unix_micros((F.col(value) if isinstance(value, str) else value).cast("timestamp"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import fingerprint
+from ..functions.dates import micros
 from ..functions.text import title_case
 from .ordered import previous_row
 
@@ -29,7 +30,7 @@ PHASE_LABELS: dict[str, str] = {}
 
 
 def _newest_first(time: str, run_id: str) -> Column:
-    return F.struct(-F.unix_micros(time), F.col(run_id))
+    return F.struct(-micros(time), F.col(run_id))
 
 
 def latest_run(runs: DataFrame, keys: tuple[str, ...] = ("benchmark", "framework")) -> DataFrame:
@@ -234,7 +235,7 @@ def effective_report(original: DataFrame, derived: DataFrame) -> DataFrame:
     ``modified_at``.
     """
     newest = derived.groupBy("run_id").agg(
-        F.min_by(F.struct("evaluator_version", "report"), F.struct(-F.unix_micros("modified_at"), F.col("evaluator_version"))).alias("__d")
+        F.min_by(F.struct("evaluator_version", "report"), F.struct(-micros("modified_at"), F.col("evaluator_version"))).alias("__d")
     )
     joined = original.join(newest, "run_id", "left")
     return joined.select(

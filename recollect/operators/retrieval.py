@@ -114,6 +114,8 @@ def block_topk(
     left = _spread(queries.select("unit_id", "query_id", "q").join(sizes, "unit_id"), "qb", "rb", "query_id")
     right = _spread(records.select("unit_id", "record_id", "r").join(sizes, "unit_id"), "rb", "qb", "record_id")
     cell = ["unit_id", "rb", "qb"]
+    # Both sides may come from one table; new column ids keep the cogroup unambiguous.
+    right = right.toDF(*right.columns)
     found = (
         left.groupBy(*cell)
         .cogroup(right.groupBy(*cell))

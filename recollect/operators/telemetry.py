@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import micros
 from ..functions.text import bounded_label, one_of
 from .ledger import percentage, progress_ratio
 from .ordered import previous_row, running_sum
@@ -305,8 +306,8 @@ def stall_alerts(
         open_gaps = ends.select(key, "last_progress", F.lit(None).cast("timestamp").alias("resumed_at"))
         gaps = gaps.unionByName(open_gaps)
     end = F.coalesce("resumed_at", until if until is not None else F.col("resumed_at"))
-    silent = F.unix_micros(end) - F.unix_micros("last_progress")
-    fired = F.timestamp_micros(F.unix_micros("last_progress") + limit * 1_000_000)
+    silent = micros(end) - micros("last_progress")
+    fired = F.timestamp_micros(micros("last_progress") + limit * 1_000_000)
     return gaps.filter(silent > limit * 1_000_000).select(key, "last_progress", fired.alias("fired_at"), "resumed_at")
 
 
@@ -325,5 +326,5 @@ def down_alerts(
     stretches = numbered.filter(F.col("up") == 0).groupBy(key, "__stretch").agg(
         F.min("ts").alias("down_since"), F.max("ts").alias("last_down"), F.count(F.lit(1)).alias("samples")
     )
-    held = F.unix_micros("last_down") - F.unix_micros("down_since") >= hold_seconds * 1_000_000
+    held = micros("last_down") - micros("down_since") >= hold_seconds * 1_000_000
     return stretches.filter(held).drop("__stretch")

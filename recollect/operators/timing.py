@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import micros
+
 # Stages in report order and their two scopes.
 STAGES = ("ingestion", "qa", "retrieval_pipeline", "backend_search", "answer_generation", "judge")
 QUESTION, CONVERSATION = "question", "conversation"
@@ -76,7 +78,7 @@ def timing_report(records: DataFrame) -> DataFrame:
 
 def execution_seconds(started_at: Column, measured_at: Column) -> Column:
     """Seconds between two timestamps, never below 0, six decimals."""
-    micros = F.unix_micros(measured_at) - F.unix_micros(started_at)
+    micros = micros(measured_at) - micros(started_at)
     return F.round(F.greatest(micros, F.lit(0)) / 1e6, 6)
 
 

@@ -18,7 +18,6 @@ from ..operators import sampling as P
 from ..operators import selection as S
 from ..operators import validation as V
 from ..sources import datasets as SD
-from ..sources import schemas
 from ..session import new_path
 from . import sql as Q
 from . import tables as T
@@ -838,12 +837,17 @@ def secret_paths(spark, d):
     return T.table(spark, d, "customer").select("c_custkey", F.array_join(C.secret_paths(document), ",").alias("paths"))
 
 
+def _redact_sql(value: str) -> str:
+    for marker in C.SECRET_TEXT_MARKERS:
+        value = f"regexp_replace({value}, '^(.*?{marker})[^ ]*(.*)$', '\\1<redacted>\\2', 'is')"
+    return value
+
+
 @query(
     "redact_text",
-    """SELECT doc_id, md5(text || ' token=<redacted>' || CASE WHEN lang = 'en' THEN ' and token=b API_KEY=<redacted> end' ELSE '' END) AS redacted FROM documents
- WHERE NOT regexp_matches(text, '(?i)(api_key|apikey|password|secret|token)=')""",
+    f"""SELECT doc_id, md5({_redact_sql("text || CASE WHEN lang = 'en' THEN ' token=a and token=b API_KEY=c end' ELSE ' token=a' END")}) AS redacted FROM documents""",
 )
 def redact_text(spark, d):
     tail = F.when(F.col("lang") == "en", F.lit(" token=a and token=b API_KEY=c end")).otherwise(F.lit(" token=a"))
-    rows = T.table(spark, d, "documents").filter(~F.col("text").rlike("(?i)(api_key|apikey|password|secret|token)="))
+    rows = T.table(spark, d, "documents")
     return rows.select("doc_id", F.md5(C.redact_text(F.concat("text", tail))).alias("redacted"))

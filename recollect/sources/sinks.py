@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import micros
 from ..functions.text import bounded_label
 from ..operators.ledger import capped_activity, progress_ratio
 from ..operators.scoring import rules_for
@@ -91,7 +92,7 @@ def metrics_table(
         _gauge(active, "current_activity_completed_items", done, stage),
         _gauge(active, "current_activity_progress_ratio", progress_ratio(done, total), stage),
         _gauge(runs, "state", F.lit(1), {"state": F.coalesce("state", F.lit("UNKNOWN"))}),
-        _gauge(runs, "last_update_timestamp_seconds", F.unix_micros("modified_at") / 1e6),
+        _gauge(runs, "last_update_timestamp_seconds", micros("modified_at") / 1e6),
         _gauge(tokens, "llm_tokens", F.col("tokens"), {"role": F.col("role"), "token_type": F.col("token_type")}),
         _gauge(execution, "execution_seconds", F.col("seconds")),
         _gauge(stages, "pipeline_duration_seconds", F.col("seconds"), {"stage": F.col("stage")}),
