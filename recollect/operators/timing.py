@@ -78,8 +78,8 @@ def timing_report(records: DataFrame) -> DataFrame:
 
 def execution_seconds(started_at: Column, measured_at: Column) -> Column:
     """Seconds between two timestamps, never below 0, six decimals."""
-    micros = micros(measured_at) - micros(started_at)
-    return F.round(F.greatest(micros, F.lit(0)) / 1e6, 6)
+    elapsed = micros(measured_at) - micros(started_at)
+    return F.round(F.greatest(elapsed, F.lit(0)) / 1e6, 6)
 
 
 def stage_seconds(timing: DataFrame) -> DataFrame:

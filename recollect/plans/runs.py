@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
@@ -301,21 +300,28 @@ def _counts(expected, committed):
     return F.struct(expected.alias("expected"), committed.alias("committed"), F.lit(0).cast("bigint").alias("failed"))
 
 
-def full_runs(spark, d):
+def with_status(runs):
     """Runs with status fields in the shape of a status file."""
     e, c = F.col("expected"), F.col("committed")
     activity = F.struct(
         F.concat(F.lit("Stage-"), "framework").alias("stage"), (c + 1).alias("completed"), e.alias("total")
     )
     state = F.when(F.col("framework") == "F", F.lit("COMPLETED")).when(F.col("framework") == "P", F.lit("FAILED_JUDGING"))
-    return T.runs(spark, d).select(
-        "run_id", "benchmark", "framework", "modified_at", state.alias("state"),
-        F.when(F.col("framework") != "P", F.lit("LATE_WORK")).alias("phase"),
-        _counts(e, c).alias("items"), _counts(e * 2, c).alias("units"),
-        F.when(c % 2 == 0, activity).alias("current_activity"),
+    return runs.withColumns(
+        {
+            "state": state,
+            "phase": F.when(F.col("framework") != "P", F.lit("LATE_WORK")),
+            "items": _counts(e, c),
+            "units": _counts(e * 2, c),
+            "current_activity": F.when(c % 2 == 0, activity),
+        }
     )
 
 
+def full_runs(spark, d):
+    return with_status(T.runs(spark, d))
+
+
 @query(
     "list_runs",
     f"""WITH {Q.RUNS} SELECT run_id, benchmark, framework, CASE framework WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'FAILED_JUDGING' ELSE CASE WHEN committed % 2 = 0 THEN 'COMPLETED' ELSE 'CREATED' END END AS state,
@@ -644,10 +650,6 @@ def derive_evaluation(spark, d):
 # --- the long metrics table -------------------------------------------------------------
 
 
-def _by_run(frame: DataFrame, runs: DataFrame) -> DataFrame:
-    return runs.select("run_id", "benchmark", "framework").join(frame, "run_id").drop("run_id")
-
-
 @query(
     "metrics_table",
     f"""WITH {Q.RUNS}, {_LATEST}, act AS (SELECT *, 'stage_' || lower(framework) AS stage FROM latest WHERE committed % 2 = 0),
@@ -672,28 +674,22 @@ def _by_run(frame: DataFrame, runs: DataFrame) -> DataFrame:
 SELECT benchmark, framework, metric, labels, CAST(value AS DOUBLE) AS value FROM g""",
 )
 def metrics_table(spark, d):
-    base = T.runs(spark, d)
-    latest = L.latest_run(full_runs(spark, d))
-    chosen = base.join(latest.select("run_id"), "run_id", "left_semi")
-    components = chosen.select(
-        "run_id", F.lit("answerer").alias("role"), F.col("expected").alias("prompt_tokens"), F.col("committed").alias("completion_tokens"),
-        (F.col("expected") + F.col("committed")).alias("total_tokens"),
+    runs = with_status(L.latest_run(T.runs(spark, d)))
+    keys = ["benchmark", "framework"]
+    components = runs.select(
+        *keys, F.lit("answerer").alias("role"), F.col("expected").alias("prompt_tokens"),
+        F.col("committed").alias("completion_tokens"), (F.col("expected") + F.col("committed")).alias("total_tokens"),
     )
     pipeline = F.create_map(F.lit("judge"), F.struct(F.col("o_totalprice").alias("total_ms")))
-    reports = chosen.select(
-        "run_id", F.when(F.col("o_custkey") % 2 == 0, F.lit("v2")).alias("evaluator_version"), _overall_json().alias("overall_json")
-    )
-    resources = chosen.select(
-        "run_id", F.col("o_totalprice").alias("cpu_seconds"),
-        TM.cpu_percent(F.col("o_totalprice"), F.col("expected").cast("double")).alias("cpu_percent"), F.col("o_custkey").alias("peak_rss_bytes"),
-    )
+    version = F.when(F.col("o_custkey") % 2 == 0, F.lit("v2"))
+    percent = TM.cpu_percent(F.col("o_totalprice"), F.col("expected").cast("double"))
     rows = sinks.metrics_table(
-        latest,
-        _by_run(U.tokens_long(components, ["run_id"]), latest),
-        _by_run(chosen.select("run_id", F.col("o_totalprice").alias("seconds")), latest),
-        _by_run(TM.stage_seconds(chosen.select("run_id", pipeline.alias("pipeline"))), latest),
-        _by_run(resources, latest),
-        _by_run(RP.flatten_results(reports, "judge"), latest),
+        runs,
+        U.tokens_long(components, keys),
+        runs.select(*keys, F.col("o_totalprice").alias("seconds")),
+        TM.stage_seconds(runs.select(*keys, pipeline.alias("pipeline"))),
+        runs.select(*keys, F.col("o_totalprice").alias("cpu_seconds"), percent.alias("cpu_percent"), F.col("o_custkey").alias("peak_rss_bytes")),
+        RP.flatten_results(runs.select(*keys, version.alias("evaluator_version"), _overall_json().alias("overall_json")), "judge"),
     )
     entries = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return rows.withColumn("labels", F.array_join(entries, ","))

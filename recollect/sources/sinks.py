@@ -52,12 +52,21 @@ def derive_evaluation(
     return {**record, "reused": False}
 
 
-def _gauge(frame: DataFrame, name: str, value: Column, labels: dict[str, Column] | None = None) -> DataFrame:
+_LABELS = "map<string,string>"
+
+
+def _gauge(name: str, value: Column, labels: dict[str, Column] | None = None, given: Column | None = None) -> Column:
+    """One gauge of a row as a struct, null where ``given`` does not hold."""
     pairs = [part for key, column in (labels or {}).items() for part in (F.lit(key), column.cast("string"))]
-    label_map = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return frame.select(
-        "benchmark", "framework", F.lit(name).alias("metric"), label_map.alias("labels"), value.cast("double").alias("value")
-    )
+    label_map = F.create_map(*pairs) if pairs else F.create_map().cast(_LABELS)
+    gauge = F.struct(F.lit(name).alias("metric"), label_map.alias("labels"), value.cast("double").alias("value"))
+    return gauge if given is None else F.when(given, gauge)
+
+
+def _gauges(frame: DataFrame, *gauges: Column) -> DataFrame:
+    """All gauges of a frame in one pass over it."""
+    rows = frame.select("benchmark", "framework", F.explode(F.array_compact(F.array(*gauges))).alias("g"))
+    return rows.select("benchmark", "framework", "g.*")
 
 
 def metrics_table(
@@ -78,27 +87,33 @@ def metrics_table(
     def count(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
 
-    active = runs.filter("current_activity is not null").withColumn("stage", bounded_label(F.col("current_activity.stage")))
+    active = F.col("current_activity").isNotNull()
     total = count("current_activity.total")
     done = capped_activity(F.col("current_activity.completed"), F.col("current_activity.total"))
-    stage = {"stage": F.col("stage")}
+    stage = {"stage": bounded_label(F.col("current_activity.stage"))}
     parts = [
-        _gauge(runs, "expected_input_records", count("units.expected")),
-        _gauge(runs, "completed_input_records", count("units.committed")),
-        _gauge(runs, "expected_evaluation_items", count("items.expected")),
-        _gauge(runs, "completed_evaluation_items", count("items.committed")),
-        _gauge(runs, "progress_ratio", progress_ratio(F.col("items.committed"), F.col("items.expected"))),
-        _gauge(active, "current_activity_expected_items", total, stage),
-        _gauge(active, "current_activity_completed_items", done, stage),
-        _gauge(active, "current_activity_progress_ratio", progress_ratio(done, total), stage),
-        _gauge(runs, "state", F.lit(1), {"state": F.coalesce("state", F.lit("UNKNOWN"))}),
-        _gauge(runs, "last_update_timestamp_seconds", micros("modified_at") / 1e6),
-        _gauge(tokens, "llm_tokens", F.col("tokens"), {"role": F.col("role"), "token_type": F.col("token_type")}),
-        _gauge(execution, "execution_seconds", F.col("seconds")),
-        _gauge(stages, "pipeline_duration_seconds", F.col("seconds"), {"stage": F.col("stage")}),
-        _gauge(resources, "process_cpu_seconds", F.col("cpu_seconds")),
-        _gauge(resources, "average_cpu_percent", F.col("cpu_percent")),
-        _gauge(resources, "peak_rss_bytes", F.col("peak_rss_bytes")),
-        _gauge(results, "result", F.col("value"), {"evaluator": F.col("evaluator"), "metric": F.col("metric")}),
+        _gauges(
+            runs,
+            _gauge("expected_input_records", count("units.expected")),
+            _gauge("completed_input_records", count("units.committed")),
+            _gauge("expected_evaluation_items", count("items.expected")),
+            _gauge("completed_evaluation_items", count("items.committed")),
+            _gauge("progress_ratio", progress_ratio(F.col("items.committed"), F.col("items.expected"))),
+            _gauge("current_activity_expected_items", total, stage, active),
+            _gauge("current_activity_completed_items", done, stage, active),
+            _gauge("current_activity_progress_ratio", progress_ratio(done, total), stage, active),
+            _gauge("state", F.lit(1), {"state": F.coalesce("state", F.lit("UNKNOWN"))}),
+            _gauge("last_update_timestamp_seconds", micros("modified_at") / 1e6),
+        ),
+        _gauges(tokens, _gauge("llm_tokens", F.col("tokens"), {"role": F.col("role"), "token_type": F.col("token_type")})),
+        _gauges(execution, _gauge("execution_seconds", F.col("seconds"))),
+        _gauges(stages, _gauge("pipeline_duration_seconds", F.col("seconds"), {"stage": F.col("stage")})),
+        _gauges(
+            resources,
+            _gauge("process_cpu_seconds", F.col("cpu_seconds")),
+            _gauge("average_cpu_percent", F.col("cpu_percent")),
+            _gauge("peak_rss_bytes", F.col("peak_rss_bytes")),
+        ),
+        _gauges(results, _gauge("result", F.col("value"), {"evaluator": F.col("evaluator"), "metric": F.col("metric")})),
     ]
     return reduce(DataFrame.unionByName, parts)
