@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (a single-machine test) is a scratch folder set.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    scratch = tempfile.mkdtemp(prefix="recollect-")
-    spark.conf.set(CHECKPOINT_CONF, scratch)
-    return scratch
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="recollect-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
