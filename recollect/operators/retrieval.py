@@ -72,7 +72,8 @@ def overlap_scores(queries: pd.Series, records: pd.Series) -> np.ndarray:
 def _best_in_block(k: int, scorer: Scorer):
     def run(queries: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or records.empty:
-            return pd.DataFrame({"unit_id": [], "query_id": [], "record_id": [], "score": []})
+            names = np.array([], dtype=object)
+            return pd.DataFrame({"unit_id": names, "query_id": names, "record_id": names, "score": np.array([])})
         ids = records["record_id"].to_numpy()
         by_id = np.argsort(ids, kind="stable")
         scores = np.round(scorer(queries["q"], records["r"].iloc[by_id]), SCORE_DIGITS)
