@@ -42,6 +42,11 @@ def _overlap(prediction: pd.Series, gold: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_pred", "n_gold", "overlap", "lcs"])
 
 
+def normalized_overlap(prediction: Column, gold: Column) -> Column:
+    """Struct ``(n_pred, n_gold, overlap, lcs)`` of two texts that are normalised already."""
+    return _overlap(prediction, gold)
+
+
 def answer_overlap(prediction: Column, gold: Column) -> Column:
     """Struct ``(n_pred, n_gold, overlap, lcs)`` over normalised tokens."""
     return _overlap(normalize_text(prediction), normalize_text(gold))

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # They must equal the evaluated metric definition.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ABSTAIN_TOKEN = "__ABSTAIN__"
 ABSTAIN_PHRASES = (
     "i don't know",
@@ -51,9 +50,10 @@ def is_blank(value: Column) -> Column:
 
 def normalize_text(value: Column) -> Column:
     """Lower-case, drop ASCII punctuation, drop articles, squeeze whitespace."""
-    bare = F.translate(F.lower(value), PUNCTUATION, "")
-    no_articles = F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(no_articles, rf"(?U){_SPACE}+", " "))
+    # A class is matched faster here than ``translate`` maps 32 characters.
+    bare = F.regexp_replace(F.lower(value), r"\p{Punct}+", "")
+    # Articles and whitespace both become a blank and blanks are squeezed: one pass for all.
+    return F.trim(F.regexp_replace(bare, rf"(?U)(?:{_SPACE}|\b(?:an?|the)\b)+", " "))
 
 
 def tokens(value: Column) -> Column:

@@ -186,29 +186,32 @@ def resume_plan(
 
     A phase is valid when it is COMMITTED, follows the digest of the phase before it and
     has no bad artifact. ``phases``: one row per (run_id, phase) with ``status``,
-    ``predecessor_digest`` and ``checkpoint_digest``.
+    ``predecessor_digest`` and ``checkpoint_digest``, so a run gathers at most five.
     """
-    runs = expected.groupBy("run_id").agg(F.count(F.lit(1)).alias("expected_units"))
-    open_units = restart.groupBy("run_id").agg(F.count(F.lit(1)).alias("restart_units"))
-    steps = runs.select(
-        "run_id",
-        F.explode(
-            F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(p).alias("phase")) for i, p in enumerate(PHASES)])
-        ).alias("s"),
-    ).select("run_id", "s.ordinal", "s.phase")
-    have = phases.filter(F.col("status") == "COMMITTED").join(bad_phases.select("run_id", "phase"), ["run_id", "phase"], "left_anti")
-    numbered = with_ordinal(have).select("run_id", "ordinal", "predecessor_digest", "checkpoint_digest")
-    before = numbered.select("run_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("checkpoint_digest").alias("__before"))
-    checked = steps.join(numbered, ["run_id", "ordinal"], "left").join(before, ["run_id", "ordinal"], "left")
-    follows = F.when(F.col("ordinal") == 1, F.col("predecessor_digest").isNull()).otherwise(
-        F.coalesce(F.col("predecessor_digest") == F.col("__before"), F.lit(False))
+    have = phases.filter(F.col("status") == "COMMITTED").join(
+        bad_phases.select("run_id", "phase"), ["run_id", "phase"], "left_anti"
     )
-    valid = F.col("checkpoint_digest").isNotNull() & follows
-    first_bad = checked.filter(~valid).groupBy("run_id").agg(F.min_by("phase", "ordinal").alias("__phase"))
-    plan = runs.join(open_units, "run_id", "left").join(first_bad, "run_id", "left")
+    entry = F.struct("ordinal", "predecessor_digest", "checkpoint_digest")
+    chains = with_ordinal(have).filter("ordinal > 0").groupBy("run_id").agg(F.collect_list(entry).alias("__c"))
+
+    def checkpoint(i) -> Column:
+        return F.get(F.filter("__c", lambda c: c["ordinal"] == i), F.lit(0))
+
+    def follows(i: Column) -> Column:
+        given = checkpoint(i)["predecessor_digest"]
+        return F.when(i == 1, given.isNull()).otherwise(given == checkpoint(i - 1)["checkpoint_digest"])
+
+    steps = F.sequence(F.lit(1), F.lit(len(PHASES)))
+    broken = F.filter(
+        steps, lambda i: checkpoint(i).isNull() | ~F.coalesce(follows(i), F.lit(False))
+    )
+    first_broken = F.array_min(F.when(F.col("__c").isNull(), F.array(F.lit(1))).otherwise(broken))
+    next_phase = F.get(F.array(*[F.lit(p) for p in PHASES]), F.coalesce(first_broken, F.lit(len(PHASES))) - 1)
+    open_units = restart.groupBy("run_id").agg(F.count(F.lit(1)).alias("restart_units"))
+    plan = expected.select("run_id").distinct().join(open_units, "run_id", "left").join(chains, "run_id", "left")
     return plan.select(
         "run_id",
-        F.when(F.col("restart_units") > 0, F.lit("RUNNING")).otherwise(F.coalesce("__phase", F.lit("VERIFYING"))).alias("next_phase"),
+        F.when(F.col("restart_units") > 0, F.lit("RUNNING")).otherwise(next_phase).alias("next_phase"),
         F.coalesce("restart_units", F.lit(0)).alias("restart_units"),
     )
 

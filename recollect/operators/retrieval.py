@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import nonempty_ids, trimmed_ids
 from ..functions.text import blank_to_empty, py_strip, tokens
+from ..session import materialize
 from .ordered import ordered_position
 
 # Result counts, distance limits and prefetch sizes per benchmark.
@@ -37,6 +38,8 @@ RECALLED_HEADER = "=== LONG-TERM MEMORY (RECALLED) ==="
 ACTIVE_HEADER = "=== ACTIVE CONVERSATION ==="
 
 BLOCK_ROWS = 2048
+# Texts are long and become Python tokens, so their blocks are smaller.
+TEXT_BLOCK_ROWS = 256
 # Scores are rounded before ranking so that equal scores tie the same way everywhere.
 SCORE_DIGITS = 9
 
@@ -60,12 +63,13 @@ def overlap_scores(queries: pd.Series, records: pd.Series) -> np.ndarray:
     for at, words in enumerate(records):
         for word in set(words):
             holders.setdefault(word, []).append(at)
+    rows_of = {word: np.array(found, dtype=np.int32) for word, found in holders.items()}
     scores = np.zeros((len(queries), len(records)))
     for row, words in enumerate(queries):
         distinct = set(words)
-        for word in distinct & holders.keys():
-            scores[row, holders[word]] += 1.0
-        scores[row] /= max(len(distinct), 1)
+        hits = [rows_of[word] for word in distinct if word in rows_of]
+        if hits:
+            scores[row] = np.bincount(np.concatenate(hits), minlength=len(records)) / len(distinct)
     return scores
 
 
@@ -91,16 +95,27 @@ def _best_in_block(k: int, scorer: Scorer):
     return run
 
 
-def _blocks(df: DataFrame, count_column: str, block_rows: int) -> DataFrame:
-    per_unit = df.groupBy("unit_id").agg(F.count(F.lit(1)).alias("__n"))
-    return per_unit.select("unit_id", F.ceil(F.col("__n") / block_rows).cast("int").alias(count_column))
+def _big_units(queries: DataFrame, records: DataFrame, block_rows: int) -> DataFrame:
+    """(unit_id, __rbn, __qbn) of the units that need more than one block on a side.
+
+    Written once, so that its real size decides whether it is broadcast; every other unit
+    is a single block and needs no lookup.
+    """
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        per_unit = df.groupBy("unit_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 0)
+        return per_unit.select("unit_id", F.ceil(F.col("__n") / block_rows).cast("int").alias(name))
+
+    both = blocks(records, "__rbn").join(blocks(queries, "__qbn"), "unit_id")
+    return materialize(both.filter("__rbn > 1 or __qbn > 1"), "big-units")
 
 
-def _spread(df: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
+def _spread(df: DataFrame, big: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
     """Give each row its own block and one copy per block of the other side."""
-    mine = F.pmod(F.xxhash64(row_id), F.col(f"__{own}n")).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.col(f"__{other}n") - 1))
-    return df.withColumn(own, mine).withColumn(other, copies).drop("__rbn", "__qbn")
+    rows = df.join(big, "unit_id", "left")
+    own_blocks, other_blocks = F.coalesce(f"__{own}n", F.lit(1)), F.coalesce(f"__{other}n", F.lit(1))
+    mine = F.pmod(F.xxhash64(row_id), own_blocks).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), other_blocks - 1))
+    return rows.withColumn(own, mine).withColumn(other, copies).drop("__rbn", "__qbn")
 
 
 def block_topk(
@@ -111,9 +126,9 @@ def block_topk(
     ``queries``: (unit_id, query_id, q); ``records``: (unit_id, record_id, r). Ids are
     strings, ``q`` and ``r`` are what ``scorer`` compares.
     """
-    sizes = _blocks(records, "__rbn", block_rows).join(_blocks(queries, "__qbn", block_rows), "unit_id")
-    left = _spread(queries.select("unit_id", "query_id", "q").join(sizes, "unit_id"), "qb", "rb", "query_id")
-    right = _spread(records.select("unit_id", "record_id", "r").join(sizes, "unit_id"), "rb", "qb", "record_id")
+    big = _big_units(queries, records, block_rows)
+    left = _spread(queries.select("unit_id", "query_id", "q"), big, "qb", "rb", "query_id")
+    right = _spread(records.select("unit_id", "record_id", "r"), big, "rb", "qb", "record_id")
     cell = ["unit_id", "rb", "qb"]
     # Both sides may come from one table; new column ids keep the cogroup unambiguous.
     right = right.toDF(*right.columns)
@@ -143,7 +158,7 @@ def vector_topk(
 
 
 def lexical_topk(
-    queries: DataFrame, records: DataFrame, k: int, text: str = "text", block_rows: int = BLOCK_ROWS
+    queries: DataFrame, records: DataFrame, k: int, text: str = "text", block_rows: int = TEXT_BLOCK_ROWS
 ) -> DataFrame:
     """Token-overlap top-k inside the query's own unit; records without overlap never match."""
     found = block_topk(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json
+from ..session import materialize
 
 ROUNDINGS = ("ceil", "floor", "round")
 MAX_EXACT_POPULATION = 1_000_000
@@ -60,11 +61,13 @@ def hash_sample(
     keyed = keyed.withColumn("__p", F.substring("__h", 1, prefix_chars))
     prefixes = keyed.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
+    # Written once: both branches read it, and its real size decides whether it is broadcast.
+    cuts = materialize(
         prefixes.withColumn("population", F.sum("__n").over(Window.partitionBy("__s")))
         .withColumn("__left", size - F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         .filter("__left > 0")
-        .select("__s", "__p", "__n", "__left")
+        .select("__s", "__p", "__n", "__left"),
+        "sample-cuts",
     )
     drawn = keyed.join(cuts, ["__s", "__p"])
     whole = drawn.filter("__n <= __left")

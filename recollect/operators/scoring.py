@@ -95,16 +95,17 @@ def score_rows(evaluations: DataFrame, benchmark: str) -> DataFrame:
             "__gold": gold_id_column(rules),
         }
     )
-    rows = rows.withColumn("__o", O.answer_overlap(F.col("__p"), F.col("__g")))
+    rows = rows.withColumns({"__pn": X.normalize_text(F.col("__p")), "__gn": X.normalize_text(F.col("__g"))})
+    rows = rows.withColumn("__o", O.normalized_overlap(F.col("__pn"), F.col("__gn")))
     token = F.lit(X.ABSTAIN_TOKEN)
     scores = {
         "abstained": (F.col("__p") == token) | (F.col("__g") == token),
-        "exact_match": X.exact_match(F.col("__p"), F.col("__g")),
+        "exact_match": (F.col("__pn") == F.col("__gn")).cast("double"),
         "token_f1": O.token_f1(F.col("__o")),
         "rouge_l": O.rouge_l(F.col("__o")),
         **R.ranking_metrics(F.col("__ids"), F.col("__gold")),
     }
-    return rows.withColumns(scores).drop("__p", "__g", "__ids", "__gold", "__o")
+    return rows.withColumns(scores).drop("__p", "__g", "__pn", "__gn", "__ids", "__gold", "__o")
 
 
 def mean_by_scope(rows: DataFrame, keys: list[str], group: str, metrics: tuple[str, ...]) -> DataFrame:

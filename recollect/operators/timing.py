@@ -49,17 +49,23 @@ def timing_long(records: DataFrame) -> DataFrame:
 
 
 def timing_report(records: DataFrame) -> DataFrame:
-    """Per stage: scope, count, total, mean, min, max; the last record of an identity wins."""
+    """Per stage: scope, count, total, mean, min, max; the last record of an identity wins.
+
+    ``position`` must be unique, since it decides what is last. All buffers are numbers or
+    flags where it is a number, so both steps are hash aggregations.
+    """
+    shared = (F.col("scope") == CONVERSATION).alias("shared")
     last = (
         timing_long(records)
         .groupBy("stage", "identity")
         .agg(
             F.max_by("ms", "position").alias("ms"),
-            F.max(F.struct("position", "scope")).alias("seen"),
+            F.max_by(shared, F.col("position")).alias("shared"),
+            F.max("position").alias("position"),
         )
     )
     report = last.groupBy("stage").agg(
-        F.max("seen").alias("seen"),
+        F.max_by("shared", "position").alias("shared"),
         F.count(F.lit(1)).alias("count"),
         F.sum("ms").alias("__sum"),
         F.min("ms").alias("min_ms"),
@@ -67,7 +73,7 @@ def timing_report(records: DataFrame) -> DataFrame:
     )
     return report.select(
         "stage",
-        F.col("seen.scope").alias("scope"),
+        F.when(F.col("shared"), F.lit(CONVERSATION)).otherwise(F.lit(QUESTION)).alias("scope"),
         "count",
         F.round("__sum", MS_DIGITS).alias("total_ms"),
         F.round(F.col("__sum") / F.col("count"), MS_DIGITS).alias("avg_ms"),

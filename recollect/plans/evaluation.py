@@ -36,7 +36,7 @@ _DOC_TOKENS = Q.normalized_tokens("text")
 
 @query("normalize_text", f"SELECT doc_id, array_to_string({_DOC_TOKENS}, ' ') AS normalized FROM documents")
 def normalize_text(spark, d):
-    return T.table(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("normalized"))
+    return T.texts(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("normalized"))
 
 
 @query(
@@ -46,7 +46,7 @@ def normalize_text(spark, d):
 )
 def tokens(spark, d):
     words = X.tokens(F.col("text"))
-    return T.table(spark, d, "documents").select(
+    return T.texts(spark, d, "documents").select(
         "doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct")
     )
 

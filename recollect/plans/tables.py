@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sampling import QUESTION_TYPES
+from ..session import spread
 
 OFFSETS = (1, -1, 0, 2, 3)
 
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows carry long texts, spread over the cores where it has few splits."""
+    return spread(table(spark, sf_dir, name))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, role, text)."""
     return table(spark, sf_dir, "conversations")
@@ -29,9 +35,9 @@ def turn_id(conv: Column, turn: Column) -> Column:
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn is a question, the assistant turn after it is its gold answer."""
-    rows = turns(spark, sf_dir)
-    asked = rows.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    answered = rows.filter("role = 'assistant'").select(
+    user = texts(spark, sf_dir, "conversations").filter("role = 'user'")
+    asked = user.select("conv_id", "turn", F.col("text").alias("question"))
+    answered = turns(spark, sf_dir).filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
     mix = F.col("conv_id") + F.col("turn")
