@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def padded(prefix: str, number: Column, digits: int) -> Column:
+    """A prefix and a number of at least ``digits`` digits; longer numbers keep all of them."""
+    text = number.cast("bigint").cast("string")
+    zeros = F.repeat(F.lit("0"), F.greatest(F.lit(digits) - F.length(text), F.lit(0)))
+    return F.concat(F.lit(prefix), zeros, text)
+
+
 def conversation_id(conversation_idx: Column) -> Column:
-    """At least four digits; longer numbers keep all their digits."""
-    return F.format_string("conversation-%04d", conversation_idx.cast("bigint") + 1)
+    return padded("conversation-", conversation_idx.cast("bigint") + 1, 4)
 
 
 def question_id(conversation_idx: Column, question_idx: Column) -> Column:

@@ -52,8 +52,9 @@ def normalize_text(value: Column) -> Column:
     """Lower-case, drop ASCII punctuation, drop articles, squeeze whitespace."""
     # A class is matched faster here than ``translate`` maps 32 characters.
     bare = F.regexp_replace(F.lower(value), r"\p{Punct}+", "")
-    # Articles and whitespace both become a blank and blanks are squeezed: one pass for all.
-    return F.trim(F.regexp_replace(bare, rf"(?U)(?:{_SPACE}|\b(?:an?|the)\b)+", " "))
+    # Two passes: a repeated group would recurse once per repetition and overflow on long runs.
+    no_articles = F.regexp_replace(bare, r"(?U)\b(?:an?|the)\b", " ")
+    return F.trim(F.regexp_replace(no_articles, rf"(?U){_SPACE}+", " "))
 
 
 def tokens(value: Column) -> Column:

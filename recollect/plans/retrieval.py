@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ids import padded
 from ..operators import retrieval as R
 from ..operators import usage as U
 from . import sql as Q
@@ -66,7 +67,7 @@ lex AS (SELECT q.unit_id, q.vec_key AS query_id, r.vec_key AS record_id, round(c
 
 
 def _texts(spark, d):
-    documents = T.table(spark, d, "documents").select(F.format_string("v%08d", "doc_id").alias("vec_key"), "text")
+    documents = T.table(spark, d, "documents").select(padded("v", F.col("doc_id"), 8).alias("vec_key"), "text")
     rows = T.vectors(spark, d).join(documents, "vec_key")
     return rows.withColumnRenamed("vec_key", "query_id"), rows.withColumnRenamed("vec_key", "record_id")
 

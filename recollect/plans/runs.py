@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
+from ..functions.ids import padded
 from ..operators import ledger as L
 from ..operators import reports as RP
 from ..operators import timing as TM
@@ -259,7 +260,7 @@ def evaluator_coverage(spark, d):
     plan = RP.evaluation_plan(T.runs(spark, d), ("F",))
     name = F.when(F.col("l_linenumber") == 1, F.lit("primary_judge_score")).when(F.col("l_linenumber") == 2, F.lit("rigorous_report"))
     reports = T.table(spark, d, "lineitem").select(
-        F.format_string("run-%08d", "l_orderkey").alias("run_id"), name.alias("evaluator"),
+        padded("run-", F.col("l_orderkey"), 8).alias("run_id"), name.alias("evaluator"),
         F.when(F.col("l_linestatus") == "F", F.lit("COMPLETED")).otherwise(F.lit("FAILED")).alias("status"),
     )
     return RP.evaluator_coverage(plan, reports).select("run_id", "framework", "evaluator")
@@ -444,7 +445,7 @@ def artifact_manifest(spark, d):
 def _units(spark, d):
     """Line items as units of the run of their order."""
     return T.table(spark, d, "lineitem").select(
-        F.format_string("run-%08d", "l_orderkey").alias("run_id"),
+        padded("run-", F.col("l_orderkey"), 8).alias("run_id"),
         F.concat_ws("-", "l_linenumber", "l_partkey").alias("unit_id"), "l_linestatus", "l_returnflag", "l_linenumber", "l_quantity",
     )
 
@@ -472,7 +473,7 @@ def restart_units(spark, d):
 def _phases(spark, d):
     """One checkpoint per phase of every order; digests break where the price says so."""
     rows = T.table(spark, d, "orders").select(
-        F.format_string("run-%08d", "o_orderkey").alias("run_id"), "o_custkey", "o_orderkey",
+        padded("run-", F.col("o_orderkey"), 8).alias("run_id"), "o_custkey", "o_orderkey",
         F.posexplode(F.array(*[F.lit(p) for p in L.PHASES])).alias("i", "phase"),
     )
     digest = F.concat_ws(":", "run_id", F.col("i").cast("string"))
@@ -525,7 +526,7 @@ def effective_report(spark, d):
     original = T.runs(spark, d).select("run_id", F.lit("base").alias("evaluator_version"), F.lit("original").alias("report"))
     version = F.concat(F.lit("v"), "l_linenumber")
     derived = T.table(spark, d, "lineitem").select(
-        F.format_string("run-%08d", "l_orderkey").alias("run_id"), version.alias("evaluator_version"),
+        padded("run-", F.col("l_orderkey"), 8).alias("run_id"), version.alias("evaluator_version"),
         F.concat(F.lit("derived "), version).alias("report"), F.col("l_shipdate").alias("modified_at"),
     )
     return L.effective_report(original, derived)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import padded
 from ..operators.sampling import QUESTION_TYPES
 from ..session import spread
 
@@ -152,7 +153,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return rows.select(
         F.floor(F.col("vec_id") / 100).cast("string").alias("unit_id"),
-        F.format_string("v%08d", "vec_id").alias("vec_key"),
+        padded("v", F.col("vec_id"), 8).alias("vec_key"),
         "embedding",
         "label",
     )
@@ -165,7 +166,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("expected"), F.count_if(F.col("l_linestatus") == "F").alias("committed")
     )
     return orders.join(lines, "o_orderkey", "left").select(
-        F.format_string("run-%08d", "o_orderkey").alias("run_id"),
+        padded("run-", F.col("o_orderkey"), 8).alias("run_id"),
         F.col("o_orderpriority").alias("benchmark"),
         F.col("o_orderstatus").alias("framework"),
         F.col("o_orderdate").alias("modified_at"),

@@ -20,6 +20,8 @@ def local_session(cores: int | str = "*", app: str = "recollect", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call sites of column functions are only for error messages and cost a stack walk each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():

@@ -27,6 +27,12 @@ def test_normalize_text_matches_the_definition(col_values):
     assert [r[0] for r in rows] == [plain_normal(s) for s in SAMPLES]
 
 
+def test_very_long_runs_are_normalised_whole(col_values):
+    texts = ["the " * 50_000 + "end", " " * 200_000 + "x", "!" * 200_000 + "y", "word " * 50_000]
+    rows = col_values("t string", [(t,) for t in texts], n=X.normalize_text(F.col("t")))
+    assert [r[0] for r in rows] == ["end", "x", "y", ("word " * 50_000).strip()]
+
+
 def test_tokens_of_nothing_is_empty(col_values):
     assert col_values("t string", [("the a",), ("b the b",)], n=X.tokens(F.col("t"))) == [([],), (["b", "b"],)]
 
