@@ -16,7 +16,12 @@ _B = "__bucket"
 
 
 def _slices(df: DataFrame, keys: list[str], bucket: Column) -> tuple[DataFrame, list[str]]:
-    return df.withColumn(_B, bucket), [*keys, _B]
+    """Add the bucket. A null key or bucket would be lost in the join back, so it is an error."""
+    missing = bucket.isNull()
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    checked = F.when(missing, F.raise_error(F.lit("keys and buckets must not be null"))).otherwise(bucket)
+    return df.withColumn(_B, checked), [*keys, _B]
 
 
 def _carry_in(parts: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:

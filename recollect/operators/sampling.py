@@ -45,6 +45,11 @@ def _draw_key(seed: int, id_columns: list[str]) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_columns]), 256)
 
 
+def _stratum_text(stratum: Column) -> Column:
+    """Strata are texts; rows without one form a stratum of their own."""
+    return F.coalesce(stratum.cast("string"), F.lit("None"))
+
+
 def hash_sample(
     df: DataFrame,
     id_columns: list[str],
@@ -57,7 +62,7 @@ def hash_sample(
 
     ``size`` is an expression over the column ``population`` (rows in the stratum).
     """
-    keyed = df.withColumn("__s", stratum.cast("string")).withColumn("__h", _draw_key(seed, id_columns))
+    keyed = df.withColumn("__s", _stratum_text(stratum)).withColumn("__h", _draw_key(seed, id_columns))
     keyed = keyed.withColumn("__p", F.substring("__h", 1, prefix_chars))
     prefixes = keyed.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +90,7 @@ def _exact_draws(sizes: list[tuple[str, int, int]], seed: int) -> list[tuple[str
 def exact_sample(
     df: DataFrame, order_columns: list[str], stratum: Column, size: Column, seed: int
 ) -> DataFrame:
-    keyed = df.withColumn("__s", stratum.cast("string"))
+    keyed = df.withColumn("__s", _stratum_text(stratum))
     counts = keyed.groupBy("__s").agg(F.count(F.lit(1)).alias("population"))
     total = counts.agg(F.sum("population")).first()[0] or 0
     if total > MAX_EXACT_POPULATION:
@@ -180,7 +185,7 @@ def sampling_counts(
     population: DataFrame, sample: DataFrame, id_columns: list[str], stratum: Column | None = None
 ) -> DataFrame:
     """Rows per stratum before and after: (stratum, population_count, sample_count)."""
-    by = (F.lit("all") if stratum is None else stratum.cast("string")).alias("stratum")
+    by = (F.lit("all") if stratum is None else _stratum_text(stratum)).alias("stratum")
     before = population.groupBy(by).agg(F.count(F.lit(1)).alias("population_count"))
     after = sample.groupBy(by).agg(F.count(F.lit(1)).alias("sample_count"))
     return before.join(after, "stratum", "left").select(

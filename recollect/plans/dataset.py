@@ -18,6 +18,7 @@ from ..operators import sampling as P
 from ..operators import selection as S
 from ..operators import validation as V
 from ..sources import datasets as SD
+from ..sources import sinks
 from ..session import new_path
 from . import sql as Q
 from . import tables as T
@@ -666,6 +667,26 @@ def regroup_sample(spark, d):
     return kept.select("conversation_idx", F.size("qa").alias("n_questions"), F.md5(text).alias("questions_md5"))
 
 
+@query(
+    "write_sample",
+    f"""WITH {Q.QA}, {_QUESTIONS_SQL}, s AS ({_hash_sql('dq', 'conversation_idx, question_idx', "conversation_idx || ':' || question_idx", '1', 0.25, 9)})
+SELECT conversation_idx, CAST(count(*) AS INTEGER) AS n_questions, (SELECT count(*) FROM s) AS sample_count FROM s GROUP BY 1""",
+)
+def write_sample(spark, d):
+    """Write a sampled dataset with its manifest and read both back."""
+    docs, path = conversation_documents(spark, d), new_path(spark, "sample")
+    questions = S.enumerate_questions(docs)
+    sample = P.sample_qa(questions, 0.25, 9)
+    counts = P.sampling_counts(questions, sample, ["question_id"])
+    sinks.write_sample(P.regroup_sample(docs, sample), P.sampling_manifest(counts, {"seed": 9}, False), path, "conversation_idx")
+    manifest = spark.read.json(f"{path}/manifest").select("sample_count")
+    rows = SD.read_locomo(spark, f"{path}/data", layout="lines")
+    return rows.select(
+        F.col("conversation_idx").cast("bigint").alias("conversation_idx"), F.size("qa").alias("n_questions"),
+        manifest.scalar().alias("sample_count"),
+    )
+
+
 @query(
     "conversation_counts",
     f"WITH {Q.QA}, {_QUESTIONS_SQL} SELECT count(DISTINCT conversation_idx) AS conversation_count, count(*) AS question_count FROM dq",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import canonical as C
 from ..functions import overlap as O
 from ..functions import prompts as P
 from ..functions import ranking as R
@@ -11,7 +12,9 @@ from ..functions import text as X
 from ..functions import verdicts as V
 from ..operators import ablation as AB
 from ..operators import predictions as PR
+from ..operators import inference as IN
 from ..operators import scoring as SC
+from ..operators.extensions import Evaluator, Registry
 from . import sql as Q
 from . import tables as T
 
@@ -520,3 +523,74 @@ def resume_judging(spark, d):
         F.when(F.col("turn") % 3 == 1, F.lit("old")).otherwise(F.col("judge_input_fingerprint")),
     )
     return PR.resume_judging(now, stored).select("question_id")
+
+
+@query(
+    "context_text",
+    """SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text ELSE '{' || chr(10) || '  "memory": ' || CAST(to_json(text) AS VARCHAR) || chr(10) || '}' END) AS context_md5 FROM documents""",
+)
+def context_text(spark, d):
+    plain = F.col("lang") == "en"
+    rows = T.texts(spark, d, "documents").select(
+        "doc_id", plain.alias("plain"),
+        F.when(plain, F.col("text")).otherwise(F.to_json(F.struct(F.col("text").alias("memory")))).alias("context"),
+    )
+    return rows.select("doc_id", F.md5(C.context_text(F.col("context"), F.col("plain"))).alias("context_md5"))
+
+
+# --- model calls with a deterministic client --------------------------------------------
+
+
+def length_client():
+    """A stand-in model: it answers with the length of the prompt."""
+
+    def call(system: str, user: str) -> IN.Reply:
+        return IN.Reply(f" {len(user)} ", "length", "stop", len(user), 1, len(user) + 1)
+
+    return call
+
+
+def hesitant_client():
+    """A stand-in judge: odd prompts get no verdict until they carry the retry hint."""
+    hint = P.DEFAULT_TEXTS.judge_retry
+
+    def call(system: str, user: str) -> IN.Reply:
+        asked_again = user.endswith(hint)
+        size = len(user) - (len(hint) if asked_again else 0)
+        clear = asked_again or size % 2 == 0
+        return IN.Reply("VERDICT: CORRECT" if clear else "unsure", "hesitant", "stop", 10, 2, 12)
+
+    return call
+
+
+@query(
+    "batch_infer",
+    f"WITH {Q.QA} SELECT question_id, CAST(length(question) AS VARCHAR) AS response, CAST(length(question) + 1 AS BIGINT) AS total_tokens, 1 AS attempts, CAST(NULL AS VARCHAR) AS error FROM qa",
+)
+def batch_infer(spark, d):
+    rows = T.qa(spark, d).select("question_id", F.col("question").alias("prompt"))
+    answers = IN.batch_infer(rows, length_client, IN.CallPolicy(partitions=8))
+    return answers.select("question_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "attempts", "error")
+
+
+@query(
+    "judge_infer",
+    f"""WITH {Q.QA} SELECT question_id, 'VERDICT: CORRECT' AS response, CAST(CASE WHEN length(question) % 2 = 0 THEN 12 ELSE 24 END AS BIGINT) AS total_tokens,
+ CASE WHEN length(question) % 2 = 0 THEN 1 ELSE 2 END AS attempts, CAST(NULL AS VARCHAR) AS error FROM qa""",
+)
+def judge_infer(spark, d):
+    rows = T.qa(spark, d).select("question_id", F.col("question").alias("prompt"))
+    answers = IN.judge_infer(rows, hesitant_client, "locomo", IN.CallPolicy(partitions=8))
+    return answers.select("question_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "attempts", "error")
+
+
+@query(
+    "custom_evaluator",
+    f"WITH {Q.ANSWERS} SELECT question_type, CAST(sum(length(generated_answer)) AS BIGINT) AS answer_chars FROM answers GROUP BY 1",
+)
+def custom_evaluator(spark, d):
+    def chars(rows):
+        return rows.groupBy("question_type").agg(F.sum(F.length("generated_answer")).alias("answer_chars"))
+
+    plugins = Registry(evaluators={"answer_length": Evaluator("answer_length", "answer-length-v1", chars)})
+    return plugins.evaluator("answer_length", "longmemeval").run(T.evals(spark, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import padded
 from ..operators import retrieval as R
 from ..operators import usage as U
+from ..operators.extensions import Registry
 from . import sql as Q
 from . import tables as T
 
@@ -60,6 +61,12 @@ def distance_filter(spark, d):
     return R.distance_filter(vector_topk(spark, d), R.DISTANCE_THRESHOLD["longmemeval"], limit=5)
 
 
+@query("registered_retriever", f"WITH {_SCORED}, t AS ({_top('scored', 8)}) SELECT * FROM t WHERE round(1.0 - score, 9) <= 0.7")
+def registered_retriever(spark, d):
+    settings = {"k": R.TOP_K["locomo"], "threshold": R.DISTANCE_THRESHOLD["locomo"]}
+    return Registry().retriever("vector", settings).retrieve(*_sides(spark, d))
+
+
 _TEXTS = f"""tx AS (SELECT unit_id, vec_key, list_distinct({Q.normalized_tokens('text')}) AS w FROM vectors JOIN (SELECT printf('v%08d', doc_id) AS vec_key, text FROM documents) USING (vec_key)),
 words AS (SELECT unit_id, vec_key, unnest(w) AS w FROM tx),
 lex AS (SELECT q.unit_id, q.vec_key AS query_id, r.vec_key AS record_id, round(count(*) / any_value(len(t.w)), 9) AS score

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions.dates import micros
 from ..operators import telemetry as TE
 from ..session import new_path
+from ..sources import runs as SR
 from ..streaming import alerts, progress
 from . import runs as RN
 from . import sql as Q
@@ -52,7 +53,19 @@ def events_valid(spark, d):
     return accepted.withColumn("problem", F.lit(None).cast("string")).unionByName(rejected)
 
 
-_LABEL = "CASE event_id % 4 WHEN 0 THEN 'Stage-' || event_type WHEN 1 THEN event_type || ' x' WHEN 2 THEN repeat(event_type, 12) ELSE '' END"
+@query(
+    "read_events",
+    f"SELECT CAST(user_id AS VARCHAR) AS run_id, {_EVENT_NAME} AS event, value AS elapsed_seconds, epoch_us(ts) // 1000 AS at_ms FROM events",
+)
+def read_events(spark, d):
+    """Write the event table as a JSON-lines log and read it with the log reader."""
+    path = new_path(spark, "event-log")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    T.steps(spark, d).select(
+        "run_id", _event_name().alias("event"), F.col("value").alias("elapsed_seconds"), stamp.alias("timestamp")
+    ).write.json(path)
+    rows = SR.read_events(spark, path)
+    return rows.select("run_id", "event", "elapsed_seconds", F.unix_millis("timestamp").alias("at_ms"))
 
 
 @query(

@@ -43,3 +43,9 @@ def test_previous_row_crosses_empty_buckets(spark):
     frame = spark.createDataFrame([("a", 0, 1), ("a", 500, 2), ("a", 501, 3)], "k string, at int, v int")
     got = O.previous_row(frame, ["k"], [F.col("at")], F.floor(F.col("at") / 10), {"p": F.col("v")})
     assert {r["at"]: r["p"] for r in got.collect()} == {0: None, 500: 1, 501: 2}
+
+
+def test_a_null_key_is_an_error_and_not_a_lost_row(spark):
+    frame = spark.createDataFrame([("a", 1), (None, 2)], "k string, at int")
+    with pytest.raises(Exception, match="must not be null"):
+        O.ordered_position(frame, ["k"], [F.col("at")], F.col("at")).collect()

@@ -100,3 +100,11 @@ def test_regroup_keeps_order_and_drops_empty_conversations(spark):
     docs = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["d"])], "conversation_idx bigint, qa array<string>")
     sample = spark.createDataFrame([(0, 2), (0, 0)], "conversation_idx bigint, question_idx int")
     assert [tuple(r) for r in P.regroup_sample(docs, sample).collect()] == [(0, ["a", "c"])]
+
+
+def test_rows_without_a_stratum_are_sampled_too(spark):
+    frame = spark.createDataFrame([(i, "s" if i % 2 else None) for i in range(20)], "id bigint, s string")
+    got = P.stratified_sample(frame, ["id"], 0.5, stratum=F.col("s"))
+    assert Counter(r["s"] for r in got.collect()) == {"s": 5, None: 5}
+    counts = P.sampling_counts(frame, got, ["id"], F.col("s"))
+    assert {tuple(r) for r in counts.collect()} == {("s", 10, 5), ("None", 10, 5)}

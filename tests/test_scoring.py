@@ -43,10 +43,10 @@ def question_rows(spark):
     one = [("r1", ("s-c", None))]
     return spark.createDataFrame(
         [
-            row(1, "almonds", "almonds", "single-session-user", ["s-a"], ["s-a", "s-b"], label="native"),
-            row(2, "the Rome trip", "the Rome trip", "multi-session", ["s-c"], ["s-d", "s-c"]),
-            row(3, "the Rome trip", "the Rome trip", "temporal-reasoning", ["s-c"], ["s-c"], diag=(True, [], one, one)),
-            row(4, "I don't know", "unknown", "single-session-assistant", [], []),
+            row(1, "walnuts", "walnuts", "single-session-user", ["s-a"], ["s-a", "s-b"], label="native"),
+            row(2, "the Lisbon visit", "the Lisbon visit", "multi-session", ["s-c"], ["s-d", "s-c"]),
+            row(3, "the Lisbon visit", "the Lisbon visit", "temporal-reasoning", ["s-c"], ["s-c"], diag=(True, [], one, one)),
+            row(4, "No information.", "unknown", "single-session-assistant", [], []),
         ],
         QUESTION,
     )
@@ -79,8 +79,8 @@ def test_question_ablation_has_the_known_values(question_rows):
 def test_conversation_scores_have_the_known_values(spark):
     rows = spark.createDataFrame(
         [
-            row(1, "Pixel", "Pixel", "multi-hop", ["D1:1"], ["D1:1", "D2:1"]),
-            row(2, "kitchen", "near the kitchen window", "temporal", ["D2:1"], ["D1:1"]),
+            row(1, "Biscuit", "Biscuit", "multi-hop", ["T1:1"], ["T1:1", "T2:1"]),
+            row(2, "mirror", "beside the hall mirror", "temporal", ["T2:1"], ["T1:1"]),
         ],
         CONVERSATION,
     )
@@ -94,12 +94,12 @@ def test_conversation_scores_have_the_known_values(spark):
 
 
 def test_aliases_count_once_in_union_mode_and_hide_the_list_in_first_mode(spark):
-    found = [("D1:1", ["D1:1", "D1:2"]), ("D1:2", ["D1:2", "D1:3"])]
-    rows = spark.createDataFrame([row(1, "Pixel", "Pixel", "single-hop", ["D1:1"], found)], CONVERSATION)
+    found = [("T1:1", ["T1:1", "T1:2"]), ("T1:2", ["T1:2", "T1:3"])]
+    rows = spark.createDataFrame([row(1, "Biscuit", "Biscuit", "single-hop", ["T1:1"], found)], CONVERSATION)
     got = overall(SC.rigorous(rows, "locomo"))
     assert got["ndcg_at_k"] == 1.0
     assert got["precision_at_k"] == pytest.approx(1 / 3, abs=1e-9)
-    rows = spark.createDataFrame([row(1, "x", "x", "t", ["D1:1"], found)], QUESTION)
+    rows = spark.createDataFrame([row(1, "x", "x", "t", ["T1:1"], found)], QUESTION)
     assert overall(SC.rigorous(rows, "longmemeval"))["precision_at_k"] == 0.5
 
 

@@ -62,14 +62,14 @@ def test_categories_and_adversarial_targets(col_values):
 
 
 def test_turn_serialisation(col_values):
-    turn = [("Alice", "I moved the bed.", "cat bed", "a blue bed"), ("", " ", "", "a dog"), ("Bob", "", "", "")]
+    turn = [("Nora", "I hung the lamp.", "desk lamp", "a green lamp"), ("", " ", "", "a dog"), ("Bob", "", "", "")]
     cols = (F.col("t"), F.col("q"), F.col("c"))
     got = col_values(
         "s string, t string, q string, c string", turn, plain=X.serialize_turn_plain(*cols), spoken=X.serialize_turn_speaker(F.col("s"), *cols)
     )
     assert got == [
-        ("I moved the bed. Image: query cat bed. The image shows a blue bed.",
-         "Alice: I moved the bed. Shared image: query cat bed. The image shows a blue bed."),
+        ("I hung the lamp. Image: query desk lamp. The image shows a green lamp.",
+         "Nora: I hung the lamp. Shared image: query desk lamp. The image shows a green lamp."),
         ("Image: a dog.", "Shared image: a dog."),
         ("", ""),
     ]
