@@ -253,11 +253,20 @@ def identity_key(columns: tuple[str, ...] = IDENTITY_COLUMNS) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def _one_run(runs: DataFrame, on: str, run: str, identity: str) -> DataFrame:
+    """(on, run, identity), an error where a side has several runs (see :func:`latest_run`)."""
+    rows = runs.groupBy(on).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(F.struct("run_id", identity_key().alias("identity"))).alias("__r")
+    )
+    several = F.raise_error(F.concat(F.lit("more than one run for "), F.col(on).cast("string")))
+    only = rows.select(on, F.when(F.col("__n") == 1, F.col("__r")).otherwise(several).alias("__r"))
+    return only.select(on, F.col("__r.run_id").alias(run), F.col("__r.identity").alias(identity))
+
+
 def comparable(left: DataFrame, right: DataFrame, on: str = "benchmark") -> DataFrame:
-    """Pair one run per ``on`` from each side and tell whether they used the same sample."""
-    a = left.select(on, F.col("run_id").alias("run_a"), identity_key().alias("__a"))
-    b = right.select(on, F.col("run_id").alias("run_b"), identity_key().alias("__b"))
-    return a.join(b, on).select(on, "run_a", "run_b", (F.col("__a") == F.col("__b")).alias("comparable"))
+    """Pair the one run per ``on`` of each side and tell whether they used the same sample."""
+    pairs = _one_run(left, on, "run_a", "__a").join(_one_run(right, on, "run_b", "__b"), on)
+    return pairs.select(on, "run_a", "run_b", (F.col("__a") == F.col("__b")).alias("comparable"))
 
 
 def comparable_groups(runs: DataFrame) -> DataFrame:

@@ -16,17 +16,23 @@ _B = "__bucket"
 
 
 def _slices(df: DataFrame, keys: list[str], bucket: Column) -> tuple[DataFrame, list[str]]:
-    """Add the bucket. A null key or bucket would be lost in the join back, so it is an error."""
-    missing = bucket.isNull()
-    for key in keys:
-        missing = missing | F.col(key).isNull()
-    checked = F.when(missing, F.raise_error(F.lit("keys and buckets must not be null"))).otherwise(bucket)
-    return df.withColumn(_B, checked), [*keys, _B]
+    return df.withColumn(_B, bucket), [*keys, _B]
 
 
-def _carry_in(parts: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """Columns computed over the earlier buckets of the same key."""
-    return parts.select(*keys, _B, *[value.alias(name) for name, value in values.items()])
+def _carry_in(parts: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys, bucket, __carry): what the earlier buckets of the same key hand over."""
+    return parts.select(*keys, _B, value.alias("__carry"), F.lit(True).alias("__known"))
+
+
+def _joined(rows: DataFrame, carried: DataFrame, by: list[str], value: Column, out: str) -> DataFrame:
+    """Join the carried values back and add ``out``.
+
+    A null key or bucket finds no partner. The left join keeps such a row, so that it is
+    reported and not lost.
+    """
+    lost = F.raise_error(F.lit("keys and buckets must not be null"))
+    checked = F.when(F.col("__known"), value).otherwise(lost)
+    return rows.join(carried, by, "left").withColumn(out, checked).drop("__carry", "__known")
 
 
 def _earlier(keys: list[str]):
@@ -39,9 +45,9 @@ def ordered_position(
     """Add the 0-based rank of each row inside ``keys`` by (``bucket``, ``order``)."""
     rows, by = _slices(df, keys, bucket)
     parts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _carry_in(parts, keys, {"__off": F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0))})
+    offsets = _carry_in(parts, keys, F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)))
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.join(offsets, by).withColumn(out, F.col("__off") + F.col("__r") - 1).drop(_B, "__r", "__off")
+    return _joined(ranked, offsets, by, F.col("__carry") + F.col("__r") - 1, out).drop(_B, "__r")
 
 
 def running_sum(
@@ -50,27 +56,24 @@ def running_sum(
     """Add the sum of ``value`` over this and all earlier rows of ``keys``."""
     rows, by = _slices(df.withColumn("__v", value), keys, bucket)
     parts = rows.groupBy(*by).agg(F.sum("__v").alias("__s"))
-    before = _carry_in(parts, keys, {"__off": F.coalesce(F.sum("__s").over(_earlier(keys)), F.lit(0))})
+    before = _carry_in(parts, keys, F.coalesce(F.sum("__s").over(_earlier(keys)), F.lit(0)))
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("__in", F.sum("__v").over(inside))
-    return summed.join(before, by).withColumn(out, F.col("__off") + F.col("__in")).drop(
-        _B, "__v", "__in", "__off"
-    )
+    return _joined(summed, before, by, F.col("__carry") + F.col("__in"), out).drop(_B, "__v", "__in")
 
 
 def previous_row(
     df: DataFrame, keys: list[str], order: list[Column], bucket: Column, values: dict[str, Column]
 ) -> DataFrame:
     """Add ``values`` as they were on the previous row of ``keys`` (null on the first)."""
-    carried = F.struct(*[v.alias(n) for n, v in values.items()])
-    rows, by = _slices(df.withColumn("__now", carried).withColumn("__ord", F.struct(*order)), keys, bucket)
+    now = F.struct(*[v.alias(n) for n, v in values.items()])
+    rows, by = _slices(df.withColumn("__now", now).withColumn("__ord", F.struct(*order)), keys, bucket)
     parts = rows.groupBy(*by).agg(F.max_by("__now", "__ord").alias("__last"))
-    step = Window.partitionBy(*keys).orderBy(_B)
-    heads = _carry_in(parts, keys, {"__carry": F.lag("__last").over(step)})
+    heads = _carry_in(parts, keys, F.lag("__last").over(Window.partitionBy(*keys).orderBy(_B)))
     inside = Window.partitionBy(*by).orderBy("__ord")
-    lagged = rows.withColumn("__prev", F.lag("__now").over(inside)).withColumn(
-        "__first", F.row_number().over(inside) == 1
+    lagged = rows.withColumns(
+        {"__prev": F.lag("__now").over(inside), "__first": F.row_number().over(inside) == 1}
     )
-    joined = lagged.join(heads, by)
-    prev = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))
-    return joined.withColumn("__p", prev).select(*df.columns, *[F.col("__p")[n].alias(n) for n in values])
+    previous = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))
+    found = _joined(lagged, heads, by, previous, "__p")
+    return found.select(*df.columns, *[F.col("__p")[n].alias(n) for n in values])

@@ -14,6 +14,21 @@ from ..operators.telemetry import STALL_HOLD_SECONDS, STALL_SECONDS, failed_stat
 ALERT_SCHEMA = "series string, last_progress_ms bigint, fired_at_ms bigint"
 
 
+def _spans(batches: Iterator[pd.DataFrame], limit_ms: int) -> list[tuple[int, int]]:
+    """First and last time in every slot of ``limit_ms``, in order.
+
+    Two rows of one slot are never more than the limit apart, so a gap can only lie between
+    slots. What is held grows with the time covered, not with the rows of a busy series.
+    """
+    spans: dict[int, tuple[int, int]] = {}
+    for batch in batches:
+        times = batch["ts_ms"]
+        for slot, low, high in times.groupby(times // limit_ms).agg(["min", "max"]).itertuples():
+            first, last = spans.get(slot, (low, high))
+            spans[slot] = (min(first, low), max(last, high))
+    return [spans[slot] for slot in sorted(spans)]
+
+
 def _stall_function(limit_ms: int):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -23,12 +38,11 @@ def _stall_function(limit_ms: int):
             # Reported once; the next progress row starts the series again.
             state.remove()
         else:
-            # Only the sorted times of one series and one micro-batch are held.
-            times = sorted(t for batch in batches for t in batch["ts_ms"])
-            for now in times:
-                if last is not None and now - last > limit_ms:
+            for low, high in _spans(batches, limit_ms):
+                if last is not None and low - last > limit_ms:
                     fired.append((key[0], last, last + limit_ms))
-                last = now if last is None else max(last, now)
+                last = high if last is None else max(last, high)
+            last = int(last)
             state.update((last,))
             state.setTimeoutTimestamp(max(last + limit_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(fired, columns=["series", "last_progress_ms", "fired_at_ms"])

@@ -175,3 +175,14 @@ def test_incomplete_predictions_are_named(spark):
     with pytest.raises(ValueError, match="incomplete"):
         V.require_empty(V.check_complete(seen, expected), "incomplete")
     V.require_empty(expected.limit(0), "fine")
+
+
+def test_comparable_runs_share_the_whole_sample_identity(spark):
+    schema = "run_id string, benchmark string, dataset_id string, revision string, source_sha256 string, materialized_sha256 string, sampling struct<seed:int,fraction:double>"
+    base = ("d", None, "s", "m", (7, 0.1))
+    left = spark.createDataFrame([("a1", "x", *base), ("a2", "y", *base)], schema)
+    right = spark.createDataFrame([("b1", "x", *base), ("b2", "y", *base[:4], (8, 0.1))], schema)
+    got = {(r["run_a"], r["run_b"]): r["comparable"] for r in L.comparable(left, right).collect()}
+    assert got == {("a1", "b1"): True, ("a2", "b2"): False}
+    with pytest.raises(Exception, match="more than one run"):
+        L.comparable(left.unionByName(left), right).collect()
