@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import url_filter
+from . import packing, pii, quality, url_filter
 from .common import table
 
 URL_RULES = [
@@ -16,12 +18,53 @@ URL_RULES = [
 ]
 
 
+PII_KEY = b"demonstration key; a deployment passes its own"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def byte_bpe():
+    """The public byte-level BPE; its files are read in the tasks that encode."""
+    return packing.byte_bpe_encoder(
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+    return pieces.select(
+        "doc_id",
+        "start",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge(pages, url_filter.rules_frame(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(part != 2))
+    return quality.score(docs, model).select(
+        "doc_id",
+        F.coalesce(part == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 OP4_SQL = r"""
 with parts as (
     select page_id,
@@ -46,7 +89,10 @@ from split left join fits using (page_id)
 """
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
+    "op10_quality": op10_quality,
 }
 ORACLES = {
     "op4_url_filter": OP4_SQL,
