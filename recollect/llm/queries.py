@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, url_filter
+from . import decontaminate, maxscore, packing, pii, quality, url_filter
 from .common import table
 
 URL_RULES = [
@@ -18,6 +18,36 @@ URL_RULES = [
 ]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+with words as (
+    select 'd' as kind, doc_id as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+    union all
+    select 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')
+    from benchmark
+), widths as (
+    select distinct least(5, len(w)) as width from words where kind = 'i' and len(w) > 0
+), shingles as (
+    select distinct kind, id, array_to_string(w[i:i + width - 1], ' ') as s, width
+    from (
+        select kind, id, w, width, unnest(range(1, len(w) - width + 2)) as i
+        from words join widths on width <= len(w) and (kind = 'd' or width = least(5, len(w)))
+    )
+), sizes as (
+    select id, count(*) as n from shingles where kind = 'i' group by id
+)
+select d.id as doc_id, i.id as item_id, n as n_shingles, count(*) as n_shared, count(*) / n as containment
+from shingles d join shingles i using (s, width) join sizes on i.id = sizes.id
+where d.kind = 'd' and i.kind = 'i'
+group by d.id, i.id, n
+having count(*) * 5 >= n * 4
+"""
+
+
 PII_KEY = b"demonstration key; a deployment passes its own"
 
 
@@ -53,6 +83,28 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search_table(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+with vectors as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id,
+           cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+    from vectors q join vectors c on q.vec_id <> c.vec_id
+    where q.vec_id % 100 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 10
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -89,11 +141,15 @@ from split left join fits using (page_id)
 """
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
+    "op8_maxscore": op8_maxscore,
     "op10_quality": op10_quality,
 }
 ORACLES = {
+    "op1_decontamination": OP1_SQL,
     "op4_url_filter": OP4_SQL,
+    "op8_maxscore": OP8_SQL,
 }
