@@ -17,6 +17,7 @@ from ..session import new_path
 
 SPACE = 32
 BATCH_BYTES = 8 << 20
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 27  # of a bitmap sent to all tasks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,3 +143,27 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
 def text_size(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts; it sizes partitions and never changes a result."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def bitmap_bits(wanted: int) -> int:
+    """A power of two within the bounds; a smaller bitmap only passes more."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << int(wanted).bit_length()))
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Packed bits at the top bits of the hashes; at most ``bits / 32`` words come to the driver."""
+    at = F.shiftrightunsigned("hash", 64 - (bits.bit_length() - 1))
+    words = (
+        hashes.select(at.alias("at"))
+        .groupBy(F.expr("at div 32").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
+        .toPandas()
+    )
+    out = np.zeros(bits // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def set_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - (len(bits) * 32).bit_length() + 1)
+    return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1

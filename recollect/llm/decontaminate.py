@@ -8,7 +8,7 @@ sketch of their own; a task tests all their shingle hashes against a bitmap of t
 A document that hits sends its hashes that may belong to items, and an equi-join with the
 items' shingles counts the exact containment.
 
-The bitmaps are the only thing sent to all tasks: at most ``MAX_BITS`` bits each, whatever
+The bitmaps are the only thing sent to all tasks: at most ``MAX_BITS`` bits each (16 MB), whatever
 the number of items. More items only mean more false hits, which the join removes.
 """
 
@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, by_bytes, stage, text_bytes, word_bounds
+from .common import Rolling, bitmap, bitmap_bits, by_bytes, set_in, stage, text_bytes, word_bounds
 
 SHINGLE, SEED = 5, 1
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 27
 
 
 def needed(n: int, threshold: float) -> int:
@@ -73,25 +72,6 @@ def item_shingles(items: DataFrame, threshold: float) -> DataFrame:
     return numbered.mapInArrow(shingles, schema)
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits at the top bits of the hashes; at most ``bits / 32`` words come to the driver."""
-    at = F.shiftrightunsigned("hash", 64 - (bits.bit_length() - 1))
-    words = (
-        hashes.select(at.alias("at"))
-        .groupBy(F.expr("at div 32").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
-        .toPandas()
-    )
-    out = np.zeros(bits // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def _set_in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - (len(bitmap) * 32).bit_length() + 1)
-    return (bitmap[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-
-
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_shared, containment`` where containment reaches ``threshold``.
 
@@ -102,8 +82,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
     """
     parts = stage(item_shingles(items, threshold), "items")
     shape = parts.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("width")).alias("widths")).first()
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (64 * shape["n"]).bit_length()))
-    sketches, shingles = _bitmap(parts.filter("in_sketch"), bits), _bitmap(parts, bits)
+    bits = bitmap_bits(64 * shape["n"])
+    sketches, shingles = bitmap(parts.filter("in_sketch"), bits), bitmap(parts, bits)
     widths = list(shape["widths"])
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +92,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
             rows, ids, found = [], [], []
             for i, (row, doc_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 hashes = _hashes(rolling, text_bytes(batch.column(2)[i].as_py()).lower().split(), widths)
-                if len(hashes) and _set_in(sketches, hashes).any():
-                    hashes = hashes[_set_in(shingles, hashes)]
+                if len(hashes) and set_in(sketches, hashes).any():
+                    hashes = hashes[set_in(shingles, hashes)]
                     rows += [row] * len(hashes)
                     ids += [doc_id] * len(hashes)
                     found.append(hashes.view(np.int64))

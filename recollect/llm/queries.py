@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxscore, packing, pii, quality, url_filter
+from . import decontaminate, maxscore, near_dedup, packing, pii, quality, url_filter
 from .common import table
 
 URL_RULES = [
@@ -83,6 +83,36 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+OP7_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), shingles as (
+    select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), links as (
+    select a.doc_id as a, b.doc_id as b
+    from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+         join sizes na on na.doc_id = a.doc_id join sizes nb on nb.doc_id = b.doc_id
+    group by a.doc_id, b.doc_id, na.n, nb.n
+    having 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), reach(id, other) as (
+    select doc_id, doc_id from documents
+    union
+    select reach.id, links.b from reach join links on links.a = reach.other
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, min(other) as component_id, d.doc_id = min(other) as kept
+from documents d left join sizes using (doc_id) join reach on reach.id = d.doc_id
+group by d.doc_id, n
+"""
+
+
 def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search_table(table(spark, sf_dir, "embeddings"))
 
@@ -145,11 +175,13 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
+    "op7_near_dedup": op7_near_dedup,
     "op8_maxscore": op8_maxscore,
     "op10_quality": op10_quality,
 }
 ORACLES = {
     "op1_decontamination": OP1_SQL,
     "op4_url_filter": OP4_SQL,
+    "op7_near_dedup": OP7_SQL,
     "op8_maxscore": OP8_SQL,
 }
