@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxscore, near_dedup, packing, pii, quality, url_filter
+from . import decontaminate, maxscore, near_dedup, packing, pii, ppm, quality, url_filter
 from .common import table
 
 URL_RULES = [
@@ -135,6 +135,13 @@ where rank <= 10
 """
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ppm.score(table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 <> 2")
+    return rows.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -177,6 +184,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op7_near_dedup": op7_near_dedup,
     "op8_maxscore": op8_maxscore,
+    "op9_ppm": op9_ppm,
     "op10_quality": op10_quality,
 }
 ORACLES = {
