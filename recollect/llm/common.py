@@ -167,3 +167,57 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 def set_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes >> np.uint64(64 - (len(bits) * 32).bit_length() + 1)
     return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def with_uid(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, text): ``uid`` is unique and ordered as (doc_id, text), null ids first.
+
+    It is the id itself where ids are unique and not null; else rows are sorted and numbered.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+    ordered = rows.orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    return stage(ordered.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "numbered")
+
+
+P1, P2 = 2147483647, 1000000007
+
+
+def shard_column(uid: str, shards: int):
+    """A scrambled ``uid`` modulo ``shards``; ``shard_of`` is the same in tasks."""
+    return F.expr(f"pmod({uid}, {P1}) * 2654435 % {P2} % {shards}").alias("shard")
+
+
+def shard_of(uid: np.ndarray, shards: int) -> np.ndarray:
+    return uid % P1 * 2654435 % P2 % shards
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, without the planes that are all zero; they compress well."""
+    rows = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    used = int(np.flatnonzero(rows.any(0)).max(initial=-1)) + 1
+    return rows[:, : max(used, 1)].T.tobytes()
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    rows = np.zeros((n, 8), np.uint8)
+    if n:
+        part = np.frombuffer(data, np.uint8).reshape(-1, n)
+        rows[:, : len(part)] = part.T
+    return rows.view("<u8").ravel().astype(np.uint64)
+
+
+def rising(values: np.ndarray) -> bytes:
+    """Sorted unsigned integers by their differences."""
+    values = values.astype(np.uint64)
+    return planes(np.diff(values, prepend=np.uint64(0)))
+
+
+def from_rising(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(from_planes(data, n), dtype=np.uint64)
+
+
+def power_of_two(n: float, least: int) -> int:
+    return max(least, 1 << max(0, int(n) - 1).bit_length())

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxscore, near_dedup, packing, pii, ppm, quality, url_filter
+from . import decontaminate, maxscore, near_dedup, packing, pii, ppm, quality, substring_dedup, url_filter
 from .common import table
 
 URL_RULES = [
@@ -83,6 +83,32 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 20)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+    select doc_id, i, row_number() over (partition by array_to_string(w[i:i + 19], ' ') order by doc_id, i) > 1 as later
+    from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from words)
+), gone as (
+    select distinct doc_id, unnest(range(i, i + 20)) as i from windows where later
+), each as (
+    select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words
+), counted as (
+    select each.doc_id, count(gone.i) as n_removed,
+           coalesce(string_agg(word, ' ' order by each.i) filter (gone.i is null), '') as kept
+    from each left join gone on gone.doc_id = each.doc_id and gone.i = each.i
+    group by each.doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from words left join counted using (doc_id)
+"""
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
@@ -182,6 +208,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_maxscore": op8_maxscore,
     "op9_ppm": op9_ppm,
@@ -190,6 +217,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": OP1_SQL,
     "op4_url_filter": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op7_near_dedup": OP7_SQL,
     "op8_maxscore": OP8_SQL,
 }
