@@ -91,13 +91,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 with words as (
     select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), each as (
+    select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words
+), spelled as (
+    select doc_id, i, concat_ws(' ', word, LEADS) as s, lead(i, 19) over d as last
+    from each window d as (partition by doc_id order by i)
 ), windows as (
-    select doc_id, i, row_number() over (partition by array_to_string(w[i:i + 19], ' ') order by doc_id, i) > 1 as later
-    from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from words)
+    select doc_id, i, row_number() over (partition by s order by doc_id, i) > 1 as later
+    from spelled where last is not null
 ), gone as (
     select distinct doc_id, unnest(range(i, i + 20)) as i from windows where later
-), each as (
-    select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words
 ), counted as (
     select each.doc_id, count(gone.i) as n_removed,
            coalesce(string_agg(word, ' ' order by each.i) filter (gone.i is null), '') as kept
@@ -106,7 +109,7 @@ with words as (
 )
 select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from words left join counted using (doc_id)
-"""
+""".replace("LEADS", ", ".join(f"lead(word, {k}) over d" for k in range(1, 20)))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
