@@ -62,42 +62,55 @@ def registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 COLLISION = 1 / 3 / 16
 
 
-def band_keys(wide: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """Hashes of (size class, band, its registers) for bands that aren't empty."""
+def size_class(n: np.ndarray | int) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(CLASS_RATIO) + 1e-9).astype(np.int64)
+
+
+def band_keys(wide: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of (size class, band, its registers) for bands that aren't empty, with their places, and the bands' tags.
+
+    A place is ``class * BANDS + band``; a tag is 32 bits of a band, 0 where it is empty.
+    """
     bands = wide[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     full = np.flatnonzero(bands.any(1))
     key = full.astype(np.uint64) + np.uint64(1)
     for column in bands[full].T:
         key = mixed(key * np.uint64(65537) + column)
-    size = int(math.log(n, CLASS_RATIO) + 1e-9)
+    tags = np.zeros(BANDS, np.uint32)
+    tags[full] = (key >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
+    size = int(size_class(n))
     classes = [size, size - 1] if size and threshold * n < CLASS_RATIO**size + 1 else [size]
-    return np.concatenate([mixed(key ^ mixed(np.full(1, c + 1, np.uint64))) for c in classes])
+    keys = np.concatenate([mixed(key ^ mixed(np.full(1, c + 1, np.uint64))) for c in classes])
+    return keys, np.concatenate([full + c * BANDS for c in classes]), tags
 
 
 def signatures(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, n, digest, registers, keys) of each row; ``n`` is 0 for a text without words."""
+    """(doc_id, n, digest, registers, tags, keys, places) of each row; ``n`` is 0 for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(SEED)
         for batch in batches:
-            sizes, digests, narrows, keys = [], [], [], []
+            sizes, digests, narrows, keys, places, all_tags = [], [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(rolling, text_bytes(text.as_py()).lower().split())
                 wide, narrow = registers(hashes)
                 sizes.append(len(hashes))
                 digests.append(hashlib.blake2b(packed(hashes), digest_size=16).digest())
                 narrows.append(packed(narrow))
-                keys.append(band_keys(wide, len(hashes), threshold).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
+                key, place, tags = band_keys(wide, len(hashes), threshold)
+                keys.append(key.view(np.int64))
+                places.append(place.astype(np.int64))
+                all_tags.append(packed(tags))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
+            flat = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(narrows, pa.binary()),
-                 pa.ListArray.from_arrays(offsets, flat)],
-                ["doc_id", "n", "digest", "registers", "keys"],
+                 pa.array(all_tags, pa.binary()), flat(keys), flat(places)],
+                ["doc_id", "n", "digest", "registers", "tags", "keys", "places"],
             )
 
     rows = by_bytes(docs.select(F.col("doc_id").cast("long"), "text"))
-    return rows.mapInArrow(sign, "doc_id long, n long, digest binary, registers binary, keys array<long>")
+    return rows.mapInArrow(sign, "doc_id long, n long, digest binary, registers binary, tags binary, keys array<long>, places array<long>")
 
 
 class Judge:
@@ -122,8 +135,10 @@ class Judge:
 def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers and estimates of the passing pairs of whole groups sorted by key and block pair."""
     key, bi, bj = (np.asarray(table[c]) for c in ("key", "bi", "bj"))
-    block, comp, n = (np.asarray(table[c]) for c in ("block", "comp", "n"))
+    block, comp, n, place = (np.asarray(table[c]) for c in ("block", "comp", "n", "place"))
     regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint32).reshape(-1, BANDS)
+    size = size_class(n)
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
     end = np.append(start[1:], len(key))
     group = np.repeat(np.arange(len(start)), end - start)
@@ -131,11 +146,15 @@ def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np
     left, right, score = [], [], []
 
     def tried(i: np.ndarray, j: np.ndarray) -> None:
-        # a pair of one block is compared where that block meets itself
+        # a pair of one block is compared where that block meets itself, and any pair only
+        # in the first band and the largest class that its documents share
         use = (comp[i] != comp[j]) & ((block[i] != block[j]) | (bi[i] == bj[i]))
+        use &= np.minimum(size[i], size[j]) == place[i] // BANDS
         i, j = i[use], j[use]
         for at in range(0, len(i), 1 << 15):
             x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            first = ((tags[x] == tags[y]) & (tags[x] != 0)).argmax(1) == place[x] % BANDS
+            x, y = x[first], y[first]
             e = judge.estimate(regs[x], n[x], regs[y], n[y])
             left.append(x[e >= 0])
             right.append(y[e >= 0])
@@ -149,15 +168,13 @@ def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np
     for s, e in zip(start, end):
         if e - s > NEAR:
             for i in range(s, e - 1):
-                j = np.arange(i + 1, e)
-                fits = n[j] >= 0
-                tried(np.full(int(fits.sum()), i), j[fits])
+                tried(np.full(e - i - 1, i), np.arange(i + 1, e))
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([np.zeros(0), *score])
 
 
 def candidate_pairs(met: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Distinct (a, b), a < b, of ``met`` (key, doc_id, comp, n, registers, blocks) that may be alike.
+    """Distinct (a, b), a < b, of ``met`` (key, place, blocks, doc_id, comp, n, registers, tags) that may be alike.
 
     With ``best_only`` each document names only its best partner in each pair of blocks.
     """
@@ -182,7 +199,7 @@ def candidate_pairs(met: DataFrame, threshold: float, best_only: bool) -> DataFr
     rows = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     rows = rows.select(
         "key", F.least("block", "other").cast("long").alias("bi"), F.greatest("block", "other").cast("long").alias("bj"),
-        F.col("block").cast("long").alias("block"), "doc_id", "comp", "n", "registers",
+        F.col("block").cast("long").alias("block"), "doc_id", "comp", "n", "place", "registers", "tags",
     )
     sorted_rows = by_bytes(rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block"))
     return sorted_rows.mapInArrow(compare, "a long, b long").distinct()
@@ -239,13 +256,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         signed.join(classes, ["n", "digest"])
         .filter("doc_id = rep")
         .dropDuplicates(["doc_id", "n", "digest"])
-        .select("doc_id", "n", "registers", "keys")
+        .select("doc_id", "n", "registers", "tags", "keys", "places")
     )
     reps = stage(reps, "representatives")
-    bands = reps.select("doc_id", F.explode("keys").alias("key"))
+    bands = reps.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+    bands = bands.select("doc_id", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = stage(bands.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).drop("size"), "buckets")
-    light = reps.select("doc_id", "n", "registers")
+    light = reps.select("doc_id", "n", "registers", "tags")
 
     first = met.join(light, "doc_id").withColumn("comp", F.col("doc_id"))
     tried = stage(candidate_pairs(first, threshold, True), "pairs")
