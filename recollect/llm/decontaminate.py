@@ -118,5 +118,5 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without those that contain an item; rows that share an id go together."""
-    bad = contained_items(docs, items, threshold).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = contained_items(docs, items, threshold).select(F.col("doc_id").alias("__bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad_id")), "left_anti")
