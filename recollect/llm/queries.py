@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxscore, near_dedup, packing, pii, ppm, quality, substring_dedup, url_filter
+from . import decontaminate, maxscore, near_dedup, packing, pii, ppm, quality, substring_dedup, suffix_dedup, url_filter
 from .common import table
 
 URL_RULES = [
@@ -112,6 +112,13 @@ from words left join counted using (doc_id)
 """.replace("LEADS", ", ".join(f"lead(word, {k}) over d" for k in range(1, 20)))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 100)
+    return rows.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
@@ -212,6 +219,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_url_filter": op4_url_filter,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_maxscore": op8_maxscore,
     "op9_ppm": op9_ppm,
