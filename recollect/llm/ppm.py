@@ -9,7 +9,7 @@ symbols alike. The model is pretrained: a text's score is a sum over its positio
 value that only depends on (context, symbol), so tasks exchange tables, never positions.
 
 Texts are cut into chunks of about ``CHUNK_BYTES``. A chunk counts its distinct (context,
-symbol) pairs and words, Spark sums them over chunks, the values are computed in groups that
+symbol) pairs and words; these are summed over chunks by hash buckets, the values are computed in groups that
 share the last two context bytes (all longer contexts of a pair lie in its group; contexts
 of at most one byte have at most 258 x 258 counts and go to all tasks), and each chunk gets
 back the values of its own pairs.
@@ -18,6 +18,7 @@ back the values of its own pairs.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stage, text_bytes
+from .common import by_bytes, from_planes, from_rising, grouped_batches, mixed, packed, planes, rising, stage, text_bytes, text_size
 
 CHUNK_BYTES = 32 << 20
 MERGE = 8  # pieces whose counts are held before they are merged
+BUCKET_BYTES = 24 << 20
+GROUP_KEYS = 200_000
 PIECE = 1 << 20  # positions coded at a time
 BITS, END, SYMBOLS = 9, 257, 257  # symbols 1-256 are bytes, 257 is the end; 0 only pads contexts
 MASK = (1 << BITS) - 1
@@ -167,53 +170,112 @@ def log_values(keys: np.ndarray, counts: np.ndarray, low: Low, order: int) -> np
     return value
 
 
-def _chunks(docs: DataFrame, learn: str, order: int, chunk_bytes: int) -> DataFrame:
-    """A row per chunk: its documents, its pairs and its words with counts."""
-    schema = (
-        "chunk long, doc_ids array<long>, learned array<boolean>, texts array<binary>,"
-        " keys array<long>, counts array<long>, words array<binary>, word_counts array<long>"
-    )
+DOCUMENTS, PAIRS, WORDS = 0, 1, 2
+CHUNKED = pa.schema(
+    [("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())),
+     ("items", pa.binary()), ("counts", pa.binary())]
+)
+CHUNKED_DDL = "kind int, bucket long, chunk long, n long, ids array<long>, items binary, counts binary"
+ANSWER = pa.schema([("to_chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("items", pa.binary()), ("told", pa.binary())])
+ANSWER_DDL = "to_chunk long, kind int, n long, items binary, told binary"
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _chunks(docs: DataFrame, learn: str, order: int, chunk_bytes: int, buckets: int) -> DataFrame:
+    """Rows of chunks: the documents in one, pairs and words with counts in one for each bucket of their hashes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
         chunk, size = TaskContext.get().partitionId() << 24, 0
         ids: list = []
         learned: list[bool] = []
         texts: list[bytes] = []
-        words: Counter = Counter()
-        known: Counter = Counter()
+        words: Counter = Counter()  # counts in the texts that are learned from
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
+            body = zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts))
+            yield _rows([(DOCUMENTS, -1, chunk, len(ids), ids, body, bytes(learned))], CHUNKED)
             keys, counts = chunk_counts(texts, np.array(learned), order)
-            names = list(words)
-            row = [
-                pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([learned], pa.list_(pa.bool_())),
-                pa.array([texts], pa.list_(pa.binary())), pa.array([keys.view(np.int64)], pa.list_(pa.int64())),
-                pa.array([counts], pa.list_(pa.int64())), pa.array([names], pa.list_(pa.binary())),
-                pa.array([[known[w] for w in names]], pa.list_(pa.int64())),
-            ]
-            return pa.RecordBatch.from_arrays(row, [f.split()[0] for f in schema.split(",")])
+            at = bucket_of(keys, buckets)
+            by = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[by], np.arange(buckets + 1))
+            for b in range(buckets):
+                me = by[cuts[b] : cuts[b + 1]]
+                if len(me):
+                    yield _rows([(PAIRS, b, chunk, len(me), None, rising(keys[me]), planes(counts[me]))], CHUNKED)
+            parts: list[list[bytes]] = [[] for _ in range(buckets)]
+            for w in words:
+                parts[zlib.crc32(w) % buckets].append(w)
+            for b, part in enumerate(parts):
+                if part:
+                    amounts = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
+                    yield _rows([(WORDS, b, chunk, len(part), None, b" ".join(part), planes(amounts))], CHUNKED)
 
         for batch in batches:
             for doc_id, use, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = normal_words(text.as_py())
-                words.update(found)
                 if use:
-                    known.update(found)
+                    words.update(found)
+                else:
+                    words.update(dict.fromkeys(found, 0))
                 ids.append(doc_id)
                 learned.append(use)
                 texts.append(b" ".join(found))
                 size += len(texts[-1]) + 1
                 if size >= chunk_bytes:
-                    yield flush()
+                    yield from flush()
                     chunk, size = chunk + 1, 0
-                    ids, learned, texts, words, known = [], [], [], Counter(), Counter()
+                    ids, learned, texts, words = [], [], [], Counter()
         if ids:
-            yield flush()
+            yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.expr(learn), F.lit(True)).alias("learned"), "text")
-    return by_bytes(rows).mapInArrow(cut, schema)
+    return by_bytes(rows).mapInArrow(cut, CHUNKED_DDL)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, key, n) of all chunks' pairs."""
+    for table in grouped_batches(batches, ["bucket"]):
+        keys, counts = _pairs(table)
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts).astype(np.float64), len(found)).astype(np.int64)
+        bucket = np.full(len(found), table["bucket"][0].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(found.view(np.int64)), pa.array(n)], ["bucket", "key", "n"])
+
+
+def _pairs(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    sizes = table["n"].to_pylist()
+    return (
+        [from_rising(x, n) for x, n in zip(table["items"].to_pylist(), sizes)],
+        [from_planes(x, n).astype(np.int64) for x, n in zip(table["counts"].to_pylist(), sizes)],
+    )
+
+
+def _words_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's words with their counts in all chunks, and a row (to_chunk -1) with the bucket's kinds and tokens."""
+    for table in grouped_batches(batches, ["bucket"]):
+        total: Counter = Counter()
+        for row in range(table.num_rows):
+            names = table["items"][row].as_py().split(b" ")
+            for w, c in zip(names, from_planes(table["counts"][row].as_py(), len(names)).tolist()):
+                total[w] += c
+        for row in range(table.num_rows):
+            items = table["items"][row].as_py()
+            names = items.split(b" ")
+            counts = np.fromiter(map(total.__getitem__, names), np.int64, len(names))
+            yield _rows([(table["chunk"][row].as_py(), WORDS, len(names), items, planes(counts))], ANSWER)
+        known = [c for c in total.values() if c]
+        yield _rows([(-1, WORDS, len(known), None, sum(known).to_bytes(8, "little"))], ANSWER)
 
 
 def score(docs: DataFrame, learn: str, order: int = 5, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -224,69 +286,77 @@ def score(docs: DataFrame, learn: str, order: int = 5, chunk_bytes: int = CHUNK_
     independent tokens (words and one end) with one added to each count. A null text is
     empty: its end is its only token. Rows are scored each on its own, whatever their ids.
     """
-    chunks = stage(_chunks(docs, learn, order, chunk_bytes), "chunks")
-    pairs = chunks.select("chunk", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select(
-        "chunk", F.col("x.keys").alias("key"), F.col("x.counts").alias("n")
+    buckets = max(32, text_size(docs) // BUCKET_BYTES)
+    chunks = stage(_chunks(docs, learn, order, chunk_bytes, buckets), "chunks", by="kind")
+    dealt = lambda kind: (
+        chunks.filter(F.col("kind") == kind).select("bucket", "chunk", "n", "items", "counts").repartition(buckets, "bucket")
     )
-    sums = stage(pairs.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+
+    pairs = by_bytes(dealt(PAIRS).sortWithinPartitions("bucket"))
+    sums = stage(pairs.mapInArrow(_summed, "bucket long, key long, n long"), "counts")
     low = Low(
         sums.filter("n > 0").groupBy(F.expr(f"key & {(1 << 2 * BITS) - 1}").alias("low")).agg(F.sum("n").alias("n")).toPandas()
     )
-    distinct = sums.count()
-    groups = max(16, distinct // 200_000)
+    groups = max(16, sums.count() // GROUP_KEYS)
 
     def valued(table: pa.Table) -> pa.Table:
-        keys, counts = np.asarray(table["key"]).view(np.uint64), np.asarray(table["n"])
-        order_ = np.argsort(keys)
-        keys = keys[order_]
-        return pa.table({"key": pa.array(keys.view(np.int64)), "value": pa.array(log_values(keys, counts[order_], low, order))})
+        table = table.sort_by("key")
+        values = log_values(np.asarray(table["key"]).view(np.uint64), np.asarray(table["n"]), low, order)
+        return pa.table({"of": table["bucket"], "key": table["key"], "value": pa.array(values)})
 
     last_two = F.expr(f"pmod(xxhash64(shiftright(key, {BITS}) & {(1 << 2 * BITS) - 1}), {groups})")
-    values = sums.withColumn("part", last_two).groupBy("part").applyInArrow(valued, "key long, value double")
-
-    spelled = chunks.select("chunk", F.explode(F.arrays_zip("words", "word_counts")).alias("x")).select(
-        "chunk", F.col("x.words").alias("word"), F.col("x.word_counts").alias("n")
-    )
-    vocabulary = stage(spelled.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    totals = vocabulary.filter("n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    ends = chunks.select(F.aggregate("learned", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("n"))
-    ends = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    train_tokens, kinds = totals["n"] + ends, totals["v"] + (ends > 0)
+    values = sums.withColumn("part", last_two).groupBy("part").applyInArrow(valued, "of long, key long, value double")
+
+    def told(blobs: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("key")
+        keys, value = np.asarray(known["key"]).view(np.uint64), np.asarray(known["value"])
+        rows = []
+        for chunk, n, items in zip(*(blobs[c].to_pylist() for c in ("chunk", "n", "items"))):
+            found = value[np.searchsorted(keys, from_rising(items, n))]
+            rows.append((chunk, PAIRS, n, items, packed(found)))
+        return pa.Table.from_batches([_rows(rows, ANSWER)])
+
+    pairs_told = dealt(PAIRS).groupBy("bucket").cogroup(values.groupBy("of")).applyInArrow(told, ANSWER_DDL)
+    words = by_bytes(dealt(WORDS).sortWithinPartitions("bucket")).mapInArrow(_words_told, ANSWER_DDL)
+    words = stage(words, "words")
+    totals = words.filter("to_chunk = -1").select("n", "told").toPandas()
+    documents = chunks.filter(F.col("kind") == DOCUMENTS).select("chunk", "ids", "items", "counts")
+    ends = documents.select(F.length(F.regexp_replace(F.hex("counts"), "0", "")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    tokens = sum(int.from_bytes(x, "little") for x in totals["told"])
+    train_tokens, kinds = tokens + ends, int(totals["n"].sum()) + (ends > 0)
     scale = math.log10(train_tokens + kinds + 1)
 
-    told = (  # under another name, as both sides come from the same table
-        pairs.select("chunk", "key").join(values, "key").select("chunk", "key", F.lit(None).cast("binary").alias("word"), "value")
-    ).unionByName(
-        spelled.select("chunk", "word").join(vocabulary, "word")
-        .select("chunk", F.lit(None).cast("long").alias("key"), "word", F.col("n").cast("double").alias("value"))
-    )
-
-    told = told.select(F.col("chunk").alias("to_chunk"), "key", "word", "value")
-
-    def scored(rows: pa.Table, table: pa.Table) -> pa.Table:
-        is_pair = table["key"].is_valid()
-        pair_rows, word_rows = table.filter(is_pair), table.filter(table["word"].is_valid())
-        keys, values_ = np.asarray(pair_rows["key"]).view(np.uint64), np.asarray(pair_rows["value"])
-        by_key = np.argsort(keys)
-        keys, values_ = keys[by_key], values_[by_key]
-        count = dict(zip(word_rows["word"].to_pylist(), np.asarray(word_rows["value"]).tolist()))
-        logs = {w: math.log10(n + 1) for w, n in count.items()}
+    def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
+
+        logs: dict[bytes, float] = {}
+        keys, values_ = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for kind, n, items, said in zip(*(answers[c] for c in ("kind", "n", "items", "told"))):
+            if kind.as_py() == WORDS:
+                counts = from_planes(said.as_py(), n.as_py()).astype(np.float64)
+                logs.update(zip(items.as_py().split(b" "), np.log10(counts + 1).tolist()))
+            else:
+                keys.append(from_rising(items.as_py(), n.as_py()))
+                values_.append(np.frombuffer(said.as_py(), np.float64))
+        key, value = np.concatenate(keys), np.concatenate(values_)
+        by_key = np.argsort(key)
+        key, value = key[by_key], value[by_key]
         out: dict[str, list] = {c: [] for c in SCORED.names}
-        for i in range(rows.num_rows):
-            texts = rows["texts"][i].as_py()
-            out["doc_id"] += rows["doc_ids"][i].as_py()
-            out["learned"] += rows["learned"][i].as_py()
-            out["score"].append(chunk_sums(texts, keys, values_, order))
+        for ids, items, learned in zip(*(rows[c] for c in ("ids", "items", "counts"))):
+            texts = zstandard.ZstdDecompressor().decompress(items.as_py()).split(b"\n")
+            out["doc_id"] += ids.as_py()
+            out["learned"] += map(bool, learned.as_py())
+            out["score"].append(chunk_sums(texts, key, value, order))
             for t in texts:
-                words = t.split()
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(sum(count[w] > 0 for w in words) + (ends > 0))
-                out["base_score"].append(math.fsum(map(logs.__getitem__, words)) + math.log10(ends + 1) - scale * (len(words) + 1))
+                found = list(map(logs.__getitem__, t.split()))
+                out["n_tokens"].append(len(found) + 1)
+                out["n_known"].append(len(found) - found.count(0.0) + (ends > 0))
+                out["base_score"].append(math.fsum(found) + math.log10(ends + 1) - scale * (len(found) + 1))
         out["score"] = np.concatenate([np.zeros(0), *out["score"]])
         return pa.table([pa.array(out[f.name], f.type) for f in SCORED], schema=SCORED)
 
-    documents = chunks.select("chunk", "doc_ids", "learned", "texts")
-    result = documents.groupBy("chunk").cogroup(told.groupBy("to_chunk")).applyInArrow(
+    answers = pairs_told.unionByName(words.filter("to_chunk >= 0"))
+    result = documents.groupBy("chunk").cogroup(answers.groupBy("to_chunk")).applyInArrow(
         scored, "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return result.withColumn("train_tokens", F.lit(train_tokens).cast("long"))
