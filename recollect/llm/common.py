@@ -186,12 +186,8 @@ def with_uid(docs: DataFrame) -> DataFrame:
 P1, P2 = 2147483647, 1000000007
 
 
-def shard_column(uid: str, shards: int):
-    """A scrambled ``uid`` modulo ``shards``; ``shard_of`` is the same in tasks."""
-    return F.expr(f"pmod({uid}, {P1}) * 2654435 % {P2} % {shards}").alias("shard")
-
-
 def shard_of(uid: np.ndarray, shards: int) -> np.ndarray:
+    """A scrambled ``uid`` modulo ``shards``."""
     return uid % P1 * 2654435 % P2 % shards
 
 
@@ -222,3 +218,44 @@ def from_rising(data: bytes, n: int) -> np.ndarray:
 
 def power_of_two(n: float, least: int) -> int:
     return max(least, 1 << max(0, int(n) - 1).bit_length())
+
+
+SHIPPED = "shard long, uids array<long>, ids array<long>, lengths array<long>, body binary"
+
+
+def shipped(docs: DataFrame, shards: int) -> DataFrame:
+    """Texts of ``docs`` (uid, doc_id, text) on their way to their shards, compressed together by batch and shard."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            uids = np.asarray(batch.column(0)).astype(np.int64)
+            shard = shard_of(uids, shards)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                me = order[a:b]
+                texts = [text_bytes(batch.column(2)[int(i)].as_py()) for i in me]
+                columns = [
+                    pa.array([int(shard[me[0]])], pa.int64()),
+                    pa.array([uids[me]], pa.list_(pa.int64())),
+                    pa.array([batch.column(1).take(pa.array(me)).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                    pa.array([compressor.compress(b"".join(texts))], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "uids", "ids", "lengths", "body"])
+
+    return by_bytes(docs.select("uid", "doc_id", "text")).mapInArrow(pack, SHIPPED)
+
+
+def unshipped(table: pa.Table) -> Iterator[tuple[int, int | None, bytes]]:
+    """(uid, doc_id, text) of the rows of ``shipped``; a null text is empty."""
+    import zstandard
+
+    for uids, ids, lengths, body in zip(*(table[c] for c in ("uids", "ids", "lengths", "body"))):
+        data, at = zstandard.ZstdDecompressor().decompress(body.as_py()), 0
+        for uid, doc_id, n in zip(uids.as_py(), ids.as_py(), lengths.as_py()):
+            yield uid, doc_id, data[at : at + n]
+            at += n

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    Rolling, by_bytes, from_planes, from_rising, grouped_batches, packed, planes, power_of_two, rising, shard_column, shard_of,
-    text_bytes, text_size, with_uid, word_bounds,
+    Rolling, by_bytes, from_planes, from_rising, grouped_batches, packed, planes, power_of_two, rising, shard_of, shipped,
+    text_bytes, text_size, unshipped, with_uid, word_bounds,
 )
 
 CHUNK_BYTES = 16 << 20
@@ -195,7 +195,6 @@ def remove_repeats(docs: DataFrame, width: int = 20, check_bytes: int = 2) -> Da
     buckets = power_of_two(size / 6 / BUCKET_WINDOWS, 32)
     shards = max(32, size // SHARD_BYTES)
     found = repeated_starts(docs, width, buckets, shards, check_bytes)
-    parts = docs.select(shard_column("uid", shards), "uid", "doc_id", "text")
 
     def cut(rows: pa.Table, removed: pa.Table) -> pa.Table:
         pairs = [from_shard(*r) for r in zip(*(removed[c].to_pylist() for c in ("n", "uids", "starts")))]
@@ -203,9 +202,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, check_bytes: int = 2) -> Da
         start = np.concatenate([np.zeros(0, np.int64), *[p[1] for p in pairs]])
         order = np.argsort(uid, kind="stable")
         uid, start = uid[order], start[order]
-        out: list[list] = [[], [], [], []]
-        for me, text in zip(rows["uid"].to_pylist(), rows["text"]):
-            words = text_bytes(text.as_py()).split()
+        out: list[list] = [[], [], [], [], []]
+        for me, doc_id, data in unshipped(rows):
+            words = data.split()
             a, b = np.searchsorted(uid, [me, me + 1])
             spans = []
             if b > a:
@@ -218,15 +217,16 @@ def remove_repeats(docs: DataFrame, width: int = 20, check_bytes: int = 2) -> Da
                 kept += words[at:]
             else:
                 kept = words
-            out[0].append(len(words))
-            out[1].append(len(words) - len(kept))
-            out[2].append(spans)
-            out[3].append(b" ".join(kept).decode("utf-8", "replace"))
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-        names = ["n_words", "n_removed", "spans", "kept"]
-        return pa.table([rows["doc_id"], *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", *names])
+            out[0].append(doc_id)
+            out[1].append(len(words))
+            out[2].append(len(words) - len(kept))
+            out[3].append(spans)
+            out[4].append(b" ".join(kept).decode("utf-8", "replace"))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+        names = ["doc_id", "n_words", "n_removed", "spans", "kept"]
+        return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     to_shard = found.select(F.col("shard").alias("to_shard"), "n", "uids", "starts")
-    return by_bytes(parts).groupBy("shard").cogroup(to_shard.groupBy("to_shard")).applyInArrow(
+    return shipped(docs, shards).groupBy("shard").cogroup(to_shard.groupBy("to_shard")).applyInArrow(
         cut, "doc_id long, n_words long, n_removed long, spans array<struct<start long, end long>>, kept string"
     )

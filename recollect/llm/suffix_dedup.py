@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     Rolling, bitmap, bitmap_bits, by_bytes, from_planes, from_rising, grouped_batches, mixed, packed, planes, power_of_two, rising,
-    set_in, shard_column, shard_of, stage, text_bytes, text_size, with_uid,
+    set_in, shard_of, shipped, stage, text_bytes, text_size, unshipped, with_uid,
 )
 from .substring_dedup import covered_by, runs
 
@@ -420,7 +420,6 @@ def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     buckets = power_of_two(size / BUCKET_BYTES, 32)
     shards = max(32, size // SHARD_BYTES)
     found = repeated_strings(docs, width, buckets, shards)
-    parts = docs.select(shard_column("uid", shards), "uid", "doc_id", "text")
 
     def cut(rows: pa.Table, removed: pa.Table) -> pa.Table:
         sets = [(np.zeros(0, np.int64),) * 3]
@@ -430,24 +429,24 @@ def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
         uid, start, count = (np.concatenate(c) for c in zip(*sets))
         order = np.argsort(uid, kind="stable")
         uid, start, count = uid[order], start[order], count[order]
-        out: list[list] = [[], [], [], []]
-        for me, text in zip(rows["uid"].to_pylist(), rows["text"]):
-            data = text_bytes(text.as_py())
+        out: list[list] = [[], [], [], [], []]
+        for me, doc_id, data in unshipped(rows):
             a, b = np.searchsorted(uid, [me, me + 1])
             spans, kept = [], data
             if b > a:
                 gone = covered_by(start[a:b], count[a:b] + width - 1, len(data))
                 spans = [{"start": s, "end": e} for s, e in zip(*(x.tolist() for x in runs(gone)))]
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            out[0].append(len(data))
-            out[1].append(len(data) - len(kept))
-            out[2].append(spans)
-            out[3].append(kept)
-        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        names = ["n_bytes", "n_removed", "spans", "kept"]
-        return pa.table([rows["doc_id"], *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", *names])
+            out[0].append(doc_id)
+            out[1].append(len(data))
+            out[2].append(len(data) - len(kept))
+            out[3].append(spans)
+            out[4].append(kept)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+        names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
+        return pa.table([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     to_shard = found.select(F.col("shard").alias("to_shard"), "n", "uids", "starts", "counts")
-    return by_bytes(parts).groupBy("shard").cogroup(to_shard.groupBy("to_shard")).applyInArrow(
+    return shipped(docs, shards).groupBy("shard").cogroup(to_shard.groupBy("to_shard")).applyInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start long, end long>>, kept binary"
     )
