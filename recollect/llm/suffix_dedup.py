@@ -5,8 +5,10 @@ substrings. Neighbouring strings with the same minimizer form one record, about
 for 40 strings, and equal strings lie in records of equal minimizer. So
 
 1. records are counted by minimizer. A record whose bytes start earlier elsewhere is removed
-   as a whole; minimizers with unequal records (or with repeats inside one) stay open;
-2. records of open minimizers (picked in the scan by a bounded bitmap) meet by minimizer.
+   as a whole. Of unequal records with one minimizer, those stay open that agree in the bytes
+   before it or after it, half a string long: any equal strings cover one of the two. Records
+   with repeats inside stay open too;
+2. open records (picked in the scan by a bounded bitmap) meet by minimizer.
    Each task cuts them into shards, sorts each shard's suffixes and merges the shards'
    transforms by interleave refinement: in every round the rows of the merged transform are
    dealt by the bytes before them, which sorts them by that many bytes more, until rows are
@@ -35,7 +37,7 @@ from .substring_dedup import covered_by, runs
 
 SEED_BYTES = 24
 STEP = 8  # bytes that a round of the refinement adds
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 SHARD_BYTES = 8 << 20
 MERGE_BYTES = 60_000  # of records merged at a time; whole minimizers stay together
@@ -47,7 +49,7 @@ SEED = 21
 SENT = pa.schema(
     [("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("whole", pa.binary()),
      ("at", pa.binary()), ("uids", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("inner", pa.binary()),
-     ("bytes", pa.binary()), ("shard", pa.int64())]
+     ("sides", pa.binary()), ("bytes", pa.binary()), ("shard", pa.int64())]
 )
 SENT_DDL = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in SENT)
 FOUND = pa.schema(
@@ -69,8 +71,16 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(after[: n - span + 1], before[span - 1 : n])
 
 
+def record_id(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return mixed(key ^ mixed(whole))
+
+
 class Records:
-    """Records of one document: minimizer, hash of the bytes, start, count of strings, inner repeats, place of the minimizer."""
+    """Records of one document: minimizer, hash of the bytes, start, count of strings, inner repeats, place of the minimizer.
+
+    ``sides`` are 16-bit hashes of the half strings before and after the minimizer, 0 where
+    the document ends before.
+    """
 
     def __init__(self, rolling: Rolling, data: np.ndarray, width: int) -> None:
         n, span = len(data), width - SEED_BYTES + 1
@@ -98,11 +108,17 @@ class Records:
         for r in np.flatnonzero(many & ~self.inner):
             places = seeds[first[r] : last[r]]
             self.seed[r] = places[np.searchsorted(places, self.start[r])]
-
-    def pieces(self, rolling: Rolling, hot: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-        """(key, whole, start, count, inner): records, those of ``hot`` cut into runs of strings that share a longer piece."""
-        cut = hot & ~self.inner
-        keep = ~cut
+        half = (width - SEED_BYTES + 1) // 2
+        self.sides = np.zeros((len(self.key), 2), np.uint16)
+        for side, at in enumerate((self.seed - half, self.seed + SEED_BYTES)):
+            fits = np.flatnonzero((at >= 0) & (at + half <= n))
+            hashed = rolling.ranges(self.prefix, at[fits], at[fits] + half)
+            self.sides[fits, side] = (hashed >> np.uint64(49)).astype(np.uint16) + np.uint16(1)
+
+    def pieces(self, rolling: Rolling, use: np.ndarray, hot: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """(key, whole, start, count, inner) of the records in ``use``, those in ``hot`` cut into runs that share a longer piece."""
+        cut = use & hot & ~self.inner
+        keep = use & ~cut
         parts = [[self.key[keep], self.whole[keep], self.start[keep], self.count[keep], self.inner[keep]]]
         seed, first, end = self.seed[cut], self.start[cut], (self.start + self.count)[cut]
         for low in range(0, width - SEED_BYTES + 1, PIECE_STRINGS):
@@ -147,11 +163,10 @@ class Chunk:
             return
         found = Records(self.rolling, np.frombuffer(data, np.uint8), self.width)
         if self.open is None:
-            self.docs.append((uid, None, found.key, found.whole, found.start, found.count, found.inner))
-        elif (use := set_in(self.open, found.key)).any():
-            key, whole, start, count, inner = found.pieces(self.rolling, use & set_in(self.hot, found.key), self.width)
-            use = set_in(self.open, key) | ~np.isin(key, found.key)
-            self.docs.append((uid, data, key[use], whole[use], start[use], count[use], inner[use]))
+            self.docs.append((uid, None, found.key, found.whole, found.start, found.count, found.inner, found.sides))
+        elif (use := set_in(self.open, record_id(found.key, found.whole))).any():
+            parts = found.pieces(self.rolling, use, set_in(self.hot, found.key), self.width)
+            self.docs.append((uid, data, *parts, np.zeros((len(parts[0]), 2), np.uint16)))
 
     def rows(self, chunk: int) -> Iterator[tuple]:
         docs, self.docs, self.size = sorted(self.docs, key=lambda d: d[0]), [], 0
@@ -159,13 +174,13 @@ class Chunk:
             return
         uids = np.array([d[0] for d in docs], np.int64)
         doc = np.repeat(np.arange(len(docs)), [len(d[2]) for d in docs])
-        key, whole, start, count, inner = (np.concatenate([d[i] for d in docs]) for i in range(2, 7))
+        key, whole, start, count, inner, sides = (np.concatenate([d[i] for d in docs]) for i in range(2, 8))
         order = np.lexsort((start, doc, whole, key))
         k, w = key[order], whole[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])]) if len(k) else np.zeros(0, bool)
         later = order[~new]
         for shard, n, ids, at, counts in by_shard(uids[doc[later]], start[later], count[later], self.shards):
-            yield (shard % self.buckets, chunk, n, None, None, at, ids, None, counts, None, None, shard)
+            yield (shard % self.buckets, chunk, n, None, None, at, ids, None, counts, None, None, None, shard)
         order = order[new]
         bucket = (key[order] >> np.uint64(64 - (self.buckets.bit_length() - 1))).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
@@ -177,7 +192,7 @@ class Chunk:
             if self.open is not None:
                 data = b"".join(docs[d][1][s : s + c + self.width - 1] for d, s, c in zip(doc[me], start[me], count[me]))
             yield (int(bucket[a]), chunk, int(b - a), rising(key[me]), packed(whole[me]), planes(start[me]), names, planes(doc[me]),
-                   planes(count[me]), packed(np.packbits(inner[me])), data, -1)
+                   planes(count[me]), packed(np.packbits(inner[me])), packed(sides[me]), data, -1)
 
 
 class Bucket:
@@ -193,18 +208,19 @@ class Bucket:
                 from_rising(r["keys"], n), np.frombuffer(r["whole"], np.uint64), uids[from_planes(r["docs"], n).astype(np.int64)],
                 from_planes(r["at"], n).astype(np.int64), from_planes(r["counts"], n).astype(np.int64),
                 np.unpackbits(np.frombuffer(r["inner"], np.uint8), count=n).astype(bool),
+                np.frombuffer(r["sides"], np.uint16).reshape(-1, 2),
             ])
-        key, whole, uid, start, count, inner = (np.concatenate(c) for c in zip(*parts))
+        key, whole, uid, start, count, inner, sides = (np.concatenate(c) for c in zip(*parts))
         length = count + width - 1
         offset = np.cumsum(length) - length
         order = np.argsort(key)
         same = key[order[1:]] == key[order[:-1]]
         order = order[np.append(same, False) | np.concatenate([[False], same]) | inner[order]]
         order = order[np.lexsort((start[order], uid[order], whole[order], key[order]))]
-        self.key, self.uid, self.start, self.count, self.inner, self.offset = (
-            x[order] for x in (key, uid, start, count, inner, offset)
+        self.key, self.whole, self.uid, self.start, self.count, self.inner, self.sides, self.offset = (
+            x[order] for x in (key, whole, uid, start, count, inner, sides, offset)
         )
-        whole = whole[order]
+        whole = self.whole
         new_key = np.concatenate([[True], self.key[1:] != self.key[:-1]]) if len(order) else np.zeros(0, bool)
         self.first = new_key.copy()
         self.first[1:] |= whole[1:] != whole[:-1]
@@ -216,6 +232,17 @@ class Bucket:
         inner = np.bincount(self.group, self.inner, len(kinds)) > 0
         return np.flatnonzero((kinds > 1) | inner), kinds
 
+    def open_records(self) -> np.ndarray:
+        """Of the first of equal records, those with inner repeats or with a side in common with another of their minimizer."""
+        first = np.flatnonzero(self.first)
+        found = [first[self.inner[first]]]
+        for side in self.sides.T:
+            rows = first[side[first] > 0]
+            rows = rows[np.lexsort((side[rows], self.group[rows]))]
+            same = (self.group[rows[1:]] == self.group[rows[:-1]]) & (side[rows[1:]] == side[rows[:-1]])
+            found.append(rows[np.append(same, False) | np.concatenate([[False], same])] if len(rows) else rows)
+        return np.unique(np.concatenate(found))
+
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """The places of ``text``, taken as a ring, sorted by at least 128 bytes."""
@@ -378,9 +405,11 @@ def repeated_strings(docs: DataFrame, width: int, buckets: int, shards: int) ->
                 bucket = Bucket(rows, width)
                 later = ~bucket.first
                 out += [(*x, None, None) for x in by_shard(bucket.uid[later], bucket.start[later], bucket.count[later], shards)]
-                open_, kinds = bucket.open_keys()
+                open_ = bucket.open_records()
+                groups, kinds = np.unique(bucket.group[open_], return_counts=True)
                 heads = bucket.key[np.flatnonzero(np.diff(bucket.group, prepend=-1))].view(np.int64)
-                out.append((-1, 0, None, None, None, heads[open_].tolist(), heads[kinds > HOT].tolist()))
+                ids = record_id(bucket.key[open_], bucket.whole[open_]).view(np.int64)
+                out.append((-1, 0, None, None, None, ids.tolist(), heads[groups[kinds > HOT]].tolist()))
             yield _table(out, FOUND)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
