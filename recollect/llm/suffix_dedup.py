@@ -90,7 +90,8 @@ class Records:
         least = _least(hashes, span)
         self.start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         self.count = np.diff(np.append(self.start, len(least)))
-        self.key = least[self.start]
+        own = least[self.start]
+        self.key = mixed(own)  # least hashes are small ones; keys spread over all buckets
         self.whole = rolling.ranges(self.prefix, self.start, self.start + self.count + width - 1)
         # a place is a minimizer if the largest of the minima around it is its own hash
         edge = np.zeros(span - 1, np.uint64)
@@ -99,10 +100,10 @@ class Records:
         seeds = seeds[order]
         value = hashes[seeds]
         close = (value[1:] == value[:-1]) & (seeds[1:] - seeds[:-1] <= span)
-        self.inner = np.isin(self.key, value[1:][close]) if close.any() else np.zeros(len(self.key), bool)
+        self.inner = np.isin(own, value[1:][close]) if close.any() else np.zeros(len(own), bool)
         # for records without inner repeats: the only place of the minimizer in the record
-        first = np.searchsorted(value, self.key)
-        last = np.searchsorted(value, self.key, side="right")
+        first = np.searchsorted(value, own)
+        last = np.searchsorted(value, own, side="right")
         self.seed = seeds[np.minimum(first, len(seeds) - 1)]
         many = last - first > 1
         for r in np.flatnonzero(many & ~self.inner):
