@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,37 +66,40 @@ def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
     return fingerprint(row_json(df, columns))
 
 
-def _is_secret_field(key: str) -> bool:
-    name = key.lower().replace("-", "_")
-    return name in SECRET_FIELD_NAMES or "api_key" in name or name.endswith(SECRET_SUFFIXES)
+def _named(patterns: list[str]) -> re.Pattern:
+    """A key matches whatever its case, and with ``-`` for ``_``."""
+    return re.compile("|".join(patterns).replace("_", "[_-]"), re.IGNORECASE)
 
 
-def _is_secret_key(key: str) -> bool:
-    name = key.lower().replace("-", "_")
-    return any(part in name for part in SECRET_KEY_PARTS)
+# What marks a key as secret (to be reported), as one to hide, and what in a text precedes a secret.
+REPORTED_KEY = _named([f"^{n}$" for n in SECRET_FIELD_NAMES] + ["api_key"] + [f"{x}$" for x in SECRET_SUFFIXES])
+HIDDEN_KEY = _named(list(SECRET_KEY_PARTS))
+MARKED_TEXTS = [re.compile(f"({m})[^ ]*", re.IGNORECASE) for m in SECRET_TEXT_MARKERS]
 
 
-def _children(value, path: str):
-    if isinstance(value, dict):
-        return [(str(k), v, f"{path}.{k}" if path else str(k)) for k, v in value.items()]
-    if isinstance(value, list):
-        return [(None, v, f"{path}[{i}]") for i, v in enumerate(value)]
-    return []
+def _entries(node) -> list[tuple]:
+    """(key or position, child) of an object or array; nothing of other values."""
+    if isinstance(node, dict):
+        return list(node.items())
+    return list(enumerate(node)) if isinstance(node, list) else []
 
 
-def _secret_paths(value, path: str = "") -> list[str]:
-    found = []
-    for key, child, child_path in _children(value, path):
-        if key is not None and _is_secret_field(key):
-            found.append(child_path)
-        found.extend(_secret_paths(child, child_path))
-    return found
+def _reported(document) -> list[str]:
+    """Paths in document order, by an explicit stack."""
+    paths, stack = [], [("", "", document)]
+    while stack:
+        key, path, node = stack.pop()
+        if isinstance(key, str) and REPORTED_KEY.search(key):
+            paths.append(path)
+        steps = [(k, f"{path}[{k}]" if isinstance(k, int) else f"{path}.{k}".lstrip("."), c) for k, c in _entries(node)]
+        stack.extend(reversed(steps))
+    return paths
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def secret_paths(text: pd.Series) -> pd.Series:
     """Paths of all secret-named keys, anywhere in a JSON document."""
-    return text.map(lambda t: [] if t is None else _secret_paths(json.loads(t)))
+    return text.map(lambda t: [] if t is None else _reported(json.loads(t)))
 
 
 def redact_text(value: Column) -> Column:
@@ -105,31 +110,23 @@ def redact_text(value: Column) -> Column:
     return value
 
 
-def _redact_string(text: str) -> str:
-    for marker in SECRET_TEXT_MARKERS:
-        head, found, tail = _partition_ignoring_case(text, marker)
-        if found:
-            _, blank, rest = tail.partition(" ")
-            text = head + found + REDACTED + blank + rest
-    return text
-
-
-def _partition_ignoring_case(text: str, marker: str) -> tuple[str, str, str]:
-    at = text.lower().find(marker)
-    if at < 0:
-        return text, "", ""
-    return text[:at], text[at : at + len(marker)], text[at + len(marker) :]
-
-
-def _redact(value):
-    if isinstance(value, dict):
-        return {k: REDACTED if _is_secret_key(k) else _redact(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_redact(v) for v in value]
-    return _redact_string(value) if isinstance(value, str) else value
+def _hidden(document):
+    """The document with secret keys and marked texts replaced in place."""
+    root = [document]
+    open_nodes: list = [root]
+    while open_nodes:
+        node = open_nodes.pop()
+        for at, child in _entries(node):
+            if isinstance(at, str) and HIDDEN_KEY.search(at):
+                node[at] = REDACTED
+            elif isinstance(child, str):
+                node[at] = reduce(lambda t, p: p.sub(rf"\1{REDACTED}", t, count=1), MARKED_TEXTS, child)
+            else:
+                open_nodes.append(child)
+    return root[0]
 
 
 @F.pandas_udf(T.StringType())
 def redact_json(text: pd.Series) -> pd.Series:
     """Redact secret-named keys and marked text anywhere in a JSON document."""
-    return text.map(lambda t: None if t is None else json.dumps(_redact(json.loads(t)), ensure_ascii=False))
+    return text.map(lambda t: None if t is None else json.dumps(_hidden(json.loads(t)), ensure_ascii=False))

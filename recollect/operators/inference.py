@@ -53,26 +53,25 @@ class CallPolicy:
     requests_per_minute: float = 0.0
     max_retries: int = 5
     response_max_retries: int = 1
-    partitions: int = 8
+    partitions: int | None = None  # of the input, unless a number is named
     sleep: Callable[[float], None] = time.sleep
 
-    @property
-    def min_interval(self) -> float:
-        """Seconds between two calls of one partition."""
-        return 60.0 * self.partitions / self.requests_per_minute if self.requests_per_minute > 0 else 0.0
+    def min_interval(self, partitions: int) -> float:
+        """Seconds between two calls of one of ``partitions`` tasks that share the rate."""
+        return 60.0 * partitions / self.requests_per_minute if self.requests_per_minute > 0 else 0.0
 
 
 class _Caller:
     """One client with its pacing and transport retries."""
 
-    def __init__(self, factory: ClientFactory, policy: CallPolicy):
-        self.client, self.policy, self.next_at = factory(), policy, 0.0
+    def __init__(self, factory: ClientFactory, policy: CallPolicy, interval: float):
+        self.client, self.policy, self.interval, self.next_at = factory(), policy, interval, 0.0
 
     def _pace(self) -> None:
         wait = self.next_at - time.monotonic()
         if wait > 0:
             self.policy.sleep(wait)
-        self.next_at = time.monotonic() + self.policy.min_interval
+        self.next_at = time.monotonic() + self.interval
 
     def call(self, system: str, user: str) -> Reply:
         for retry in range(self.policy.max_retries + 1):
@@ -114,17 +113,20 @@ def _ask(caller: _Caller, system: str, user: str, problem_of, retries: int, hint
 
 
 def _map_calls(df: DataFrame, factory: ClientFactory, policy: CallPolicy, system: str, prompt: str, problem_of, retries, hint):
-    columns = df.columns
+    columns, tasks = df.columns, policy.partitions
+    if tasks is None and policy.requests_per_minute > 0:  # all tasks run at once, each with its part of the rate
+        tasks = df.sparkSession.sparkContext.defaultParallelism
+    interval = policy.min_interval(tasks or 1)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caller = _Caller(factory, policy)
+        caller = _Caller(factory, policy, interval)
         for batch in batches:
             answers = [_ask(caller, system, user, problem_of, retries, hint) for user in batch[prompt]]
             frame = pd.DataFrame(answers, columns=["response", "finish_reason", "model", "usage", "attempts", "error"])
             yield pd.concat([batch[columns].reset_index(drop=True), frame], axis=1)
 
-    return df.repartition(policy.partitions).mapInPandas(run, f"{schema}, {RESULT_SCHEMA}")
+    return (df.repartition(tasks) if tasks else df).mapInPandas(run, f"{schema}, {RESULT_SCHEMA}")
 
 
 def _accept_anything(reply: Reply) -> str | None:

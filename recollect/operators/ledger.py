@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -283,46 +284,76 @@ def config_drift(recorded: DataFrame, current: DataFrame, key: str = "config_id"
     return joined.filter(~F.col("expected").eqNullSafe(F.col("observed")))
 
 
-def _pick(value, keys: tuple[str, ...]) -> dict:
-    found = value if isinstance(value, dict) else {}
-    return {k: found[k] for k in keys if found.get(k) is not None}
+# What a run's identity takes from its config: a path, and what stands for it where the
+# config has nothing usable there (``None`` a JSON null, ``{}`` an empty object, ``...`` no entry).
+# An object that is only partly taken has an entry of its own that starts it empty.
+IDENTITY_RULES: tuple[tuple[str, object], ...] = (
+    ("benchmark", None),
+    ("framework", None),
+    ("selection", {}),
+    ("evaluation", {}),
+    *((f"dataset.{k}", ...) for k in DATASET_KEYS),
+    *((f"framework_config.{k}", ...) for k in FRAMEWORK_KEYS),
+    *((f"models.{role}.{k}", ...) for role in MODEL_ROLES for k in MODEL_KEYS),
+)
+IDENTITY_OBJECTS = ("dataset", "framework_config", *(f"models.{role}" for role in MODEL_ROLES))
 
 
-def _whole(value) -> dict:
-    return value if isinstance(value, dict) else {}
+def _put(target: dict, path: str, value) -> None:
+    *parents, last = path.split(".")
+    reduce(lambda at, step: at.setdefault(step, {}), parents, target)[last] = value
 
 
-def _scientific(config: dict, contracts: dict) -> dict:
-    models = _whole(config.get("models"))
-    return {
-        "schema_version": FINGERPRINT_VERSION,
-        "benchmark": config.get("benchmark"),
-        "framework": config.get("framework"),
-        "framework_config": _pick(config.get("framework_config"), FRAMEWORK_KEYS),
-        "dataset": _pick(config.get("dataset"), DATASET_KEYS),
-        "selection": _whole(config.get("selection")),
-        "models": {role: _pick(models.get(role), MODEL_KEYS) for role in MODEL_ROLES},
-        "judge_contract": contracts.get(config.get("benchmark"), {}),
-        "evaluation": _whole(config.get("evaluation")),
-    }
+def _at(document, path: str):
+    return reduce(lambda at, step: at.get(step) if isinstance(at, dict) else None, path.split("."), document)
 
 
-def scientific_inputs(config_json: Column, judge_contracts: dict | None = None) -> Column:
+def _projected(document: dict) -> dict:
+    """The parts of a config that ``IDENTITY_RULES`` name; numbers stay as they are written."""
+    out: dict = {}
+    for path in IDENTITY_OBJECTS:
+        _put(out, path, {})
+    for path, otherwise in IDENTITY_RULES:
+        value = _at(document, path)
+        if value is None or (otherwise == {} and not isinstance(value, dict)):
+            value = otherwise
+        if value is not ...:
+            _put(out, path, value)
+    return out
+
+
+def scientific_inputs(
+    config_json: Column, judge_contracts: dict | None = None, expected_question_ids: Column | None = None
+) -> Column:
     """JSON of the config parts that can change a result; paths and tuning are left out.
 
     ``judge_contracts`` maps a benchmark to the identity of its judge prompt and parser.
+    ``expected_question_ids`` (an array), where given, makes the set of questions part of
+    the identity.
     """
     contracts = judge_contracts or {}
 
     @F.pandas_udf(T.StringType())
-    def pick(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else json.dumps(_scientific(json.loads(t), contracts), ensure_ascii=False))
-
-    return pick(config_json)
-
-
-def config_fingerprint(config_json: Column, judge_contracts: dict | None = None) -> Column:
-    return fingerprint(scientific_inputs(config_json, judge_contracts))
+    def inputs(text: pd.Series, asked: pd.Series) -> pd.Series:
+        def one(t, ids):
+            if t is None:
+                return None
+            found = _projected(json.loads(t)) | {"schema_version": FINGERPRINT_VERSION}
+            found["judge_contract"] = contracts.get(found["benchmark"], {})
+            if ids is not None:
+                found["expected_question_ids"] = list(ids)
+            return json.dumps(found, ensure_ascii=False)
+
+        return pd.Series([one(t, ids) for t, ids in zip(text, asked)], dtype="object")
+
+    asked = F.lit(None).cast("array<string>") if expected_question_ids is None else expected_question_ids
+    return inputs(config_json, asked)
+
+
+def config_fingerprint(
+    config_json: Column, judge_contracts: dict | None = None, expected_question_ids: Column | None = None
+) -> Column:
+    return fingerprint(scientific_inputs(config_json, judge_contracts, expected_question_ids))
 
 
 def set_digest(rows: DataFrame, digest: str, position: str, fan_in: int = 4096, levels: int = 4) -> DataFrame:

@@ -41,11 +41,22 @@ def _shared_columns(framework: str) -> list[Column]:
     ]
 
 
+def _with_parts(questions: DataFrame, retrievals: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every question, with what was retrieved and answered, and ``problem`` naming what is missing."""
+    rows = questions.join(retrievals.withColumn("__r", F.lit(True)), "question_id", "left").join(
+        answers.withColumn("__a", F.lit(True)), "question_id", "left"
+    )
+    missing = F.array_compact(
+        F.array(F.when(F.col("__r").isNull(), F.lit("no retrieval")), F.when(F.col("__a").isNull(), F.lit("no answer")))
+    )
+    return rows.withColumn("problem", F.when(F.size(missing) > 0, F.array_join(missing, ", "))).drop("__r", "__a")
+
+
 def build_conversation_predictions(
     questions: DataFrame, retrievals: DataFrame, answers: DataFrame, framework: str
 ) -> DataFrame:
     """One flat row per question of a conversation: question + retrieval + answer."""
-    rows = questions.join(retrievals, "question_id").join(answers, "question_id")
+    rows = _with_parts(questions, retrievals, answers)
     category, answer = F.coalesce("category", F.lit(0)), F.coalesce("answer", F.lit(""))
     generated = X.normalize_generated_answer(category, F.coalesce("generated_answer", F.lit("")), answer)
     return rows.select(
@@ -61,6 +72,7 @@ def build_conversation_predictions(
         nonempty_ids(F.col("evidence")).alias("evidence"),
         generated.alias("generated_answer"),
         *_shared_columns(framework),
+        "problem",
     )
 
 
@@ -68,7 +80,7 @@ def build_question_predictions(
     questions: DataFrame, retrievals: DataFrame, answers: DataFrame, framework: str
 ) -> DataFrame:
     """One flat row per question record: question + retrieval + answer."""
-    rows = questions.join(retrievals, "question_id").join(answers, "question_id")
+    rows = _with_parts(questions, retrievals, answers)
     return rows.select(
         F.lit("longmemeval").alias("benchmark"),
         "question_id",
@@ -80,6 +92,7 @@ def build_question_predictions(
         F.coalesce("answer_session_ids", F.array().cast("array<string>")).alias("answer_session_ids"),
         F.coalesce("generated_answer", F.lit("")).alias("generated_answer"),
         *_shared_columns(framework),
+        "problem",
     )
 
 
@@ -102,6 +115,8 @@ def with_digests(predictions: DataFrame, provider: str, model: str, judge_finger
 def attach_judgment(predictions: DataFrame, judgments: DataFrame) -> DataFrame:
     """Prediction rows (with digests) plus the verdict columns of the judge.
 
+    A prediction without a verdict stays, with ``judgment_problem`` set.
+
     ``judgments``: (question_id, judgment, score, reason, judge_*).
     """
     verdict = judgments.withColumns(
@@ -111,7 +126,9 @@ def attach_judgment(predictions: DataFrame, judgments: DataFrame) -> DataFrame:
             "reason": F.coalesce("reason", F.lit("")),
         }
     )
-    return predictions.join(verdict, "question_id")
+    missing = F.when(F.col("__v").isNull(), F.lit("no judgment"))
+    joined = predictions.join(verdict.withColumn("__v", F.lit(True)), "question_id", "left")
+    return joined.withColumn("judgment_problem", missing).drop("__v")
 
 
 def resume_judging(predictions: DataFrame, stored: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from .ordered import ordered_position
 # Evaluators of a run; the ablation needs a framework with stage diagnostics.
 REQUIRED_EVALUATORS = ("primary_judge_score", "rigorous_report")
 OPTIONAL_EVALUATORS = ("ablation_report",)
-CHUNK_ITEMS = 1000
 
 
 def run_summary(run: DataFrame, counts: DataFrame, usage: DataFrame, timing: DataFrame) -> DataFrame:
@@ -41,19 +40,13 @@ def committed_item_count(units: DataFrame, committed: DataFrame, per_question: b
     return kept.agg(F.coalesce(value, F.lit(0)).cast("bigint").alias("committed_items"))
 
 
-def conversation_aggregate(
-    predictions: DataFrame, order: list[Column], bucket: Column, payload: list[str], chunk_items: int = CHUNK_ITEMS
-) -> DataFrame:
-    """Predictions of a conversation in order, as arrays of at most ``chunk_items``.
+def conversation_aggregate(predictions: DataFrame, order: list[Column], bucket: Column, payload: list[str]) -> DataFrame:
+    """(conversation_id, item_pos, payload): a conversation's predictions, numbered in order.
 
-    A conversation of ordinary size is one row (``chunk`` 0); a huge one gets several rows
-    instead of one array that has to fit in one task.
+    One row per prediction for conversations of every size; no array has to fit in one task.
     """
     placed = ordered_position(predictions, ["conversation_id"], order, bucket, "item_pos")
-    entry = F.struct("item_pos", *payload)
-    rows = placed.withColumn("chunk", F.floor(F.col("item_pos") / chunk_items))
-    grouped = rows.groupBy("conversation_id", "chunk").agg(F.array_sort(F.collect_list(entry)).alias("predictions"))
-    return grouped.withColumn("question_ids", F.transform("predictions", lambda p: p["question_id"]))
+    return placed.select("conversation_id", "item_pos", *payload)
 
 
 def evaluation_plan(runs: DataFrame, frameworks_with_diagnostics: tuple[str, ...]) -> DataFrame:
@@ -90,12 +83,11 @@ def flatten_results(reports: DataFrame, default_evaluator: str) -> DataFrame:
     rows = reports.select(
         *keys,
         F.coalesce("evaluator_version", F.lit(default_evaluator)).alias("evaluator"),
-        F.explode(F.from_json("overall_json", "map<string,string>")).alias("metric", "raw"),
-        F.col("overall_json"),
+        F.parse_json("overall_json").alias("overall"),
+    ).filter(F.schema_of_variant("overall").startswith("OBJECT"))
+    entries = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("overall").outer()))
+    # Only JSON numbers have a numeric type in a variant; texts, booleans and nested values do not.
+    number = F.schema_of_variant("value").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    return entries.filter(number).select(
+        *keys, "evaluator", F.col("key").alias("metric"), F.col("value").cast("double").alias("value")
     )
-    # A quoted number is text in JSON; the raw map does not show quotes, so look them up.
-    quoted = F.regexp_like(
-        F.col("overall_json"), F.concat(F.lit('"\\Q'), F.col("metric"), F.lit('\\E"\\s*:\\s*"'))
-    )
-    value = F.when(~quoted, F.expr("try_cast(raw as double)"))
-    return rows.select(*keys, "evaluator", "metric", value.alias("value")).filter("value is not null")

@@ -58,18 +58,17 @@ def cosine_scores(queries: pd.Series, records: pd.Series) -> np.ndarray:
 
 
 def overlap_scores(queries: pd.Series, records: pd.Series) -> np.ndarray:
-    """Share of the distinct query tokens that a record holds."""
+    """Share of the query tokens that a record holds; both sides are distinct tokens."""
     holders: dict[str, list[int]] = {}
     for at, words in enumerate(records):
-        for word in set(words):
+        for word in words:
             holders.setdefault(word, []).append(at)
     rows_of = {word: np.array(found, dtype=np.int32) for word, found in holders.items()}
     scores = np.zeros((len(queries), len(records)))
     for row, words in enumerate(queries):
-        distinct = set(words)
-        hits = [rows_of[word] for word in distinct if word in rows_of]
+        hits = [rows_of[word] for word in words if word in rows_of]
         if hits:
-            scores[row] = np.bincount(np.concatenate(hits), minlength=len(records)) / len(distinct)
+            scores[row] = np.bincount(np.concatenate(hits), minlength=len(records)) / len(words)
     return scores
 
 
@@ -162,8 +161,8 @@ def lexical_topk(
 ) -> DataFrame:
     """Token-overlap top-k inside the query's own unit; records without overlap never match."""
     found = block_topk(
-        queries.withColumn("q", tokens(F.col(text))),
-        records.withColumn("r", tokens(F.col(text))),
+        queries.withColumn("q", F.array_distinct(tokens(F.col(text)))),
+        records.withColumn("r", F.array_distinct(tokens(F.col(text)))),
         k,
         overlap_scores,
         block_rows,
@@ -406,15 +405,28 @@ USAGE_FIELDS = ("prompt_tokens", "completion_tokens", "total_tokens", "calls")
 def apportion_usage(
     items: DataFrame, totals: DataFrame, order: list[Column], bucket: Column, fields: tuple[str, ...] = USAGE_FIELDS
 ) -> DataFrame:
-    """Split each unit's totals over its items; the first ``remainder`` items get one more."""
+    """Split each unit's totals over its items; the first ``remainder`` items get one more.
+
+    Shares are whole numbers that sum to the total. Items of a unit without totals keep null
+    shares; ``unapportioned`` lists the units that have only one of the two.
+    """
     counts = items.groupBy("unit_id").agg(F.count(F.lit(1)).alias("__items"))
     sized = totals.select("unit_id", *[F.col(f).alias(f"__{f}") for f in fields]).join(counts, "unit_id")
-    placed = ordered_position(items, ["unit_id"], order, bucket, "__pos").join(sized, "unit_id")
+    placed = ordered_position(items, ["unit_id"], order, bucket, "__pos").join(sized, "unit_id", "left")
     shares = [
         (
-            F.floor(F.col(f"__{f}") / F.col("__items"))
+            F.expr(f"`__{f}` div __items")
             + F.when(F.col("__pos") < F.col(f"__{f}") % F.col("__items"), 1).otherwise(0)
         ).cast("bigint").alias(f)
         for f in fields
     ]
     return placed.select(*items.columns, *shares)
+
+
+def unapportioned(items: DataFrame, totals: DataFrame) -> DataFrame:
+    """(unit_id, problem) of units with items but no totals, or with totals but no items."""
+    both = items.select("unit_id").distinct().withColumn("__i", F.lit(True)).join(
+        totals.select("unit_id").distinct().withColumn("__t", F.lit(True)), "unit_id", "full"
+    )
+    problem = F.when(F.col("__t").isNull(), F.lit("no totals")).when(F.col("__i").isNull(), F.lit("no items"))
+    return both.select("unit_id", problem.alias("problem")).filter("problem is not null")

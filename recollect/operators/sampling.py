@@ -1,16 +1,12 @@
 """Deterministic stratified sampling.
 
-``hash`` mode orders a stratum by SHA-256 of (seed, id) and works at any size: counts per
-(stratum, hash prefix) decide whole prefixes at once, so only the one prefix in which the
-cut falls is ranked. ``exact`` mode repeats the draws of one seeded Mersenne twister over
-the strata in text order; that stream is serial by nature, so it is for populations up to
-``MAX_EXACT_POPULATION`` and refuses larger ones.
+A stratum is ordered by SHA-256 of (seed, id), and the first rows of that order are the
+sample. Counts per (stratum, hash prefix) decide whole prefixes at once, so only the one
+prefix in which the cut falls is ranked.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +14,6 @@ from ..functions.canonical import canonical_json
 from ..session import materialize
 
 ROUNDINGS = ("ceil", "floor", "round")
-MAX_EXACT_POPULATION = 1_000_000
 PREFIX_CHARS = 3
 # The question types that are sampled when none are named.
 QUESTION_TYPES = (
@@ -81,30 +76,6 @@ def hash_sample(
     return whole.select(*df.columns).unionByName(edge.select(*df.columns))
 
 
-def _exact_draws(sizes: list[tuple[str, int, int]], seed: int) -> list[tuple[str, int]]:
-    """Drawn positions per stratum; picks over ``range(n)`` equal picks over n items."""
-    twister = random.Random(seed)
-    return [(name, at) for name, n, k in sorted(sizes) for at in twister.sample(range(n), k)]
-
-
-def exact_sample(
-    df: DataFrame, order_columns: list[str], stratum: Column, size: Column, seed: int
-) -> DataFrame:
-    keyed = df.withColumn("__s", _stratum_text(stratum))
-    counts = keyed.groupBy("__s").agg(F.count(F.lit(1)).alias("population"))
-    total = counts.agg(F.sum("population")).first()[0] or 0
-    if total > MAX_EXACT_POPULATION:
-        raise ValueError(
-            f"exact sampling draws serially and is limited to {MAX_EXACT_POPULATION} rows, got {total}; "
-            "use mode='hash'"
-        )
-    sizes = [tuple(r) for r in counts.select("__s", "population", size.alias("k")).collect()]
-    picks = df.sparkSession.createDataFrame(_exact_draws(sizes, seed), "__s string, __at bigint")
-    order = Window.partitionBy("__s").orderBy(*order_columns)
-    ranked = keyed.withColumn("__at", F.row_number().over(order).cast("bigint") - 1)
-    return ranked.join(picks, ["__s", "__at"], "left_semi").select(*df.columns)
-
-
 def stratified_sample(
     df: DataFrame,
     id_columns: list[str],
@@ -112,50 +83,45 @@ def stratified_sample(
     seed: int = 42,
     rounding: str = "ceil",
     stratum: Column | None = None,
-    mode: str = "hash",
 ) -> DataFrame:
-    """Rows of the sample. ``id_columns`` are unique and order a stratum in exact mode."""
+    """Rows of the sample. ``id_columns`` are unique."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be greater than 0 and at most 1")
     by = F.lit("all") if stratum is None else stratum
     size = sample_size(F.col("population"), fraction, rounding)
-    if mode == "exact":
-        return exact_sample(df, id_columns, by, size, seed)
-    if mode == "hash":
-        return hash_sample(df, id_columns, by, size, seed)
-    raise ValueError(f"mode must be 'hash' or 'exact', not {mode!r}")
+    return hash_sample(df, id_columns, by, size, seed)
 
 
 def sample_qa(
     questions: DataFrame, fraction: float, seed: int = 42, rounding: str = "ceil",
-    stratify_by: str | None = None, mode: str = "hash",
+    stratify_by: str | None = None,
 ) -> DataFrame:
     """Sample questions of conversations, optionally within each category."""
     if stratify_by not in (None, "category"):
         raise ValueError("questions of conversations can only be stratified by 'category'")
     stratum = F.coalesce(F.col("category").cast("int"), F.lit(0)).cast("string") if stratify_by else None
     return stratified_sample(
-        questions, ["conversation_idx", "question_idx"], fraction, seed, rounding, stratum, mode
+        questions, ["conversation_idx", "question_idx"], fraction, seed, rounding, stratum
     )
 
 
 def sample_conversations(
-    conversations: DataFrame, fraction: float, seed: int = 42, rounding: str = "ceil", mode: str = "hash"
+    conversations: DataFrame, fraction: float, seed: int = 42, rounding: str = "ceil"
 ) -> DataFrame:
     """Sample whole conversations (no strata)."""
-    return stratified_sample(conversations, ["conversation_idx"], fraction, seed, rounding, None, mode)
+    return stratified_sample(conversations, ["conversation_idx"], fraction, seed, rounding, None)
 
 
 def sample_records(
     questions: DataFrame, fraction: float, seed: int = 42, rounding: str = "ceil",
-    stratify_by: str | None = None, mode: str = "hash",
+    stratify_by: str | None = None,
 ) -> DataFrame:
     """Sample question records, optionally within each question type."""
     if stratify_by not in (None, "question_type"):
         raise ValueError("question records can only be stratified by 'question_type'")
     stratum = F.coalesce(F.col("question_type"), F.lit("unknown")) if stratify_by else None
     return stratified_sample(
-        questions, ["question_id", "question_pos"], fraction, seed, rounding, stratum, mode
+        questions, ["question_id", "question_pos"], fraction, seed, rounding, stratum
     )
 
 
@@ -164,7 +130,6 @@ def sample_per_type(
     per_type: int = 5,
     seed: int = 42,
     types: list[str] | tuple[str, ...] | None = None,
-    mode: str = "hash",
 ) -> DataFrame:
     """Up to ``per_type`` questions of each type; order the result by ``question_id``.
 
@@ -172,9 +137,6 @@ def sample_per_type(
     task before the shuffle and a hot type stays small.
     """
     kept = questions.filter(F.col("question_type").isin(*(types or QUESTION_TYPES)))
-    if mode == "exact":
-        size = F.least(F.lit(per_type).cast("bigint"), F.col("population"))
-        return exact_sample(kept, ["question_id"], F.col("question_type"), size, seed)
     order = Window.partitionBy("question_type").orderBy(_draw_key(seed, ["question_id"]), "question_id")
     return (
         kept.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= per_type).drop("__r")

@@ -12,7 +12,6 @@ from .sampling import sample_per_type
 
 WILDCARD = "*"
 # Ids given in code travel in the plan up to this many; more come as a joined frame.
-MAX_INLINE_IDS = 1000
 
 
 def category_number(category: Column) -> Column:
@@ -51,8 +50,6 @@ def _keep_ids(df: DataFrame, column: str, wanted) -> DataFrame:
         listed = wanted.select(F.col(wanted.columns[0]).alias(column)).distinct()
         return df.join(listed, column, "left_semi")
     values = list(dict.fromkeys(wanted))
-    if len(values) <= MAX_INLINE_IDS:
-        return df.filter(F.col(column).isin(*values))
     listed = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
     return df.join(listed, column, "left_semi")
 
@@ -92,7 +89,6 @@ def select_questions(
     types: list[str] | None = None,
     per_type: int | None = None,
     seed: int = 42,
-    mode: str = "hash",
 ) -> DataFrame:
     """Listed ids bypass the other filters; else type filter, then per-type sampling."""
     if isinstance(ids, DataFrame) or list(ids) != [WILDCARD]:
@@ -100,7 +96,7 @@ def select_questions(
     kept = questions.filter(F.col("question_type").isin(*types)) if types else questions
     if per_type is None:
         return kept
-    return sample_per_type(kept, per_type, seed, types, mode)
+    return sample_per_type(kept, per_type, seed, types)
 
 
 def drop_blank_text(df: DataFrame, column: str = "text") -> DataFrame:

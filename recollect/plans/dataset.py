@@ -592,12 +592,6 @@ def sample_qa(spark, d):
     return kept.select("conversation_idx", F.col("question_idx").cast("bigint").alias("question_idx"), "category")
 
 
-@query("sample_qa_exact")
-def sample_qa_exact(spark, d):
-    questions = S.enumerate_questions(conversation_documents(spark, d))
-    return P.sample_qa(questions, 0.2, 7, "ceil", "category", mode="exact").select("conversation_idx", "question_idx", "category")
-
-
 @query(
     "sample_conversations",
     f"WITH u AS (SELECT DISTINCT conv_id AS conversation_idx FROM conversations), s AS ({_hash_sql('u', 'conversation_idx', 'conversation_idx', '1', 0.3, 42, 'floor')}) SELECT conversation_idx FROM s",

@@ -484,15 +484,17 @@ def prediction_inputs(spark, d):
     f"""WITH {Q.ANSWERS}{Q.CANDIDATES}, n AS (SELECT question_id, count(*) AS c FROM cand GROUP BY 1)
 SELECT question_id, 2 AS schema_version, 'c1' AS framework, CASE WHEN category = 5 THEN 'Not mentioned in the conversation' ELSE answer END AS ground_truth_answer,
  CASE category WHEN 1 THEN 'multi-hop' WHEN 2 THEN 'temporal' WHEN 3 THEN 'open-domain' WHEN 4 THEN 'single-hop' ELSE 'adversarial' END AS category_name,
- generated_answer, '' AS answerer_provider, CASE WHEN turn % 4 = 0 THEN 'native' ELSE 'top_unknown' END AS cutoff_label,
- CAST(c AS INTEGER) AS total_results, CAST(CASE WHEN turn % 3 <> 0 THEN 3 ELSE c END AS INTEGER) AS memories_evaluated
-FROM answers JOIN n USING (question_id) WHERE turn % 5 <> 4""",
+ generated_answer, '' AS answerer_provider, CASE WHEN turn % 4 = 0 AND turn % 5 <> 4 THEN 'native' ELSE 'top_unknown' END AS cutoff_label,
+ CAST(CASE WHEN turn % 5 <> 4 THEN c ELSE 0 END AS INTEGER) AS total_results,
+ CAST(CASE WHEN turn % 5 = 4 THEN 0 WHEN turn % 3 <> 0 THEN 3 ELSE c END AS INTEGER) AS memories_evaluated,
+ CASE WHEN turn % 5 = 4 THEN 'no retrieval' END AS problem
+FROM answers JOIN n USING (question_id)""",
 )
 def build_prediction(spark, d):
     rows = PR.build_conversation_predictions(*prediction_inputs(spark, d), "c1")
     return rows.select(
         "question_id", "schema_version", "framework", "ground_truth_answer", "category_name", "generated_answer",
-        "answerer_provider", "cutoff_label", "retrieval.total_results", "retrieval.memories_evaluated",
+        "answerer_provider", "cutoff_label", "retrieval.total_results", "retrieval.memories_evaluated", "problem",
     )
 
 
@@ -569,7 +571,7 @@ def hesitant_client():
 )
 def batch_infer(spark, d):
     rows = T.qa(spark, d).select("question_id", F.col("question").alias("prompt"))
-    answers = IN.batch_infer(rows, length_client, IN.CallPolicy(partitions=8))
+    answers = IN.batch_infer(rows, length_client, IN.CallPolicy())
     return answers.select("question_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "attempts", "error")
 
 
@@ -580,7 +582,7 @@ def batch_infer(spark, d):
 )
 def judge_infer(spark, d):
     rows = T.qa(spark, d).select("question_id", F.col("question").alias("prompt"))
-    answers = IN.judge_infer(rows, hesitant_client, "locomo", IN.CallPolicy(partitions=8))
+    answers = IN.judge_infer(rows, hesitant_client, "locomo", IN.CallPolicy())
     return answers.select("question_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "attempts", "error")
 
 

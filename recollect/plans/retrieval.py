@@ -67,35 +67,36 @@ def registered_retriever(spark, d):
     return Registry().retriever("vector", settings).retrieve(*_sides(spark, d))
 
 
-_TEXTS = f"""tx AS (SELECT unit_id, vec_key, list_distinct({Q.normalized_tokens('text')}) AS w FROM vectors JOIN (SELECT printf('v%08d', doc_id) AS vec_key, text FROM documents) USING (vec_key)),
+_TEXTS = f"""tx AS (SELECT CAST(doc_id // 100 AS VARCHAR) AS unit_id, printf('v%08d', doc_id) AS vec_key, list_distinct({Q.normalized_tokens('text')}) AS w FROM documents),
 words AS (SELECT unit_id, vec_key, unnest(w) AS w FROM tx),
 lex AS (SELECT q.unit_id, q.vec_key AS query_id, r.vec_key AS record_id, round(count(*) / any_value(len(t.w)), 9) AS score
   FROM words q JOIN words r ON r.unit_id = q.unit_id AND r.w = q.w JOIN tx t ON t.vec_key = q.vec_key GROUP BY 1, 2, 3)"""
 
 
 def _texts(spark, d):
-    documents = T.table(spark, d, "documents").select(padded("v", F.col("doc_id"), 8).alias("vec_key"), "text")
-    rows = T.vectors(spark, d).join(documents, "vec_key")
+    """Every document is a record and a query of its unit, which follows from its id alone."""
+    rows = T.table(spark, d, "documents").select(
+        F.floor(F.col("doc_id") / 100).cast("string").alias("unit_id"), padded("v", F.col("doc_id"), 8).alias("vec_key"), "text"
+    )
     return rows.withColumnRenamed("vec_key", "query_id"), rows.withColumnRenamed("vec_key", "record_id")
 
 
-@query("lexical_topk", f"WITH {Q.VECTORS}, {_TEXTS} {_top('lex', 10)}")
+@query("lexical_topk", f"WITH {_TEXTS} {_top('lex', 10)}")
 def lexical_topk(spark, d):
     return R.lexical_topk(*_texts(spark, d), k=10)
 
 
 @query(
     "multi_channel",
-    f"""WITH {_SCORED}, {_TEXTS}, sem AS (SELECT scored.* FROM scored WHERE query_id IN (SELECT vec_key FROM tx) AND record_id IN (SELECT vec_key FROM tx)),
- a AS ({_top('sem', 16)}), b AS ({_top('lex', 16)}),
+    f"""WITH {_SCORED}, {_TEXTS}, a AS ({_top('scored', 16)}), b AS ({_top('lex', 16)}),
  m AS (SELECT unit_id, query_id, record_id, max(score) AS score, string_agg(ch, ',' ORDER BY ch) AS channels
    FROM (SELECT *, 'raw_semantic' AS ch FROM a UNION ALL SELECT *, 'raw_lexical' FROM b) GROUP BY 1, 2, 3)
 SELECT query_id, record_id, score, channels, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY unit_id, query_id ORDER BY score DESC, record_id) AS INTEGER) AS rank FROM m) WHERE rank <= 8""",
 )
 def multi_channel(spark, d):
-    queries, records = _texts(spark, d)
+    """All vectors in one channel and all texts in the other; a record needs only one of them."""
     k = R.PREFETCH_K["locomo"]
-    channels = {"raw_semantic": R.vector_topk(queries, records, k), "raw_lexical": R.lexical_topk(queries, records, k)}
+    channels = {"raw_semantic": R.vector_topk(*_sides(spark, d), k), "raw_lexical": R.lexical_topk(*_texts(spark, d), k)}
     found = R.multi_channel(channels, R.TOP_K["locomo"])
     return found.select("query_id", "record_id", "score", F.array_join("channels", ",").alias("channels"), "rank")
 

@@ -237,18 +237,14 @@ def committed_item_count(spark, d):
 
 @query(
     "conversation_aggregate",
-    f"""WITH {Q.ANSWERS}, p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM answers)
-SELECT 'c' || conv_id AS conversation_id, pos // 2 AS chunk, string_agg(question_id, ',' ORDER BY pos) AS question_ids, md5(string_agg(generated_answer, '|' ORDER BY pos)) AS answers_md5 FROM p GROUP BY ALL""",
+    f"""WITH {Q.ANSWERS} SELECT 'c' || conv_id AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS item_pos, question_id, md5(generated_answer) AS answer_md5 FROM answers""",
 )
 def conversation_aggregate(spark, d):
     rows = T.answers(spark, d).withColumn("conversation_id", F.concat(F.lit("c"), "conv_id"))
     found = RP.conversation_aggregate(
-        rows, [F.col("turn")], F.floor(F.col("turn") / 1000), ["question_id", "generated_answer"], chunk_items=2
-    )
-    text = F.array_join(F.transform("predictions", lambda p: p["generated_answer"]), "|")
-    return found.select(
-        "conversation_id", "chunk", F.array_join("question_ids", ",").alias("question_ids"), F.md5(text).alias("answers_md5")
+        rows, [F.col("turn")], F.floor(F.col("turn") / 1000), ["question_id", "generated_answer"]
     )
+    return found.select("conversation_id", "item_pos", "question_id", F.md5("generated_answer").alias("answer_md5"))
 
 
 @query(
@@ -571,20 +567,32 @@ def config_drift(spark, d):
     return L.config_drift(recorded, rows.filter("config_id % 5 <> 0").select("config_id", F.sha2(text, 256).alias("sha256")))
 
 
+def _fingerprint_sql(questions: str) -> str:
+    return f"""sha256('{{"benchmark":"locomo","dataset":{{"name":"' || o_orderpriority || '","sha256":"' || o_custkey || '"}},"evaluation":{{}},{questions}"framework":"' || o_orderstatus
+ || '","framework_config":{{"profile":"p"}},"judge_contract":{{}},"models":{{"answerer":{{"provider":"x"}},"judge":{{}}}},"schema_version":2,"selection":{{"ids":["*"]}}}}')"""
+
+
 @query(
     "config_fingerprint",
-    """SELECT o_orderkey, sha256('{"benchmark":"locomo","dataset":{"name":"' || o_orderpriority || '","sha256":"' || o_custkey || '"},"evaluation":{},"framework":"' || o_orderstatus
- || '","framework_config":{"profile":"p"},"judge_contract":{},"models":{"answerer":{"provider":"x"},"judge":{}},"schema_version":2,"selection":{"ids":["*"]}}') AS fingerprint FROM orders""",
+    f"""SELECT o_orderkey, {_fingerprint_sql("")} AS fingerprint,
+ {_fingerprint_sql("""\"expected_question_ids\":["q1","q' || o_orderkey % 2 || '"],""")} AS of_questions FROM orders""",
 )
 def config_fingerprint(spark, d):
+    """Without and with the set of questions, of which there are two."""
     parts = F.format_string(
         '{"paths": {"out": "/tmp/%s"}, "framework": "%s", "benchmark": "locomo", "selection": {"ids": ["*"]}, '
         '"framework_config": {"profile": "p", "path": "/x"}, "models": {"answerer": {"provider": "x", "rpm": 200}}, '
         '"dataset": {"sha256": "%s", "path": "/y", "name": "%s", "revision": null}}',
         F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_custkey").cast("string"), "o_orderpriority",
     )
-    rows = T.table(spark, d, "orders").select("o_orderkey", parts.alias("config"))
-    return rows.select("o_orderkey", L.config_fingerprint(F.col("config")).alias("fingerprint"))
+    asked = F.array(F.lit("q1"), F.concat(F.lit("q"), (F.col("o_orderkey") % 2).cast("string")))
+    rows = T.table(spark, d, "orders").select("o_orderkey", parts.alias("config"), asked.alias("asked"))
+    config = F.col("config")
+    return rows.select(
+        "o_orderkey",
+        L.config_fingerprint(config).alias("fingerprint"),
+        L.config_fingerprint(config, expected_question_ids=F.col("asked")).alias("of_questions"),
+    )
 
 
 _DIGEST = """sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","text":' || CAST(to_json(text) AS VARCHAR) || '}')"""

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import padded
 from ..operators.sampling import QUESTION_TYPES
-from ..session import spread
 
 OFFSETS = (1, -1, 0, 2, 3)
 
@@ -21,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows carry long texts, spread over the cores where it has few splits."""
-    return spread(table(spark, sf_dir, name))
+    """A table whose rows carry long texts."""
+    return table(spark, sf_dir, name)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

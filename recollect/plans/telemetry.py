@@ -277,10 +277,14 @@ _STALLS = """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS run_id, lag(epoch_us(
 
 @query(
     "stall_alerts",
-    f"{_STALLS} SELECT run_id, l AS last_progress, l + 1200000000 AS fired_at, r AS resumed_at FROM g WHERE r - l > 1200000000",
+    f"""{_STALLS}, e AS (SELECT max(epoch_us(ts)) AS until FROM events), o AS (SELECT run_id, l, r, r AS till FROM g
+ UNION ALL SELECT run_id, max(r), NULL, any_value(until) FROM g, e GROUP BY run_id)
+SELECT run_id, l AS last_progress, l + 1200000000 AS fired_at, r AS resumed_at FROM o WHERE till - l > 1200000000""",
 )
 def stall_alerts(spark, d):
-    rows = TE.stall_alerts(T.steps(spark, d), "run_id", T.day())
+    """Stalls that ended, and those still open at the last event of all."""
+    steps = T.steps(spark, d)
+    rows = TE.stall_alerts(steps, "run_id", T.day(), until=steps.agg(F.max("ts")).scalar())
     return rows.select("run_id", *[micros(c).alias(c) for c in ("last_progress", "fired_at", "resumed_at")])
 
 

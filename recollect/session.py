@@ -60,13 +60,3 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or new_path(spark, name)
     df.write.mode("errorifexists").parquet(target)
     return spark.read.parquet(target)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on input with few splits.
-
-    A small single-file table is redistributed; input that has a split per core, as every
-    large table has, is returned unchanged and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

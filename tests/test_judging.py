@@ -87,9 +87,9 @@ def test_retries_are_bounded_and_failures_stay_in_their_row(spark):
 
 
 def test_request_rate_is_shared_by_the_partitions():
-    assert CallPolicy(requests_per_minute=200, partitions=1).min_interval == pytest.approx(0.3)
-    assert CallPolicy(requests_per_minute=200, partitions=10).min_interval == pytest.approx(3.0)
-    assert CallPolicy().min_interval == 0.0
+    assert CallPolicy(requests_per_minute=200).min_interval(1) == pytest.approx(0.3)
+    assert CallPolicy(requests_per_minute=200).min_interval(10) == pytest.approx(3.0)
+    assert CallPolicy().min_interval(4) == 0.0
 
 
 def test_prompts(col_values):

@@ -27,6 +27,10 @@ def test_fingerprint_ignores_paths_and_tuning(spark):
     frame = spark.createDataFrame([(json.dumps(c),) for c in (base, moved, other)], "t string")
     a, b, c = [r[0] for r in frame.select(L.config_fingerprint(F.col("t"))).collect()]
     assert a == b != c
+    ids = F.array(F.lit("q1"), F.lit("q2"))
+    asked = [r[0] for r in frame.select(L.config_fingerprint(F.col("t"), expected_question_ids=ids)).collect()]
+    fewer = [r[0] for r in frame.select(L.config_fingerprint(F.col("t"), expected_question_ids=F.slice(ids, 1, 1))).collect()]
+    assert len({a, asked[0], fewer[0]}) == 3 and asked[0] == asked[1]
 
 
 def test_secrets(col_values):

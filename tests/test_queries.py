@@ -49,7 +49,7 @@ def same_rows(spark, duck, name):
 
 def test_names_agree():
     assert set(ORACLES) <= set(QUERIES) and set(bench.HEADLINES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"sample_qa_exact", "attach_judgment", "artifact_manifest"}
+    assert set(QUERIES) - set(ORACLES) == {"attach_judgment", "artifact_manifest"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -1,6 +1,5 @@
 import hashlib
 import math
-import random
 from collections import Counter
 
 import pytest
@@ -28,8 +27,6 @@ def test_bad_settings_are_refused(spark):
     frame = spark.range(3)
     with pytest.raises(ValueError):
         P.stratified_sample(frame, ["id"], 0.0)
-    with pytest.raises(ValueError):
-        P.stratified_sample(frame, ["id"], 0.5, mode="other")
     with pytest.raises(ValueError):
         P.sample_size(F.lit(1), 0.5, "up")
     with pytest.raises(ValueError):
@@ -54,20 +51,9 @@ def questions(spark, per_category):
     return spark.createDataFrame(rows, "conversation_idx bigint, question_idx int, category int")
 
 
-def test_exact_mode_repeats_the_seeded_draws(spark):
-    frame = questions(spark, {2: 7, 10: 9, 1: 5})
-    got = {(r["conversation_idx"], r["question_idx"]) for r in P.sample_qa(frame, 0.4, 7, "ceil", "category", "exact").collect()}
-    twister, want, start = random.Random(7), set(), {2: 0, 10: 7, 1: 16}
-    for category, n in sorted({"2": 7, "10": 9, "1": 5}.items()):
-        for at in twister.sample(range(n), math.ceil(n * 0.4)):
-            want.add((0, start[int(category)] + at))
-    assert got == want
-
-
-@pytest.mark.parametrize("mode", ["hash", "exact"])
-def test_one_of_two_per_category(spark, mode):
+def test_one_of_two_per_category(spark):
     frame = questions(spark, {1: 2, 2: 2})
-    sample = P.sample_qa(frame, 0.5, 7, "ceil", "category", mode)
+    sample = P.sample_qa(frame, 0.5, 7, "ceil", "category")
     assert Counter(r["category"] for r in sample.collect()) == {1: 1, 2: 1}
     counts = P.sampling_counts(frame, sample, ["question_idx"], F.col("category"))
     row = P.sampling_manifest(counts, {"fraction": 0.5}, True).first()
@@ -75,24 +61,16 @@ def test_one_of_two_per_category(spark, mode):
     assert (row["population_count"], row["sample_count"]) == (4, 2)
 
 
-@pytest.mark.parametrize("mode", ["hash", "exact"])
-def test_one_conversation_of_twenty(spark, mode):
+def test_one_conversation_of_twenty(spark):
     frame = spark.range(20).select(F.col("id").alias("conversation_idx"))
-    assert P.sample_conversations(frame, 0.05, 7, "ceil", mode).count() == 1
-
-
-def test_exact_mode_refuses_big_populations(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_EXACT_POPULATION", 10)
-    with pytest.raises(ValueError, match="mode='hash'"):
-        P.sample_conversations(spark.range(11).select(F.col("id").alias("conversation_idx")), 0.5, mode="exact")
+    assert P.sample_conversations(frame, 0.05, 7, "ceil").count() == 1
 
 
 def test_per_type_takes_known_types_only(spark):
     rows = [(f"q{i}", ("multi-session", "temporal-reasoning", "mystery")[i % 3]) for i in range(30)]
     frame = spark.createDataFrame(rows, "question_id string, question_type string")
-    for mode in ("hash", "exact"):
-        got = Counter(r["question_type"] for r in P.sample_per_type(frame, 4, 7, mode=mode).collect())
-        assert got == {"multi-session": 4, "temporal-reasoning": 4}
+    got = Counter(r["question_type"] for r in P.sample_per_type(frame, 4, 7).collect())
+    assert got == {"multi-session": 4, "temporal-reasoning": 4}
     assert P.sample_per_type(frame, 99, 7, ["mystery"]).count() == 10
 
 
