@@ -719,7 +719,7 @@ def check_required(spark, d):
     kept = {k: v for k, v in parts.items() if k != "question_type"}
     body = F.to_json(F.struct(*[v.alias(k) for k, v in kept.items()]))
     # A key that is there with a null value is not missing.
-    document = F.concat(F.lit('{"question_type":null,'), F.substring(body, 2, 2_000_000_000))
+    document = F.concat(F.lit('{"question_type":null,'), F.substr(body, F.lit(2)))
     rows = T.table(spark, d, "documents").select("doc_id", document.alias("value"))
     return V.check_required(rows, "value").select("doc_id", F.array_join("missing", ",").alias("missing"))
 
@@ -739,8 +739,8 @@ def check_conversation_structure(spark, d):
 
 @query(
     "check_complete",
-    f"""WITH {Q.QA}, e AS (SELECT question_id, conv_id * 1000 + turn AS position FROM qa WHERE turn < 6),
-p0 AS (SELECT question_id, conv_id * 1000 + turn + CASE WHEN conv_id % 10 = 3 THEN 1 ELSE 0 END AS position, CASE WHEN conv_id % 8 = 1 THEN 1 ELSE 2 END AS v FROM qa WHERE turn <> 2),
+    f"""WITH {Q.QA}, e AS (SELECT question_id, conv_id * 1000000 + turn AS position FROM qa WHERE turn < 6),
+p0 AS (SELECT question_id, conv_id * 1000000 + turn + CASE WHEN conv_id % 10 = 3 THEN 1 ELSE 0 END AS position, CASE WHEN conv_id % 8 = 1 THEN 1 ELSE 2 END AS v FROM qa WHERE turn <> 2),
 p AS (SELECT * FROM p0 UNION ALL SELECT * FROM p0 WHERE position % 7 = 0),
 g AS (SELECT question_id, count(*) AS times, min(position) AS seen_at, bool_or(v <> 2) AS old FROM p GROUP BY 1),
 b AS (SELECT coalesce(g.question_id, e.question_id) AS question_id, times, seen_at, old, e.position AS want FROM g FULL JOIN e ON g.question_id = e.question_id)
@@ -751,10 +751,10 @@ UNION ALL SELECT question_id, 'order' FROM b WHERE seen_at <> want""",
 def check_complete(spark, d):
     conv, turn = F.col("conv_id"), F.col("turn")
     rows = T.qa(spark, d)
-    expected = rows.filter("turn < 6").select("question_id", (conv * 1000 + turn).alias("position"))
+    expected = rows.filter("turn < 6").select("question_id", (conv * 1_000_000 + turn).alias("position"))
     once = rows.filter("turn <> 2").select(
         "question_id",
-        (conv * 1000 + turn + F.when(conv % 10 == 3, 1).otherwise(0)).alias("position"),
+        (conv * 1_000_000 + turn + F.when(conv % 10 == 3, 1).otherwise(0)).alias("position"),
         F.when(conv % 8 == 1, 1).otherwise(2).alias("schema_version"),
     )
     twice = once.unionByName(once.filter("position % 7 = 0"))

@@ -337,11 +337,11 @@ def ingest_barrier(spark, d):
 
 @query(
     "min_count_check",
-    """SELECT s.source, coalesce(n, 0) AS item_count FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY 1) USING (source) WHERE coalesce(n, 0) < 9""",
+    """SELECT source || '/' || lang AS unit, count(*) AS item_count FROM documents GROUP BY 1 HAVING count(*) < 9""",
 )
 def min_count_check(spark, d):
-    rows = T.table(spark, d, "documents")
-    return R.below_minimum(rows.filter("lang = 'fr'"), "source", 9, rows)
+    rows = T.table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("unit"))
+    return R.below_minimum(rows, "unit", 9, rows)
 
 
 _TOTALS = """tot AS (SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS prompt_tokens, count(*) AS completion_tokens, CAST(sum(length(text)) + count(*) AS BIGINT) AS total_tokens, max(turn) AS calls FROM conversations GROUP BY 1)"""

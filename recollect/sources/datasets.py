@@ -36,7 +36,11 @@ PINNED_DATASETS = (
 
 
 def _array_items(spark: SparkSession, path: str, item: str, position: str) -> DataFrame:
-    """(position, item) of a document whose root is a JSON array."""
+    """(position, item) of a document whose root is a JSON array.
+
+    One document is one row in one task, so it must be smaller than Spark's largest value
+    (2 GiB); it is for the files as they are published. Larger data comes as lines.
+    """
     text = spark.read.text(path, wholetext=True)
     is_array = F.startswith(F.ltrim("value"), F.lit("["))
     parsed = F.when(is_array, F.from_json("value", f"array<{item}>")).otherwise(
@@ -59,7 +63,7 @@ def _items(spark, path, item, position, layout) -> DataFrame:
     return read(spark, path, item, position)
 
 
-def read_locomo(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
+def read_locomo(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """(conversation_idx, conversation map, qa array); the map keeps the dynamic session keys."""
     rows = _items(spark, path, S.CONVERSATION, "conversation_idx", layout)
     valid = F.col("item.conversation").isNotNull() & F.col("item.qa").isNotNull()
@@ -69,7 +73,7 @@ def read_locomo(spark: SparkSession, path: str, layout: str = "array") -> DataFr
     return rows.withColumn("item", checked).select("conversation_idx", "item.*")
 
 
-def read_longmemeval(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
+def read_longmemeval(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """(question_pos, question fields and haystack arrays)."""
     rows = _items(spark, path, S.QUESTION, "question_pos", layout)
     return rows.select("question_pos", "item.*")

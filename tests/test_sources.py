@@ -57,14 +57,14 @@ QUESTIONS = [
 def conversations(spark, tmp_path):
     path = tmp_path / "conversations.json"
     path.write_text(json.dumps(CONVERSATIONS, indent=1))
-    return SD.read_locomo(spark, str(path))
+    return SD.read_locomo(spark, str(path), layout="array")
 
 
 @pytest.fixture
 def questions(spark, tmp_path):
     path = tmp_path / "questions.json"
     path.write_text(json.dumps(QUESTIONS))
-    return SD.read_longmemeval(spark, str(path))
+    return SD.read_longmemeval(spark, str(path), layout="array")
 
 
 def test_conversation_file_to_records(conversations):
@@ -109,12 +109,12 @@ def test_broken_conversations_are_refused(spark, tmp_path):
     path = tmp_path / "bad.json"
     path.write_text(json.dumps({"not": "an array"}))
     with pytest.raises(Exception, match="JSON array"):
-        SD.read_locomo(spark, str(path)).collect()
+        SD.read_locomo(spark, str(path), layout="array").collect()
     broken = json.loads(json.dumps(CONVERSATIONS))
     del broken[0]["conversation"]["session_1_date_time"]
     path.write_text(json.dumps(broken))
     with pytest.raises(Exception, match="no date for"):
-        N.unpivot_sessions(SD.read_locomo(spark, str(path))).collect()
+        N.unpivot_sessions(SD.read_locomo(spark, str(path), layout="array")).collect()
 
 
 def test_registry_and_pins(spark, tmp_path):
