@@ -121,6 +121,8 @@ class Records:
         cut = use & hot & ~self.inner
         keep = use & ~cut
         parts = [[self.key[keep], self.whole[keep], self.start[keep], self.count[keep], self.inner[keep]]]
+        if not cut.any():
+            return tuple(parts[0])
         seed, first, end = self.seed[cut], self.start[cut], (self.start + self.count)[cut]
         for low in range(0, width - SEED_BYTES + 1, PIECE_STRINGS):
             a, b = np.maximum(first, seed - low - PIECE_STRINGS + 1), np.minimum(end, seed - low + 1)
@@ -337,34 +339,32 @@ def _merge_bucket(bucket: Bucket, rolling: Rolling, width: int) -> tuple[np.ndar
     open_, _ = bucket.open_keys()
     use = np.flatnonzero(bucket.first & np.isin(bucket.group, open_))
     uids, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    parts: list[bytes] = []
-    mine: list[int] = []
-    size = 0
-    groups = np.flatnonzero(np.diff(bucket.group[use], prepend=-1, append=-1))
-    for a, b in zip(groups[:-1], groups[1:]):
-        members = use[a:b]
-        strings = [bucket.data[o : o + c + width - 1] for o, c in zip(bucket.offset[members], bucket.count[members])]
-        keep = _with_repeats(rolling, strings, width)
-        parts += [s for s, k in zip(strings, keep) if k]
-        mine += members[keep].tolist()
-        size += sum(len(s) for s, k in zip(strings, keep) if k)
-        if parts and (size >= MERGE_BYTES or b == len(use)):
-            found = later_strings(parts, bucket.uid[mine], bucket.start[mine], width)
+    if not len(use):
+        return uids[0], starts[0]
+    strings = [bucket.data[o : o + c + width - 1] for o, c in zip(bucket.offset[use], bucket.count[use])]
+    keep = np.flatnonzero(_with_repeats(rolling, strings, bucket.group[use], width))
+    # whole minimizers, about MERGE_BYTES at a time
+    size = np.cumsum([len(strings[i]) for i in keep])
+    last = np.flatnonzero(np.diff(bucket.group[use[keep]], append=-1))
+    ends = last[np.unique(size[last] // MERGE_BYTES, return_index=True)[1]] + 1 if len(last) else last
+    for a, b in zip([0, *ends], [*ends, len(keep)]):
+        mine = use[keep[a:b]]
+        if len(mine):
+            found = later_strings([strings[i] for i in keep[a:b]], bucket.uid[mine], bucket.start[mine], width)
             uids.append(found[0])
             starts.append(found[1])
-            parts, mine, size = [], [], 0
     return np.concatenate(uids), np.concatenate(starts)
 
 
-def _with_repeats(rolling: Rolling, strings: list[bytes], width: int) -> np.ndarray:
-    """Which strings have a window that occurs again; equal windows have equal hashes, so none is lost."""
+def _with_repeats(rolling: Rolling, strings: list[bytes], groups: np.ndarray, width: int) -> np.ndarray:
+    """Which strings have a window that occurs again in their group; equal windows have equal hashes, so none is lost."""
     data = np.frombuffer(b"".join(strings), np.uint8)
     length = np.array([len(s) for s in strings])
     part = np.repeat(np.arange(len(strings)), length - width + 1)
     first = np.cumsum(length) - length
     windows = length - width + 1
     at = np.arange(len(part)) - np.repeat(np.cumsum(windows) - windows, windows) + first[part]
-    hashes = rolling.ranges(rolling.prefix(data), at, at + width)
+    hashes = rolling.ranges(rolling.prefix(data), at, at + width) ^ mixed(groups + 1)[part]
     order = np.argsort(hashes)
     same = hashes[order[1:]] == hashes[order[:-1]]
     keep = np.zeros(len(strings), bool)
