@@ -1,13 +1,14 @@
 """Repeated byte strings by merged Burrows-Wheeler transforms.
 
 Every string of ``width`` bytes has a minimizer: the least hash of its ``SEED_BYTES``-byte
-substrings. Neighbouring strings with the same minimizer form one record, about 140 bytes
-for 40 strings, and equal strings lie in records of equal minimizer. So
+substrings. Neighbouring strings whose first minimizer is at the same place form one record,
+about 140 bytes for 40 strings. Equal strings lie in records of equal minimizer, as far from
+its place, and so no two strings of one record are equal. So
 
 1. records are counted by minimizer. A record whose bytes start earlier elsewhere is removed
    as a whole. Of unequal records with one minimizer, those stay open that agree in the bytes
    before it or after it, half a string long: any equal strings cover one of the two. Records
-   with repeats inside stay open too;
+   of a minimizer that a document repeats within a string stay open too;
 2. open records (picked in the scan by a bounded bitmap) meet by minimizer.
    Each task cuts them into shards, sorts each shard's suffixes and merges the shards'
    transforms by interleave refinement: in every round the rows of the merged transform are
@@ -88,7 +89,8 @@ class Records:
         at = np.arange(n - SEED_BYTES + 1)
         hashes = rolling.ranges(self.prefix, at, at + SEED_BYTES)
         least = _least(hashes, span)
-        self.start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        # a string that starts with its minimizer is the last one of that place
+        self.start = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1])]))
         self.count = np.diff(np.append(self.start, len(least)))
         own = least[self.start]
         self.key = mixed(own)  # least hashes are small ones; keys spread over all buckets
@@ -101,14 +103,10 @@ class Records:
         value = hashes[seeds]
         close = (value[1:] == value[:-1]) & (seeds[1:] - seeds[:-1] <= span)
         self.inner = np.isin(own, value[1:][close]) if close.any() else np.zeros(len(own), bool)
-        # for records without inner repeats: the only place of the minimizer in the record
-        first = np.searchsorted(value, own)
-        last = np.searchsorted(value, own, side="right")
-        self.seed = seeds[np.minimum(first, len(seeds) - 1)]
-        many = last - first > 1
-        for r in np.flatnonzero(many & ~self.inner):
-            places = seeds[first[r] : last[r]]
-            self.seed[r] = places[np.searchsorted(places, self.start[r])]
+        # the first place of the minimizer from the record's start on
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        ranked = (np.cumsum(new) - 1) * n + seeds
+        self.seed = seeds[np.searchsorted(ranked, np.searchsorted(value[new], own) * n + self.start)]
         half = (width - SEED_BYTES + 1) // 2
         self.sides = np.zeros((len(self.key), 2), np.uint16)
         for side, at in enumerate((self.seed - half, self.seed + SEED_BYTES)):

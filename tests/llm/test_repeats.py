@@ -55,6 +55,26 @@ def test_hot_line_in_different_surroundings(spark, monkeypatch):
     assert sorted(repr((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), list(r.kept))) for r in got) == brute(rows, 100, list)
 
 
+def lines_in_surroundings(rng, n):
+    """Texts around one line that some of them repeat at once, others not."""
+    word = lambda k: "".join(rng.choice(list("abcdefgh"), k))
+    line, tail = word(int(rng.integers(30, 76))), word(90)
+    kinds = [f"{line}{line}{tail}", f"{word(60)}{line}{tail}", f"{word(60)}{line}{line}{word(60)}", f"{word(20)}{line}{line}{line}{tail}{word(9)}"]
+    return [kinds[k] if k < 4 else f"{word(50)}{line * int(rng.integers(1, 4))}{tail[: int(rng.integers(30, 90))]}{word(50)}" for k in range(n)]
+
+
+def assert_bytes_equal_brute_force(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.remove_repeats(docs, 100).collect()
+    assert sorted(repr((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), list(r.kept))) for r in got) == brute(rows, 100, list)
+
+
+def test_line_repeated_at_once_in_one_document_only(spark):
+    rng = np.random.default_rng(11)
+    texts = [t for _ in range(40) for t in lines_in_surroundings(rng, 2)]
+    assert_bytes_equal_brute_force(spark, list(enumerate(texts)))
+
+
 def test_null_and_repeated_ids(unnamed, empty_docs):
     rows = [tuple(r) for r in unnamed.collect()]
     got = substring_dedup.remove_repeats(unnamed, 20).collect()
