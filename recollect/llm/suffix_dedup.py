@@ -7,8 +7,7 @@ its place, and so no two strings of one record are equal. So
 
 1. records are counted by minimizer. A record whose bytes start earlier elsewhere is removed
    as a whole. Of unequal records with one minimizer, those stay open that agree in the bytes
-   before it or after it, half a string long: any equal strings cover one of the two. Records
-   of a minimizer that a document repeats within a string stay open too;
+   before it or after it, half a string long: any equal strings cover one of the two;
 2. open records (picked in the scan by a bounded bitmap) meet by minimizer.
    Each task cuts them into shards, sorts each shard's suffixes and merges the shards'
    transforms by interleave refinement: in every round the rows of the merged transform are
@@ -49,7 +48,7 @@ END = 0xFF  # in no UTF-8 text
 SEED = 21
 SENT = pa.schema(
     [("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("whole", pa.binary()),
-     ("at", pa.binary()), ("uids", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("inner", pa.binary()),
+     ("at", pa.binary()), ("uids", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()),
      ("sides", pa.binary()), ("bytes", pa.binary()), ("shard", pa.int64())]
 )
 SENT_DDL = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in SENT)
@@ -77,7 +76,7 @@ def record_id(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 class Records:
-    """Records of one document: minimizer, hash of the bytes, start, count of strings, inner repeats, place of the minimizer.
+    """Records of one document: minimizer, hash of the bytes, start, count of strings, place of the minimizer.
 
     ``sides`` are 16-bit hashes of the half strings before and after the minimizer, 0 where
     the document ends before.
@@ -101,8 +100,6 @@ class Records:
         order = np.lexsort((seeds, hashes[seeds]))
         seeds = seeds[order]
         value = hashes[seeds]
-        close = (value[1:] == value[:-1]) & (seeds[1:] - seeds[:-1] <= span)
-        self.inner = np.isin(own, value[1:][close]) if close.any() else np.zeros(len(own), bool)
         # the first place of the minimizer from the record's start on
         new = np.concatenate([[True], value[1:] != value[:-1]])
         ranked = (np.cumsum(new) - 1) * n + seeds
@@ -115,10 +112,10 @@ class Records:
             self.sides[fits, side] = (hashed >> np.uint64(49)).astype(np.uint16) + np.uint16(1)
 
     def pieces(self, rolling: Rolling, use: np.ndarray, hot: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-        """(key, whole, start, count, inner) of the records in ``use``, those in ``hot`` cut into runs that share a longer piece."""
-        cut = use & hot & ~self.inner
+        """(key, whole, start, count) of the records in ``use``, those in ``hot`` cut into runs that share a longer piece."""
+        cut = use & hot
         keep = use & ~cut
-        parts = [[self.key[keep], self.whole[keep], self.start[keep], self.count[keep], self.inner[keep]]]
+        parts = [[self.key[keep], self.whole[keep], self.start[keep], self.count[keep]]]
         if not cut.any():
             return tuple(parts[0])
         seed, first, end = self.seed[cut], self.start[cut], (self.start + self.count)[cut]
@@ -128,7 +125,7 @@ class Records:
             a, b, at = a[use], b[use], seed[use] - low
             left, right = np.maximum(at, 0), np.minimum(at - PIECE_STRINGS + 1 + width, len(self.prefix) - 1)
             key = mixed(rolling.ranges(self.prefix, left, right) ^ mixed(np.full(1, low + 1, np.uint64)))
-            parts.append([key, rolling.ranges(self.prefix, a, b + width - 1), a, b - a, np.zeros(len(a), bool)])
+            parts.append([key, rolling.ranges(self.prefix, a, b + width - 1), a, b - a])
         return tuple(np.concatenate(c) for c in zip(*parts))
 
 
@@ -164,7 +161,7 @@ class Chunk:
             return
         found = Records(self.rolling, np.frombuffer(data, np.uint8), self.width)
         if self.open is None:
-            self.docs.append((uid, None, found.key, found.whole, found.start, found.count, found.inner, found.sides))
+            self.docs.append((uid, None, found.key, found.whole, found.start, found.count, found.sides))
         elif (use := set_in(self.open, record_id(found.key, found.whole))).any():
             parts = found.pieces(self.rolling, use, set_in(self.hot, found.key), self.width)
             self.docs.append((uid, data, *parts, np.zeros((len(parts[0]), 2), np.uint16)))
@@ -175,13 +172,13 @@ class Chunk:
             return
         uids = np.array([d[0] for d in docs], np.int64)
         doc = np.repeat(np.arange(len(docs)), [len(d[2]) for d in docs])
-        key, whole, start, count, inner, sides = (np.concatenate([d[i] for d in docs]) for i in range(2, 8))
+        key, whole, start, count, sides = (np.concatenate([d[i] for d in docs]) for i in range(2, 7))
         order = np.lexsort((start, doc, whole, key))
         k, w = key[order], whole[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])]) if len(k) else np.zeros(0, bool)
         later = order[~new]
         for shard, n, ids, at, counts in by_shard(uids[doc[later]], start[later], count[later], self.shards):
-            yield (shard % self.buckets, chunk, n, None, None, at, ids, None, counts, None, None, None, shard)
+            yield (shard % self.buckets, chunk, n, None, None, at, ids, None, counts, None, None, shard)
         order = order[new]
         bucket = (key[order] >> np.uint64(64 - (self.buckets.bit_length() - 1))).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
@@ -193,7 +190,7 @@ class Chunk:
             if self.open is not None:
                 data = b"".join(docs[d][1][s : s + c + self.width - 1] for d, s, c in zip(doc[me], start[me], count[me]))
             yield (int(bucket[a]), chunk, int(b - a), rising(key[me]), packed(whole[me]), planes(start[me]), names, planes(doc[me]),
-                   planes(count[me]), packed(np.packbits(inner[me])), packed(sides[me]), data, -1)
+                   planes(count[me]), packed(sides[me]), data, -1)
 
 
 class Bucket:
@@ -208,18 +205,17 @@ class Bucket:
             parts.append([
                 from_rising(r["keys"], n), np.frombuffer(r["whole"], np.uint64), uids[from_planes(r["docs"], n).astype(np.int64)],
                 from_planes(r["at"], n).astype(np.int64), from_planes(r["counts"], n).astype(np.int64),
-                np.unpackbits(np.frombuffer(r["inner"], np.uint8), count=n).astype(bool),
                 np.frombuffer(r["sides"], np.uint16).reshape(-1, 2),
             ])
-        key, whole, uid, start, count, inner, sides = (np.concatenate(c) for c in zip(*parts))
+        key, whole, uid, start, count, sides = (np.concatenate(c) for c in zip(*parts))
         length = count + width - 1
         offset = np.cumsum(length) - length
         order = np.argsort(key)
         same = key[order[1:]] == key[order[:-1]]
-        order = order[np.append(same, False) | np.concatenate([[False], same]) | inner[order]]
+        order = order[np.append(same, False) | np.concatenate([[False], same])]
         order = order[np.lexsort((start[order], uid[order], whole[order], key[order]))]
-        self.key, self.whole, self.uid, self.start, self.count, self.inner, self.sides, self.offset = (
-            x[order] for x in (key, whole, uid, start, count, inner, sides, offset)
+        self.key, self.whole, self.uid, self.start, self.count, self.sides, self.offset = (
+            x[order] for x in (key, whole, uid, start, count, sides, offset)
         )
         whole = self.whole
         new_key = np.concatenate([[True], self.key[1:] != self.key[:-1]]) if len(order) else np.zeros(0, bool)
@@ -227,16 +223,14 @@ class Bucket:
         self.first[1:] |= whole[1:] != whole[:-1]
         self.group = np.cumsum(new_key) - 1
 
-    def open_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Group numbers with unequal records or inner repeats, and how many unequal ones each group has."""
-        kinds = np.bincount(self.group[self.first], minlength=int(self.group.max(initial=-1)) + 1)
-        inner = np.bincount(self.group, self.inner, len(kinds)) > 0
-        return np.flatnonzero((kinds > 1) | inner), kinds
+    def open_keys(self) -> np.ndarray:
+        """Group numbers with unequal records."""
+        return np.flatnonzero(np.bincount(self.group[self.first]) > 1)
 
     def open_records(self) -> np.ndarray:
-        """Of the first of equal records, those with inner repeats or with a side in common with another of their minimizer."""
+        """Of the first of equal records, those with a side in common with another of their minimizer."""
         first = np.flatnonzero(self.first)
-        found = [first[self.inner[first]]]
+        found = []
         for side in self.sides.T:
             rows = first[side[first] > 0]
             rows = rows[np.lexsort((side[rows], self.group[rows]))]
@@ -334,8 +328,7 @@ def _neighbours(uid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _merge_bucket(bucket: Bucket, rolling: Rolling, width: int) -> tuple[np.ndarray, np.ndarray]:
-    open_, _ = bucket.open_keys()
-    use = np.flatnonzero(bucket.first & np.isin(bucket.group, open_))
+    use = np.flatnonzero(bucket.first & np.isin(bucket.group, bucket.open_keys()))
     uids, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if not len(use):
         return uids[0], starts[0]

@@ -75,6 +75,12 @@ def test_line_repeated_at_once_in_one_document_only(spark):
     assert_bytes_equal_brute_force(spark, list(enumerate(texts)))
 
 
+def test_hot_line_that_some_documents_repeat_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    assert_bytes_equal_brute_force(spark, list(enumerate(t for _ in range(3) for t in lines_in_surroundings(rng, 40))))
+
+
 def test_null_and_repeated_ids(unnamed, empty_docs):
     rows = [tuple(r) for r in unnamed.collect()]
     got = substring_dedup.remove_repeats(unnamed, 20).collect()
