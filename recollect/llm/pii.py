@@ -4,7 +4,7 @@ A match is validated (check digits, calendar dates, octets, numbering rules), re
 number below the count of values of its format, and permuted by a keyed Feistel network
 with cycle walking. Equal values thus get equal pseudonyms in every document, different
 values different ones, and the pseudonym passes the same validation. Layout (spaces,
-dashes, separators) stays as it was.
+dashes, separators) stays as it was, and so does the script of decimal digits.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -23,9 +24,10 @@ from .common import by_bytes
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+OTHER_DIGIT = re.compile(r"(?![0-9])\d")
 SPANS = "array<struct<kind string, start int, length int>>"
 
-# Formats that are looked for, most specific first.
+# Formats that are looked for, most specific first; digits of other scripts are read as 0-9 before.
 PATTERNS = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@])"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
@@ -105,6 +107,18 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
 
+def _read(text: str) -> str:
+    """``text`` with 0-9 for the decimal digits of any script."""
+    return text if text.isascii() else OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+
+
+def _in_script(old: str, new: str) -> str:
+    """``new`` with its digits in the scripts that ``old`` has at their places."""
+    if old.isascii() or len(old) != len(new):
+        return new
+    return "".join(chr(ord(o) - unicodedata.decimal(o) + int(c)) if c in DIGITS and o.isdecimal() else c for o, c in zip(old, new))
+
+
 def _card(key: bytes, text: str) -> str | None:
     d = _digits(text)
     if luhn_digit(d[:-1]) != d[-1]:
@@ -220,9 +234,10 @@ def pseudonymizer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, int,
     finders = [(kind, re.compile(p)) for kind, p in PATTERNS]
     gate = re.compile(r"[0-9@=:]")
 
-    def apply(text: str) -> tuple[str, list[tuple[str, int, int]]]:
+    def apply(original: str) -> tuple[str, list[tuple[str, int, int]]]:
+        text = _read(original)
         if not gate.search(text):
-            return text, []
+            return original, []
         found: list[tuple[int, int, str, str]] = []
         taken = bytearray(len(text))
         for kind, finder in finders:
@@ -235,14 +250,14 @@ def pseudonymizer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, int,
                     found.append((start, end, kind, new))
                     taken[start:end] = b"\x01" * (end - start)
         if not found:
-            return text, []
+            return original, []
         out, spans, at, size = [], [], 0, 0
         for start, end, kind, new in sorted(found):
-            out += [text[at:start], new]
+            out += [original[at:start], _in_script(original[start:end], new)]
             size += start - at
             spans.append((kind, size, len(new)))
             size, at = size + len(new), end
-        return "".join([*out, text[at:]]), spans
+        return "".join([*out, original[at:]]), spans
 
     return apply
 

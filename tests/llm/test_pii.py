@@ -36,6 +36,18 @@ def test_layouts_of_one_card_are_linked():
     assert digits[0] == digits[1] == digits[2]
 
 
+@pytest.mark.parametrize("zero", "\uff10\u0660\u0966")
+@pytest.mark.parametrize("kind", ["card", "ip", "ssn", "phone", "iban", "date"])
+def test_digits_of_other_scripts(kind, zero):
+    turned = lambda s, step=1: "".join(chr(ord(zero) + int(c)) if c in pii.DIGITS[::step] else c for c in s)
+    plain, spans = APPLY(f"x1 {VALUES[kind]} y")
+    assert APPLY(turned(f"x1 {VALUES[kind]} y")) == (turned(plain), spans) and spans[0][0] == kind
+    mixed, found = APPLY(turned(f"x1 {VALUES[kind]} y", 2))
+    assert found == spans and pii._read(mixed) == plain
+    for other in ("1 4111111111111112", "1 000-00-0000", "=+999999999", "1 1984-02-30"):
+        assert APPLY(turned(other))[0].isprintable()
+
+
 def test_secrets_change():
     text, spans = APPLY('password=b7db7aa4a5fcc78305 token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"')
     assert [s[0] for s in spans] == ["secret", "secret"] and "b7db7aa4a5fcc78305" not in text and "1beb58b8" not in text
