@@ -181,7 +181,13 @@ def _date(key: bytes, text: str) -> str | None:
         return None
     if not 0 <= at <= LAST_DAY - FIRST_DAY:
         return None
-    fits = lambda x: all(len(v) == len(w) for v, w in zip(shown(x), parts))
+
+    def short(x: int) -> tuple[bool, bool]:
+        date = dt.date.fromordinal(x + FIRST_DAY)
+        return date.month < 10, date.day < 10
+
+    # in every layout, so that equal dates with and without leading zeros stay linked
+    fits = lambda x: short(x) == short(at)
 
     def shown(x: int) -> list[str]:
         date = dt.date.fromordinal(x + FIRST_DAY)
@@ -223,6 +229,25 @@ def _access_key(key: bytes, text: str) -> str | None:
     return text[:4] + _by_class(Feistel(key, "access_key"), text[4:])
 
 
+# Characters at which a match of these kinds may end early, if as a whole it isn't valid or runs into another.
+ENDS = {"card": " -", "iban": " ", "phone": " .-"}
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTH = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
+
+
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a match at ``start:end`` may end: the longest first, before all an IBAN of its country's length."""
+    ends = [end, *(i for i in range(end - 1, start, -1) if text[i] in ENDS.get(kind, ""))]
+    if kind == "iban":
+        ends.sort(key=lambda e: e - start - text.count(" ", start, e) != IBAN_LENGTH.get(text[start : start + 2]))
+    return ends
+
+
 PSEUDONYMS = {
     "email": _email, "access_key": _access_key, "secret": _secret, "iban": _iban, "date": _date,
     "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone,
@@ -241,14 +266,19 @@ def pseudonymizer(key: bytes) -> Callable[[str], tuple[str, list[tuple[str, int,
         found: list[tuple[int, int, str, str]] = []
         taken = bytearray(len(text))
         for kind, finder in finders:
-            for m in finder.finditer(text):
+            at = 0
+            while m := finder.search(text, at):
                 start, end = m.span("secret") if kind == "secret" else m.span()
-                if any(taken[start:end]):
-                    continue
-                new = PSEUDONYMS[kind](key, text[start:end])
-                if new is not None:
-                    found.append((start, end, kind, new))
-                    taken[start:end] = b"\x01" * (end - start)
+                at = m.start() + 1  # a valid value may start inside of what is not one
+                for stop in _ends(kind, text, start, end):
+                    if any(taken[start:stop]) or (stop < end and not finder.fullmatch(text, start, stop)):
+                        continue
+                    new = PSEUDONYMS[kind](key, text[start:stop])
+                    if new is not None:
+                        found.append((start, stop, kind, new))
+                        taken[start:stop] = b"\x01" * (stop - start)
+                        at = stop
+                        break
         if not found:
             return original, []
         out, spans, at, size = [], [], 0, 0

@@ -48,6 +48,29 @@ def test_digits_of_other_scripts(kind, zero):
         assert APPLY(turned(other))[0].isprintable()
 
 
+@pytest.mark.parametrize("after", ["05/27", "737", "12/05/2024", "1984-02-29", "4111111111111111", "EUR", "BIC 1234"])
+@pytest.mark.parametrize("kind", ["card", "phone", "iban"])
+def test_values_before_other_digits_and_capitals(kind, after):
+    values = [VALUES[kind]] if kind != "iban" else [VALUES[kind], "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "DE89370400440532013000"]
+    for value in values:
+        text, spans = APPLY(f"x {value} {after} y")
+        assert (kind, 2, len(value)) in spans and text.startswith(f"x {APPLY(value)[0]} ")
+
+
+def test_values_after_other_digits():
+    for before, value in (("05", VALUES["card"]), ("12/05/2024", VALUES["card"]), ("XX12", VALUES["iban"])):
+        assert APPLY(f"{before} {value}")[0].endswith(APPLY(value)[0])
+
+
+@given(st.dates(dt.date(1900, 1, 1), dt.date(2099, 12, 31)))
+def test_layouts_of_one_date_are_linked(day):
+    shown = [f"{day:%Y-%m-%d}", f"{day:%d.%m.%Y}", f"{day.day}.{day.month}.{day.year}", f"{day.day}/{day.month}/{day.year}"]
+    got = [APPLY(t)[0] for t in shown]
+    assert [len(g) for g in got] == [len(t) for t in shown]
+    parts = [[int(x) for x in g.replace("-", ".").replace("/", ".").split(".")] for g in got]
+    assert parts[0][::-1] == parts[1] == parts[2] == parts[3]
+
+
 def test_secrets_change():
     text, spans = APPLY('password=b7db7aa4a5fcc78305 token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"')
     assert [s[0] for s in spans] == ["secret", "secret"] and "b7db7aa4a5fcc78305" not in text and "1beb58b8" not in text
