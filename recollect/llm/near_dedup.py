@@ -5,6 +5,8 @@ keeps the smallest hash of its bucket as leading-zero count plus mantissa bits.
 registers give the buckets in which documents meet (within a size class, as documents that
 differ much in size can't be alike); pairs there are filtered by a bound and by the
 collision-corrected estimate of the similarity, and verified on their full shingle sets.
+Short documents fill few bands, so they meet by the shingles of least hash instead, as many
+as an alike one must share one of; no pair of two short documents is missed.
 
 No bucket is read whole by a task and no bucket sends out all of its pairs:
 
@@ -33,7 +35,8 @@ from .common import (
 from .components import components
 
 REGISTERS = 256
-BANDS, ROWS = 32, 5  # a pair at 0.85 shares no band once in 10**8 pairs, at 0.8 once in 3 * 10**5
+BANDS, ROWS = 32, 5  # a pair of large sets at 0.85 shares no band once in 10**8 pairs, at 0.8 once in 3 * 10**5
+SHORT = 48  # shingles up to which sets meet by single ones
 BLOCK = 1024  # documents of a bucket that a task compares with as many others
 NEAR = 16  # groups up to this size are compared all at once
 CLASS_RATIO = 2.0
@@ -84,13 +87,23 @@ def band_keys(wide: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, n
     return keys, np.concatenate([full + c * BANDS for c in classes]), tags
 
 
+def prefix_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the least of a short set's sorted ``hashes``: of two alike sets, both hold their least common one."""
+    n = len(hashes)
+    return mixed(~hashes[: n + 1 - -(-percent * n // 100)]) if 0 < n <= SHORT else np.zeros(0, np.uint64)
+
+
 def signatures(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, n, digest, registers, tags, keys, places) of each row; ``n`` is 0 for a text without words."""
+    """(doc_id, n, digest, registers, tags, prefix, keys, places) of each row; ``n`` is 0 for a text without words.
+
+    The place of a key in ``prefix`` is -1. Short sets have band keys only if a set that isn't short can be alike.
+    """
+    percent = round(threshold * 100)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(SEED)
         for batch in batches:
-            sizes, digests, narrows, keys, places, all_tags = [], [], [], [], [], []
+            sizes, digests, narrows, keys, places, all_tags, prefixes = [], [], [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(rolling, text_bytes(text.as_py()).lower().split())
                 wide, narrow = registers(hashes)
@@ -98,19 +111,25 @@ def signatures(docs: DataFrame, threshold: float) -> DataFrame:
                 digests.append(hashlib.blake2b(packed(hashes), digest_size=16).digest())
                 narrows.append(packed(narrow))
                 key, place, tags = band_keys(wide, len(hashes), threshold)
-                keys.append(key.view(np.int64))
-                places.append(place.astype(np.int64))
+                if 100 * len(hashes) < percent * (SHORT + 1):
+                    key, place = key[:0], place[:0]
+                prefix = prefix_keys(hashes, percent)
+                keys.append(np.concatenate([key, prefix]).view(np.int64))
+                places.append(np.concatenate([place, np.full(len(prefix), -1)]).astype(np.int64))
                 all_tags.append(packed(tags))
+                prefixes.append(packed(prefix))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(narrows, pa.binary()),
-                 pa.array(all_tags, pa.binary()), flat(keys), flat(places)],
-                ["doc_id", "n", "digest", "registers", "tags", "keys", "places"],
+                 pa.array(all_tags, pa.binary()), pa.array(prefixes, pa.binary()), flat(keys), flat(places)],
+                ["doc_id", "n", "digest", "registers", "tags", "prefix", "keys", "places"],
             )
 
     rows = by_bytes(docs.select(F.col("doc_id").cast("long"), "text"))
-    return rows.mapInArrow(sign, "doc_id long, n long, digest binary, registers binary, tags binary, keys array<long>, places array<long>")
+    return rows.mapInArrow(
+        sign, "doc_id long, n long, digest binary, registers binary, tags binary, prefix binary, keys array<long>, places array<long>"
+    )
 
 
 class Judge:
@@ -129,7 +148,8 @@ class Judge:
         possible &= np.minimum(na, nb) >= self.t * np.maximum(na, nb) - 1e-9
         share = (agree / np.maximum(filled, 1) - COLLISION) / (1 - COLLISION)
         low = self.t - DEVIATIONS * np.sqrt(self.t * (1 - self.t) / np.maximum(filled, 1))
-        return np.where(possible & (share >= low), share, -1.0)
+        fine = (share >= low) | (np.maximum(na, nb) <= SHORT)
+        return np.where(possible & fine, np.maximum(share, 0.0), -1.0)
 
 
 def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,6 +158,10 @@ def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np
     block, comp, n, place = (np.asarray(table[c]) for c in ("block", "comp", "n", "place"))
     regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
     tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint32).reshape(-1, BANDS)
+    held = [np.frombuffer(p, np.uint64) for p in table["prefix"].to_pylist()]
+    prefix = np.zeros((len(held), max(map(len, held), default=0)), np.uint64)  # no key is 0
+    for row in np.flatnonzero(place < 0):
+        prefix[row, : len(held[row])] = held[row]
     size = size_class(n)
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
     end = np.append(start[1:], len(key))
@@ -147,13 +171,22 @@ def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np
 
     def tried(i: np.ndarray, j: np.ndarray) -> None:
         # a pair of one block is compared where that block meets itself, and any pair only
-        # in the first band and the largest class that its documents share
+        # in the first band and the largest class that its documents share, or, if both are
+        # short, by the first shingle of both prefixes
         use = (comp[i] != comp[j]) & ((block[i] != block[j]) | (bi[i] == bj[i]))
-        use &= np.minimum(size[i], size[j]) == place[i] // BANDS
+        short = place[i] < 0
+        use &= short | (np.minimum(size[i], size[j]) == place[i] // BANDS) & (np.maximum(n[i], n[j]) > SHORT)
+        use &= np.minimum(n[i], n[j]) >= judge.t * np.maximum(n[i], n[j]) - 1e-9
         i, j = i[use], j[use]
         for at in range(0, len(i), 1 << 15):
             x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
             first = ((tags[x] == tags[y]) & (tags[x] != 0)).argmax(1) == place[x] % BANDS
+            short = np.flatnonzero(place[x] < 0)
+            if len(short):
+                mine, common = prefix[x[short]], np.zeros((len(short), prefix.shape[1]), bool)
+                for other in prefix[y[short]].T:
+                    common |= mine == other[:, None]
+                first[short] = mine[np.arange(len(short)), (common & (mine != 0)).argmax(1)] == key[x[short]].view(np.uint64)
             x, y = x[first], y[first]
             e = judge.estimate(regs[x], n[x], regs[y], n[y])
             left.append(x[e >= 0])
@@ -174,7 +207,7 @@ def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np
 
 
 def candidate_pairs(met: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Distinct (a, b), a < b, of ``met`` (key, place, blocks, doc_id, comp, n, registers, tags) that may be alike.
+    """Distinct (a, b), a < b, of ``met`` (key, place, blocks, doc_id, comp, n, registers, tags, prefix) that may be alike.
 
     With ``best_only`` each document names only its best partner in each pair of blocks.
     """
@@ -199,7 +232,7 @@ def candidate_pairs(met: DataFrame, threshold: float, best_only: bool) -> DataFr
     rows = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     rows = rows.select(
         "key", F.least("block", "other").cast("long").alias("bi"), F.greatest("block", "other").cast("long").alias("bj"),
-        F.col("block").cast("long").alias("block"), "doc_id", "comp", "n", "place", "registers", "tags",
+        F.col("block").cast("long").alias("block"), "doc_id", "comp", "n", "place", "registers", "tags", "prefix",
     )
     sorted_rows = by_bytes(rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block"))
     return sorted_rows.mapInArrow(compare, "a long, b long").distinct()
@@ -256,14 +289,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         signed.join(classes, ["n", "digest"])
         .filter("doc_id = rep")
         .dropDuplicates(["doc_id", "n", "digest"])
-        .select("doc_id", "n", "registers", "tags", "keys", "places")
+        .select("doc_id", "n", "registers", "tags", "prefix", "keys", "places")
     )
     reps = stage(reps, "representatives")
     bands = reps.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("x"))
     bands = bands.select("doc_id", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = stage(bands.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).drop("size"), "buckets")
-    light = reps.select("doc_id", "n", "registers", "tags")
+    light = reps.select("doc_id", "n", "registers", "tags", "prefix")
 
     first = met.join(light, "doc_id").withColumn("comp", F.col("doc_id"))
     tried = stage(candidate_pairs(first, threshold, True), "pairs")

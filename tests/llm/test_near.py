@@ -63,6 +63,20 @@ def test_classes_equal_brute_force(spark, families, awkward_rows, percent, monke
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("percent, words", [(80, 8), (85, 10), (80, 38), (80, 51), (80, 56)])
+def test_short_pairs_equal_brute_force(spark, percent, words):
+    rows, common = [], [f"common{j}" for j in range(6)]
+    for k in range(700 if words < 20 else 60):
+        text = [f"w{k}x{j}" for j in range(words)]
+        if words > 20 and k % 2:
+            text[:6] = common
+        extra = 1 if words < 20 else 1 + k % 9
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text, *(f"more{k}x{j}" for j in range(extra))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(docs, percent).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent)
+
+
 def test_rows_without_own_ids(spark, unnamed, awkward, empty_docs):
     got = near_dedup.near_duplicates(unnamed).collect()
     assert len(got) == unnamed.count()
