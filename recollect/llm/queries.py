@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxscore, near_dedup, packing, pii, ppm, quality, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, manifest, maxscore, near_dedup, packing, pii, ppm, quality, substring_dedup, suffix_dedup, url_filter
 from .common import table
 
 URL_RULES = [
@@ -213,6 +213,75 @@ select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') a
 from split left join fits using (page_id)
 """
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(levels: int, crown: int) -> str:
+    """Trees of up to 8 ** levels rows a lang and 8 ** crown langs, one CTE per level."""
+
+    def tree(name: str, first: str, n: int) -> list[str]:
+        parts = [first]
+        for k in range(n):
+            parts.append(
+                f"""{name}{k} as (
+    select *, count(*) over (partition by grp) > 1 as many,
+           coalesce(string_agg(h, '') over (run order by rank rows between unbounded preceding and 1 preceding), '') as l,
+           coalesce(string_agg(h, '') over (run order by rank rows between 1 following and unbounded following), '') as r
+    from {name}_nodes{k} window run as (partition by grp, rank // 8)
+), {name}_nodes{k + 1} as (
+    select grp, rank // 8 as rank, case when any_value(many) then sha256(string_agg(h, '' order by rank)) else any_value(h) end as h
+    from {name}{k} group by grp, rank // 8
+)"""
+            )
+        return parts
+
+    def frame(f: str) -> str:
+        return f"coalesce(strlen(cast({f} as varchar)) || ':' || cast({f} as varchar), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(frame(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::bigint)),
+        lambda c, b: list_reduce(
+            list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+    parts = [
+        f"""docs as (
+    select coalesce('l' || lang, '') as grp, doc_id, cast(doc_id as varchar) as s, {leaf("text")} as leaf, {leaf(lower)} as changed
+    from documents
+), placed as (
+    select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as place, {crc} % 3 = 0 as tampered
+    from docs
+)""",
+        *tree("g", "g_nodes0 as (select grp, place as rank, leaf as h from placed)", levels),
+        *tree("c", f"c_nodes0 as (select '' as grp, row_number() over (order by grp) - 1 as rank, h, grp as of from g_nodes{levels})", crown),
+    ]
+    fold, proof, joins = "case when tampered then changed else leaf end", [], []
+    steps = [(f"g{k}", f"g{k}.grp = placed.grp and g{k}.rank = place // {8**k}") for k in range(levels)]
+    steps += [(f"c{k}", f"c{k}.rank = o.rank // {8**k}") for k in range(crown)]
+    folds = []
+    for i, (t, on) in enumerate(steps):
+        joins.append(f"join {t} on {on}")
+        proof.append(f"{t}.l || {t}.r")
+        folds.append(f"{t}.many as m{i}, {t}.l as l{i}, {t}.r as r{i}")
+    parts.append(
+        f"""chains as (
+    select doc_id, leaf, o.h as subroot, {fold} as f0, sha256({" || ".join(proof)}) as proof_sha256, {", ".join(folds)}
+    from placed join c_nodes0 o on o.of = placed.grp {" ".join(joins)}
+)"""
+    )
+    for i in range(len(steps)):
+        hashed = f"case when m{i} then sha256(l{i} || f{i} || r{i}) else f{i} end"
+        parts.append(f"folded{i} as (select *, {hashed} as f{i + 1} from {f'folded{i - 1}' if i else 'chains'})")
+    last = len(steps) - 1
+    return (
+        "with " + ", ".join(parts) + f""" select doc_id, leaf, subroot, t.h as root, proof_sha256, f{last + 1} as folded_root,
+        f{last + 1} = t.h as verified from folded{last}, c_nodes{crown} t"""
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -224,6 +293,7 @@ QUERIES = {
     "op8_maxscore": op8_maxscore,
     "op9_ppm": op9_ppm,
     "op10_quality": op10_quality,
+    "op13_manifest": op13_manifest,
 }
 ORACLES = {
     "op1_decontamination": OP1_SQL,
@@ -231,4 +301,5 @@ ORACLES = {
     "op5_substring_dedup": OP5_SQL,
     "op7_near_dedup": OP7_SQL,
     "op8_maxscore": OP8_SQL,
+    "op13_manifest": _merkle_sql(levels=7, crown=3),
 }
