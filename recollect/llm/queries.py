@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, manifest, maxscore, near_dedup, packing, pii, ppm, quality, substring_dedup, suffix_dedup, url_filter
+from . import (
+    collocations,
+    decontaminate,
+    manifest,
+    maxscore,
+    near_dedup,
+    packing,
+    pii,
+    ppm,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+)
 from .common import table
 
 URL_RULES = [
@@ -213,6 +226,47 @@ select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') a
 from split left join fits using (page_id)
 """
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with texts as (
+    select row_number() over () as row, coalesce(lang, 'und') as lang,
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+    from documents
+), pieces as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+    from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from texts)
+), phrases as (
+    select lang, m as size, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f
+    from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from pieces, range(1, 5) lengths(m))
+    group by all
+), totals as (
+    select lang, sum(f) as n from phrases where size = 1 group by lang
+), known as (
+    select *, string_split(phrase, ' ') as w from phrases where f >= 30
+), cuts as (
+    select c.lang, c.phrase, c.f as a, k, x.f as l, y.f as r, (2000000::hugeint * c.f) // (x.f + y.f) as score
+    from (select *, unnest(range(1, size)) as k from known where size > 1) c
+    join known x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+    join known y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')
+), worst as (
+    select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inner_phrases as (
+    select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(f) as within
+    from (select lang, w, f, m, unnest(range(1, size - m + 2)) as i from known, range(2, 4) lengths(m) where m < size)
+    group by all
+), ranked as (
+    select worst.*, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank
+    from worst left join inner_phrases using (lang, phrase)
+    where within is null or 100::hugeint * within < 80 * a
+)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -293,6 +347,7 @@ QUERIES = {
     "op8_maxscore": op8_maxscore,
     "op9_ppm": op9_ppm,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
     "op13_manifest": op13_manifest,
 }
 ORACLES = {
@@ -301,5 +356,6 @@ ORACLES = {
     "op5_substring_dedup": OP5_SQL,
     "op7_near_dedup": OP7_SQL,
     "op8_maxscore": OP8_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_manifest": _merkle_sql(levels=7, crown=3),
 }
