@@ -16,6 +16,7 @@ from . import (
     pii,
     ppm,
     quality,
+    style_tree,
     substring_dedup,
     suffix_dedup,
     url_filter,
@@ -267,6 +268,10 @@ from ranked join totals using (lang) where rank <= 2000
 """
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -348,6 +353,7 @@ QUERIES = {
     "op9_ppm": op9_ppm,
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
+    "op12_html": op12_html,
     "op13_manifest": op13_manifest,
 }
 ORACLES = {
