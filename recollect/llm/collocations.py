@@ -30,9 +30,9 @@ PIECE_ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 PART_BYTES = 4 << 20  # of text for each merge partition
 LEAST_PARTS = 256
 BURST = 4096  # entries of a container
-ENTRIES = 2_000_000  # of a task's trie
+ENTRIES = 1_000_000  # of a task's trie
 ID_BITS = 21
-SEGMENT = 1 << 20  # words counted at a time
+SEGMENT = 1 << 19  # words counted at a time
 HOT_SHARE = 4  # a prefix with more than a part's share by this divisor is dealt by whole phrases
 SCALE = 2_000_000
 SALTS = 64
@@ -116,28 +116,34 @@ class HatTrie:
         """No room for the distinct words of another segment."""
         return len(self.words) > (1 << ID_BITS) - SEGMENT - LONGEST
 
-    def spilled(self, everything: bool) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-        """Subtrees, the largest first, as (lang, phrases, counts, word ids of each phrase)."""
-        keys = sorted(self.root, key=lambda k: -len(self.root[k]))
+    def spilled(self, everything: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """Subtrees, the largest first, as (lang, word ids of each phrase, counts) by lang and length."""
         everything = everything or self.numbers_full()
-        for key in keys:
+        held: dict[tuple[str, int], tuple[list, list, list, list]] = {}
+        for key in sorted(self.root, key=lambda k: -len(self.root[k])):
             if not everything and self.entries <= ENTRIES // 2:
-                return
+                break
             node = self.root.pop(key)
             self.entries -= len(node)
             lang, first, depth = key
-            packed = np.fromiter(node.keys(), np.int64, len(node))
-            counts = np.fromiter(node.values(), np.int64, len(node))
+            firsts, sizes, rests, counts = held.setdefault((lang, depth if first >= 0 else 0), ([], [], [], []))
+            firsts.append(first)
+            sizes.append(len(node))
+            rests += node.keys()
+            counts += node.values()
+        for (lang, depth), (firsts, sizes, rests, counts) in held.items():
+            packed = np.array(rests, np.int64)
             ids = np.empty((len(packed), depth + 1), np.int64)
-            ids[:, 0] = first
+            ids[:, 0] = np.repeat(firsts, sizes) if depth else packed
             for j in range(depth, 0, -1):
                 ids[:, j] = packed & ((1 << ID_BITS) - 1)
-                packed = packed >> ID_BITS
-            ids = ids[:, 1:] if first < 0 else ids
-            words = self.words
-            phrases = [b" ".join([words[i] for i in row]) for row in ids.tolist()]
-            yield lang, phrases, counts, ids
-        self.ids, self.words, self.hashes = {}, [], []
+                packed >>= ID_BITS
+            yield lang, ids, np.array(counts, np.int64)
+
+    def renumber(self) -> None:
+        """Start with new numbers once all subtrees are spilled."""
+        if not self.root:
+            self.ids, self.words, self.hashes = {}, [], []
 
 
 class _Node:
@@ -150,13 +156,16 @@ class _Node:
         self.add(list(container), list(container.values()))
 
     def add(self, rests: list[int], counts: list[int]) -> int:
-        grown = -self.size
+        below, shift, new = self.below, self.shift, 0
         for r, c in zip(rests, counts):
-            container = self.below.setdefault(r >> self.shift, {})
-            self.size -= len(container)
-            container[r] = container.get(r, 0) + c
-            self.size += len(container)
-        return grown + self.size
+            container = below.setdefault(r >> shift, {})
+            if r in container:
+                container[r] += c
+            else:
+                container[r] = c
+                new += 1
+        self.size += new
+        return new
 
     def __len__(self) -> int:
         return self.size
@@ -216,41 +225,48 @@ def _count_segment(trie: HatTrie, lang: str, words: list[bytes], lengths: range,
             trie.add(lang, int(first[a]), rests[a:b], counts[a:b], length - 1)
 
 
+def _parts(lang: str, ids: np.ndarray, hashes: np.ndarray, parts: int, hot: np.ndarray | None) -> np.ndarray:
+    """The partition of each phrase: that of its prefix, or its own where the prefix is hot."""
+    # The prefix is the first word of a pair and the first two words of longer phrases.
+    width = min(2, max(1, ids.shape[1] - 1))
+    prefix = np.full(len(ids), start_hash(lang))
+    for j in range(width):
+        prefix = next_hash(prefix, hashes[ids[:, j]])
+    if hot is not None:
+        whole = prefix
+        for j in range(width, ids.shape[1]):
+            whole = next_hash(whole, hashes[ids[:, j]])
+        prefix = np.where(set_in(hot, prefix), whole, prefix)
+    return (mixed(prefix) % np.uint64(parts)).astype(np.int64)
+
+
 def _runs(trie: HatTrie, parts: int, hot: np.ndarray | None, everything: bool) -> Iterator[pa.RecordBatch]:
-    """Spilled subtrees as one sorted run for each partition and language."""
+    """Spilled subtrees as sorted runs, one for each partition, language and length of phrases."""
     import zstandard
 
-    held: dict[str, list] = {}
-    hashes = np.array(trie.hashes, np.uint64)
-    for lang, phrases, counts, ids in trie.spilled(everything):
-        # The prefix is the first word of a pair and the first two words of longer phrases.
-        width = min(2, max(1, ids.shape[1] - 1))
-        prefix = np.full(len(ids), start_hash(lang))
-        for j in range(width):
-            prefix = next_hash(prefix, hashes[ids[:, j]])
-        if hot is not None:
-            whole = prefix
-            for j in range(width, ids.shape[1]):
-                whole = next_hash(whole, hashes[ids[:, j]])
-            prefix = np.where(set_in(hot, prefix), whole, prefix)
-        held.setdefault(lang, []).append((phrases, counts, (mixed(prefix) % np.uint64(parts)).astype(np.int64)))
     compressor = zstandard.ZstdCompressor(level=3)
-    for lang, pieces in held.items():
-        phrases = [p for piece in pieces for p in piece[0]]
-        counts, part = (np.concatenate([piece[k] for piece in pieces]) for k in (1, 2))
-        order = sorted(range(len(phrases)), key=phrases.__getitem__)
-        order = np.array(order, np.int64)[np.argsort(part[order], kind="stable")]
-        cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-        columns: tuple[list, ...] = ([], [], [], [], [])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            me = order[a:b]
-            row = (int(part[me[0]]), lang, compressor.compress(b"\n".join([phrases[i] for i in me])), planes(counts[me]), b - a)
-            for column, value in zip(columns, row):
-                column.append(value)
-        types = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
-        names = ["part", "lang", "run", "counts", "n"]
-        for a in range(0, len(columns[0]), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 256], t) for c, t in zip(columns, types)], names)
+    words, hashes = trie.words, np.array(trie.hashes, np.uint64)
+    for lang, ids, counts in trie.spilled(everything):
+        part = _parts(lang, ids, hashes, parts, hot)
+        columns = [[words[i] for i in ids[:, j].tolist()] for j in range(ids.shape[1])]
+        phrases = columns[0] if len(columns) == 1 else list(map(b" ".join, zip(*columns)))
+        order = np.array(sorted(range(len(phrases)), key=phrases.__getitem__), np.int64)
+        order = order[np.argsort(part[order], kind="stable")]
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
+        ordered, counts = [phrases[i] for i in order.tolist()], counts[order]
+        for at in range(0, len(cuts) - 1, 256):
+            some = list(zip(cuts[at : at + 256], cuts[at + 1 : at + 257]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(part[order[a]]) for a, _ in some], pa.int32()),
+                    pa.array([lang] * len(some), pa.string()),
+                    pa.array([compressor.compress(b"\n".join(ordered[a:b])) for a, b in some], pa.binary()),
+                    pa.array([planes(counts[a:b]) for a, b in some], pa.binary()),
+                    pa.array([b - a for a, b in some], pa.int64()),
+                ],
+                ["part", "lang", "run", "counts", "n"],
+            )
+    trie.renumber()
 
 
 def _merged(least: int, totals: bool):

@@ -84,8 +84,10 @@ def test_trie_keeps_counts_when_containers_burst(monkeypatch):
         trie.add("en", a, [b << collocations.ID_BITS | c], [i], 2)
         want[b" ".join(trie.words[x] for x in (a, b, c))] += i
     assert any(isinstance(n, collocations._Node) for n in trie.root.values()) and trie.entries == len(want)
-    got = {p: c for _, phrases, counts, _ in trie.spilled(True) for p, c in zip(phrases, counts.tolist())}
-    assert got == want
+    words = trie.words
+    for _, rows, counts in trie.spilled(True):
+        assert want == {b" ".join(words[i] for i in row): c for row, c in zip(rows.tolist(), counts.tolist())}
+    assert not trie.root and not trie.entries
 
 
 def test_awkward_rows(spark, awkward, awkward_rows):
