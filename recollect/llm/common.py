@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..session import new_path
 
 SPACE = 32
+LONG_WORD = 64  # bytes; words above are hashed one by one
 BATCH_BYTES = 8 << 20
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 27  # of a bitmap sent to all tasks
 
@@ -54,10 +55,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial (Rabin-Karp) hashes of byte ranges, modulo 2**64.
+    """Polynomial (Rabin-Karp) hashes of short byte ranges, modulo 2**64.
 
-    Every byte value stands for a random odd coefficient, so that no short family of
-    strings cancels as it would with the plain byte values.
+    Every byte value stands for a random odd coefficient. Ranges must be shorter than 1,024
+    bytes: some strings of that length (the Thue-Morse sequence over two byte values and its
+    complement) agree whatever the coefficients, and of 128 bytes such strings keep some 28 bits.
     """
 
     def __init__(self, seed: int) -> None:
@@ -76,9 +78,12 @@ class Rolling:
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Prefix sums of ``data`` (uint8), one longer than the data."""
-        self._powers = self._grown(self._powers, self.base, len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.coefficients[data] * self._powers[: len(data)], out=out[1:])
+        return self.sums(self.coefficients[data])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        self._powers = self._grown(self._powers, self.base, len(values) + 1)
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self._powers[: len(values)], out=out[1:])
         return out
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -96,14 +101,52 @@ def word_bounds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return data, starts, ends
 
 
-def shingle_hashes(rolling: Rolling, words: list[bytes], size: int = 5) -> np.ndarray:
+def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word: eight bytes at a time, each scrambled with what came before."""
+    import xxhash
+
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) + mixed(np.full(1, seed + 1, np.uint64)))
+    padded = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    short = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(short):
+        left = size[short] - at
+        block = padded[starts[short] + at].view("<u8").ravel()
+        block = block & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+        h[short] = mixed((h[short] ^ block) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at + 1))
+        at += 8
+        short = short[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return h
+
+
+class WordRolling:
+    """Rabin-Karp hashes of runs of words, modulo 2**64 over the words' 64-bit values.
+
+    Words are scrambled before they enter the polynomial, so no choice of bytes cancels in it.
+    Runs that differ by the order of words lose some bits: up to 14 of 64 for 16 words and
+    five for five words.
+    """
+
+    def __init__(self, seed: int) -> None:
+        self.rolling, self.seed = Rolling(seed), seed
+
+    def prefix(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.rolling.sums(word_values(data, starts, ends, self.seed))
+
+    def runs(self, prefix: np.ndarray, width: int) -> np.ndarray:
+        """The hash of each run of ``width`` words."""
+        start = np.arange(max(len(prefix) - width, 0))
+        return self.rolling.ranges(prefix, start, start + width)
+
+
+def shingle_hashes(rolling: WordRolling, words: list[bytes], size: int = 5) -> np.ndarray:
     """Distinct hashes of all runs of ``size`` words, sorted; a shorter text is one run."""
     if not words:
         return np.zeros(0, np.uint64)
-    data, starts, ends = word_bounds(words)
-    size = min(size, len(words))
-    prefix = rolling.prefix(data)
-    return np.unique(rolling.ranges(prefix, starts[: len(starts) - size + 1], ends[size - 1 :]))
+    return np.unique(rolling.runs(rolling.prefix(*word_bounds(words)), min(size, len(words))))
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -170,17 +213,24 @@ def set_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text): ``uid`` is unique and ordered as (doc_id, text), null ids first.
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` has a ``doc_id`` of its own."""
+    rows = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    return rows.filter("n > 1 or doc_id is null").isEmpty()
+
+
+def with_uid(docs: DataFrame, *others: str) -> DataFrame:
+    """(uid, doc_id, text, *others): ``uid`` is unique and ordered as (doc_id, text, *others), null ids first.
 
     It is the id itself where ids are unique and not null; else rows are sorted and numbered.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
-    ordered = rows.orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    return stage(ordered.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "numbered")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in others]
+    )
+    if unique_ids(docs):
+        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text", *others)
+    ordered = rows.orderBy(*[F.asc_nulls_first(c) for c in ("doc_id", "text", *others)])
+    return stage(ordered.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", *others), "numbered")
 
 
 P1, P2 = 2147483647, 1000000007

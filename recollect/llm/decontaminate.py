@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bitmap, bitmap_bits, by_bytes, set_in, stage, text_bytes, word_bounds
+from .common import WordRolling, bitmap, bitmap_bits, by_bytes, set_in, stage, text_bytes, word_bounds
 
 SHINGLE, SEED = 5, 1
 
@@ -39,13 +39,12 @@ def sketch_size(n: int, threshold: float) -> int:
     return min(n, largest - needed(largest, threshold) + 1)
 
 
-def _hashes(rolling: Rolling, words: list[bytes], widths: list[int]) -> np.ndarray:
+def _hashes(rolling: WordRolling, words: list[bytes], widths: list[int]) -> np.ndarray:
     """Distinct hashes of the runs of each width."""
     if not words:
         return np.zeros(0, np.uint64)
-    data, starts, ends = word_bounds(words)
-    prefix = rolling.prefix(data)
-    runs = [rolling.ranges(prefix, starts[: len(starts) - w + 1], ends[w - 1 :]) for w in widths if w <= len(words)]
+    prefix = rolling.prefix(*word_bounds(words))
+    runs = [rolling.runs(prefix, w) for w in widths if w <= len(words)]
     return np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
 
 
@@ -53,7 +52,7 @@ def item_shingles(items: DataFrame, threshold: float) -> DataFrame:
     """(item_row, item_id, width, n, hash, in_sketch), a row per distinct shingle of each item."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(SEED)
+        rolling = WordRolling(SEED)
         for batch in batches:
             rows = []
             for row, item_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -87,7 +86,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
     widths = list(shape["widths"])
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(SEED)
+        rolling = WordRolling(SEED)
         for batch in batches:
             rows, ids, found = [], [], []
             for i, (row, doc_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):

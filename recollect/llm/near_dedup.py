@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    Rolling, bitmap, bitmap_bits, by_bytes, grouped_batches, mixed, packed, set_in, shingle_hashes, stage, text_bytes,
+    WordRolling, bitmap, bitmap_bits, by_bytes, grouped_batches, mixed, packed, set_in, shingle_hashes, stage, text_bytes,
+    unique_ids, with_uid,
 )
 from .components import components
 
@@ -101,7 +102,7 @@ def signatures(docs: DataFrame, threshold: float) -> DataFrame:
     percent = round(threshold * 100)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(SEED)
+        rolling = WordRolling(SEED)
         for batch in batches:
             sizes, digests, narrows, keys, places, all_tags, prefixes = [], [], [], [], [], [], []
             for text in batch.column(1):
@@ -244,7 +245,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = bitmap(hashed, bitmap_bits(64 * hashed.count()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(SEED)
+        rolling = WordRolling(SEED)
         for batch in batches:
             use = np.flatnonzero(set_in(wanted, np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)))
             found = [shingle_hashes(rolling, text_bytes(batch.column(2)[int(i)].as_py()).lower().split()) for i in use]
@@ -271,24 +272,15 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return counted.filter(f"100L * shared >= {percent}L * (total - shared)").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
-
-    Documents whose sets of five-word shingles (A-Z lower-cased; a shorter text is one
-    shingle) have at least ``percent`` of their union in common are linked, and
-    ``component_id`` is the smallest id that links reach. Texts that are null or have no
-    words have an empty set and are alone. Rows with a null id are alone too, with a null
-    ``component_id``, and kept. Rows that share an id are one document with the links of
-    either text. Other columns are not carried; an empty table gives no rows.
-    """
+def classes_of(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, component) of each row of ``docs`` (doc_id, text), whose ids are unique and not null."""
     threshold = percent / 100
     signed = stage(signatures(docs, threshold), "signatures")
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
+    classes = signed.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
     classes = stage(classes, "classes")
     reps = (
         signed.join(classes, ["n", "digest"])
         .filter("doc_id = rep")
-        .dropDuplicates(["doc_id", "n", "digest"])
         .select("doc_id", "n", "registers", "tags", "prefix", "keys", "places")
     )
     reps = stage(reps, "representatives")
@@ -316,18 +308,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     final = stage(components(links.unionByName(new_links)), "components")
 
     result = signed.select("doc_id", "n").join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return result.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    return result.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
+
+    Documents whose sets of five-word shingles (A-Z lower-cased; a shorter text is one
+    shingle) have at least ``percent`` of their union in common are linked, and
+    ``component_id`` is the smallest id that links reach. Texts that are null or have no
+    words have an empty set and are alone. Rows with a null id are alone too, with a null
+    ``component_id``, and kept. Rows that share an id are documents of their own, each with
+    the links of its text. Other columns are not carried; an empty table gives no rows.
+    """
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("coalesce(doc_id = component_id, true)").alias("kept")]
+    if unique_ids(docs):
+        return classes_of(docs, percent).withColumnRenamed("component", "component_id").select(*columns)
+    rows = with_uid(docs)
+    named, ids = rows.filter("doc_id is not null"), rows.select("uid", "doc_id")
+    found = (
+        classes_of(named.select(F.col("uid").alias("doc_id"), "text"), percent)
+        .withColumnRenamed("doc_id", "uid")
+        .join(ids, "uid")
+        .join(ids.select(F.col("uid").alias("component"), F.col("doc_id").alias("component_id")), "component")
     )
+    alone = signatures(rows.filter("doc_id is null"), percent / 100).withColumn("component_id", F.col("doc_id"))
+    return found.select(*columns).unionByName(alone.select(*columns))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class; rows without an id stay, of rows that share one a single row does."""
-    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    alone = docs.filter("doc_id is null")
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(alone)
+    """``docs`` with one row of each class: the first by id, then by text and by the whole row.
+
+    Rows without an id stay. Rows that share an id are documents of their own, of which equal
+    ones are one class, so what stays does not depend on the run.
+    """
+    if unique_ids(docs):
+        gone = near_duplicates(docs, percent).filter("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
+    rows = with_uid(whole, "__row")
+    classes = classes_of(rows.filter("doc_id is not null").select(F.col("uid").alias("doc_id"), "text"), percent)
+    gone = classes.filter("doc_id <> component").select(F.col("doc_id").alias("uid"))
+    return rows.join(gone, "uid", "left_anti").select("__row.*")

@@ -82,11 +82,33 @@ def test_rows_without_own_ids(spark, unnamed, awkward, empty_docs):
     assert len(got) == unnamed.count()
     assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
     kept = near_dedup.keep_one(unnamed)
-    assert kept.columns == unnamed.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [7, 8]
+    assert kept.columns == unnamed.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [7, 7, 8]
     assert near_dedup.near_duplicates(empty_docs).count() == 0 and near_dedup.keep_one(empty_docs).count() == 0
     assert near_dedup.keep_one(awkward).columns == awkward.columns
 
 
+def test_rows_that_share_an_id_keep_the_links_of_each_text(spark):
+    base, other, third = prose(31, 200), prose(32, 210), prose(33, 220)
+    rows = [(7, base, "a"), (7, other, "b"), (8, changed(other, 1, 1), "c"), (9, changed(base, 1, 2), "d"), (10, third, "e"), (10, third, "f")]
+    for seed in range(2):
+        docs = spark.createDataFrame(rows[seed:] + rows[:seed], "doc_id long, text string, uid string").repartition(3)
+        got = near_dedup.near_duplicates(docs, 80).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(7, 7), (7, 7), (8, 7), (9, 7), (10, 10), (10, 10)]
+        kept = near_dedup.keep_one(docs, 80)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[1], rows[4]])
+
+
+def test_words_that_cancel_in_a_polynomial_link_nothing(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y z u"), (2, one.translate(str.maketrans("ab", "ba")) + " x y z u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.kept for r in near_dedup.near_duplicates(docs).collect()] == [True, True]
+    items = spark.createDataFrame(rows[:1], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contained_items(docs, items).collect()] == [1]
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 200), (None, 3), (300, 301), (301, 300)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -6,7 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from recollect.llm import substring_dedup, suffix_dedup
-from recollect.llm.common import Rolling, from_planes, from_rising, planes, rising
+from recollect.llm.common import Rolling, WordRolling, from_planes, from_rising, planes, rising, word_bounds, word_values
+
+from .conftest import prose
 
 
 def ordered(rows):
@@ -123,3 +125,47 @@ def test_rolling_hash_depends_on_the_bytes_alone(data):
     p, n = r.prefix(twice), len(data)
     a, b = r.ranges(p, np.array([3, 4 + n]), np.array([3 + n, 4 + 2 * n]))
     assert a == b
+
+
+def thue_morse(n):
+    """The sequence of length 2**n over a and b, and its complement."""
+    t = "a"
+    for _ in range(n):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [6, 7, 10, 11])
+def test_words_that_cancel_in_a_polynomial_differ(spark, n):
+    one, other = thue_morse(n)
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs, 20).collect()] == [0, 0]
+    data, starts, ends = word_bounds([one.encode(), other.encode()])
+    assert len(set(word_values(data, starts, ends, 1).tolist())) == 2
+
+
+def test_sequences_of_words_that_cancel_differ():
+    one, other = (list(t.encode()) for t in thue_morse(4))
+    words = [bytes([c]) for c in one], [bytes([c]) for c in other]
+    rolling = WordRolling(11)
+    assert rolling.runs(rolling.prefix(*word_bounds(words[0])), 16) != rolling.runs(rolling.prefix(*word_bounds(words[1])), 16)
+
+
+@given(st.lists(st.binary(min_size=1, max_size=90).filter(lambda w: b" " not in w), min_size=1, max_size=8))
+def test_word_values_depend_on_the_word_alone(words):
+    values = word_values(*word_bounds(words), 5).tolist()
+    assert values == [word_values(*word_bounds([w]), 5).tolist()[0] for w in words]
+    assert len(set(values)) == len(set(words))
+
+
+def test_bytes_of_a_chunk_do_not_grow_with_the_buckets():
+    def sent(buckets):
+        chunk = substring_dedup.Chunk(20, buckets, 8, 4)
+        for uid in range(60):
+            chunk.add(uid * 1000, prose(uid, 400))
+        rows = list(chunk.rows(0))
+        return sum(len(x) for r in rows for x in r if isinstance(x, bytes)), sum(r[3] for r in rows)
+
+    (few, n), (many, same) = sent(32), sent(4096)
+    assert n == same and many <= few + 24 * n
