@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import micros
 from ..functions.text import bounded_label, one_of
 from .ledger import percentage, progress_ratio
-from .ordered import previous_row, running_sum
+from .ordered import scan, stretches
 
 # Vocabularies, bucket bounds and alert limits.
 ALLOWED_EVENTS = (
@@ -232,26 +232,27 @@ def activity(update: DataFrame) -> DataFrame:
     )
 
 
-def live_progress(events: DataFrame, key: str, order: list[Column], bucket: Column) -> DataFrame:
-    """Add ``committed``: how many items of the run were done after each event."""
-    return running_sum(events, [key], order, bucket, F.lit(1), "committed")
+def live_progress(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Add ``committed``: how many items of the run were done after each event, in an ``order`` without ties."""
+    return scan(events, [key], order, sums={"committed": F.lit(1)})
 
 
 # --- queries over series ----------------------------------------------------------------
 
 
-def counter_increase(samples: DataFrame, series: list[str], bucket: Column) -> DataFrame:
+def counter_increase(samples: DataFrame, series: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``increase`` since the previous sample of the series; a drop is a counter reset
-    and counts the new value. The first sample has no increase."""
-    rows = previous_row(samples, series, [F.col("ts")], bucket, {"__v": F.col("value")})
+    and counts the new value. The first sample has no increase. Samples of one time follow
+    each other by ``ties``, then by value."""
+    order = [F.col(c) for c in ("ts", *ties, "value")]
+    rows = scan(samples, series, order, previous={"__v": F.col("value")})
     step = F.when(F.col("__v").isNull(), F.lit(0.0)).when(F.col("value") < F.col("__v"), F.col("value"))
     return rows.withColumn("increase", step.otherwise(F.col("value") - F.col("__v"))).drop("__v")
 
 
-def rate(samples: DataFrame, series: list[str], window_seconds: int, bucket: Column | None = None) -> DataFrame:
+def rate(samples: DataFrame, series: list[str], window_seconds: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """Per-second increase of each series in fixed windows, not extrapolated to the edges."""
-    day = F.to_date("ts") if bucket is None else bucket
-    steps = counter_increase(samples, series, day)
+    steps = counter_increase(samples, series, ties)
     slot = F.floor(F.unix_timestamp("ts") / window_seconds) * window_seconds
     return steps.groupBy(*series, slot.cast("bigint").alias("window_start")).agg(
         F.round(F.sum("increase") / window_seconds, 9).alias("rate")
@@ -291,7 +292,7 @@ def latest_results(results: DataFrame, benchmark: str = ".*", framework: str = "
 
 
 def stall_alerts(
-    progress: DataFrame, key: str, bucket: Column, until: Column | None = None,
+    progress: DataFrame, key: str, until: Column | None = None,
     quiet_seconds: int = STALL_SECONDS, hold_seconds: int = STALL_HOLD_SECONDS,
 ) -> DataFrame:
     """(key, last_progress, fired_at, resumed_at): gaps longer than quiet + hold.
@@ -299,12 +300,10 @@ def stall_alerts(
     ``until`` (an end time) also reports series that never came back.
     """
     limit = quiet_seconds + hold_seconds
-    rows = previous_row(progress.select(key, "ts"), [key], [F.col("ts")], bucket, {"last_progress": F.col("ts")})
-    gaps = rows.select(key, "last_progress", F.col("ts").alias("resumed_at")).filter("last_progress is not null")
-    if until is not None:
-        ends = progress.groupBy(key).agg(F.max("ts").alias("last_progress"))
-        open_gaps = ends.select(key, "last_progress", F.lit(None).cast("timestamp").alias("resumed_at"))
-        gaps = gaps.unionByName(open_gaps)
+    gaps = scan(
+        progress.select(key, F.col("ts").alias("last_progress")), [key], [F.col("last_progress")],
+        following={"resumed_at": F.col("last_progress")},
+    )
     end = F.coalesce("resumed_at", until if until is not None else F.col("resumed_at"))
     silent = micros(end) - micros("last_progress")
     fired = F.timestamp_micros(micros("last_progress") + limit * 1_000_000)
@@ -316,15 +315,15 @@ def failed_state_alerts(states: DataFrame) -> DataFrame:
     return states.filter(label_matches(F.col("state"), "FAILED_.*"))
 
 
-def down_alerts(
-    samples: DataFrame, key: str, bucket: Column, hold_seconds: int = DOWN_HOLD_SECONDS
-) -> DataFrame:
-    """(key, down_since, last_down, samples): stretches of ``up = 0`` held long enough."""
-    flagged = previous_row(samples, [key], [F.col("ts")], bucket, {"__was": F.col("up")})
-    changed = F.when(F.col("__was").eqNullSafe(F.col("up")), 0).otherwise(1)
-    numbered = running_sum(flagged, [key], [F.col("ts")], bucket, changed, "__stretch")
-    stretches = numbered.filter(F.col("up") == 0).groupBy(key, "__stretch").agg(
-        F.min("ts").alias("down_since"), F.max("ts").alias("last_down"), F.count(F.lit(1)).alias("samples")
+def down_alerts(samples: DataFrame, key: str, ties: tuple[str, ...] = (), hold_seconds: int = DOWN_HOLD_SECONDS) -> DataFrame:
+    """(key, down_since, last_down, samples): stretches of ``up = 0`` held long enough.
+
+    Samples of one time follow each other by ``ties``, then by ``up``.
+    """
+    found = stretches(
+        samples, [key], [F.col(c) for c in ("ts", *ties, "up")], F.col("up"),
+        {"first": F.min("ts"), "last": F.max("ts"), "n": F.count(F.lit(1))},
+        {"down_since": F.min("first"), "last_down": F.max("last"), "samples": F.sum("n")},
     )
     held = micros("last_down") - micros("down_since") >= hold_seconds * 1_000_000
-    return stretches.filter(held).drop("__stretch")
+    return found.filter((F.col("value") == 0) & held).drop("value")

@@ -129,7 +129,7 @@ def add_usage(*usages: Column) -> Column:
 
 
 def usage_delta(
-    snapshots: DataFrame, keys: list[str], order: list[Column], bucket: Column,
+    snapshots: DataFrame, keys: list[str], order: list[Column], bucket: Column | None = None,
     fields: tuple[str, ...] = MEMORY_FIELDS,
 ) -> DataFrame:
     """Differences of cumulative counters along ``keys``, floored at 0; the first row keeps its value."""

@@ -172,7 +172,8 @@ def legal_step(before: Column, after: Column, transitions: dict[str, tuple[str,
 
 
 def check_transitions(
-    states: DataFrame, key: str, order: list[Column], bucket: Column, transitions: dict[str, tuple[str, ...]] = RUN_TRANSITIONS
+    states: DataFrame, key: str, order: list[Column], bucket: Column | None = None,
+    transitions: dict[str, tuple[str, ...]] = RUN_TRANSITIONS,
 ) -> DataFrame:
     """Steps of one ``key`` that the state machine does not allow (``previous`` -> ``state``)."""
     rows = previous_row(states, [key], order, bucket, {"previous": F.col("state")})

@@ -818,12 +818,12 @@ def states(spark, d):
 
 @query(
     "check_transitions",
-    f"""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, {_STATE} AS state, lag({_STATE}) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events)
+    f"""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, {_STATE} AS state, lag({_STATE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
 SELECT run_id, event_id, previous, state FROM s WHERE previous IS NOT NULL AND (previous || '>' || state) NOT IN
  ('PREFLIGHT>RUNNING', 'PREFLIGHT>JUDGING', 'PREFLIGHT>EVALUATING', 'RUNNING>JUDGING', 'RUNNING>FAILED_RUNNING', 'JUDGING>EVALUATING')""",
 )
 def check_transitions(spark, d):
-    broken = V.check_transitions(states(spark, d), "run_id", [F.col("ts")], T.day())
+    broken = V.check_transitions(states(spark, d), "run_id", [F.col("ts"), F.col("event_id")])
     return broken.select("run_id", "event_id", "previous", "state")
 
 

@@ -392,9 +392,9 @@ def question_usage(spark, d):
 @query(
     "usage_delta",
     f"""WITH {Q.STEPS}, c AS (SELECT run_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS total_tokens FROM steps)
-SELECT run_id, event_id, greatest(0, total_tokens - coalesce(lag(total_tokens) OVER (PARTITION BY run_id ORDER BY ts), 0)) AS total_tokens_delta FROM c""",
+SELECT run_id, event_id, greatest(0, total_tokens - coalesce(lag(total_tokens) OVER (PARTITION BY run_id ORDER BY ts, event_id), 0)) AS total_tokens_delta FROM c""",
 )
 def usage_delta(spark, d):
     rows = T.steps(spark, d).select("run_id", "event_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("total_tokens"))
-    delta = U.usage_delta(rows, ["run_id"], [F.col("ts")], T.day(), ("total_tokens",))
+    delta = U.usage_delta(rows, ["run_id"], [F.col("ts"), F.col("event_id")], fields=("total_tokens",))
     return delta.select("run_id", "event_id", "total_tokens_delta")

@@ -182,7 +182,3 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("run_id"), "event_id", "ts", "event_type", "value", "props"
     )
-
-
-def day(column: str = "ts") -> Column:
-    return F.to_date(column)

@@ -207,23 +207,23 @@ def activity(spark, d):
 
 @query(
     "live_progress",
-    "SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts) AS committed FROM events WHERE event_type = 'view'",
+    "SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS committed FROM events WHERE event_type = 'view'",
 )
 def live_progress(spark, d):
     rows = T.steps(spark, d).filter("event_type = 'view'").select("run_id", "event_id", "ts")
-    return TE.live_progress(rows, "run_id", [F.col("ts")], T.day()).select("run_id", "event_id", "committed")
+    return TE.live_progress(rows, "run_id", [F.col("ts"), F.col("event_id")]).select("run_id", "event_id", "committed")
 
 
 # --- rates and panels -------------------------------------------------------------------
 
 _INCREASE = """inc AS (SELECT event_type, ts, user_id, CASE WHEN p IS NULL THEN 0.0 WHEN value < p THEN value ELSE value - p END AS increase
- FROM (SELECT *, lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts) AS p FROM events))"""
+ FROM (SELECT *, lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS p FROM events))"""
 _RATE = f"""{_INCREASE}, rt AS (SELECT event_type, user_id, epoch_us(ts) // 86400000000 * 86400 AS window_start, round(sum(increase) / 86400, 9) AS rate FROM inc GROUP BY ALL)"""
 
 
 def _rates(spark, d):
-    samples = T.table(spark, d, "events").select("event_type", "user_id", "ts", "value")
-    return TE.rate(samples, ["event_type", "user_id"], 86400)
+    samples = T.table(spark, d, "events").select("event_type", "user_id", "ts", "event_id", "value")
+    return TE.rate(samples, ["event_type", "user_id"], 86400, ties=("event_id",))
 
 
 @query("rate", f"WITH {_RATE} SELECT * FROM rt")
@@ -284,7 +284,7 @@ SELECT run_id, l AS last_progress, l + 1200000000 AS fired_at, r AS resumed_at F
 def stall_alerts(spark, d):
     """Stalls that ended, and those still open at the last event of all."""
     steps = T.steps(spark, d)
-    rows = TE.stall_alerts(steps, "run_id", T.day(), until=steps.agg(F.max("ts")).scalar())
+    rows = TE.stall_alerts(steps, "run_id", until=steps.agg(F.max("ts")).scalar())
     return rows.select("run_id", *[micros(c).alias(c) for c in ("last_progress", "fired_at", "resumed_at")])
 
 
@@ -298,14 +298,14 @@ def failed_state_alerts(spark, d):
 
 @query(
     "down_alerts",
-    """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts) AS t, CASE WHEN event_type IN ('error', 'view', 'click') THEN 0 ELSE 1 END AS up FROM events),
- m AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t) - row_number() OVER (PARTITION BY run_id, up ORDER BY t) AS g FROM s)
+    """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, epoch_us(ts) AS t, CASE WHEN event_type IN ('error', 'view', 'click') THEN 0 ELSE 1 END AS up FROM events),
+ m AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t, event_id) - row_number() OVER (PARTITION BY run_id, up ORDER BY t, event_id) AS g FROM s)
 SELECT run_id, min(t) AS down_since, max(t) AS last_down, count(*) AS samples FROM m WHERE up = 0 GROUP BY run_id, g HAVING max(t) - min(t) >= 60000000""",
 )
 def down_alerts(spark, d):
     up = F.when(F.col("event_type").isin("error", "view", "click"), 0).otherwise(1)
-    rows = T.steps(spark, d).select("run_id", "ts", up.alias("up"))
-    found = TE.down_alerts(rows, "run_id", T.day())
+    rows = T.steps(spark, d).select("run_id", "ts", "event_id", up.alias("up"))
+    found = TE.down_alerts(rows, "run_id", ties=("event_id",))
     return found.select("run_id", micros("down_since").alias("down_since"), micros("last_down").alias("last_down"), "samples")
 
 
