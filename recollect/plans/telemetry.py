@@ -338,7 +338,7 @@ def stream_counters(spark, d):
 )
 def stream_windowed_rate(spark, d):
     windows = progress.windowed_increase(
-        event_stream(spark, d), {"event_type": F.col("event_type")}, F.floor("value"), 3600
+        event_stream(spark, d), {"event_type": F.col("event_type")}, F.floor("value"), 3600, lateness="10 minutes"
     )
     return _run_updates(spark, windows, ["event_type", "window_start"])
 
@@ -351,14 +351,16 @@ def stream_live_commits(spark, d):
 
 @query(
     "stream_stall_alerts",
-    """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS series, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS l, epoch_us(ts) // 1000 AS r FROM events)
-SELECT series, l AS last_progress_ms, l + 1200000 AS fired_at_ms FROM g WHERE r - l > 1200000
-UNION ALL SELECT series, e, e + 1200000 FROM (SELECT CAST(user_id AS VARCHAR) AS series, max(epoch_us(ts) // 1000) AS e FROM events GROUP BY 1) WHERE e + 1200000 < (SELECT max(epoch_us(ts) // 1000) FROM events)""",
+    """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS series, epoch_us(ts) // 1000 AS l, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events),
+ w AS (SELECT max(epoch_us(ts) // 1000) - 600000 AS passed FROM events)
+SELECT series, l AS last_progress_ms, l + 1200000 AS fired_at_ms, CASE WHEN r < passed THEN r END AS resumed_at_ms FROM g, w WHERE (r IS NULL OR r - l > 1200000) AND l + 1200000 < passed""",
 )
 def stream_stall_alerts(spark, d):
     """The stateful alert over the whole stream, written once to a table and read back."""
     path, state = new_path(spark, "alerts"), new_path(spark, "alerts-checkpoint")
-    found = alerts.stall_alert_stream(event_stream(spark, d), "user_id")
+    own = spark.newSession()
+    own.conf.set(alerts.STATE_STORE, alerts.ROCKSDB)
+    found = alerts.stall_alert_stream(event_stream(own, d), "user_id", lateness="10 minutes")
     writer = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    return alerts.split_events(spark.read.parquet(path))[0]

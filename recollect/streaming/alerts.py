@@ -1,4 +1,13 @@
-"""The stall alert as a stateful stream: one timestamp of state and one timer per series."""
+"""The stall alert as a stateful stream that is right for rows in any order.
+
+Progress may arrive out of order by up to ``lateness``. A series keeps its last final
+progress, whether its alert is open, and the first and last time in every slot of the limit's
+length that the watermark has not passed: two rows of a slot are never more than the limit
+apart, so state grows with the time that is open, not with the rows of a busy series. Nothing
+is decided before the watermark has passed it, so no alert is ever taken back. An alert is
+reported when the watermark passes the limit, and once more, with the time, when its series
+resumes. Rows behind the watermark change nothing and go to a side output.
+"""
 
 from __future__ import annotations
 
@@ -7,69 +16,113 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.telemetry import STALL_HOLD_SECONDS, STALL_SECONDS, failed_state_alerts
 
-ALERT_SCHEMA = "series string, last_progress_ms bigint, fired_at_ms bigint"
-
-
-def _spans(batches: Iterator[pd.DataFrame], limit_ms: int) -> list[tuple[int, int]]:
-    """First and last time in every slot of ``limit_ms``, in order.
-
-    Two rows of one slot are never more than the limit apart, so a gap can only lie between
-    slots. What is held grows with the time covered, not with the rows of a busy series.
-    """
-    spans: dict[int, tuple[int, int]] = {}
-    for batch in batches:
-        times = batch["ts_ms"]
-        for slot, low, high in times.groupby(times // limit_ms).agg(["min", "max"]).itertuples():
-            first, last = spans.get(slot, (low, high))
-            spans[slot] = (min(first, low), max(last, high))
-    return [spans[slot] for slot in sorted(spans)]
-
-
-def _stall_function(limit_ms: int):
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        fired: list[tuple] = []
-        if state.hasTimedOut:
-            fired.append((key[0], last, last + limit_ms))
-            # Reported once; the next progress row starts the series again.
-            state.remove()
-        else:
-            for low, high in _spans(batches, limit_ms):
-                if last is not None and low - last > limit_ms:
-                    fired.append((key[0], last, last + limit_ms))
-                last = high if last is None else max(last, high)
-            last = int(last)
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last + limit_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(fired, columns=["series", "last_progress_ms", "fired_at_ms"])
-
-    return advance
+FIRED, RESUMED, LATE = "fired", "resumed", "late"
+ALERT_SCHEMA = "kind string, series string, last_progress_ms bigint, fired_at_ms bigint, resumed_at_ms bigint, late_ms bigint"
+COLUMNS = [c.split()[0] for c in ALERT_SCHEMA.split(", ")]
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class StallProcessor(StatefulProcessor):
+    def __init__(self, limit_ms: int) -> None:
+        self.limit = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint, open boolean")
+        self.slots = handle.getMapState("slots", "slot bigint", "low bigint, high bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        found: list[tuple] = []
+        spans: dict[int, tuple[int, int]] = {}
+        for batch in rows:
+            times = batch["ts_ms"]
+            found += [(LATE, key[0], None, None, None, int(t)) for t in times[times < passed]]
+            times = times[times >= passed]
+            for slot, low, high in times.groupby(times // self.limit).agg(["min", "max"]).itertuples():
+                first, latest = spans.get(slot, (low, high))
+                spans[slot] = (min(first, low), max(latest, high))
+        for slot, (low, high) in spans.items():
+            known = self.slots.getValue((int(slot),)) if self.slots.containsKey((int(slot),)) else (low, high)
+            self.slots.updateValue((int(slot),), (int(min(low, known[0])), int(max(high, known[1]))))
+        yield self._result(found + self._settled(key[0], passed))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._result(self._settled(key[0], timerValues.getCurrentWatermarkInMs()))
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _result(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=COLUMNS)
+        return frame.astype({c: "Int64" for c in COLUMNS[2:]})
+
+    def _settled(self, series: str, passed: int) -> list[tuple]:
+        """Decide all that lies before ``passed``, and set a timer for what comes next."""
+        last, is_open = self.last.get() if self.last.exists() else (None, False)
+        found: list[tuple] = []
+        waiting = []
+        for (slot,), (low, high) in sorted((tuple(k), tuple(v)) for k, v in self.slots.iterator()):
+            if low >= passed:
+                waiting.append(low)
+                continue
+            if last is not None and low - last > self.limit:
+                found.append((RESUMED if is_open else FIRED, series, last, last + self.limit, low, None))
+                is_open = False
+            if high < passed:
+                last, is_open = high, False
+                self.slots.removeKey((slot,))
+            else:
+                # Up to the slot's last row there is no gap.
+                last, is_open = low, False
+                self.slots.updateValue((slot,), (high, high))
+                waiting.append(high)
+        if last is not None:
+            if not is_open and last + self.limit < passed:
+                found.append((FIRED, series, last, last + self.limit, None, None))
+                is_open = True
+            if not is_open:
+                waiting.append(last + self.limit)
+            self.last.update((last, is_open))
+        if waiting:
+            self.handle.registerTimer(max(min(waiting), passed) + 1)
+        return found
 
 
 def stall_alert_stream(
-    progress: DataFrame, key: str, time: str = "ts", lateness: str = "0 seconds",
+    progress: DataFrame, key: str, lateness: str, time: str = "ts",
     quiet_seconds: int = STALL_SECONDS, hold_seconds: int = STALL_HOLD_SECONDS,
-) -> DataFrame:
-    """Alerts for series without progress for quiet + hold seconds of event time.
-
-    A gap is reported when the series resumes or when the watermark passes the limit,
-    whichever comes first. A timed-out series leaves no state behind.
+) -> DataFrame:
+    """Events (``ALERT_SCHEMA``) of series without progress for quiet + hold seconds of event time.
+
+    ``fired`` rows are alerts, with ``resumed_at_ms`` if the series is known to have resumed;
+    else a ``resumed`` row follows. ``late`` rows are progress that came more than
+    ``lateness`` behind the newest; choose it from how far sources fall behind. Rows with a
+    null key or time are left out. The session needs the RocksDB state store
+    (``STATE_STORE``).
     """
-    rows = progress.select(F.col(key).cast("string").alias("series"), time).withWatermark(time, lateness)
-    rows = rows.withColumn("ts_ms", F.unix_millis(time))
-    return rows.groupBy("series").applyInPandasWithState(
-        _stall_function((quiet_seconds + hold_seconds) * 1000),
-        ALERT_SCHEMA,
-        "last_progress_ms bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    rows = progress.select(F.col(key).cast("string").alias("series"), F.col(time).cast("timestamp").alias("at"))
+    # Without the watermarked column the operator gets late rows too, and can report them.
+    rows = rows.filter("series is not null and at is not null").withWatermark("at", lateness)
+    rows = rows.select("series", F.unix_millis("at").alias("ts_ms"))
+    return rows.groupBy("series").transformWithStateInPandas(
+        StallProcessor((quiet_seconds + hold_seconds) * 1000), ALERT_SCHEMA, "Append", "EventTime"
     )
 
 
+def split_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alerts, late progress) of a written ``stall_alert_stream``: one row per alert, with the time it resumed."""
+    alerts = events.filter(F.col("kind") != LATE).groupBy("series", "last_progress_ms", "fired_at_ms")
+    late = events.filter(F.col("kind") == LATE).select("series", "late_ms")
+    return alerts.agg(F.max("resumed_at_ms").alias("resumed_at_ms")), late
+
+
 def failed_state_stream(states: DataFrame) -> DataFrame:
     """Failed states fire at once; a stateless filter."""
     return failed_state_alerts(states)

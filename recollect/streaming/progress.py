@@ -1,7 +1,7 @@
 """Streaming counters, rates and live progress.
 
-State is one row per label set (counters) or per label set and window (rates); late rows
-are dropped by the watermark. Results go through ``foreachBatch`` to a table keyed by the
+State is one row per label set (counters) or per label set and window (rates); how late rows
+may come is for the caller to say. Results go through ``foreachBatch`` to a table keyed by the
 batch, and :func:`latest_values` reads the newest value of every key, which is right also
 when a batch is written twice after a restart.
 """
@@ -19,10 +19,14 @@ def running_counters(events: DataFrame, labels: dict[str, Column], value: Column
 
 
 def windowed_increase(
-    events: DataFrame, labels: dict[str, Column], value: Column, window_seconds: int,
-    time: str = "ts", lateness: str = "10 minutes", name: str = "increase",
+    events: DataFrame, labels: dict[str, Column], value: Column, window_seconds: int, lateness: str,
+    time: str = "ts", name: str = "increase",
 ) -> DataFrame:
-    """Sum of increments per window and label set; rate = increase / window length."""
+    """Sum of increments per window and label set; rate = increase / window length.
+
+    Windows that end more than ``lateness`` before the newest row are closed: later rows of
+    theirs are not counted (Spark reports their number as ``numRowsDroppedByWatermark``).
+    """
     watermarked = events.withWatermark(time, lateness)
     windows = watermarked.groupBy(
         F.window(time, f"{window_seconds} seconds"), *[c.alias(n) for n, c in labels.items()]

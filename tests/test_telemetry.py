@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators import telemetry as TE
@@ -61,28 +63,63 @@ def run_all(query, **options):
     query.stop()
 
 
-def test_stateful_stall_alerts_across_batches(spark):
+def streamed_alerts(spark, files, lateness, restart=False):
+    """Alert events of (run_id, ts) files that arrive one after another, and the alerts and late rows in them."""
     schema = "run_id string, ts timestamp"
-    source = new_path(spark, "stall-in")
-    out, state = new_path(spark, "stall-out"), new_path(spark, "stall-state")
-    batches = [
+    source, out, state = (new_path(spark, name) for name in ("stall-in", "stall-out", "stall-state"))
+    own = spark.newSession()
+    own.conf.set(alerts.STATE_STORE, alerts.ROCKSDB)
+
+    def run():
+        stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
+        found = alerts.stall_alert_stream(stream, "run_id", lateness)
+        writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    for i, rows in enumerate(files):
+        write(spark, source, f"part={i:03}", rows, schema)
+        if restart:
+            run()
+    run()
+    found, late = alerts.split_events(spark.read.parquet(out))
+    base = int(START.timestamp() * 1000)
+    seconds = lambda ms: None if ms is None else (ms - base) // 1000
+    return (
+        {(r.series, seconds(r.last_progress_ms), seconds(r.resumed_at_ms)) for r in found.collect()},
+        sorted((r.series, seconds(r.late_ms)) for r in late.collect()),
+    )
+
+
+@pytest.mark.parametrize("restart", [False, True])
+def test_stall_stream_fires_resumes_and_reports_late_rows(spark, restart):
+    files = [
         [("quiet", at(0)), ("busy", at(0))],
         [("busy", at(600)), ("busy", at(100))],
         [("busy", at(1900))],
-        [("busy", at(2000))],
-        [("quiet", at(5000)), ("busy", at(2100))],
+        [("busy", at(2000)), ("quiet", at(30))],
+        [("quiet", at(5000)), ("busy", at(2100)), (None, at(1)), ("busy", None)],
+        [("busy", at(10_000))],
     ]
-    for i, rows in enumerate(batches):
-        write(spark, source, f"part={i}", rows, schema)
-        stream = spark.readStream.schema(schema).parquet(f"{source}/part=*")
-        found = alerts.stall_alert_stream(stream, "run_id")
-        writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-        writer.trigger(availableNow=True).start().awaitTermination()
-    base = int(START.timestamp() * 1000)
-    got = {(r["series"], (r["last_progress_ms"] - base) // 1000) for r in spark.read.parquet(out).collect()}
-    # busy: 600 -> 1900 is longer than 1200 s; quiet: silent from 0 until it resumed, reported once.
-    assert ("busy", 600) in got and ("quiet", 0) in got
-    assert len(got) == spark.read.parquet(out).count() <= 3
+    found, late = streamed_alerts(spark, files, "0 seconds", restart)
+    # busy: 600 -> 1900 and 2100 -> 10000 are longer than 1200 s; quiet: silent from 0 to 5000 and from there on.
+    assert found == {("busy", 600, 1900), ("quiet", 0, 5000), ("busy", 2100, None), ("quiet", 5000, None)}
+    assert late == [("quiet", 30)]
+
+
+def test_shuffled_files_give_the_alerts_of_the_batch(spark):
+    rng = random.Random(12)
+    rows = [(f"r{rng.randrange(4)}", rng.randrange(0, 60_000)) for _ in range(130)]
+    rows = sorted(set(rows), key=lambda r: r[1] + rng.randrange(3000))  # up to 3,000 s out of order
+    files = [[(k, at(t)) for k, t in rows[i : i + 12]] for i in range(0, len(rows), 12)]
+    found, late = streamed_alerts(spark, files, "3000 seconds")
+    passed = max(t for _, t in rows) - 3000
+    frame = spark.createDataFrame([(k, at(t)) for k, t in rows], "run_id string, ts timestamp")
+    batch = TE.stall_alerts(frame, "run_id", until=F.lit(at(10**6)))
+    start = START.timestamp()
+    after = lambda t: None if t is None else int(t.timestamp() - start)
+    want = {(r.run_id, after(r.last_progress), after(r.resumed_at)) for r in batch.collect()}
+    want = {(k, last, resumed if resumed is not None and resumed < passed else None) for k, last, resumed in want if last + 1200 < passed}
+    assert found == want and late == [] and len(want) > 10
 
 
 def test_streamed_counters_equal_the_batch_after_a_restart(spark):
