@@ -1,14 +1,13 @@
 """Per-unit retrieval and the provenance of what was retrieved.
 
-Search is exact. A unit of any size is cut into record blocks and query blocks; each
-(record block, query block) is scored as one matrix in one task and emits only its best
-``k`` per query, and a second top-k merges the blocks. All pairs are scored, none but the
-block winners are ever emitted or shuffled, and no task holds more than two blocks.
+Vector search is exact. A unit that fits into one block is scored as one matrix in one task;
+bigger units are searched through pivots (``vector_index``). Lexical search is a join on
+terms. No task holds more than two blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,7 @@ from ..functions.ranking import nonempty_ids, trimmed_ids
 from ..functions.text import blank_to_empty, py_strip, tokens
 from ..session import materialize
 from .ordered import ordered_position
+from .vector_index import SCORE_DIGITS, best, cosines, matrix, pivot_topk
 
 # Result counts, distance limits and prefetch sizes per benchmark.
 TOP_K = {"locomo": 8, "longmemeval": 10}
@@ -38,56 +38,24 @@ RECALLED_HEADER = "=== LONG-TERM MEMORY (RECALLED) ==="
 ACTIVE_HEADER = "=== ACTIVE CONVERSATION ==="
 
 BLOCK_ROWS = 2048
-# Texts are long and become Python tokens, so their blocks are smaller.
-TEXT_BLOCK_ROWS = 256
-# Scores are rounded before ranking so that equal scores tie the same way everywhere.
-SCORE_DIGITS = 9
+POSTING_ROWS = 4096
 
-Scorer = Callable[[pd.Series, pd.Series], np.ndarray]
 
+# --- exact search -----------------------------------------------------------------------
 
-# --- exact block search -----------------------------------------------------------------
 
-
-def cosine_scores(queries: pd.Series, records: pd.Series) -> np.ndarray:
-    """Cosine similarity of every query row with every record row."""
-    q = np.stack(queries.to_numpy()).astype(np.float64)
-    r = np.stack(records.to_numpy()).astype(np.float64)
-    norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(r, axis=1))
-    return np.divide(q @ r.T, norms, out=np.zeros_like(norms), where=norms > 0)
-
-
-def overlap_scores(queries: pd.Series, records: pd.Series) -> np.ndarray:
-    """Share of the query tokens that a record holds; both sides are distinct tokens."""
-    holders: dict[str, list[int]] = {}
-    for at, words in enumerate(records):
-        for word in words:
-            holders.setdefault(word, []).append(at)
-    rows_of = {word: np.array(found, dtype=np.int32) for word, found in holders.items()}
-    scores = np.zeros((len(queries), len(records)))
-    for row, words in enumerate(queries):
-        hits = [rows_of[word] for word in words if word in rows_of]
-        if hits:
-            scores[row] = np.bincount(np.concatenate(hits), minlength=len(records)) / len(words)
-    return scores
-
-
-def _best_in_block(k: int, scorer: Scorer):
+def _best_in_unit(k: int):
     def run(queries: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or records.empty:
             names = np.array([], dtype=object)
             return pd.DataFrame({"unit_id": names, "query_id": names, "record_id": names, "score": np.array([])})
-        ids = records["record_id"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        scores = np.round(scorer(queries["q"], records["r"].iloc[by_id]), SCORE_DIGITS)
-        # A stable sort on the id-ordered block breaks equal scores by record id.
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        ids, scores = best(cosines(matrix(queries["v"]), matrix(records["v"])), records["id"].to_numpy(), k)
         return pd.DataFrame(
             {
-                "unit_id": np.repeat(queries["unit_id"].to_numpy(), best.shape[1]),
-                "query_id": np.repeat(queries["query_id"].to_numpy(), best.shape[1]),
-                "record_id": ids[by_id][best].ravel(),
-                "score": np.take_along_axis(scores, best, axis=1).ravel(),
+                "unit_id": np.repeat(queries["unit_id"].to_numpy(), ids.shape[1]),
+                "query_id": np.repeat(queries["id"].to_numpy(), ids.shape[1]),
+                "record_id": ids.ravel(),
+                "score": scores.ravel(),
             }
         )
 
@@ -95,49 +63,38 @@ def _best_in_block(k: int, scorer: Scorer):
 
 
 def _big_units(queries: DataFrame, records: DataFrame, block_rows: int) -> DataFrame:
-    """(unit_id, __rbn, __qbn) of the units that need more than one block on a side.
+    """(unit_id, queries, records): row counts of the units that need more than one block on a side.
 
-    Written once, so that its real size decides whether it is broadcast; every other unit
-    is a single block and needs no lookup.
+    Written once, so that its real size decides whether it is broadcast.
     """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        per_unit = df.groupBy("unit_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 0)
-        return per_unit.select("unit_id", F.ceil(F.col("__n") / block_rows).cast("int").alias(name))
-
-    both = blocks(records, "__rbn").join(blocks(queries, "__qbn"), "unit_id")
-    return materialize(both.filter("__rbn > 1 or __qbn > 1"), "big-units")
-
-
-def _spread(df: DataFrame, big: DataFrame, own: str, other: str, row_id: str) -> DataFrame:
-    """Give each row its own block and one copy per block of the other side."""
-    rows = df.join(big, "unit_id", "left")
-    own_blocks, other_blocks = F.coalesce(f"__{own}n", F.lit(1)), F.coalesce(f"__{other}n", F.lit(1))
-    mine = F.pmod(F.xxhash64(row_id), own_blocks).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), other_blocks - 1))
-    return rows.withColumn(own, mine).withColumn(other, copies).drop("__rbn", "__qbn")
+    both = records.groupBy("unit_id").agg(F.count(F.lit(1)).alias("records")).join(
+        queries.groupBy("unit_id").agg(F.count(F.lit(1)).alias("queries")), "unit_id"
+    )
+    return materialize(both.filter((F.col("records") > block_rows) | (F.col("queries") > block_rows)), "big-units")
 
 
-def block_topk(
-    queries: DataFrame, records: DataFrame, k: int, scorer: Scorer, block_rows: int = BLOCK_ROWS
+def vector_topk(
+    queries: DataFrame, records: DataFrame, k: int, vector: str = "embedding", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Best ``k`` records of the query's own unit by (score desc, record_id).
+    """Best ``k`` records of the query's own unit by (cosine desc, record_id), with ``rank``.
 
-    ``queries``: (unit_id, query_id, q); ``records``: (unit_id, record_id, r). Ids are
-    strings, ``q`` and ``r`` are what ``scorer`` compares.
+    ``queries``: (unit_id, query_id, vector); ``records``: (unit_id, record_id, vector). Ids
+    are strings. A vector without length scores 0 with every other.
     """
-    big = _big_units(queries, records, block_rows)
-    left = _spread(queries.select("unit_id", "query_id", "q"), big, "qb", "rb", "query_id")
-    right = _spread(records.select("unit_id", "record_id", "r"), big, "rb", "qb", "record_id")
-    cell = ["unit_id", "rb", "qb"]
+    value = F.col(vector).cast("array<double>").alias("v")
+    left = queries.select("unit_id", F.col("query_id").alias("id"), value)
+    right = records.select("unit_id", F.col("record_id").alias("id"), value)
     # Both sides may come from one table; new column ids keep the cogroup unambiguous.
     right = right.toDF(*right.columns)
+    big = _big_units(left, right, block_rows)
+    units = big.select("unit_id")
     found = (
-        left.groupBy(*cell)
-        .cogroup(right.groupBy(*cell))
-        .applyInPandas(
-            _best_in_block(k, scorer), "unit_id string, query_id string, record_id string, score double"
-        )
-    )
+        left.join(units, "unit_id", "left_anti").groupBy("unit_id")
+        .cogroup(right.join(units, "unit_id", "left_anti").groupBy("unit_id"))
+        .applyInPandas(_best_in_unit(k), "unit_id string, query_id string, record_id string, score double")
+    )
+    if not big.isEmpty():
+        found = found.unionByName(pivot_topk(left, right, big, k, block_rows))
     return top_by_score(found, k)
 
 
@@ -147,27 +104,39 @@ def top_by_score(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_topk(
-    queries: DataFrame, records: DataFrame, k: int, vector: str = "embedding", block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Cosine top-k inside the query's own unit."""
-    return block_topk(
-        queries.withColumnRenamed(vector, "q"), records.withColumnRenamed(vector, "r"), k, cosine_scores, block_rows
-    )
+def numbered_terms(rows: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(number, unit_id, row_id, terms) of each row, written once: its distinct tokens and a number of its own."""
+    words = F.array_distinct(tokens(F.col(text)))
+    return materialize(rows.select(F.monotonically_increasing_id().alias("number"), "unit_id", row_id, words.alias("terms")), "terms")
 
 
 def lexical_topk(
-    queries: DataFrame, records: DataFrame, k: int, text: str = "text", block_rows: int = TEXT_BLOCK_ROWS
+    queries: DataFrame, records: DataFrame, k: int, text: str = "text", slice_rows: int = POSTING_ROWS
 ) -> DataFrame:
-    """Token-overlap top-k inside the query's own unit; records without overlap never match."""
-    found = block_topk(
-        queries.withColumn("q", F.array_distinct(tokens(F.col(text)))),
-        records.withColumn("r", F.array_distinct(tokens(F.col(text)))),
-        k,
-        overlap_scores,
-        block_rows,
-    )
-    return found.filter("score > 0")
+    """Best ``k`` records by the share of the query's distinct tokens that they hold, then by id.
+
+    An inverted index: records are posted under (unit, term), queries join on their terms, and
+    the hits of a pair are counted. The postings of a term with more than ``slice_rows``
+    records are cut into slices, to each of which its queries go, so a common term is spread
+    over tasks. Records without a token of the query never match.
+    """
+    with ThreadPoolExecutor(2) as both:  # two jobs at once
+        asked, held = both.map(numbered_terms, (queries, records), ("query_id", "record_id"), (text, text))
+    posted = held.select("unit_id", F.col("number").alias("r"), F.explode("terms").alias("term"))
+    hot = posted.groupBy("unit_id", "term").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
+    hot = materialize(hot.filter("slices > 1"), "hot-terms")
+    slices = F.coalesce("slices", F.lit(1))
+    at = ["unit_id", "term"]
+    left = asked.select("unit_id", F.col("number").alias("q"), F.explode("terms").alias("term")).join(hot, at, "left")
+    left = left.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("slices")
+    right = posted.join(hot, at, "left").withColumn("slice", F.pmod(F.xxhash64("r"), slices).cast("int")).drop("slices")
+    # Pairs are counted by their numbers; names follow for the pairs alone.
+    hits = left.join(right, [*at, "slice"]).groupBy("q", "r").agg(F.count(F.lit(1)).alias("shared"))
+    named = hits.join(
+        asked.select(F.col("number").alias("q"), "unit_id", "query_id", F.size("terms").alias("size")), "q"
+    ).join(held.select(F.col("number").alias("r"), "record_id"), "r")
+    score = F.round(F.col("shared") / F.col("size"), SCORE_DIGITS)
+    return top_by_score(named.select("unit_id", "query_id", "record_id", score.alias("score")), k)
 
 
 def distance_filter(scored: DataFrame, threshold: float, limit: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators import retrieval as R
+from recollect.operators import vector_index as V
 from recollect.operators.extensions import MultiChannelRetriever, Registry, VectorRetriever
 
 
@@ -44,7 +45,7 @@ def test_vector_topk_is_exact_for_any_block_size(corpus, block_rows, k):
 def test_lexical_topk_and_merge(spark, corpus):
     rows, frame = corpus
     queries = frame.withColumnRenamed("record_id", "query_id")
-    lexical = {(r["query_id"], r["record_id"]): r["score"] for r in R.lexical_topk(queries, frame, 100, block_rows=9).collect()}
+    lexical = {(r["query_id"], r["record_id"]): r["score"] for r in R.lexical_topk(queries, frame, 100, slice_rows=9).collect()}
     for u, q, _, words in rows:
         wanted = {w for w in words.split() if w != "the"}
         for u2, rid, _, other in rows:
@@ -114,3 +115,58 @@ def test_shares_sum_to_the_total_also_for_a_hot_unit(spark):
     assert {tuple(r) for r in sums.collect()} == {("hot", 1003, 7), ("u", 19, 0)}
     first = [r["prompt_tokens"] for r in shares.filter("unit_id = 'hot'").orderBy("at").collect()]
     assert first == [13] * (1003 % 80) + [12] * (80 - 1003 % 80)
+
+
+def clusters(seed, groups, members, dimensions=12):
+    """Vectors close around far-apart directions."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        centre = [rng.gauss(0, 1) for _ in range(dimensions)]
+        for m in range(members):
+            rows.append((f"r{g * members + m:04d}", [c + rng.gauss(0, 0.03) for c in centre]))
+    return rows
+
+
+def test_pivots_leave_out_blocks_that_cannot_matter(spark):
+    rows = [("u", i, v) for i, v in clusters(5, 10, 40)] + [("u", "zero", [0.0] * 12), ("u", "same", clusters(5, 10, 40)[3][1])]
+    frame = spark.createDataFrame(rows, "unit_id string, id string, v array<double>")
+    big = spark.createDataFrame([("u", len(rows), len(rows))], "unit_id string, queries long, records long")
+    pivots = V.pivots_of(frame, big, 10)
+    blocks = V.blocks_of(frame, big, pivots, "records", 10)
+    assert blocks.agg(F.sum("n")).first()[0] == len(rows) and blocks.agg(F.max("n")).first()[0] < 40
+    first = V.first_pairs(blocks, blocks)
+    found = V.scored(first, blocks, blocks, 5)
+    more = V.further_pairs(blocks, blocks, pivots, first, found, 5).filter(f"qc <> {V.ZERO} and rc <> {V.ZERO}")
+    n = blocks.filter(f"cluster <> {V.ZERO}").count()
+    assert more.count() + n < n * n / 2
+
+    both = frame.withColumnRenamed("id", "record_id").withColumnRenamed("v", "embedding")
+    got = {}
+    for r in R.vector_topk(both.withColumnRenamed("record_id", "query_id"), both, 5, block_rows=10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["record_id"], r["score"])
+    for _, query, vector in rows:
+        want = sorted((-cosine(vector, v), i) for _, i, v in rows)[:5]
+        assert [got[query][i + 1] for i in range(5)] == [(i, -s) for s, i in want]
+
+
+def test_a_unit_of_few_records_and_many_queries(spark):
+    vectors = clusters(6, 3, 30, 4)
+    queries = spark.createDataFrame([("u", i, v) for i, v in vectors], "unit_id string, query_id string, embedding array<double>")
+    records = spark.createDataFrame([("u", i, v) for i, v in vectors[::15]], "unit_id string, record_id string, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["record_id"] for r in R.vector_topk(queries, records, 4, block_rows=8).collect()}
+    for query, vector in vectors:
+        want = sorted((-cosine(vector, v), i) for i, v in vectors[::15])[:4]
+        assert [got[query, n + 1] for n in range(4)] == [i for _, i in want]
+
+
+def test_a_common_term_is_spread(spark):
+    rows = [("u", f"r{i:03d}", f"common w{i % 7}") for i in range(200)]
+    records = spark.createDataFrame(rows, "unit_id string, record_id string, text string")
+    asked = spark.createDataFrame([("u", "q", "Common w3"), ("u", "none", "the"), ("u", "null", None)], "unit_id string, query_id string, text string")
+    got = R.lexical_topk(asked, records, 40, slice_rows=20).collect()
+    best = [f"r{i:03d}" for i in range(200) if i % 7 == 3]
+    rest = [f"r{i:03d}" for i in range(200) if i % 7 != 3]
+    assert [(r["record_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == (
+        [(i, 1.0) for i in best] + [(i, 0.5) for i in rest]
+    )[:40]
