@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_bits, by_bytes, from_planes, mixed, planes, set_in, stage, text_size
+from .common import bitmap, bitmap_bits, by_bytes, from_planes, mixed, planes, set_in, stage, text_size, word_bounds, word_values
 
 LONGEST = 4
+SEED = 11
 BREAK = b"\xff"  # never part of UTF-8
 PIECE_ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 PART_BYTES = 4 << 20  # of text for each merge partition
@@ -47,14 +48,14 @@ def piece_words(texts: list[bytes]) -> list[bytes]:
     return b"\n".join(texts).lower().translate(PIECE_ENDS).replace(b"\n", b" " + BREAK + b" ").split()
 
 
-def word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word, 11)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return word_values(*word_bounds(words), SEED)
 
 
 def start_hash(lang: str) -> np.uint64:
-    return np.uint64(word_hash(b"\xff" + lang.encode()))
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode(), SEED))
 
 
 def next_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -63,13 +64,15 @@ def next_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def phrase_hashes(lang: str, phrases: list[bytes]) -> np.ndarray:
-    out = np.zeros(len(phrases), np.uint64)
-    for i, phrase in enumerate(phrases):
-        h = np.full(1, start_hash(lang))
-        for w in phrase.split(b" "):
-            h = next_hash(h, np.array([word_hash(w)], np.uint64))
-        out[i] = h[0]
-    return out
+    words = [p.split(b" ") for p in phrases]
+    values = word_hashes([w for ws in words for w in ws])
+    size = np.array([len(ws) for ws in words], np.int64)
+    first = np.cumsum(size) - size
+    h = np.full(len(phrases), start_hash(lang))
+    for j in range(size.max(initial=0)):
+        longer = np.flatnonzero(size > j)
+        h[longer] = next_hash(h[longer], values[first[longer] + j])
+    return h
 
 
 class HatTrie:
@@ -82,14 +85,14 @@ class HatTrie:
         self.root: dict = {}  # (lang, first word, further words) -> container or _Node
         self.entries = 0
 
-    def numbered(self, words: list[bytes]) -> np.ndarray:
+    def numbered(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
         out = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
             at = self.ids.get(w)
             if at is None:
                 at = self.ids[w] = len(self.words)
                 self.words.append(w)
-                self.hashes.append(word_hash(w))
+                self.hashes.append(hashes[i])
             out[i] = at
         return out
 
@@ -183,17 +186,24 @@ def segments(words: list[bytes]) -> Iterator[list[bytes]]:
         yield words[a : a + SEGMENT + LONGEST - 1]
 
 
-def _count_segment(trie: HatTrie, lang: str, words: list[bytes], lengths: range, allowed: np.ndarray | None) -> None:
-    """Add the phrases of the given lengths that begin in the segment and whose parts are ``allowed``."""
+def _count_segment(
+    trie: HatTrie, lang: str, words: list[bytes], lengths: range, known: np.ndarray | None, allowed: np.ndarray | None
+) -> None:
+    """Add the phrases of the given lengths that begin in the segment, of ``known`` words and ``allowed`` parts."""
     codes, distinct = pd.factorize(np.array([BREAK, *words], dtype=object))  # so the break is number 0
-    numbers = trie.numbered(list(distinct[1:]))
+    distinct = distinct[1:]
+    values = word_hashes(list(distinct))
     if lengths[0] == 1:
-        found = np.bincount(codes[: SEGMENT + 1], minlength=len(distinct))[1:]
+        found = np.bincount(codes[: SEGMENT + 1], minlength=len(distinct) + 1)[1:]
         seen = np.flatnonzero(found)
-        trie.add(lang, -1, numbers[seen].tolist(), found[seen].tolist(), 1)
+        numbers = trie.numbered(list(distinct[seen]), values[seen])
+        trie.add(lang, -1, numbers.tolist(), found[seen].tolist(), 1)
         return
+    use = np.flatnonzero(set_in(known, next_hash(np.full(len(values), start_hash(lang)), values)))
+    numbers = np.full(len(distinct), -1)
+    numbers[use] = trie.numbered(list(distinct[use]), values[use])
     ids = np.concatenate([[-1], numbers])[codes]
-    hashes = np.array([0, *(trie.hashes[i] for i in numbers.tolist())], np.uint64)[codes]
+    hashes = np.concatenate([np.zeros(1, np.uint64), values])[codes]
     part = lengths[0] - 1  # words in the parts that must be allowed
     n = len(ids) - part + 1
     if n <= 0:
@@ -304,7 +314,7 @@ def _merged(least: int, totals: bool):
     return merge
 
 
-def _counted(docs: DataFrame, lengths: range, least: int, parts: int, allowed=None, hot=None) -> DataFrame:
+def _counted(docs: DataFrame, lengths: range, least: int, parts: int, known=None, allowed=None, hot=None) -> DataFrame:
     """(lang, phrase, f, hash) of phrases of the given lengths that occur ``least`` times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +326,7 @@ def _counted(docs: DataFrame, lengths: range, least: int, parts: int, allowed=No
                 by_lang.setdefault(lang, []).append(text)
             for lang, mine in by_lang.items():
                 for words in segments(piece_words(mine)):
-                    _count_segment(trie, lang, words, lengths, allowed)
+                    _count_segment(trie, lang, words, lengths, known, allowed)
                     if trie.full():
                         yield from _runs(trie, parts, hot, False)
         yield from _runs(trie, parts, hot, True)
@@ -341,8 +351,9 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     totals = words.filter("phrase is null").groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
     words = words.filter("phrase is not null")
     share = (totals.agg(F.sum("n")).first()[0] or 0) // (HOT_SHARE * parts)
-    pairs = _counted(rows, range(2, 3), least, parts, _bits(words), _bits(words.filter(F.col("f") > share)))
-    longer = _counted(rows, range(3, LONGEST + 1), least, parts, _bits(pairs), _bits(pairs.filter(F.col("f") > share)))
+    known = _bits(words)
+    pairs = _counted(rows, range(2, 3), least, parts, known, known, _bits(words.filter(F.col("f") > share)))
+    longer = _counted(rows, range(3, LONGEST + 1), least, parts, known, _bits(pairs), _bits(pairs.filter(F.col("f") > share)))
     return words.unionByName(pairs).unionByName(longer).drop("hash"), totals
 
 

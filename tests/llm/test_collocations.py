@@ -78,7 +78,7 @@ def test_bursts_spills_and_hot_prefixes_change_nothing(spark, talk, monkeypatch)
 def test_trie_keeps_counts_when_containers_burst(monkeypatch):
     monkeypatch.setattr(collocations, "BURST", 10)
     trie, want = collocations.HatTrie(), Counter()
-    ids = trie.numbered([b"a", b"b", b"c", b"d", b"e"]).tolist()
+    ids = trie.numbered([b"a", b"b", b"c", b"d", b"e"], collocations.word_hashes([b"a", b"b", b"c", b"d", b"e"])).tolist()
     for i in range(400):
         a, b, c = (ids[(i * k) % 5] for k in (1, 2, 3)) if i % 2 else (ids[i % 3], ids[i % 4], ids[i % 5])
         trie.add("en", a, [b << collocations.ID_BITS | c], [i], 2)
