@@ -6,7 +6,7 @@ The nested datasets are made from ``conversations``: a conversation document hol
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
@@ -150,6 +150,32 @@ def read_conversation_dataset(spark, d):
     )
 
 
+@query(
+    "read_array_dataset",
+    f"""WITH {Q.QA}, {_QUESTIONS_SQL}, {_SESSION_SQL}, k AS (SELECT conversation_idx, 2 + 2 * count(DISTINCT session) AS n FROM st GROUP BY 1)
+SELECT row_number() OVER (PARTITION BY k.conversation_idx // 4000 ORDER BY k.conversation_idx) - 1 AS position, CAST(any_value(n) AS INTEGER) AS n_keys,
+ CAST(count(dq.question) AS INTEGER) AS n_questions FROM k LEFT JOIN dq USING (conversation_idx) GROUP BY k.conversation_idx""",
+)
+def read_array_dataset(spark, d):
+    """Write the documents as files of one JSON array each, by ranges of ids, and read them with the dataset reader."""
+    path = new_path(spark, "array-dataset")
+    documents = conversation_documents(spark, d)
+    text = documents.select("conversation_idx", F.to_json(F.struct(*documents.columns)).alias("value"))
+    text = text.withColumn("file", F.expr("conversation_idx div 4000"))
+    inside = Window.partitionBy("file").orderBy("conversation_idx")
+    opened = F.when(F.row_number().over(inside) == 1, F.lit("[\n")).otherwise(F.lit(", "))
+    closed = F.when(F.lead("value").over(inside).isNull(), F.lit("\n]")).otherwise(F.lit(""))
+    value = F.concat(opened, "value", closed)
+    text.select("file", "conversation_idx", value.alias("value")).repartition("file").sortWithinPartitions(
+        "file", "conversation_idx"
+    ).select("file", "value").write.partitionBy("file").text(path)
+    rows = SD.read_locomo(spark, f"{path}/file=*", layout="array")
+    return rows.select(
+        F.col("conversation_idx").cast("bigint").alias("position"),
+        F.size("conversation").alias("n_keys"), F.size("qa").alias("n_questions"),
+    )
+
+
 @query(
     "enumerate_questions",
     f"""WITH {Q.QA}, {_QUESTIONS_SQL} SELECT 'conv' || conversation_idx || '_q' || question_idx AS question_id,

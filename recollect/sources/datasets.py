@@ -1,8 +1,8 @@
 """Readers of the two datasets, the registry of pinned sources, and the pin check.
 
-The published files are one JSON array each and are read as one document. Data that does
-not fit one document comes as JSON lines that carry their own position
-(``layout='lines'``), which Spark splits freely.
+The published files are one JSON array each, which many tasks read (``layout='array'``,
+``json_array``). Data may also come as JSON lines that carry their own position
+(``layout='lines'``).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as S
+from .json_array import array_records
 
 # The published sources and their pins.
 PINNED_DATASETS = (
@@ -36,17 +37,9 @@ PINNED_DATASETS = (
 
 
 def _array_items(spark: SparkSession, path: str, item: str, position: str) -> DataFrame:
-    """(position, item) of a document whose root is a JSON array.
-
-    One document is one row in one task, so it must be smaller than Spark's largest value
-    (2 GiB); it is for the files as they are published. Larger data comes as lines.
-    """
-    text = spark.read.text(path, wholetext=True)
-    is_array = F.startswith(F.ltrim("value"), F.lit("["))
-    parsed = F.when(is_array, F.from_json("value", f"array<{item}>")).otherwise(
-        F.raise_error(F.lit("the dataset root must be a JSON array")).cast(f"array<{item}>")
-    )
-    return text.select(F.posexplode(parsed).alias(position, "item"))
+    """(position, item) of files whose root is a JSON array; positions count inside a file."""
+    records = array_records(spark, path)
+    return records.select(F.col("position").cast("int").alias(position), F.from_json("value", item).alias("item"))
 
 
 def _line_items(spark: SparkSession, path: str, item: str, position: str) -> DataFrame:

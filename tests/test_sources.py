@@ -11,6 +11,7 @@ from recollect.operators import sampling as P
 from recollect.operators import selection as S
 from recollect.operators import timing as TM
 from recollect.sources import datasets as SD
+from recollect.sources import json_array
 from recollect.sources import runs as SR
 from recollect.sources import sinks
 
@@ -223,3 +224,22 @@ def test_derived_evaluation_refuses_another_source(spark, tmp_path):
     assert not first["reused"] and sinks.derive_evaluation(rows, "r", "locomo", str(tmp_path), "s1")["reused"]
     with pytest.raises(ValueError, match="other evaluations"):
         sinks.derive_evaluation(rows, "r", "locomo", str(tmp_path), "s2")
+
+
+def test_array_records_of_split_files(spark, tmp_path):
+    """Borders lie anywhere, in strings with brackets, quotes and escapes too."""
+    records = [{"a": i, "t": t} for i, t in enumerate(['x', '}', '{"[', '\\', '\\"}', 'é}\n"', "]" * 40, "", '\\\\"', "{" * 9])]
+    records += [{"deep": [{"x": [1, {"y": "}"}]}, []], "o": {}}, {}, {"long": "} " * 300}] * 3
+    files = {"pretty": json.dumps(records, indent=1), "plain": "  " + json.dumps(records), "none": "[ ]", "one": '[{"a":1}]\n'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("64", "1000", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = json_array.array_records(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        for name, text in files.items():
+            mine = sorted((r.position, r.value) for r in rows if f"/{name}.json" in r.path)
+            assert [json.loads(v) for _, v in mine] == json.loads(text) and [p for p, _ in mine] == list(range(len(mine)))
