@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.canonical import fingerprint
 from ..functions.dates import micros
 from ..functions.text import title_case
-from .ordered import previous_row
+from .ordered import previous_row, scan
 
 # Phases after prediction, in order; what a run identity is made of.
 PHASES = ("JUDGING", "EVALUATING", "REPORTING", "PUBLISHING", "VERIFYING")
@@ -356,16 +356,21 @@ def config_fingerprint(
     return fingerprint(scientific_inputs(config_json, judge_contracts, expected_question_ids))
 
 
-def set_digest(rows: DataFrame, digest: str, position: str, fan_in: int = 4096, levels: int = 4) -> DataFrame:
-    """One digest over all row digests in order of a dense 0-based ``position``.
+def set_digest(rows: DataFrame, digest: str, position: str, fan_in: int = 4096, levels: int = 1) -> DataFrame:
+    """(row_count, set_sha256): one digest over all row digests in order of ``position``, which has no ties.
 
-    Digests are joined and hashed ``fan_in`` at a time, level by level, so that no task
+    Ranks come from sampled ranges, so positions may have gaps. Digests are joined and hashed
+    ``fan_in`` at a time, level by level (``levels`` at least), until one is left; no task
     ever holds more than ``fan_in`` of them.
     """
-    level = rows.select(F.col(position).cast("bigint").alias("p"), F.col(digest).alias("d"), F.lit(1).cast("bigint").alias("n"))
+    count = rows.count()
+    while fan_in**levels < count:
+        levels += 1
+    ranked = scan(rows.select(F.col(position).alias("__at"), F.col(digest).alias("d")), [], [F.col("__at")], position="p")
+    level = ranked.select(F.col("p").cast("bigint").alias("p"), "d", F.lit(1).cast("bigint").alias("n"))
     for _ in range(levels):
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"])
-        level = level.groupBy(F.floor(F.col("p") / fan_in).alias("p")).agg(
+        level = level.groupBy(F.expr(f"p div {fan_in}").alias("p")).agg(
             F.sha2(F.array_join(ordered, "\n"), 256).alias("d"), F.sum("n").alias("n")
         )
     return level.select(F.col("n").alias("row_count"), F.col("d").alias("set_sha256"))

@@ -765,8 +765,8 @@ def check_conversation_structure(spark, d):
 
 @query(
     "check_complete",
-    f"""WITH {Q.QA}, e AS (SELECT question_id, conv_id * 1000000 + turn AS position FROM qa WHERE turn < 6),
-p0 AS (SELECT question_id, conv_id * 1000000 + turn + CASE WHEN conv_id % 10 = 3 THEN 1 ELSE 0 END AS position, CASE WHEN conv_id % 8 = 1 THEN 1 ELSE 2 END AS v FROM qa WHERE turn <> 2),
+    f"""WITH {Q.QA}, e AS (SELECT question_id || CASE WHEN (conv_id + turn) % 11 = 3 THEN '_other' ELSE '' END AS question_id, conv_id * 1000000 + turn AS position FROM qa),
+p0 AS (SELECT question_id, conv_id * 1000000 + turn + CASE WHEN conv_id % 10 = 3 THEN 1 ELSE 0 END AS position, CASE WHEN conv_id % 8 = 1 THEN 1 ELSE 2 END AS v FROM qa),
 p AS (SELECT * FROM p0 UNION ALL SELECT * FROM p0 WHERE position % 7 = 0),
 g AS (SELECT question_id, count(*) AS times, min(position) AS seen_at, bool_or(v <> 2) AS old FROM p GROUP BY 1),
 b AS (SELECT coalesce(g.question_id, e.question_id) AS question_id, times, seen_at, old, e.position AS want FROM g FULL JOIN e ON g.question_id = e.question_id)
@@ -777,8 +777,10 @@ UNION ALL SELECT question_id, 'order' FROM b WHERE seen_at <> want""",
 def check_complete(spark, d):
     conv, turn = F.col("conv_id"), F.col("turn")
     rows = T.qa(spark, d)
-    expected = rows.filter("turn < 6").select("question_id", (conv * 1_000_000 + turn).alias("position"))
-    once = rows.filter("turn <> 2").select(
+    # Some expected questions have no prediction, and as many predictions nobody expects.
+    renamed = F.concat("question_id", F.when((conv + turn) % 11 == 3, F.lit("_other")).otherwise(F.lit("")))
+    expected = rows.select(renamed.alias("question_id"), (conv * 1_000_000 + turn).alias("position"))
+    once = rows.select(
         "question_id",
         (conv * 1_000_000 + turn + F.when(conv % 10 == 3, 1).otherwise(0)).alias("position"),
         F.when(conv % 8 == 1, 1).otherwise(2).alias("schema_version"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import canonical as C
 from recollect.operators import ledger as L
+from recollect.operators import ordered
 from recollect.operators import reports as RP
 from recollect.operators import timing as TM
 from recollect.operators import usage as U
@@ -142,6 +143,16 @@ def test_manifest_problems(spark):
     assert {r["path"]: r["problem"] for r in L.verify_manifest(listed.filter("path = 'a'"), seen.limit(0)).collect()} == {"a": "missing"}
 
 
+def test_set_digest_is_one_row_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 100)
+    digests = {17 * i - 900: hashlib.sha256(str(i).encode()).hexdigest() for i in range(2000)}
+    frame = spark.createDataFrame(list(digests.items()), "at int, d string").repartition(5)
+    level = [d for _, d in sorted(digests.items())]
+    while len(level) > 1:
+        level = [hashlib.sha256("\n".join(level[i : i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
+    assert [tuple(r) for r in L.set_digest(frame, "d", "at", fan_in=4).collect()] == [(2000, level[0])]
+
+
 def test_set_digest_depends_on_order_not_on_partitions(spark):
     frame = spark.range(100).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("d"))
     one = L.set_digest(frame, "d", "id", fan_in=7, levels=3).first()
