@@ -11,6 +11,7 @@ from ..operators import reports as RP
 from ..operators import timing as TM
 from ..operators import usage as U
 from ..session import new_path
+from ..sources import run_folder
 from ..sources import runs as SR
 from ..sources import sinks
 from . import evaluation as EV
@@ -702,3 +703,71 @@ def metrics_table(spark, d):
     )
     entries = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return rows.withColumn("labels", F.array_join(entries, ","))
+
+
+# --- run folders ------------------------------------------------------------------------
+
+
+def _run_folder(spark, d, *files):
+    """Write (path, document) expressions of every supplier as files of a run folder."""
+    path = new_path(spark, "run-folder")
+    rows = T.table(spark, d, "supplier")
+    each = F.explode(F.array(*[F.struct(F.expr(p).alias("path"), F.expr(c).alias("content")) for p, c in files]))
+    written = rows.select(each.alias("file")).select("file.*").filter("path is not null")
+    run_folder.write_run_folder(written, path)
+    return path
+
+
+@query(
+    "read_predictions",
+    """SELECT 's' || s_suppkey || '-' || i AS question_id, s_suppkey AS unit_position, CAST(i AS INTEGER) AS in_unit, s_nationkey AS category, s_name AS generated_answer
+ FROM supplier, (SELECT unnest([0, 1]) AS i) WHERE s_suppkey % 5 <> 0""",
+)
+def read_predictions(spark, d):
+    """Two predictions per supplier in a file of its own; the manifest leaves some suppliers out."""
+    one = "named_struct('question_id', concat('s', s_suppkey, '-{0}'), 'category', s_nationkey, 'generated_answer', s_name)"
+    both = f"to_json(named_struct('predictions', array({one.format(0)}, {one.format(1)})))"
+    path = _run_folder(spark, d, ("concat('items/s', s_suppkey, '/predictions.json')", both))
+    expected = T.table(spark, d, "supplier").filter("s_suppkey % 5 <> 0").select(
+        F.col("s_suppkey").alias("position"), F.concat(F.lit("s"), "s_suppkey").alias("item_id")
+    )
+    rows = SR.read_predictions(spark, path, "locomo", expected)
+    return rows.select("question_id", "position.*", "category", "generated_answer")
+
+
+@query(
+    "read_timing",
+    """SELECT 's' || s_suppkey AS question_id, s_nationkey AS conversation_idx, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS part,
+ CAST(s_suppkey * 3 AS VARCHAR) AS qa_ms FROM supplier""",
+)
+def read_timing(spark, d):
+    """Timing files in the three places where a run keeps them."""
+    content = (
+        "to_json(named_struct('question_id', concat('s', s_suppkey), 'conversation_idx', s_nationkey,"
+        " 'pipeline_timing', map('qa_ms', cast(s_suppkey * 3 as string))))"
+    )
+    place = (
+        "case s_suppkey % 3 when 0 then concat('items/s', s_suppkey, '/timing.json') when 1 then"
+        " concat('items/s', s_suppkey, '/timing/a.json') else concat('judgments/timing/', s_suppkey, '.json') end"
+    )
+    rows = SR.read_timing(spark, _run_folder(spark, d, (place, content)))
+    return rows.select("question_id", "conversation_idx", "position.part", F.col("pipeline_timing")["qa_ms"].alias("qa_ms"))
+
+
+@query(
+    "read_runs",
+    """SELECT 'r' || s_suppkey AS run_id, CASE WHEN s_nationkey % 2 = 0 THEN 'b' || s_nationkey ELSE 'unknown' END AS benchmark, 'RUNNING' AS state, s_suppkey AS committed
+ FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0""",
+)
+def read_runs(spark, d):
+    """A run folder per supplier; some have an unreadable manifest, some no status."""
+    manifest = (
+        "case when s_suppkey % 7 = 0 then '[1' else to_json(named_struct('fingerprint_inputs',"
+        " named_struct('framework', 'f', 'benchmark', if(s_nationkey % 2 = 0, concat('b', s_nationkey), null)))) end"
+    )
+    status = "to_json(named_struct('state', 'RUNNING', 'items', named_struct('expected', 9, 'committed', s_suppkey)))"
+    path = _run_folder(
+        spark, d, ("concat('r', s_suppkey, '/run-manifest.json')", manifest),
+        ("if(s_suppkey % 11 = 0, null, concat('r', s_suppkey, '/run-status.json'))", status),
+    )
+    return SR.read_runs(spark, path).select("run_id", "benchmark", "state", F.col("items.committed").alias("committed"))

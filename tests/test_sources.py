@@ -11,7 +11,7 @@ from recollect.operators import sampling as P
 from recollect.operators import selection as S
 from recollect.operators import timing as TM
 from recollect.sources import datasets as SD
-from recollect.sources import json_array
+from recollect.sources import json_array, run_folder
 from recollect.sources import runs as SR
 from recollect.sources import sinks
 
@@ -243,3 +243,18 @@ def test_array_records_of_split_files(spark, tmp_path):
         for name, text in files.items():
             mine = sorted((r.position, r.value) for r in rows if f"/{name}.json" in r.path)
             assert [json.loads(v) for _, v in mine] == json.loads(text) and [p for p, _ in mine] == list(range(len(mine)))
+
+
+def test_run_folder_is_written_whole_or_not_at_all(spark, tmp_path):
+    rows = [(f"items/u{i}/prediction.json", json.dumps({"question_id": f"q{i}"})) for i in range(30)] + [("empty.json", None)]
+    files = spark.createDataFrame(rows, "path string, content string").repartition(4)
+    run_folder.write_run_folder(files, str(tmp_path / "run"))
+    expected = spark.createDataFrame([(i, f"u{i}") for i in range(30)], "position int, item_id string")
+    got = SR.read_predictions(spark, str(tmp_path / "run"), "longmemeval", expected).orderBy("position").collect()
+    assert [r["question_id"] for r in got] == [f"q{i}" for i in range(30)]
+    assert (tmp_path / "run" / "empty.json").read_bytes() == b""
+    broken = files.withColumn("content", F.when(F.col("path").contains("u7/"), F.raise_error(F.lit("no text"))).otherwise(F.col("content")))
+    for frame, target in ((broken, "other"), (files, "run"), (files.withColumn("path", F.lit("../x")), "outside")):
+        with pytest.raises(Exception):
+            run_folder.write_run_folder(frame, str(tmp_path / target))
+    assert [p.name for p in tmp_path.iterdir()] == ["run"]
