@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 
 from . import ablation, retrieval, scoring
-from .inference import ClientFactory
+from .inference import CallPolicy, ClientFactory, batch_infer, judge_infer
 
 
 class Retriever(Protocol):
@@ -85,6 +85,24 @@ class Registry:
             raise KeyError(f"evaluator is not registered: {name!r}")
         return found
 
+    @staticmethod
+    def _named(kind: str, known: dict, name: str):
+        if name not in known:
+            raise KeyError(f"{kind} is not registered: {name!r}")
+        return known[name]
+
+    def read_predictions(self, name: str, *arguments) -> DataFrame:
+        """Predictions by the reader of that name, which gets the arguments."""
+        return self._named("prediction reader", self.prediction_readers, name)(*arguments)
+
+    def answer(self, name: str, prompts: DataFrame, policy: CallPolicy = CallPolicy(), **options) -> DataFrame:
+        """Answer every prompt with the client of that name, as ``batch_infer`` does."""
+        return batch_infer(prompts, self._named("answerer", self.answerers, name), policy, **options)
+
+    def judge(self, name: str, prompts: DataFrame, benchmark: str, policy: CallPolicy = CallPolicy(), **options) -> DataFrame:
+        """Judge every prompt with the client of that name, as ``judge_infer`` does."""
+        return judge_infer(prompts, self._named("judge", self.judges, name), benchmark, policy, **options)
+
     def retriever(self, name: str, settings: dict) -> Retriever:
         built_in = {
             "vector": lambda s: VectorRetriever(s["k"], s.get("threshold")),

@@ -586,6 +586,29 @@ def judge_infer(spark, d):
     return answers.select("question_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "attempts", "error")
 
 
+@query(
+    "registered_answerer",
+    f"WITH {Q.QA} SELECT question_id, CAST(length(question) AS VARCHAR) AS response, CAST(length(question) + 1 AS BIGINT) AS total_tokens, 1 AS attempts, CAST(NULL AS VARCHAR) AS error FROM qa",
+)
+def registered_answerer(spark, d):
+    """The client that answers is chosen by name."""
+    rows = T.qa(spark, d).select("question_id", F.col("question").alias("prompt"))
+    answers = Registry(answerers={"length": length_client}).answer("length", rows)
+    return answers.select("question_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "attempts", "error")
+
+
+@query(
+    "registered_judge",
+    f"""WITH {Q.QA} SELECT question_id, 'VERDICT: CORRECT' AS response, CAST(CASE WHEN length(question) % 2 = 0 THEN 12 ELSE 24 END AS BIGINT) AS total_tokens,
+ CASE WHEN length(question) % 2 = 0 THEN 1 ELSE 2 END AS attempts, CAST(NULL AS VARCHAR) AS error FROM qa""",
+)
+def registered_judge(spark, d):
+    """The client that judges is chosen by name."""
+    rows = T.qa(spark, d).select("question_id", F.col("question").alias("prompt"))
+    answers = Registry(judges={"hesitant": hesitant_client}).judge("hesitant", rows, "locomo")
+    return answers.select("question_id", "response", F.col("usage")["total_tokens"].alias("total_tokens"), "attempts", "error")
+
+
 @query(
     "custom_evaluator",
     f"WITH {Q.ANSWERS} SELECT question_type, CAST(sum(length(generated_answer)) AS BIGINT) AS answer_chars FROM answers GROUP BY 1",

@@ -10,9 +10,11 @@ from ..operators import ledger as L
 from ..operators import reports as RP
 from ..operators import timing as TM
 from ..operators import usage as U
+from ..operators.extensions import Registry
 from ..session import new_path
 from ..sources import run_folder
 from ..sources import runs as SR
+from ..sources import schemas as S
 from ..sources import sinks
 from . import evaluation as EV
 from . import sql as Q
@@ -735,6 +737,34 @@ def read_predictions(spark, d):
     return rows.select("question_id", "position.*", "category", "generated_answer")
 
 
+@query(
+    "registered_reader",
+    "SELECT 's' || s_suppkey AS question_id, s_name AS generated_answer FROM supplier",
+)
+def registered_reader(spark, d):
+    """A reader of one's own, chosen by name: predictions as JSON lines."""
+    path = new_path(spark, "prediction-lines")
+    rows = T.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("question_id"), "s_name")
+    rows.withColumnRenamed("s_name", "generated_answer").write.json(path)
+    plugins = Registry(prediction_readers={"lines": lambda p: spark.read.schema(S.PREDICTION_FIELDS).json(p)})
+    return plugins.read_predictions("lines", path).select("question_id", "generated_answer")
+
+
+@query(
+    "write_reports",
+    """SELECT 'by_nation' AS report, CAST(c_nationkey AS VARCHAR) AS key, count(*) AS n FROM customer GROUP BY c_nationkey
+ UNION ALL SELECT 'by_segment', c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment""",
+)
+def write_reports(spark, d):
+    """Two reports, written under their names and read back."""
+    path = new_path(spark, "reports")
+    rows = T.table(spark, d, "customer")
+    keys = {"by_nation": F.col("c_nationkey").cast("string"), "by_segment": F.col("c_mktsegment")}
+    sinks.write_reports({n: rows.groupBy(k.alias("key")).agg(F.count(F.lit(1)).alias("n")) for n, k in keys.items()}, path)
+    read = [spark.read.schema("key string, n long").json(f"{path}/{n}").select(F.lit(n).alias("report"), "key", "n") for n in keys]
+    return read[0].unionByName(read[1])
+
+
 @query(
     "read_timing",
     """SELECT 's' || s_suppkey AS question_id, s_nationkey AS conversation_idx, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS part,

@@ -170,3 +170,10 @@ def test_a_common_term_is_spread(spark):
     assert [(r["record_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == (
         [(i, 1.0) for i in best] + [(i, 0.5) for i in rest]
     )[:40]
+
+
+def test_unknown_names_are_refused(spark):
+    empty = spark.createDataFrame([], "prompt string")
+    for call in (lambda r: r.answer("x", empty), lambda r: r.judge("x", empty, "locomo"), lambda r: r.read_predictions("x", "path")):
+        with pytest.raises(KeyError, match="not registered"):
+            call(Registry())
