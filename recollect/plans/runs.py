@@ -12,6 +12,7 @@ from ..operators import timing as TM
 from ..operators import usage as U
 from ..operators.extensions import Registry
 from ..session import new_path
+from ..sources import datasets as SD
 from ..sources import run_folder
 from ..sources import runs as SR
 from ..sources import schemas as S
@@ -801,3 +802,29 @@ def read_runs(spark, d):
         ("if(s_suppkey % 11 = 0, null, concat('r', s_suppkey, '/run-status.json'))", status),
     )
     return SR.read_runs(spark, path).select("run_id", "benchmark", "state", F.col("items.committed").alias("committed"))
+
+
+@query(
+    "file_digests",
+    "SELECT 'items/s' || s_suppkey || '/name.txt' AS path, sha256(s_name) AS sha256, CAST(strlen(s_name) AS BIGINT) AS bytes FROM supplier",
+)
+def file_digests(spark, d):
+    """The artifacts of a run folder; its final copies are left out."""
+    path = _run_folder(spark, d, ("concat('items/s', s_suppkey, '/name.txt')", "s_name"), ("concat('final/', s_suppkey)", "s_name"))
+    return SR.artifact_manifest(spark, path)
+
+
+@query(
+    "verify_pinned",
+    "SELECT 'd' || s_suppkey AS dataset_id, s_suppkey || '.json' AS filename, sha256(s_name) AS sha256 FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 3 <> 0",
+)
+def verify_pinned(spark, d):
+    """Every supplier is a source; some pins are of other bytes, some sources have no pin."""
+    path = _run_folder(spark, d, ("concat(s_suppkey, '.json')", "s_name"))
+    pins = T.table(spark, d, "supplier").select(
+        F.concat(F.lit("d"), "s_suppkey").alias("dataset_id"),
+        F.concat("s_suppkey", F.lit(".json")).alias("filename"),
+        F.sha2(F.when(F.col("s_suppkey") % 5 == 0, F.lit("other")).otherwise(F.col("s_name")), 256).alias("sha256"),
+        (F.col("s_suppkey") % 3 != 0).alias("pinned"),
+    )
+    return SD.verify_pinned(spark, path, pins).select("dataset_id", "filename", "sha256")

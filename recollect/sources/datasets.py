@@ -7,11 +7,19 @@ The published files are one JSON array each, which many tasks read (``layout='ar
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as S
 from .json_array import array_records
+from .run_folder import file_system
+
+WHOLE_BYTES = 256 << 20
+BLOCK_BYTES = 8 << 20
 
 # The published sources and their pins.
 PINNED_DATASETS = (
@@ -88,15 +96,32 @@ def dataset_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
     return registry.withColumn("pinned", F.coalesce("sha256", F.lit("")) != "")
 
 
+def _streamed_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of files that are read block by block."""
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            system, name = file_system(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while block := stream.read(BLOCK_BYTES):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pd.DataFrame({"path": batch["path"], "sha256": digests, "bytes": batch["length"]})
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, filename, sha256, bytes) of files, hashed where they are read."""
+    """(path, filename, sha256, bytes) of files, hashed where they are read.
+
+    Spark reads files up to ``WHOLE_BYTES`` as values. Larger ones, which no value can hold, are
+    read block by block, for which tasks must reach them as files. Spark lists no empty files,
+    so these have no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("bytes"),
-    )
+    whole = files.filter(F.col("length") <= WHOLE_BYTES).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    large = files.filter(F.col("length") > WHOLE_BYTES).select("path", "length")
+    found = whole.unionByName(large.mapInPandas(_streamed_digests, "path string, sha256 string, bytes long"))
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "sha256", "bytes")
 
 
 def verify_pinned(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:

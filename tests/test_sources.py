@@ -205,6 +205,16 @@ def test_artifacts(spark, tmp_path):
     assert [r["problem"] for r in L.verify_manifest(rows, seen.withColumn("sha256", F.lit("0"))).collect()] == ["checksum"]
 
 
+def test_large_files_are_hashed_block_by_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SD, "WHOLE_BYTES", 100)
+    monkeypatch.setattr(SD, "BLOCK_BYTES", 64)
+    contents = {f"f{n}": bytes(i % 251 for i in range(n)) for n in (1, 100, 101, 128, 5000)}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["filename"]: (r["sha256"], r["bytes"]) for r in SD.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {name: (hashlib.sha256(data).hexdigest(), len(data)) for name, data in contents.items()}
+
+
 def test_event_log(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"event":"run.started","timestamp":"2024-01-01T00:00:00.000Z","run_id":"r"}\n')
     row = SR.read_events(spark, str(tmp_path)).first()
