@@ -8,6 +8,7 @@ the target, and the staging folder is removed.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,7 +49,9 @@ class RunFolderWriter(DataSourceWriter):
         written = 0
         for row in iterator:
             target = f"{root}/{checked_name(row['path'])}"
-            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            # Step by step, so that a task that outlives an abort cannot bring the folder back.
+            for part in range(root.count("/") + 2, target.count("/") + 1):
+                system.create_dir("/".join(target.split("/")[:part]), recursive=False)
             mine = f"{target}.{uuid.uuid4().hex}"
             with system.open_output_stream(mine) as out:
                 out.write((row["content"] or "").encode())
@@ -61,7 +64,6 @@ class RunFolderWriter(DataSourceWriter):
 
         system, staging = file_system(self.staging)
         target = file_system(self.path)[1]
-        system.create_dir(staging, recursive=True)
         if system.get_file_info(target).type != fs.FileType.NotFound:
             self.abort(messages)
             raise FileExistsError(f"the run folder exists: {self.path}")
@@ -71,8 +73,13 @@ class RunFolderWriter(DataSourceWriter):
         from pyarrow import fs
 
         system, staging = file_system(self.staging)
-        if system.get_file_info(staging).type != fs.FileType.NotFound:
-            system.delete_dir(staging)
+        for _ in range(50):
+            if system.get_file_info(staging).type == fs.FileType.NotFound:
+                return
+            try:
+                system.delete_dir(staging)
+            except OSError:  # a task that is still being stopped wrote meanwhile
+                time.sleep(0.2)
 
 
 class RunFolder(DataSource):
@@ -86,7 +93,10 @@ class RunFolder(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> RunFolderWriter:
         path = self.options["path"].rstrip("/")
         folder, name = path.rsplit("/", 1)
-        return RunFolderWriter(path, f"{folder}/.{name}-{uuid.uuid4().hex[:12]}")
+        staging = f"{folder}/.{name}-{uuid.uuid4().hex[:12]}"
+        system, root = file_system(staging)
+        system.create_dir(root, recursive=True)
+        return RunFolderWriter(path, staging)
 
 
 def write_run_folder(files: DataFrame, path: str) -> None:
