@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -39,6 +40,32 @@ def test_large_components_and_few_candidates(spark):
     assert maxscore.search_table(empty).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [None, 60])
+def test_components_of_any_size(spark, shard_rows):
+    """Vectors of all magnitudes in one table; scores beyond 64 bits are cut when shown, not when ranked."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(400, 12))
+    data[::3] *= 10.0 ** rng.integers(0, 14, size=(134, 1))
+    data[1::7] *= 10.0 ** rng.integers(100, 280, size=(57, 12))
+    data[5], data[6], data[200], data[300] = 1.7e308, -1.7e308, 1.7e308, 70000.0
+    data[50:60] = data[8]
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    vectors = maxscore.whole_vectors(spark.createDataFrame(rows, "vec_id long, x array<double>"), "vec_id", "x", 1024)
+    some = vectors.filter("vec_id % 20 = 0 or vec_id in (5, 6, 8, 9)")
+    got = {tuple(r) for r in maxscore.top_k(vectors, some, 10, 1024, shard_rows).collect()}
+    whole = {i: [math.floor(1024 * Fraction(x)) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in whole if i % 20 == 0 or i in (5, 6, 8, 9)):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)[:10]
+        want |= {(q, r, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, c) in enumerate(scores, 1)}
+    assert got == want
+
+
+def test_the_scale_is_a_power_of_two(spark):
+    with pytest.raises(ValueError):
+        maxscore.whole_vectors(spark.range(1).selectExpr("id", "array(1d) as x"), "id", "x", 1000)
+
+
 def brute_ppm(rows, learned, order):
     words = [(t or "").encode().lower().split() for t in rows]
     coded = [[0] * order + [b + 1 for b in b" ".join(w)] + [257] for w in words]
