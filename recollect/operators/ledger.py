@@ -24,6 +24,8 @@ FRAMEWORK_KEYS = ("format", "profile", "sha256")
 MODEL_KEYS = ("provider", "endpoint_identity", "requested_model", "parameters")
 MODEL_ROLES = ("answerer", "judge")
 FINGERPRINT_VERSION = 2
+# What a source can say about a unit or phase of a run, as bits.
+EXPECTED, COMMITTED, BAD = 1, 2, 4
 PHASE_LABELS: dict[str, str] = {}
 
 
@@ -167,11 +169,38 @@ def manifest_count_mismatch(manifest: DataFrame, markers: DataFrame) -> DataFram
 # --- resume -----------------------------------------------------------------------------
 
 
-def restart_units(expected: DataFrame, checkpoints: DataFrame, bad_units: DataFrame) -> DataFrame:
-    """Expected units without a COMMITTED checkpoint or with a bad artifact."""
+def unit_flags(expected: DataFrame, checkpoints: DataFrame, bad_units: DataFrame) -> DataFrame:
+    """(run_id, unit_id, flags): what three sources say about units, one row per statement.
+
+    A source that says several of these in one row adds up its flags itself and is read once.
+    """
     keys = ["run_id", "unit_id"]
-    good = checkpoints.filter(F.col("status") == "COMMITTED").select(*keys).join(bad_units.select(*keys), keys, "left_anti")
-    return expected.join(good, keys, "left_anti")
+    committed = checkpoints.filter(F.col("status") == "COMMITTED")
+    parts = ((expected, EXPECTED), (committed, COMMITTED), (bad_units, BAD))
+    return reduce(DataFrame.unionByName, [part.select(*keys, F.lit(flag).alias("flags")) for part, flag in parts])
+
+
+def phase_flags(phases: DataFrame, bad_phases: DataFrame) -> DataFrame:
+    """(run_id, phase, flags, predecessor_digest, checkpoint_digest) of checkpoints and bad artifacts."""
+    committed = F.when(F.col("status") == "COMMITTED", COMMITTED).otherwise(0)
+    said = phases.select("run_id", "phase", committed.alias("flags"), "predecessor_digest", "checkpoint_digest")
+    bad = bad_phases.select("run_id", "phase", F.lit(BAD).alias("flags"))
+    return said.unionByName(bad, allowMissingColumns=True)
+
+
+def _expected_units(units: DataFrame) -> DataFrame:
+    """(run_id, unit_id, open) of the expected units, from all that is said about each."""
+    state = units.groupBy("run_id", "unit_id").agg(F.bit_or("flags").alias("__f"))
+    is_open = F.col("__f").bitwiseAND(COMMITTED | BAD) != COMMITTED
+    return state.filter(F.col("__f").bitwiseAND(EXPECTED) != 0).select("run_id", "unit_id", is_open.alias("open"))
+
+
+def restart_units(units: DataFrame) -> DataFrame:
+    """(run_id, unit_id) of expected units that are not committed or have a bad artifact.
+
+    In: (run_id, unit_id, flags), see ``unit_flags``.
+    """
+    return _expected_units(units).filter("open").select("run_id", "unit_id")
 
 
 def with_ordinal(checkpoints: DataFrame) -> DataFrame:
@@ -179,24 +208,26 @@ def with_ordinal(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.withColumn("ordinal", F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col("phase")))
 
 
-def resume_plan(
-    expected: DataFrame, restart: DataFrame, phases: DataFrame, bad_phases: DataFrame
-) -> DataFrame:
+def resume_plan(units: DataFrame, phases: DataFrame) -> DataFrame:
     """(run_id, next_phase, restart_units): RUNNING while units are open, else the first
     phase without a valid checkpoint, else VERIFYING.
 
     A phase is valid when it is COMMITTED, follows the digest of the phase before it and
-    has no bad artifact. ``phases``: one row per (run_id, phase) with ``status``,
-    ``predecessor_digest`` and ``checkpoint_digest``, so a run gathers at most five.
+    has no bad artifact. Runs are those with expected units. ``units`` as from
+    ``unit_flags``, ``phases`` as from ``phase_flags``; each is read once and aggregated
+    before it is shuffled by run. A run has one checkpoint per phase; statements that
+    repeat count once.
     """
-    have = phases.filter(F.col("status") == "COMMITTED").join(
-        bad_phases.select("run_id", "phase"), ["run_id", "phase"], "left_anti"
-    )
-    entry = F.struct("ordinal", "predecessor_digest", "checkpoint_digest")
-    chains = with_ordinal(have).filter("ordinal > 0").groupBy("run_id").agg(F.collect_list(entry).alias("__c"))
+    entry = F.struct("ordinal", "flags", "predecessor_digest", "checkpoint_digest")
+    known = with_ordinal(phases).filter("ordinal > 0")
+    chains = known.groupBy("run_id").agg(F.collect_set(entry).alias("__c"))
+
+    def stated(i: Column, flag: int) -> Column:
+        return F.filter("__c", lambda c: (c["ordinal"] == i) & (c["flags"].bitwiseAND(flag) != 0))
 
-    def checkpoint(i) -> Column:
-        return F.get(F.filter("__c", lambda c: c["ordinal"] == i), F.lit(0))
+    def checkpoint(i: Column) -> Column:
+        good = F.size(stated(i, BAD)) == 0
+        return F.when(good, F.get(F.array_sort(stated(i, COMMITTED)), F.lit(0)))
 
     def follows(i: Column) -> Column:
         given = checkpoint(i)["predecessor_digest"]
@@ -208,12 +239,11 @@ def resume_plan(
     )
     first_broken = F.array_min(F.when(F.col("__c").isNull(), F.array(F.lit(1))).otherwise(broken))
     next_phase = F.get(F.array(*[F.lit(p) for p in PHASES]), F.coalesce(first_broken, F.lit(len(PHASES))) - 1)
-    open_units = restart.groupBy("run_id").agg(F.count(F.lit(1)).alias("restart_units"))
-    plan = expected.select("run_id").distinct().join(open_units, "run_id", "left").join(chains, "run_id", "left")
-    return plan.select(
+    runs = _expected_units(units).groupBy("run_id").agg(F.count_if("open").alias("restart_units"))
+    return runs.join(chains, "run_id", "left").select(
         "run_id",
         F.when(F.col("restart_units") > 0, F.lit("RUNNING")).otherwise(next_phase).alias("next_phase"),
-        F.coalesce("restart_units", F.lit(0)).alias("restart_units"),
+        "restart_units",
     )
 
 

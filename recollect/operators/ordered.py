@@ -62,12 +62,12 @@ def _named(values: dict[str, Column] | None) -> Column:
 
 def scan(
     df: DataFrame, keys: list[str], order: list[Column], bucket: Column | None = None, *,
-    position: str | None = None, sums: dict[str, Column] | None = None,
+    position: str | None = None, total: str | None = None, sums: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None, following: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add columns that depend on the order of rows inside ``keys``, all with one shuffle of the rows.
 
-    ``position`` is the 0-based rank; ``sums`` add up this and all earlier rows; ``previous``
+    ``position`` is the 0-based rank, ``total`` the number of rows of the key; ``sums`` add up this and all earlier rows; ``previous``
     and ``following`` are values of the row before and after (null at the ends of a key).
     Rows that are equal in ``order`` come in any order, so give one that has no ties.
     A null key is an error.
@@ -91,6 +91,7 @@ def scan(
     carried = parts.select(
         *by,
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__c_n"),
+        F.sum("__n").over(Window.partitionBy(*keys)).alias("__c_all"),
         F.lag("__last").over(among).alias("__c_last"),
         F.lead("__first").over(among).alias("__c_first"),
         *[c.alias(n) for n, c in before.items()],
@@ -107,6 +108,7 @@ def scan(
     joined = local.join(carried, by, "left")
     lost = F.raise_error(F.lit("keys and buckets must not be null"))
     out = {} if position is None else {position: F.col("__c_n") + F.col("__at")}
+    out |= {} if total is None else {total: F.col("__c_all")}
     out |= {n: F.col(f"__c_{n}") + F.col(f"__s_{n}") for n in sums}
     out |= {n: F.coalesce("__lag", "__c_last")[n] for n in previous or {}}
     out |= {n: F.coalesce("__lead", "__c_first")[n] for n in following or {}}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import nonempty_ids, trimmed_ids
 from ..functions.text import blank_to_empty, py_strip, tokens
 from ..session import materialize
-from .ordered import ordered_position
+from .ordered import scan
 from .vector_index import SCORE_DIGITS, best, cosines, matrix, pivot_topk
 
 # Result counts, distance limits and prefetch sizes per benchmark.
@@ -379,9 +379,8 @@ def apportion_usage(
     Shares are whole numbers that sum to the total. Items of a unit without totals keep null
     shares; ``unapportioned`` lists the units that have only one of the two.
     """
-    counts = items.groupBy("unit_id").agg(F.count(F.lit(1)).alias("__items"))
-    sized = totals.select("unit_id", *[F.col(f).alias(f"__{f}") for f in fields]).join(counts, "unit_id")
-    placed = ordered_position(items, ["unit_id"], order, bucket, "__pos").join(sized, "unit_id", "left")
+    given = totals.select("unit_id", *[F.col(f).alias(f"__{f}") for f in fields])
+    placed = scan(items, ["unit_id"], order, bucket, position="__pos", total="__items").join(given, "unit_id", "left")
     shares = [
         (
             F.expr(f"`__{f}` div __items")

@@ -34,24 +34,35 @@ def _names(column: str) -> Column:
     return F.array_sort(F.collect_set(F.nullif(blank_to_empty(F.col(column)), F.lit(""))))
 
 
-def usage_by_role(evaluations: DataFrame, role: str) -> DataFrame:
-    """One row of provider usage for ``answerer`` or ``judge``."""
+def _sum(value: Column, name: str) -> Column:
+    return F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name)
+
+
+def _role_sums(role: str) -> list[Column]:
+    """Aggregates of the provider usage of ``answerer`` or ``judge``."""
     usage = F.coalesce(F.col(f"{role}_usage"), F.create_map().cast("map<string,bigint>"))
     reported = reduce(lambda a, b: a | b, [F.map_contains_key(usage, k) for k in PROVIDER_KEYS])
     prompt, completion = _number(usage, "prompt_tokens_total"), _number(usage, "completion_tokens")
     stated = _number(usage, "total_tokens")
     total = F.when(stated == 0, prompt + completion).otherwise(stated)
-
-    def reported_sum(value: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(reported, value)), F.lit(0).cast("bigint")).alias(name)
-
-    row = evaluations.agg(
+    return [
         F.count(F.lit(1)).alias("calls"),
         F.count_if(reported).alias("reported_calls"),
         F.count_if(~reported).alias("missing_usage_calls"),
-        reported_sum(prompt, "prompt_tokens"),
-        reported_sum(completion, "completion_tokens"),
-        reported_sum(total, "total_tokens"),
+        _sum(F.when(reported, prompt), "prompt_tokens"),
+        _sum(F.when(reported, completion), "completion_tokens"),
+        _sum(F.when(reported, total), "total_tokens"),
+    ]
+
+
+def _memory_sums(usage: str = "memory_internal_usage") -> list[Column]:
+    return [_sum(F.col(f"{usage}.{f}").cast("bigint"), f) for f in TOTAL_FIELDS]
+
+
+def usage_by_role(evaluations: DataFrame, role: str) -> DataFrame:
+    """One row of provider usage for ``answerer`` or ``judge``."""
+    row = evaluations.agg(
+        *_role_sums(role),
         _names(f"{role}_provider").alias("providers"),
         _names(f"{role}_model").alias("models"),
     )
@@ -65,27 +76,20 @@ def usage_by_role(evaluations: DataFrame, role: str) -> DataFrame:
 
 def memory_usage(evaluations: DataFrame, usage: str = "memory_internal_usage") -> DataFrame:
     """One row of memory-internal usage. A present object without the flag counts as available."""
-    present = F.col(usage).isNotNull()
-    flag = present & F.coalesce(F.col(f"{usage}.available"), F.lit(True))
-    sums = [
-        F.coalesce(F.sum(F.coalesce(F.col(f"{usage}.{f}").cast("bigint"), F.lit(0))), F.lit(0)).cast("bigint").alias(f)
-        for f in TOTAL_FIELDS
-    ]
+    flag = F.col(usage).isNotNull() & F.coalesce(F.col(f"{usage}.available"), F.lit(True))
     return evaluations.agg(
         F.coalesce(F.bool_or(flag), F.lit(False)).alias("available"),
-        *sums,
-        F.array_sort(F.collect_set(F.nullif(blank_to_empty(F.col(f"{usage}.framework")), F.lit("")))).alias("frameworks"),
+        *_memory_sums(usage),
+        _names(f"{usage}.framework").alias("frameworks"),
     )
 
 
 def usage_components(evaluations: DataFrame) -> DataFrame:
-    """One row per role with the four totals."""
-    def totals(df: DataFrame, role: str) -> DataFrame:
-        return df.select(F.lit(role).alias("role"), *TOTAL_FIELDS)
-
-    parts = [totals(usage_by_role(evaluations, r), r) for r in ("answerer", "judge")]
-    parts.append(totals(memory_usage(evaluations), "memory_internal"))
-    return reduce(DataFrame.unionByName, parts)
+    """One row per role with the four totals, from one pass over the evaluations."""
+    sums = {"answerer": _role_sums("answerer"), "judge": _role_sums("judge"), "memory_internal": _memory_sums()}
+    row = evaluations.agg(*[F.struct(*columns).alias(role) for role, columns in sums.items()])
+    roles = [F.struct(F.lit(r).alias("role"), *[F.col(r)[f].alias(f) for f in TOTAL_FIELDS]) for r in sums]
+    return row.select(F.inline(F.array(*roles)))
 
 
 def usage_totals(components: DataFrame) -> DataFrame:

@@ -498,7 +498,21 @@ def build_prediction(spark, d):
     )
 
 
-@query("attach_judgment")
+# Digests are of the rows as JSON with sorted keys and no blanks.
+_JUDGED = ", ".join(
+    f"""'{"," if i else "{"}"{c}":', coalesce(to_json({c}), 'null')"""
+    for i, c in enumerate(("generated_answer", "ground_truth_answer", "question", "question_id"))
+)
+
+
+@query(
+    "attach_judgment",
+    f"""{_ANSWER}, digested AS (SELECT question_id, question, generated_answer, ground_truth_answer, sha256(concat({_JUDGED}, '}}')) AS prediction_sha256 FROM answers)
+SELECT d.*, sha256(concat('{{"judge_fingerprint":"rubric","judge_provider":"provider","judge_requested_model":"model","prediction_sha256":"', prediction_sha256,
+  '","question_id":', to_json(question_id), ',"schema_version":2}}')) AS judge_input_fingerprint,
+ CASE exact_match WHEN 1 THEN 'CORRECT' ELSE 'WRONG' END AS judgment, exact_match AS score, '' AS reason, CAST(NULL AS VARCHAR) AS judgment_problem
+FROM digested d JOIN answer_metrics USING (question_id)""",
+)
 def attach_judgment(spark, d):
     rows = T.answers(spark, d).select("question_id", "question", "generated_answer", "ground_truth_answer")
     digested = PR.with_digests(rows, "provider", "model", "rubric")

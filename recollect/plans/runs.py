@@ -11,7 +11,7 @@ from ..operators import reports as RP
 from ..operators import timing as TM
 from ..operators import usage as U
 from ..operators.extensions import Registry
-from ..session import new_path
+from ..session import materialize, new_path
 from ..sources import datasets as SD
 from ..sources import run_folder
 from ..sources import runs as SR
@@ -450,13 +450,14 @@ def _units(spark, d):
     )
 
 
-def _resume_inputs(spark, d):
-    units = _units(spark, d)
-    expected = units.select("run_id", "unit_id").distinct()
-    # A unit counts as committed when any of its lines is filled and not returned.
-    checkpoints = units.filter("l_quantity > 5").select("run_id", "unit_id", F.lit("COMMITTED").alias("status"))
-    bad = units.filter("l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 45").select("run_id", "unit_id")
-    return expected, checkpoints.distinct(), bad
+def _unit_flags(spark, d):
+    """All that line items say about their units, in one pass.
+
+    A unit counts as committed when any of its lines is filled and not returned.
+    """
+    bad = "l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 45"
+    flags = F.lit(L.EXPECTED) + F.when(F.col("l_quantity") > 5, L.COMMITTED).otherwise(0)
+    return _units(spark, d).select("run_id", "unit_id", (flags + F.when(F.expr(bad), L.BAD).otherwise(0)).alias("flags"))
 
 
 _RESUME = """u AS (SELECT DISTINCT printf('run-%08d', l_orderkey) AS run_id, l_linenumber || '-' || l_partkey AS unit_id FROM lineitem),
@@ -467,7 +468,7 @@ restart AS (SELECT * FROM u EXCEPT SELECT * FROM good)"""
 
 @query("restart_units", f"WITH {_RESUME} SELECT * FROM restart")
 def restart_units(spark, d):
-    return L.restart_units(*_resume_inputs(spark, d))
+    return L.restart_units(_unit_flags(spark, d))
 
 
 def _phases(spark, d):
@@ -498,10 +499,10 @@ SELECT runs.run_id, CASE WHEN restart_units > 0 THEN 'RUNNING' WHEN printf('x%s'
 FROM runs LEFT JOIN r ON r.run_id = runs.run_id LEFT JOIN fb ON fb.run_id = runs.run_id""",
 )
 def resume_plan(spark, d):
-    expected, checkpoints, bad = _resume_inputs(spark, d)
-    phases = _phases(spark, d)
-    bad_phases = phases.filter("phase = 'PUBLISHING' and o_orderkey % 5 = 0").select("run_id", "phase")
-    return L.resume_plan(expected, L.restart_units(expected, checkpoints, bad), phases, bad_phases)
+    said = _phases(spark, d)
+    bad = F.when((F.col("phase") == "PUBLISHING") & (F.col("o_orderkey") % 5 == 0), L.BAD).otherwise(0)
+    flags = F.when(F.col("status") == "COMMITTED", L.COMMITTED).otherwise(0) + bad
+    return L.resume_plan(_unit_flags(spark, d), said.withColumn("flags", flags))
 
 
 @query(
@@ -687,7 +688,8 @@ def derive_evaluation(spark, d):
 SELECT benchmark, framework, metric, labels, CAST(value AS DOUBLE) AS value FROM g""",
 )
 def metrics_table(spark, d):
-    runs = with_status(L.latest_run(T.runs(spark, d)))
+    # One row per key, used by six branches: written once.
+    runs = materialize(with_status(L.latest_run(T.runs(spark, d))), "latest-runs")
     keys = ["benchmark", "framework"]
     components = runs.select(
         *keys, F.lit("answerer").alias("role"), F.col("expected").alias("prompt_tokens"),

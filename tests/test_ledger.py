@@ -107,8 +107,8 @@ def test_resume_plan_steps(spark):
         "run_id string, unit_id string, status string",
     )
     bad = spark.createDataFrame([("bad", "u1")], "run_id string, unit_id string")
-    restart = L.restart_units(expected, checkpoints, bad)
-    assert {r["run_id"] for r in restart.collect()} == {"open", "bad"}
+    units = L.unit_flags(expected, checkpoints, bad)
+    assert {r["run_id"] for r in L.restart_units(units).collect()} == {"open", "bad"}
     rows = []
     for run in ("done", "broken"):
         for i, phase in enumerate(L.PHASES):
@@ -116,10 +116,10 @@ def test_resume_plan_steps(spark):
             rows.append((run, phase, "COMMITTED", "other" if run == "broken" and i == 2 else before, f"{run}{i}"))
     phases = spark.createDataFrame(rows, "run_id string, phase string, status string, predecessor_digest string, checkpoint_digest string")
     none = phases.select("run_id", "phase").limit(0)
-    plan = {r["run_id"]: (r["next_phase"], r["restart_units"]) for r in L.resume_plan(expected, restart, phases, none).collect()}
+    plan = {r["run_id"]: (r["next_phase"], r["restart_units"]) for r in L.resume_plan(units, L.phase_flags(phases, none)).collect()}
     assert plan == {"open": ("RUNNING", 1), "bad": ("RUNNING", 1), "done": ("VERIFYING", 0), "broken": ("REPORTING", 0)}
     worse = phases.filter("run_id = 'done' and phase = 'JUDGING'").select("run_id", "phase")
-    plan = {r["run_id"]: r["next_phase"] for r in L.resume_plan(expected, restart, phases, worse).collect()}
+    plan = {r["run_id"]: r["next_phase"] for r in L.resume_plan(units, L.phase_flags(phases, worse)).collect()}
     assert plan["done"] == "JUDGING"
     assert [r["run_id"] for r in L.phase_chain(L.with_ordinal(phases)).collect()] == ["broken"]
 
