@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
 
+SALTS = 64  # parts in which a node's links are dealt
+
+
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
-    """Links each neighbour of a node (larger ones, or all smaller ones with the node) to its smallest."""
+    """Links each neighbour of a node (larger ones, or all smaller ones with the node) to its smallest.
+
+    The links of a node are dealt by (node, salt of the neighbour), so that a node with very
+    many is spread; only one row per part meets at the node.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not larger:
         both = both.filter("b < a")
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    linked = both.join(least, "a")
-    out = linked.filter("b > a") if larger else linked.unionByName(least.select("a", F.col("a").alias("b"), "m"))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = both.groupBy("a", "salt").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+    least = parts.select("a", "salt", F.min("low").over(Window.partitionBy("a")).alias("m"))
+    linked = both.join(least, ["a", "salt"]).select("a", "b", "m")
+    own = least.select("a", F.col("a").alias("b"), "m").distinct()
+    out = linked.filter("b > a") if larger else linked.unionByName(own)
     return (
         out.filter("b <> m")
         .select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b"))
