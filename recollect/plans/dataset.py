@@ -39,7 +39,6 @@ def query(name: str, oracle: str | None = None):
 
 # --- nested datasets --------------------------------------------------------------------
 
-DOCUMENT_TURNS = 64
 SESSION_TURNS = 3
 _MONTHS = ("January", "February", "March")
 
@@ -56,7 +55,7 @@ def _session_turns(spark, d):
     return T.turns(spark, d).select(
         "conv_id",
         "turn",
-        (conv * 100 + F.floor(turn / DOCUMENT_TURNS)).alias("conversation_idx"),
+        T.document_key().alias("conversation_idx"),
         session.alias("session"),
         date.alias("date"),
         F.concat_ws(":", F.concat(F.lit("D"), session.cast("string")), turn.cast("string")).alias("dia_id"),
@@ -67,8 +66,8 @@ def _session_turns(spark, d):
     )
 
 
-_SESSION_SQL = """st AS (
-  SELECT conv_id, turn, conv_id * 100 + turn // 64 AS conversation_idx, turn // 3 AS session, turn % 3 AS turn_pos,
+_SESSION_SQL = f"""st AS (
+  SELECT conv_id, turn, {Q.DOCUMENT_KEY} AS conversation_idx, turn // 3 AS session, turn % 3 AS turn_pos,
          'D' || (turn // 3) || ':' || turn AS dia_id, role AS speaker, text,
          CASE WHEN turn % 4 < 2 THEN 'photo ' || turn ELSE '' END AS q, CASE WHEN turn % 2 = 0 THEN 'a scene ' || turn ELSE '' END AS cap,
          make_timestamp(2023, CAST((turn // 3) % 3 + 1 AS INTEGER), CAST((conv_id * 5 + (turn // 3) * 11) % 28 + 1 AS INTEGER),
@@ -111,7 +110,7 @@ def conversation_documents(spark, d):
         "conversation_idx", F.map_from_entries(F.concat(head, F.flatten(F.transform("ss", pairs)))).alias("conversation")
     )
     asked = T.qa(spark, d).select(
-        (F.col("conv_id") * 100 + F.floor(F.col("turn") / DOCUMENT_TURNS)).alias("conversation_idx"),
+        T.document_key().alias("conversation_idx"),
         F.struct(
             "turn",
             F.struct(
@@ -127,9 +126,9 @@ def conversation_documents(spark, d):
     )
 
 
-_QUESTIONS_SQL = """dq AS (
-  SELECT conv_id * 100 + turn // 64 AS conversation_idx,
-         row_number() OVER (PARTITION BY conv_id * 100 + turn // 64 ORDER BY turn) - 1 AS question_idx,
+_QUESTIONS_SQL = f"""dq AS (
+  SELECT {Q.DOCUMENT_KEY} AS conversation_idx,
+         row_number() OVER (PARTITION BY {Q.DOCUMENT_KEY} ORDER BY turn) - 1 AS question_idx,
          question, answer, CAST(CASE WHEN category < 5 THEN category ELSE 0 END AS INTEGER) AS category, conv_id, turn
   FROM qa)"""
 
@@ -249,8 +248,8 @@ def _messy_role() -> Column:
     )
 
 
-_HAYSTACK_SQL = """h AS (
-  SELECT 'q' || (conv_id * 100 + turn // 64) AS question_id, 's' || (turn // 3) AS session_id, turn // 3 AS session, turn, turn % 3 AS pos,
+_HAYSTACK_SQL = f"""h AS (
+  SELECT 'q' || {Q.DOCUMENT_KEY} AS question_id, 's' || (turn // 3) AS session_id, turn // 3 AS session, turn, turn % 3 AS pos,
          trim(text, ' ' || chr(10)) AS content, text,
          CASE turn % 4 WHEN 0 THEN role WHEN 1 THEN role WHEN 2 THEN role || '_bot' ELSE 'unknown' END AS role,
          CASE turn % 4 WHEN 3 THEN 'Unknown' ELSE upper(role[1]) || role[2:] || CASE WHEN turn % 4 = 2 THEN ' Bot' ELSE '' END END AS label,

@@ -220,20 +220,16 @@ def run_summary(spark, d):
     )
 
 
-def _document_key():
-    return F.col("conv_id") * 100 + F.floor(F.col("turn") / 64)
-
-
 @query(
     "committed_item_count",
     f"""WITH {Q.QA}, c AS (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'system') = 0)
-SELECT CAST(count(*) AS BIGINT) AS questions, CAST(count(DISTINCT conv_id * 100 + turn // 64) AS BIGINT) AS units FROM qa WHERE conv_id IN (SELECT conv_id FROM c)""",
+SELECT CAST(count(*) AS BIGINT) AS questions, CAST(count(DISTINCT {Q.DOCUMENT_KEY}) AS BIGINT) AS units FROM qa WHERE conv_id IN (SELECT conv_id FROM c)""",
 )
 def committed_item_count(spark, d):
-    units = T.qa(spark, d).groupBy(_document_key().alias("unit_id")).agg(F.collect_list("question_id").alias("question_ids"))
+    units = T.qa(spark, d).groupBy(T.document_key().alias("unit_id")).agg(F.collect_list("question_id").alias("question_ids"))
     turns = T.turns(spark, d)
     whole = turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "system").alias("n")).filter("n = 0")
-    committed = turns.join(whole, "conv_id", "left_semi").select(_document_key().alias("unit_id")).distinct()
+    committed = turns.join(whole, "conv_id", "left_semi").select(T.document_key().alias("unit_id")).distinct()
     items = RP.committed_item_count(units, committed, True).select(F.col("committed_items").alias("questions"))
     count = RP.committed_item_count(units, committed, False)
     return items.select("questions", count.scalar().alias("units"))

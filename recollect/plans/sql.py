@@ -119,6 +119,9 @@ def means(metrics: tuple[str, ...], source: str, group: str, keys: str = "") ->
        {group} AS "group", count(*) AS n, {cols} FROM {source} GROUP BY {sets}"""
 
 
+# The number of a stretch of 64 turns; 2^31 of them fit into a conversation.
+DOCUMENT_KEY = "(conv_id * 2147483648 + turn // 64)"
+
 RUNS = """
 runs AS (
   SELECT printf('run-%08d', o_orderkey) AS run_id, o_orderpriority AS benchmark, o_orderstatus AS framework,

@@ -13,6 +13,8 @@ from ..functions.ids import padded
 from ..operators.sampling import QUESTION_TYPES
 
 OFFSETS = (1, -1, 0, 2, 3)
+DOCUMENT_TURNS = 64
+DOCUMENTS = 1 << 31  # that one conversation can be cut into, so that keys of two never meet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,11 @@ def turn_id(conv: Column, turn: Column) -> Column:
     return F.concat_ws(":", conv.cast("string"), turn.cast("string"))
 
 
+def document_key() -> Column:
+    """A number of its own for each stretch of ``DOCUMENT_TURNS`` turns of a conversation."""
+    return F.col("conv_id") * DOCUMENTS + F.floor(F.col("turn") / DOCUMENT_TURNS)
+
+
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn is a question, the assistant turn after it is its gold answer."""
     user = texts(spark, sf_dir, "conversations").filter("role = 'user'")

@@ -47,13 +47,13 @@ PINNED_DATASETS = (
 def _array_items(spark: SparkSession, path: str, item: str, position: str) -> DataFrame:
     """(position, item) of files whose root is a JSON array; positions count inside a file."""
     records = array_records(spark, path)
-    return records.select(F.col("position").cast("int").alias(position), F.from_json("value", item).alias("item"))
+    return records.select(F.col("position").cast("long").alias(position), F.from_json("value", item).alias("item"))
 
 
 def _line_items(spark: SparkSession, path: str, item: str, position: str) -> DataFrame:
     """(position, item) of JSON lines that state their own position."""
     lines = spark.read.text(path)
-    at = F.get_json_object("value", f"$.{position}").cast("int")
+    at = F.get_json_object("value", f"$.{position}").cast("long")
     return lines.select(at.alias(position), F.from_json("value", item).alias("item"))
 
 

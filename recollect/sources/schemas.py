@@ -23,7 +23,7 @@ MEMORY_USAGE = (
 )
 PREDICTION_FIELDS = (
     "schema_version int, benchmark string, framework string, question_id string, conversation_id string, "
-    "conversation_idx int, question_idx int, question_type string, question string, question_date string, "
+    "conversation_idx long, question_idx int, question_type string, question string, question_date string, "
     "ground_truth_answer string, category int, category_name string, evidence array<string>, "
     "answer_session_ids array<string>, generated_answer string, prediction string, cutoff_label string, "
     "answerer_provider string, answerer_model string, answerer_usage map<string,bigint>, "
@@ -35,7 +35,7 @@ JUDGMENT_FIELDS = (
     "judgment string, score double, reason string, judge_provider string, judge_requested_model string, "
     "judge_model string, judge_finish_reason string, judge_usage map<string,bigint>, judge_fingerprint string"
 )
-TIMING_FIELDS = "conversation_idx int, question_id string, pipeline_timing map<string,string>"
+TIMING_FIELDS = "conversation_idx long, question_id string, pipeline_timing map<string,string>"
 
 MANIFEST_FIELDS = (
     "schema_version int, run_id string, scientific_fingerprint string, expected_item_ids array<string>, "

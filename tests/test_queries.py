@@ -73,6 +73,22 @@ def test_sources_are_read_once(spark, name, scans, exchanges):
     assert prepared.count("Exchange hashpartitioning") <= exchanges
 
 
+def test_long_conversations_do_not_share_documents(spark, tmp_path):
+    """One conversation of 10,000 turns, the next ids after it short."""
+    path = str(tmp_path)
+    sized = "select 1L as conv_id, explode(sequence(0L, 9999L)) as turn union all select id, explode(sequence(0L, 5L)) from range(2, 5)"
+    rows = spark.sql(f"select *, if(turn % 2 = 0, 'user', 'assistant') as role, concat('text ', turn) as text from ({sized})")
+    rows.write.parquet(f"{path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{path}/conversations.parquet/*.parquet'")
+    for name in ("read_conversation_dataset", "read_question_dataset", "enumerate_questions"):
+        frame = QUERIES[name](spark, path)
+        names = [c[0] for c in con.execute(f"describe {ORACLES[name]}").fetchall()]
+        got = sorted(map(tuple, frame.select(*names).collect()), key=repr)
+        assert got == sorted(con.execute(ORACLES[name]).fetchall(), key=repr)
+        assert name == "enumerate_questions" or len(got) == -(-10_000 // 64) + 3
+
+
 def test_entry_has_a_stable_schema(spark):
     frame = entry.entry(spark)
     assert frame.columns[:3] == ["scope", "group", "n"] and frame.count() > 0
