@@ -85,17 +85,24 @@ def check_conversation_structure(rows: DataFrame, json_column: str) -> DataFrame
     return rows.withColumn("problem", problem).filter("problem is not null")
 
 
-def check_flat_rows(evaluations: DataFrame, benchmark: str) -> None:
-    """Refuse rows without an answer and rows of the older nested layout."""
+def flat_row_problems(evaluations: DataFrame, benchmark: str) -> DataFrame:
+    """Rows without an answer and rows of the older nested layout, with ``problem``.
+
+    An answer is ``generated_answer``; conversation rows may have ``prediction`` in its place.
+    """
     names = ("generated_answer", "prediction") if benchmark == "locomo" else ("generated_answer",)
-    present = [F.col(n).isNotNull() for n in names if n in evaluations.columns]
-    answered = present[0] if present else F.lit(False)
-    for extra in present[1:]:
-        answered = answered | extra
+    present = [n for n in names if n in evaluations.columns]
+    answer = F.coalesce(*[F.col(n).cast("string") for n in present]) if present else F.lit(None)
     nested = F.col("cutoff_results").isNotNull() if "cutoff_results" in evaluations.columns else F.lit(False)
-    seen = evaluations.agg(F.count(F.lit(1)).alias("n"), F.bool_or(~answered | nested).alias("bad")).first()
-    if seen["bad"] or (benchmark == "longmemeval" and seen["n"] == 0):
-        raise ValueError(f"unsupported {benchmark} evaluation rows: expected flat answers")
+    problem = F.when(nested, F.lit("nested layout")).when(answer.isNull(), F.lit("no answer"))
+    return evaluations.withColumn("problem", problem).filter("problem is not null")
+
+
+def check_flat_rows(evaluations: DataFrame, benchmark: str) -> None:
+    """Refuse evaluations with ``flat_row_problems``, and question evaluations without a row."""
+    require_empty(flat_row_problems(evaluations, benchmark), f"unsupported {benchmark} evaluation rows")
+    if benchmark == "longmemeval" and evaluations.isEmpty():
+        raise ValueError(f"unsupported {benchmark} evaluation rows: there are none")
 
 
 def check_complete(predictions: DataFrame, expected: DataFrame) -> DataFrame:

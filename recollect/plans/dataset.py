@@ -762,6 +762,22 @@ def check_conversation_structure(spark, d):
     return V.check_conversation_structure(rows, "value").select("doc_id", "problem")
 
 
+_NESTED = "CASE WHEN category = 2 THEN 'nested layout' WHEN generated_answer = question THEN 'no answer' END"
+
+
+@query(
+    "check_flat_rows",
+    f"WITH {Q.ANSWERS} SELECT question_id, {_NESTED} AS problem FROM answers WHERE {_NESTED} IS NOT NULL",
+)
+def check_flat_rows(spark, d):
+    """Answers that only repeat the question are taken away, rows of one category are nested."""
+    rows = T.answers(spark, d).withColumns({
+        "generated_answer": F.when(F.col("generated_answer") != F.col("question"), F.col("generated_answer")),
+        "cutoff_results": F.when(F.col("category") == 2, F.struct(F.col("answer").alias("top_1"))),
+    })
+    return V.flat_row_problems(rows, "locomo").select("question_id", "problem")
+
+
 @query(
     "check_complete",
     f"""WITH {Q.QA}, e AS (SELECT question_id || CASE WHEN (conv_id + turn) % 11 = 3 THEN '_other' ELSE '' END AS question_id, conv_id * 1000000 + turn AS position FROM qa),

@@ -812,6 +812,27 @@ def file_digests(spark, d):
     return SR.artifact_manifest(spark, path)
 
 
+@query(
+    "dataset_registry",
+    """SELECT 'd' || s_suppkey AS dataset_id, s_name AS source_url, CASE WHEN s_suppkey % 3 <> 0 THEN sha256(s_name) ELSE '' END AS sha256,
+ s_suppkey || '.json' AS filename, s_suppkey % 3 <> 0 AS pinned FROM supplier""",
+)
+def dataset_registry(spark, d):
+    """A registry of several files, one for each nation's suppliers; some sources have no pin."""
+    path = new_path(spark, "registry")
+    pin = F.when(F.col("s_suppkey") % 3 != 0, F.sha2("s_name", 256)).otherwise(F.lit(""))
+    entry = F.struct(
+        F.concat(F.lit("d"), "s_suppkey").alias("dataset_id"), F.col("s_name").alias("source_url"), pin.alias("sha256"),
+        F.concat("s_suppkey", F.lit(".json")).alias("filename"),
+    )
+    listed = T.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(entry)).alias("datasets"))
+    document = F.concat(F.lit('{"schema_version":1,"datasets":'), "datasets", F.lit("}"))
+    name = F.concat("s_nationkey", F.lit("/registry.json"))
+    run_folder.write_run_folder(listed.select(name.alias("path"), document.alias("content")), path)
+    rows = SD.dataset_registry(spark, f"{path}/*")
+    return rows.select("dataset_id", "source_url", "sha256", "filename", "pinned")
+
+
 @query(
     "verify_pinned",
     "SELECT 'd' || s_suppkey AS dataset_id, s_suppkey || '.json' AS filename, sha256(s_name) AS sha256 FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 3 <> 0",
