@@ -33,23 +33,31 @@ def lcs_length(left: list, right: list) -> int:
     return len(right) - row.bit_count()
 
 
-@F.pandas_udf(OVERLAP_TYPE)
-def _overlap(prediction: pd.Series, gold: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p_text, g_text in zip(prediction, gold):
-        p, g = (p_text or "").split(), (g_text or "").split()
-        rows.append((len(p), len(g), (Counter(p) & Counter(g)).total(), lcs_length(p, g)))
-    return pd.DataFrame(rows, columns=["n_pred", "n_gold", "overlap", "lcs"])
+def _overlap(with_lcs: bool):
+    @F.pandas_udf(OVERLAP_TYPE)
+    def overlap(prediction: pd.Series, gold: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p_text, g_text in zip(prediction, gold):
+            p, g = (p_text or "").split(), (g_text or "").split()
+            lcs = lcs_length(p, g) if with_lcs else None
+            rows.append((len(p), len(g), (Counter(p) & Counter(g)).total(), lcs))
+        frame = pd.DataFrame(rows, columns=["n_pred", "n_gold", "overlap", "lcs"])
+        return frame.astype({"lcs": "Int32"})
 
+    return overlap
 
-def normalized_overlap(prediction: Column, gold: Column) -> Column:
-    """Struct ``(n_pred, n_gold, overlap, lcs)`` of two texts that are normalised already."""
-    return _overlap(prediction, gold)
 
+def normalized_overlap(prediction: Column, gold: Column, lcs: bool = True) -> Column:
+    """Struct ``(n_pred, n_gold, overlap, lcs)`` of two texts that are normalised already.
 
-def answer_overlap(prediction: Column, gold: Column) -> Column:
+    Without ``lcs`` that field is null and costs nothing; ``token_f1`` needs no more.
+    """
+    return _overlap(lcs)(prediction, gold)
+
+
+def answer_overlap(prediction: Column, gold: Column, lcs: bool = True) -> Column:
     """Struct ``(n_pred, n_gold, overlap, lcs)`` over normalised tokens."""
-    return _overlap(normalize_text(prediction), normalize_text(gold))
+    return normalized_overlap(normalize_text(prediction), normalize_text(gold), lcs)
 
 
 def _f1(hits: Column, n_pred: Column, n_gold: Column) -> Column:

@@ -66,7 +66,7 @@ def exact_match(spark, d):
 @query("token_f1", f"{_ANSWER} SELECT question_id, round(token_f1, 9) AS token_f1 FROM answer_metrics")
 def token_f1(spark, d):
     rows = T.answers(spark, d).select(
-        "question_id", O.answer_overlap(F.col("generated_answer"), F.col("ground_truth_answer")).alias("o")
+        "question_id", O.answer_overlap(F.col("generated_answer"), F.col("ground_truth_answer"), lcs=False).alias("o")
     )
     return rows.select("question_id", F.round(O.token_f1(F.col("o")), 9).alias("token_f1"))
 

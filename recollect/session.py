@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_scope: ContextVar[str | None] = ContextVar("staging scope", default=None)
 
 
 def local_session(cores: int | str = "*", app: str = "recollect", **conf: str) -> SparkSession:
@@ -47,7 +51,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path of its own in the shared folder, inside the open ``staging`` scope if there is one."""
+    return f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def staging(spark: SparkSession, name: str = "staged") -> Iterator[str]:
+    """A scope whose staged tables lie in one folder, which is deleted at the end, after an error too.
+
+    Results are lazy and read the staged tables, so write them inside the scope, to a path
+    outside of the folder that it yields. A scope in a scope ends with its own folder.
+    """
+    folder = new_path(spark, name)
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

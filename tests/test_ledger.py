@@ -12,6 +12,8 @@ from recollect.operators import reports as RP
 from recollect.operators import timing as TM
 from recollect.operators import usage as U
 from recollect.operators import validation as V
+from recollect.session import materialize, staging
+from recollect.sources.runs import path_exists
 
 
 def test_canonical_json_has_the_bytes_of_sorted_compact_json(col_values):
@@ -201,3 +203,23 @@ def test_comparable_runs_share_the_whole_sample_identity(spark):
     assert got == {("a1", "b1"): True, ("a2", "b2"): False}
     with pytest.raises(Exception, match="more than one run"):
         L.comparable(left.unionByName(left), right).collect()
+
+
+def test_a_staging_scope_takes_its_tables_along(spark, tmp_path):
+    before = materialize(spark.range(3), "kept")
+    with staging(spark) as folder:
+        inside = materialize(spark.range(5), "gone")
+        with staging(spark) as inner:
+            materialize(spark.range(2), "gone")
+            assert inner.startswith(folder) and path_exists(spark, inner)
+        assert not path_exists(spark, inner) and inside.count() == 5
+        inside.write.parquet(str(tmp_path / "result"))
+    assert not path_exists(spark, folder)
+    assert before.count() == 3 and spark.read.parquet(str(tmp_path / "result")).count() == 5
+    with pytest.raises(RuntimeError):
+        with staging(spark) as folder:
+            materialize(spark.range(1), "gone")
+            raise RuntimeError
+    assert not path_exists(spark, folder)
+    with staging(spark):
+        pass
