@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
 
-SALTS = 64  # parts in which a node's links are dealt
+HOT = 1000  # links of a node from which on it can be a hot one
+MOST_HOT = 256  # a hot node has more than this part of all links, so there are fewer hot nodes
 
 
-def _stars(edges: DataFrame, larger: bool) -> DataFrame:
+def _stars(edges: DataFrame, larger: bool, rows: int) -> DataFrame:
     """Links each neighbour of a node (larger ones, or all smaller ones with the node) to its smallest.
 
-    The links of a node are dealt by (node, salt of the neighbour), so that a node with very
-    many is spread; only one row per part meets at the node.
+    Nodes with more than ``1 / MOST_HOT`` of the ``rows`` links are fewer than twice ``MOST_HOT``,
+    as a link has two ends. They go to all tasks, so that their links need not meet in one.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not larger:
         both = both.filter("b < a")
-    both = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    parts = both.groupBy("a", "salt").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-    least = parts.select("a", "salt", F.min("low").over(Window.partitionBy("a")).alias("m"))
-    linked = both.join(least, ["a", "salt"]).select("a", "b", "m")
-    own = least.select("a", F.col("a").alias("b"), "m").distinct()
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = max(HOT, rows // MOST_HOT)
+    hot = F.broadcast(least.filter(F.col("n") > limit).select("a", F.col("m").alias("hot_m")))
+    marked = both.join(hot, "a", "left")
+    cold = marked.filter("hot_m is null").join(least.filter(F.col("n") <= limit), "a")
+    linked = cold.select("a", "b", "m").unionByName(marked.filter("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")))
+    own = least.filter("n > 0").select("a", F.col("a").alias("b"), "m")  # with n, so that the exchange is reused
     out = linked.filter("b > a") if larger else linked.unionByName(own)
     return (
         out.filter("b <> m")
@@ -45,4 +48,4 @@ def components(edges: DataFrame) -> DataFrame:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not now[0] or now == before:
             return links.select(F.col("b").alias("id"), F.col("a").alias("component"))
-        links, before = stage(_stars(_stars(links, True), False), "links"), now
+        links, before = stage(_stars(_stars(links, True, now[0]), False, now[0]), "links"), now

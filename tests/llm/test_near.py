@@ -109,7 +109,10 @@ def test_words_that_cancel_in_a_polynomial_link_nothing(spark):
     assert [r.doc_id for r in decontaminate.contained_items(docs, items).collect()] == [1]
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("hot", [components.HOT, 4])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT", hot)
+    monkeypatch.setattr(components, "MOST_HOT", 16)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 200), (None, 3), (300, 301), (301, 300)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     want = {(i, 0) for i in range(1, 41)} | {(i, 100) for i in range(101, 140)} | {(301, 300)}
