@@ -171,8 +171,8 @@ def conversation_records(conversations: DataFrame, style: str = "plain", strict:
     turns = conversation_turns(unpivot_sessions(conversations, strict))
     spoken = X.serialize_turn_speaker(F.col("speaker"), F.col("text"), F.col("query"), F.col("caption"))
     plain = X.serialize_turn_plain(F.col("text"), F.col("query"), F.col("caption"))
-    rows = turns.withColumn("ingest_text", plain if style == "plain" else spoken).filter("ingest_text <> ''")
-    rows = rows.select(
+    # Both texts are empty where all three parts are; counting the rows of slices builds no texts.
+    rows = turns.filter("text <> '' or query <> '' or caption <> ''").select(
         F.lit("locomo").alias("benchmark"),
         I.conversation_id(F.col("conversation_idx")).alias("unit_id"),
         "conversation_idx",
@@ -188,7 +188,7 @@ def conversation_records(conversations: DataFrame, style: str = "plain", strict:
         "speaker",
         X.speaker_role(F.col("speaker"), F.col("speaker_a")).alias("role"),
         spoken.alias("text"),
-        "ingest_text",
+        (plain if style == "plain" else spoken).alias("ingest_text"),
         "raw_text",
         "query",
         F.col("caption").alias("blip_caption"),
