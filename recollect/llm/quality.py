@@ -6,24 +6,32 @@ gives the weights (Newton steps with a ridge). The cut is the quantile of the tr
 scores at the share of bad labels, and ``score`` is the logistic of the distance to the cut,
 moved so that the cut is at ``THRESHOLD``.
 
-Only a bounded sample of labelled rows is used for the fit (``max_rows``, by a hash of the
-id); every document is scored over its whole text.
+The fit covers every pair of all labelled rows, without forming them. What a pair adds depends
+on the difference of its scores by a smooth function, which Chebyshev interpolation gives to
+double precision. So tasks sum the rows of each unit of score at ``NODES`` points, and pairs
+meet as pairs of points. The cut is an exact order statistic of all training scores.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, text_bytes
+from .common import by_bytes, stage, text_bytes
 
 THRESHOLD = 0.7
-MAX_ROWS = 20_000
+NODES = 14  # points in a unit of score
+CELL_SUMS = "good boolean, cell long, sums binary"
+QUANTILE_ROWS = 100_000  # scores that are sorted in one place
+QUANTILE_BINS = 4096
+DIGITS = 12  # kept of fitted values, so that the order of sums does not show
 SEGMENT = 200  # words in which repeats are counted, so that long texts compare with short ones
 NAMES = ("words", "distinct", "repeat", "upper", "shouted", "symbols", "marked", "digits", "word_length", "lines", "same_lines")
 
@@ -81,30 +89,140 @@ class Model:
 EVEN = Model((0.0,) * len(NAMES), (1.0,) * len(NAMES), (0.0,) * len(NAMES), -30.0, 1.0)
 
 
-def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = 100_000, ridge: float = 1e-3, steps: int = 30) -> Model:
-    """The model of feature rows ``x`` whose ``good`` ones win against the others.
+def _rounded(values) -> np.ndarray:
+    return np.array([float(f"{v:.{DIGITS}g}") for v in values])
+
+
+def _points() -> np.ndarray:
+    return np.cos(np.pi * (2 * np.arange(NODES) + 1) / (2 * NODES))
+
+
+def cell_sums(z: np.ndarray, s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(cell, sums) of rows ``z`` by their scores ``s``: at each point of the cell the sums of 1, z and z z'.
+
+    A row counts at a point by the interpolation weight of its score.
+    """
+    spread = np.polynomial.chebyshev.chebvander(_points(), NODES - 1).T * (2 / NODES)
+    spread[0] /= 2
+    cells = np.floor(s + 0.5)
+    order = np.argsort(cells, kind="stable")
+    for me in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+        if not len(me):
+            continue
+        cell = cells[me[0]]
+        weights = np.polynomial.chebyshev.chebvander(2 * (s[me] - cell), NODES - 1) @ spread
+        square = (z[me, :, None] * z[me, None, :]).reshape(len(me), -1)
+        yield int(cell), weights.T @ np.hstack([np.ones((len(me), 1)), z[me], square])
+
+
+def pair_sums(good: dict[int, np.ndarray], bad: dict[int, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the logistic loss, summed over all pairs of a good and a bad row, from ``cell_sums``."""
+    gradient, hessian = np.zeros(width), np.zeros((width, width))
+    points = _points() / 2
+    losers = np.concatenate([c + points for c in sorted(bad)])
+    held = np.concatenate([bad[c] for c in sorted(bad)])
+    for cell in sorted(good):
+        ones, firsts, seconds = np.split(good[cell], [1, 1 + width], axis=1)
+        p = 1 / (1 + np.exp(np.clip(cell + points[:, None] - losers, -700, 700)))
+        flat = p @ held[:, : 1 + width]
+        gradient += firsts.T @ flat[:, 0] - flat[:, 1:].T @ ones[:, 0]
+        curved = (p * (1 - p)) @ held
+        mixed = firsts.T @ curved[:, 1 : 1 + width]
+        whole = seconds.T @ curved[:, 0] + curved[:, 1 + width :].T @ ones[:, 0]
+        hessian += whole.reshape(width, width) - mixed - mixed.T
+    return gradient, hessian
+
+
+def _strengths(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    z = (x - mean) / scale
+    return z, z @ w
+
+
+def _rows_of(column) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _all_sums(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> dict[bool, dict[int, np.ndarray]]:
+    """``cell_sums`` of the good and of the bad rows; a cell's sums come to the driver, not its rows."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bool, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z, s = _strengths(_rows_of(batch.column(0)), mean, scale, w)
+            flags = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            for flag in (False, True):
+                for cell, sums in cell_sums(z[flags == flag], s[flags == flag]):
+                    held[flag, cell] = held.get((flag, cell), 0) + sums
+        columns = [k[0] for k in held], [k[1] for k in held], [v.tobytes() for v in held.values()]
+        types = pa.bool_(), pa.int64(), pa.binary()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["good", "cell", "sums"])
+
+    def total(table: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(b) for b in table["sums"].to_pylist())
+        return table.slice(0, 1).set_column(2, "sums", pa.array([whole.tobytes()], pa.binary()))
+
+    found: dict[bool, dict[int, np.ndarray]] = {False: {}, True: {}}
+    summed = rows.select("x", "good").mapInArrow(partial, CELL_SUMS).groupBy("good", "cell").applyInArrow(total, CELL_SUMS)
+    for row in summed.collect():
+        found[row["good"]][row["cell"]] = np.frombuffer(row["sums"]).reshape(NODES, -1)
+    return found
+
+
+def quantile(scores: DataFrame, share: float) -> float:
+    """The exact quantile of column ``s`` (linear between neighbours), narrowed down by counts of value ranges."""
+    low, high, n = scores.agg(F.min("s"), F.max("s"), F.count("s")).first()
+    at = (n - 1) * share
+    first, part = int(at), at - int(at)
+    while n > QUANTILE_ROWS and low < high:
+        bin_ = F.least(F.floor((F.col("s") - low) / (high - low) * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1))
+        bins = scores.groupBy(bin_.alias("bin")).agg(F.count("s").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
+        bins = sorted(bins.collect())
+        while first >= bins[0]["n"]:
+            first -= bins.pop(0)["n"]
+        if first + 1 == bins[0]["n"]:  # the last of its range; the next one is the first of the next range
+            after = bins[1]["low"] if len(bins) > 1 else bins[0]["high"]
+            return bins[0]["high"] + part * (after - bins[0]["high"])
+        _, n, low, high = bins[0]
+        scores = scores.filter(F.col("s").between(low, high))
+    if low == high:
+        return low
+    values = sorted(r["s"] for r in scores.select("s").collect())
+    after = values[min(first + 1, n - 1)]
+    return values[first] + part * (after - values[first])
+
+
+def fit_pairs(rows: DataFrame, ridge: float = 1e-3, steps: int = 30) -> Model:
+    """The model of ``rows`` (x array of features, good boolean) whose good ones win against the others, from all pairs.
 
     Without rows of both kinds there is nothing to learn and all texts score high.
     """
-    if not good.any() or good.all():
+    width = len(NAMES)
+    spread = [f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(width)]
+    n, good, *stats = rows.agg(F.count("x"), F.count_if("good"), *spread).first()
+    if good in (0, n):
         return EVEN
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = (x - mean) / scale
-    rng = np.random.default_rng(0)
-    winners, losers = np.flatnonzero(good), np.flatnonzero(~good)
-    d = z[rng.choice(winners, pairs)] - z[rng.choice(losers, pairs)]
-    w = np.zeros(z.shape[1])
+    mean, scale = _rounded(stats[:width]), _rounded(np.array(stats[width:]) + 1e-6)
+    pairs = good * (n - good)
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = d.T @ p / pairs - ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w += step * min(1.0, 2.0 / np.abs(step).max())
+        sums = _all_sums(rows, mean, scale, w)
+        gradient, hessian = pair_sums(sums[True], sums[False], width)
+        step = np.linalg.solve(hessian / pairs + ridge * np.eye(width), gradient / pairs - ridge * w)
+        w += step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
         if np.abs(step).max() < 1e-8:
             break
-    s = z @ w
-    cut = float(np.quantile(s, 1 - good.mean()))
-    return Model(*(tuple(map(float, v)) for v in (mean, scale, w)), cut, float(s.std() / 4 + 1e-9))
+    w = _rounded(w)
+
+    @F.pandas_udf("double")
+    def strength(x: pd.Series) -> pd.Series:
+        return pd.Series(_strengths(np.stack(x.to_list()), mean, scale, w)[1])
+
+    scores = stage(rows.select(strength("x").alias("s")), "quality-scores")
+    spread = scores.agg(F.stddev_pop("s")).first()[0]
+    cut = quantile(scores, 1 - good / n)
+    return Model(*(tuple(map(float, v)) for v in (mean, scale, w)), float(cut), float(_rounded([spread / 4 + 1e-9])[0]))
 
 
 def features_column(text: Column) -> Column:
@@ -124,26 +242,21 @@ def score_column(model: Model, text: Column) -> Column:
     return make(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int | None = None) -> Model:
     """Learns from ``labels`` (doc_id, quality 0 or 1) joined to ``docs`` (doc_id, text).
 
-    At most ``max_rows`` ids are used, the first by a hash of the id. Null ids and labels
-    teach nothing; of repeated labels the smallest counts.
+    All labelled rows are used, or the first ``max_rows`` ids by a hash of the id. Null ids and
+    labels teach nothing; of repeated labels the smallest counts.
     """
     chosen = (
-        labels.filter("doc_id is not null and quality in (0, 1)")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-    )
-    rows = by_bytes(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select(
-        features_column(F.col("text")).alias("x"), "quality"
+        labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     )
-    sample = rows.limit(2 * max_rows).toPandas()
-    if not len(sample):
-        return EVEN
-    return fit_pairs(np.array(sample["x"].tolist()), sample["quality"].to_numpy() == 1)
+    if max_rows is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # Features are shuffled to their labels, not texts.
+    known = by_bytes(docs).select("doc_id", features_column(F.col("text")).alias("x"))
+    rows = known.join(chosen, "doc_id").select("x", (F.col("quality") == 1).alias("good"))
+    return fit_pairs(stage(rows, "quality-rows"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:

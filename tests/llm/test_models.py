@@ -141,3 +141,32 @@ def test_quality_takes_awkward_rows(spark, awkward, unnamed, empty_docs):
 def test_fit_is_bounded_by_its_parameter(awkward, spark):
     labels = awkward.selectExpr("doc_id", "cast(pmod(doc_id, 20) = 0 as int) as quality")
     assert quality.fit(awkward, labels, max_rows=1) == quality.EVEN
+
+
+def test_quality_is_fitted_on_all_pairs(spark):
+    """Every pair counts, far scores too; the cut is the quantile of all training scores."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, len(quality.NAMES))) * rng.uniform(0.1, 5, len(quality.NAMES))
+    x[::50] *= 20
+    good = x[:, 0] + 0.3 * x[:, 3] + rng.normal(size=600) * 2 > 0.5
+    frame = spark.createDataFrame([(r.tolist(), bool(g)) for r, g in zip(x, good)], "x array<double>, good boolean")
+    model = quality.fit_pairs(frame.repartition(3))
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ p / len(d) - 1e-3 * w)
+        w += step * min(1.0, 2.0 / np.abs(step).max())
+    assert np.allclose(model.weights, w, rtol=0, atol=1e-7)
+    assert np.isclose(model.cut, np.quantile(z @ w, 1 - good.mean()), rtol=0, atol=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.7312, 1.0])
+def test_quantile_narrows_to_the_exact_value(spark, monkeypatch, share):
+    monkeypatch.setattr(quality, "QUANTILE_ROWS", 3)
+    monkeypatch.setattr(quality, "QUANTILE_BINS", 4)
+    values = [1.0] * 40 + [2.0] * 40 + [float(v) for v in np.random.default_rng(2).normal(size=121)] + [1e9]
+    for some in (values, values[:80]):
+        found = quality.quantile(spark.createDataFrame([(v,) for v in some], "s double"), share)
+        assert np.isclose(found, np.quantile(some, share), rtol=1e-12)
