@@ -1,8 +1,9 @@
 """Per-unit retrieval and the provenance of what was retrieved.
 
 Vector search is exact. A unit that fits into one block is scored as one matrix in one task;
-bigger units are searched through pivots (``vector_index``). Lexical search is a join on
-terms. No task holds more than two blocks.
+bigger units are searched through pivots (``vector_index``). Lexical search counts shared terms
+of a unit that fits into one block in one task, and joins bigger units on terms. No task holds
+more than two blocks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,10 @@ ACTIVE_HEADER = "=== ACTIVE CONVERSATION ==="
 
 BLOCK_ROWS = 2048
 POSTING_ROWS = 4096
+TERM_ROWS = 1024  # rows of a side whose terms are matched in one task
+TERM_BYTES = 16 << 20  # and the bytes of their texts
+TERM_SLAB = 4096  # distinct terms matched at a time
+HITS = "unit_id string, query_id string, record_id string, shared long, size int"
 
 
 # --- exact search -----------------------------------------------------------------------
@@ -110,16 +117,59 @@ def numbered_terms(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     return materialize(rows.select(F.monotonically_increasing_id().alias("number"), "unit_id", row_id, words.alias("terms")), "terms")
 
 
-def lexical_topk(
-    queries: DataFrame, records: DataFrame, k: int, text: str = "text", slice_rows: int = POSTING_ROWS
-) -> DataFrame:
-    """Best ``k`` records by the share of the query's distinct tokens that they hold, then by id.
+def _best_by_terms(k: int):
+    """The best records of each query row of one unit: (unit_id, query_id, record_id, shared, size)."""
+
+    def codes(rows: pa.Table, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # A row for each distinct term of a row: its number, and that of the row.
+        terms = rows["terms"].combine_chunks()
+        sizes = np.diff(np.asarray(terms.offsets))
+        at = pc.fill_null(pc.index_in(terms.flatten(), known), -1)
+        return np.asarray(at).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+    def run(queries: pa.Table, records: pa.Table) -> pa.Table:
+        records = records.take(pc.sort_indices(records["id"], null_placement="at_start"))
+        n, m = queries.num_rows, records.num_rows
+        shared = np.zeros((n, m), np.float32)  # whole numbers, far below 2**24
+        if n and m:
+            known = pc.unique(queries["terms"].combine_chunks().flatten())
+            sides = [(*codes(side, known), side.num_rows) for side in (queries, records)]
+            for low in range(0, len(known), TERM_SLAB):
+                slabs = []
+                for term, row, rows in sides:
+                    here = (term >= low) & (term < low + TERM_SLAB)
+                    slab = np.zeros((rows, min(TERM_SLAB, len(known) - low)), np.float32)
+                    slab[row[here], term[here] - low] = 1
+                    slabs.append(slab)
+                shared += slabs[0] @ slabs[1].T
+        # Records stand by id, so a stable order breaks ties.
+        best_first = np.argsort(-shared, axis=1, kind="stable")[:, :k]
+        counts = np.take_along_axis(shared, best_first, 1)
+        q, at = np.nonzero(counts)
+        chosen = queries.take(pa.array(q))
+        return pa.table(
+            {
+                "unit_id": chosen["unit_id"],
+                "query_id": chosen["id"],
+                "record_id": records["id"].take(pa.array(best_first[q, at])),
+                "shared": pa.array(counts[q, at].astype(np.int64)),
+                "size": pc.list_value_length(chosen["terms"]),
+            }
+        )
 
-    An inverted index: records are posted under (unit, term), queries join on their terms, and
-    the hits of a pair are counted. The postings of a term with more than ``slice_rows``
-    records are cut into slices, to each of which its queries go, so a common term is spread
-    over tasks. Records without a token of the query never match.
-    """
+    return run
+
+
+def _term_heavy(queries: DataFrame, records: DataFrame, text: str, rows: int) -> DataFrame:
+    """(unit_id) of the units that have too many rows or too long texts on a side for one task, written once."""
+    many = F.count(F.lit(1)) > rows
+    long = F.sum(F.octet_length(text)) > TERM_BYTES
+    sides = [side.groupBy("unit_id").agg((many | F.coalesce(long, F.lit(False))).alias("big")) for side in (queries, records)]
+    return materialize(sides[0].unionByName(sides[1]).filter("big").select("unit_id").distinct(), "big-units")
+
+
+def _joined_hits(queries: DataFrame, records: DataFrame, text: str, slice_rows: int) -> DataFrame:
+    """Hits of all pairs with a term in common, through an inverted index of the units."""
     with ThreadPoolExecutor(2) as both:  # two jobs at once
         asked, held = both.map(numbered_terms, (queries, records), ("query_id", "record_id"), (text, text))
     posted = held.select("unit_id", F.col("number").alias("r"), F.explode("terms").alias("term"))
@@ -132,11 +182,38 @@ def lexical_topk(
     right = posted.join(hot, at, "left").withColumn("slice", F.pmod(F.xxhash64("r"), slices).cast("int")).drop("slices")
     # Pairs are counted by their numbers; names follow for the pairs alone.
     hits = left.join(right, [*at, "slice"]).groupBy("q", "r").agg(F.count(F.lit(1)).alias("shared"))
-    named = hits.join(
+    return hits.join(
         asked.select(F.col("number").alias("q"), "unit_id", "query_id", F.size("terms").alias("size")), "q"
-    ).join(held.select(F.col("number").alias("r"), "record_id"), "r")
+    ).join(held.select(F.col("number").alias("r"), "record_id"), "r").select("unit_id", "query_id", "record_id", "shared", "size")
+
+
+def lexical_topk(
+    queries: DataFrame, records: DataFrame, k: int, text: str = "text", slice_rows: int = POSTING_ROWS, block_rows: int = TERM_ROWS
+) -> DataFrame:
+    """Best ``k`` records by the share of the query's distinct tokens that they hold, then by id.
+
+    A unit with at most ``block_rows`` rows and ``TERM_BYTES`` of text on each side is matched in
+    one task, as a product of term incidences, so its pairs are never shuffled. Bigger units go
+    through an inverted index: records are posted under (unit, term), queries join on their
+    terms, and the hits of a pair are counted. The postings of a term with more than
+    ``slice_rows`` records are cut into slices, to each of which its queries go, so a common
+    term is spread over tasks. Records without a token of the query never match.
+    """
+    big = _term_heavy(queries, records, text, block_rows)
+    words = F.array_distinct(tokens(F.col(text))).alias("terms")
+    # Both sides may come from one table; new column ids keep the cogroup unambiguous.
+    sides = [
+        side.filter("unit_id is not null").select(F.col("unit_id").cast("string"), F.col(name).cast("string").alias("id"), words)
+        for side, name in ((queries, "query_id"), (records, "record_id"))
+    ]
+    sides[1] = sides[1].toDF(*sides[1].columns)
+    left, right = (side.join(big, "unit_id", "left_anti").groupBy("unit_id") for side in sides)
+    found = left.cogroup(right).applyInArrow(_best_by_terms(k), HITS)
+    if not big.isEmpty():
+        heavy = [side.join(big, "unit_id", "left_semi") for side in (queries, records)]
+        found = found.unionByName(_joined_hits(*heavy, text, slice_rows))
     score = F.round(F.col("shared") / F.col("size"), SCORE_DIGITS)
-    return top_by_score(named.select("unit_id", "query_id", "record_id", score.alias("score")), k)
+    return top_by_score(found.select("unit_id", "query_id", "record_id", score.alias("score")), k)
 
 
 def distance_filter(scored: DataFrame, threshold: float, limit: int | None = None) -> DataFrame:

@@ -177,3 +177,15 @@ def test_unknown_names_are_refused(spark):
     for call in (lambda r: r.answer("x", empty), lambda r: r.judge("x", empty, "locomo"), lambda r: r.read_predictions("x", "path")):
         with pytest.raises(KeyError, match="not registered"):
             call(Registry())
+
+
+def test_lexical_units_of_any_size_and_odd_ids(spark, monkeypatch):
+    """Units matched in one task and units joined on terms give the same rows, also across slabs of terms."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(f"u{i % 3}" if i % 20 else None, f"é{i % 40:02d}" if i % 11 else None, " ".join(rng.choices(words, k=i % 9))) for i in range(130)]
+    frame = spark.createDataFrame([*rows, ("u0", "none", None)], "unit_id string, record_id string, text string")
+    queries = frame.withColumnRenamed("record_id", "query_id").filter("text is null or text not like '%w7%'")
+    monkeypatch.setattr(R, "TERM_SLAB", 16)
+    found = [sorted(map(repr, R.lexical_topk(queries, frame, 4, slice_rows=3, block_rows=n).collect())) for n in (1, 42, 1024)]
+    assert found[0] and found[0] == found[1] == found[2]
