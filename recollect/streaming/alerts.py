@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,60 +29,66 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class StallProcessor(StatefulProcessor):
+    """All state of a series is one value, read once and written once a call: every access is a message to the JVM."""
+
     def __init__(self, limit_ms: int) -> None:
         self.limit = limit_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at bigint, open boolean")
-        self.slots = handle.getMapState("slots", "slot bigint", "low bigint, high bigint")
+        # ``slots`` holds the first and last time of each slot as pairs of 64-bit numbers, in order.
+        self.state = handle.getValueState("series", "at bigint, open boolean, slots binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         found: list[tuple] = []
-        spans: dict[int, tuple[int, int]] = {}
+        spans = []
         for batch in rows:
-            times = batch["ts_ms"]
+            times = batch["ts_ms"].to_numpy(np.int64)
             found += [(LATE, key[0], None, None, None, int(t)) for t in times[times < passed]]
             times = times[times >= passed]
-            for slot, low, high in times.groupby(times // self.limit).agg(["min", "max"]).itertuples():
-                first, latest = spans.get(slot, (low, high))
-                spans[slot] = (min(first, low), max(latest, high))
-        for slot, (low, high) in spans.items():
-            known = self.slots.getValue((int(slot),)) if self.slots.containsKey((int(slot),)) else (low, high)
-            self.slots.updateValue((int(slot),), (int(min(low, known[0])), int(max(high, known[1]))))
-        yield self._result(found + self._settled(key[0], passed))
+            spans.append(self._spans(np.stack([times, times], 1)))
+        yield from self._settled(key[0], passed, spans, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._result(self._settled(key[0], timerValues.getCurrentWatermarkInMs()))
+        yield from self._settled(key[0], timerValues.getCurrentWatermarkInMs(), [], [])
 
     def close(self) -> None:
         pass
 
     @staticmethod
     def _result(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=COLUMNS)
-        return frame.astype({c: "Int64" for c in COLUMNS[2:]})
-
-    def _settled(self, series: str, passed: int) -> list[tuple]:
+        columns = dict(zip(COLUMNS, zip(*rows)))
+        return pd.DataFrame({c: v if c in COLUMNS[:2] else pd.array(v, "Int64") for c, v in columns.items()})
+
+    def _spans(self, spans: np.ndarray) -> np.ndarray:
+        """The first and last time of each slot, by slot, of (first, last) pairs in any order."""
+        if len(spans) < 2:
+            return spans
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        new = np.flatnonzero(np.diff(spans[:, 0] // self.limit, prepend=spans[0, 0] // self.limit - 1))
+        return np.stack([spans[new, 0], np.maximum.reduceat(spans[:, 1], new)], 1)
+
+    def _settled(self, series: str, passed: int, spans: list[np.ndarray], found: list[tuple]) -> Iterator[pd.DataFrame]:
         """Decide all that lies before ``passed``, and set a timer for what comes next."""
-        last, is_open = self.last.get() if self.last.exists() else (None, False)
-        found: list[tuple] = []
-        waiting = []
-        for (slot,), (low, high) in sorted((tuple(k), tuple(v)) for k, v in self.slots.iterator()):
+        known = self.state.get()
+        last, is_open, held = known if known is not None else (None, False, b"")
+        slots = self._spans(np.concatenate([np.frombuffer(held, np.int64).reshape(-1, 2), *spans]))
+        waiting, rest = [], slots[:0]
+        for at, (low, high) in enumerate(slots.tolist()):
             if low >= passed:
                 waiting.append(low)
-                continue
+                rest = np.concatenate([rest, slots[at:]])
+                break
             if last is not None and low - last > self.limit:
                 found.append((RESUMED if is_open else FIRED, series, last, last + self.limit, low, None))
                 is_open = False
             if high < passed:
                 last, is_open = high, False
-                self.slots.removeKey((slot,))
             else:
                 # Up to the slot's last row there is no gap.
                 last, is_open = low, False
-                self.slots.updateValue((slot,), (high, high))
+                rest = np.array([[high, high]], np.int64)
                 waiting.append(high)
         if last is not None:
             if not is_open and last + self.limit < passed:
@@ -89,10 +96,12 @@ class StallProcessor(StatefulProcessor):
                 is_open = True
             if not is_open:
                 waiting.append(last + self.limit)
-            self.last.update((last, is_open))
+        if last is not None or len(rest):
+            self.state.update((last, is_open, rest.tobytes()))
         if waiting:
             self.handle.registerTimer(max(min(waiting), passed) + 1)
-        return found
+        if found:
+            yield self._result(found)
 
 
 def stall_alert_stream(

@@ -132,3 +132,47 @@ def test_streamed_counters_equal_the_batch_after_a_restart(spark):
         progress.write_updates(counters, out, state).awaitTermination()
     got = {r["kind"]: r["total"] for r in progress.latest_values(spark, out, ["kind"]).collect()}
     assert got == {"a": 6, "k0": 10, "k1": 10, "k2": 10}
+
+
+def test_a_series_reads_and_writes_its_state_once_a_call():
+    """Every access to the state is a message to the JVM, so their number must not grow with the slots."""
+    import pandas as pd
+
+    calls = {"get": 0, "update": 0, "timer": 0}
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            calls["get"] += 1
+            return self.value
+
+        def update(self, value):
+            calls["update"] += 1
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, _):
+            calls["timer"] += 1
+
+    class Timers:
+        def __init__(self, passed):
+            self.passed = passed
+
+        def getCurrentWatermarkInMs(self):
+            return self.passed
+
+    processor = alerts.StallProcessor(1000)
+    processor.init(Handle())
+    times = [2500 * i for i in range(400)]
+    assert list(processor.handleInputRows(("a",), iter([pd.DataFrame({"ts_ms": times[::-1]})]), Timers(0))) == []
+    assert max(calls.values()) == 1
+    (found,) = processor.handleExpiredTimer(("a",), Timers(500_000), None)
+    assert max(calls.values()) == 2
+    assert found["resumed_at_ms"].tolist() == times[1:200] and found["last_progress_ms"].tolist() == times[:199]
