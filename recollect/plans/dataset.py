@@ -6,7 +6,7 @@ The nested datasets are made from ``conversations``: a conversation document hol
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
@@ -17,9 +17,10 @@ from ..operators import normalize as N
 from ..operators import sampling as P
 from ..operators import selection as S
 from ..operators import validation as V
+from ..operators.ordered import ordered_position
 from ..sources import datasets as SD
 from ..sources import sinks
-from ..session import new_path
+from ..session import materialize, new_path
 from . import sql as Q
 from . import tables as T
 
@@ -40,6 +41,7 @@ def query(name: str, oracle: str | None = None):
 # --- nested datasets --------------------------------------------------------------------
 
 SESSION_TURNS = 3
+FILE_DOCUMENTS = 4000
 _MONTHS = ("January", "February", "March")
 
 
@@ -149,6 +151,16 @@ def read_conversation_dataset(spark, d):
     )
 
 
+def array_places(ids: DataFrame) -> DataFrame:
+    """(id, file, inside, last, position): each id's file of ``FILE_DOCUMENTS`` neighbours, its place there and the place
+    among the ids of its range, written once."""
+    ranges = Window.partitionBy(F.expr(f"id div {FILE_DOCUMENTS}")).orderBy("id")
+    placed = ordered_position(ids.withColumn("position", F.row_number().over(ranges) - 1), [], [F.col("id")], out="__at")
+    placed = placed.withColumns({"file": F.expr(f"__at div {FILE_DOCUMENTS}"), "inside": F.col("__at") % FILE_DOCUMENTS})
+    last = F.lead("inside").over(Window.partitionBy("file").orderBy("inside")).isNull()
+    return materialize(placed.select("id", "file", "inside", last.alias("last"), "position"), "array-places")
+
+
 @query(
     "read_array_dataset",
     f"""WITH {Q.QA}, {_QUESTIONS_SQL}, {_SESSION_SQL}, k AS (SELECT conversation_idx, 2 + 2 * count(DISTINCT session) AS n FROM st GROUP BY 1)
@@ -156,23 +168,30 @@ SELECT row_number() OVER (PARTITION BY k.conversation_idx // 4000 ORDER BY k.con
  CAST(count(dq.question) AS INTEGER) AS n_questions FROM k LEFT JOIN dq USING (conversation_idx) GROUP BY k.conversation_idx""",
 )
 def read_array_dataset(spark, d):
-    """Write the documents as files of one JSON array each, by ranges of ids, and read them with the dataset reader."""
+    """Write the documents as files of one JSON array each, by ranges of ids, and read them with the dataset reader.
+
+    Ids are sparse, as no two conversations share any, so a file holds neighbouring documents
+    and not a fixed range; positions are told by the range.
+    """
     path = new_path(spark, "array-dataset")
+    places = array_places(T.turns(spark, d).select(T.document_key().alias("id")).distinct())
     documents = conversation_documents(spark, d)
     text = documents.select("conversation_idx", F.to_json(F.struct(*documents.columns)).alias("value"))
-    text = text.withColumn("file", F.expr("conversation_idx div 4000"))
-    inside = Window.partitionBy("file").orderBy("conversation_idx")
-    opened = F.when(F.row_number().over(inside) == 1, F.lit("[\n")).otherwise(F.lit(", "))
-    closed = F.when(F.lead("value").over(inside).isNull(), F.lit("\n]")).otherwise(F.lit(""))
+    text = text.join(places, F.col("conversation_idx").eqNullSafe(F.col("id")))
+    opened = F.when(F.col("inside") == 0, F.lit("[\n")).otherwise(F.lit(", "))
+    closed = F.when(F.col("last"), F.lit("\n]")).otherwise(F.lit(""))
     value = F.concat(opened, "value", closed)
-    text.select("file", "conversation_idx", value.alias("value")).repartition("file").sortWithinPartitions(
-        "file", "conversation_idx"
-    ).select("file", "value").write.partitionBy("file").text(path)
-    rows = SD.read_locomo(spark, f"{path}/file=*", layout="array")
-    return rows.select(
-        F.col("conversation_idx").cast("bigint").alias("position"),
+    text.select("file", "inside", value.alias("value")).repartition("file").sortWithinPartitions("file", "inside").select(
+        "file", "value"
+    ).write.partitionBy("file").text(path)
+    rows = SD.read_locomo(spark, f"{path}/file=*", layout="array", source="source")
+    rows = rows.select(
+        F.regexp_extract("source", r"/file=(\d+)/[^/]*$", 1).cast("long").alias("file"),
+        F.col("conversation_idx").cast("bigint").alias("inside"),
         F.size("conversation").alias("n_keys"), F.size("qa").alias("n_questions"),
     )
+    position = F.col("position").cast("bigint").alias("position")
+    return rows.join(places, ["file", "inside"]).select(position, "n_keys", "n_questions")
 
 
 @query(

@@ -45,16 +45,16 @@ PINNED_DATASETS = (
 
 
 def _array_items(spark: SparkSession, path: str, item: str, position: str) -> DataFrame:
-    """(position, item) of files whose root is a JSON array; positions count inside a file."""
+    """(position, item, path) of files whose root is a JSON array; positions count inside a file."""
     records = array_records(spark, path)
-    return records.select(F.col("position").cast("long").alias(position), F.from_json("value", item).alias("item"))
+    return records.select(F.col("position").cast("long").alias(position), F.from_json("value", item).alias("item"), "path")
 
 
 def _line_items(spark: SparkSession, path: str, item: str, position: str) -> DataFrame:
-    """(position, item) of JSON lines that state their own position."""
+    """(position, item, path) of JSON lines that state their own position."""
     lines = spark.read.text(path)
     at = F.get_json_object("value", f"$.{position}").cast("long")
-    return lines.select(at.alias(position), F.from_json("value", item).alias("item"))
+    return lines.select(at.alias(position), F.from_json("value", item).alias("item"), F.col("_metadata.file_path").alias("path"))
 
 
 def _items(spark, path, item, position, layout) -> DataFrame:
@@ -64,14 +64,18 @@ def _items(spark, path, item, position, layout) -> DataFrame:
     return read(spark, path, item, position)
 
 
-def read_locomo(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """(conversation_idx, conversation map, qa array); the map keeps the dynamic session keys."""
+def read_locomo(spark: SparkSession, path: str, layout: str = "lines", source: str | None = None) -> DataFrame:
+    """(conversation_idx, conversation map, qa array); the map keeps the dynamic session keys.
+
+    ``source`` names a further column for the path of the file, as positions of arrays count inside it.
+    """
     rows = _items(spark, path, S.CONVERSATION, "conversation_idx", layout)
     valid = F.col("item.conversation").isNotNull() & F.col("item.qa").isNotNull()
     checked = F.when(valid, F.col("item")).otherwise(
         F.raise_error(F.lit("a conversation needs a conversation object and a qa list")).cast(S.CONVERSATION)
     )
-    return rows.withColumn("item", checked).select("conversation_idx", "item.*")
+    named = [F.col("path").alias(source)] if source else []
+    return rows.withColumn("item", checked).select("conversation_idx", "item.*", *named)
 
 
 def read_longmemeval(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

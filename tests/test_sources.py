@@ -268,3 +268,17 @@ def test_run_folder_is_written_whole_or_not_at_all(spark, tmp_path):
         with pytest.raises(Exception):
             run_folder.write_run_folder(frame, str(tmp_path / target))
     assert [p.name for p in tmp_path.iterdir()] == ["run"]
+
+
+def test_array_files_hold_neighbours_of_sparse_ids(spark):
+    """Few files whatever the gaps between ids; positions count inside a range of ids."""
+    from recollect.plans import dataset
+
+    ids = [i << 31 for i in range(50)] + [7 + (i << 31) for i in range(0, 50, 2)] + [None]
+    rows = dataset.array_places(spark.createDataFrame([(i,) for i in ids], "id long")).collect()
+    assert {r["file"] for r in rows} == {0} and sorted(r["inside"] for r in rows) == list(range(len(ids)))
+    assert [r["inside"] for r in rows if r["last"]] == [len(ids) - 1]
+    want = {}
+    for i in (i for i in ids if i is not None):
+        want[i] = sum(j is not None and j // 4000 == i // 4000 and j < i for j in ids)
+    assert {r["id"]: r["position"] for r in rows} == want | {None: 0}
