@@ -175,4 +175,6 @@ def test_a_series_reads_and_writes_its_state_once_a_call():
     assert max(calls.values()) == 1
     (found,) = processor.handleExpiredTimer(("a",), Timers(500_000), None)
     assert max(calls.values()) == 2
-    assert found["resumed_at_ms"].tolist() == times[1:200] and found["last_progress_ms"].tolist() == times[:199]
+    # The last alert is open: the watermark has not passed the row after it.
+    assert found["last_progress_ms"].tolist() == times[:200]
+    assert found["resumed_at_ms"].dropna().tolist() == times[1:200]
