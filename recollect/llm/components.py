@@ -8,7 +8,22 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-SALTS = 64  # parts in which a node's links are dealt
+HOT = 100_000  # links of a node that one task may read
+SALTS = 64  # parts in which a node's links are dealt where a node has more
+
+
+def _ended(edges: DataFrame) -> DataFrame:
+    """The links of each node, ``a``, with the node at their other end, ``b``."""
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _both_stars(edges: DataFrame) -> DataFrame:
+    """The large and the small star in three shuffles; a task reads all links of a node."""
+    low = F.least("a", F.min("b").over(Window.partitionBy("a")))
+    large = _ended(edges).withColumn("low", low).filter("b > a").select(F.col("low").alias("a"), "b")
+    small = large.withColumn("low", F.min("a").over(Window.partitionBy("b")))
+    ends = small.select("low", F.explode(F.array("a", "b")).alias("b"))
+    return ends.filter("b <> low").select(F.col("low").alias("a"), "b").distinct()
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -17,7 +32,7 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     The links of a node are dealt by (node, salt of the neighbour), so that a node with very
     many is spread; only one row per part meets at the node.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _ended(edges)
     if not larger:
         both = both.filter("b < a")
     both = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
@@ -45,4 +60,5 @@ def components(edges: DataFrame) -> DataFrame:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not now[0] or now == before:
             return links.select(F.col("b").alias("id"), F.col("a").alias("component"))
-        links, before = stage(_stars(_stars(links, True), False), "links"), now
+        hot = now[0] > HOT and not _ended(links).groupBy("a").count().filter(F.col("count") > HOT).isEmpty()
+        links, before = stage(_stars(_stars(links, True), False) if hot else _both_stars(links), "links"), now

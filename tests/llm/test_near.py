@@ -117,6 +117,27 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 3)
+    edges = [(i, i + 1) for i in range(6)] + [(100, i) for i in range(101, 110)] + [(i, 300) for i in range(290, 300)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {(i, 0) for i in range(1, 7)} | {(i, 100) for i in range(101, 110)} | {(i, 290) for i in range(291, 301)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_a_round_of_stars_takes_three_shuffles(spark, monkeypatch):
+    stage, shuffles = components.stage, []
+
+    def staged(df, name, by=None):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return stage(df, name, by)
+
+    monkeypatch.setattr(components, "stage", staged)
+    got = components.components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")).collect()
+    assert {tuple(r) for r in got} == {(2, 1), (3, 1), (4, 1)}
+    assert len(shuffles) > 1 and max(shuffles) <= 3
+
+
 def brute_contained(docs, items):
     out = []
     for item_id, text in items:
