@@ -3,8 +3,9 @@
 A document's distinct five-word shingles are hashed into ``REGISTERS`` buckets; a register
 keeps the smallest hash of its bucket as leading-zero count plus mantissa bits. Bands of
 registers give the buckets in which documents meet (within a size class, as documents that
-differ much in size can't be alike); pairs there are filtered by a bound and by the
-collision-corrected estimate of the similarity, and verified on their full shingle sets.
+differ much in size can't be alike). Into a bucket goes one bit of each register, by which
+most pairs of unlike documents part; what passes is filtered by a bound and by the
+collision-corrected estimate of the similarity, and verified on its full shingle sets.
 Short documents fill few bands, so they meet by the shingles of least hash instead, as many
 as an alike one must share one of; no pair of two short documents is missed.
 
@@ -13,9 +14,9 @@ No bucket is read whole by a task and no bucket sends out all of its pairs:
 * copies with equal sets are one document from the start (a digest of the set);
 * large buckets are cut into blocks, and a task compares a pair of blocks;
 * the first round sends only each document's best partner of a block, verifies these pairs
-  and forms components; the second round looks only at buckets that still hold several
-  components, and there at pairs across components. So a link is left out only where its
-  documents are connected anyway.
+  and forms components; the second round takes only documents of which the first kept a pair
+  back, in buckets where these are of several components, and there pairs across components.
+  So a link is left out only where its documents are connected anyway.
 """
 
 from __future__ import annotations
@@ -70,22 +71,21 @@ def size_class(n: np.ndarray | int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(CLASS_RATIO) + 1e-9).astype(np.int64)
 
 
-def band_keys(wide: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of (size class, band, its registers) for bands that aren't empty, with their places, and the bands' tags.
+def one_bits(narrow: np.ndarray) -> bytes:
+    """The last mantissa bit of each narrow register, 0 where it is empty; unequal registers differ in it by half."""
+    return packed(np.packbits((narrow != 0) & (narrow - np.uint8(1) & np.uint8(1) != 0)))
 
-    A place is ``class * BANDS + band``; a tag is 32 bits of a band, 0 where it is empty.
-    """
+
+def band_keys(wide: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Keys of (size class, band, its registers) for bands that aren't empty."""
     bands = wide[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     full = np.flatnonzero(bands.any(1))
     key = full.astype(np.uint64) + np.uint64(1)
     for column in bands[full].T:
         key = mixed(key * np.uint64(65537) + column)
-    tags = np.zeros(BANDS, np.uint32)
-    tags[full] = (key >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
     size = int(size_class(n))
     classes = [size, size - 1] if size and threshold * n < CLASS_RATIO**size + 1 else [size]
-    keys = np.concatenate([mixed(key ^ mixed(np.full(1, c + 1, np.uint64))) for c in classes])
-    return keys, np.concatenate([full + c * BANDS for c in classes]), tags
+    return np.concatenate([mixed(key ^ mixed(np.full(1, c + 1, np.uint64))) for c in classes])
 
 
 def prefix_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
@@ -95,50 +95,58 @@ def prefix_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, n, digest, registers, tags, prefix, keys, places) of each row; ``n`` is 0 for a text without words.
+    """(doc_id, n, digest, registers, bits, keys) of each row; ``n`` is 0 for a text without words.
 
-    The place of a key in ``prefix`` is -1. Short sets have band keys only if a set that isn't short can be alike.
+    Short sets have band keys only if a set that isn't short can be alike.
     """
     percent = round(threshold * 100)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = WordRolling(SEED)
         for batch in batches:
-            sizes, digests, narrows, keys, places, all_tags, prefixes = [], [], [], [], [], [], []
+            sizes, digests, narrows, bits, keys = [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(rolling, text_bytes(text.as_py()).lower().split())
                 wide, narrow = registers(hashes)
                 sizes.append(len(hashes))
                 digests.append(hashlib.blake2b(packed(hashes), digest_size=16).digest())
                 narrows.append(packed(narrow))
-                key, place, tags = band_keys(wide, len(hashes), threshold)
+                bits.append(one_bits(narrow))
+                key = band_keys(wide, len(hashes), threshold)
                 if 100 * len(hashes) < percent * (SHORT + 1):
-                    key, place = key[:0], place[:0]
-                prefix = prefix_keys(hashes, percent)
-                keys.append(np.concatenate([key, prefix]).view(np.int64))
-                places.append(np.concatenate([place, np.full(len(prefix), -1)]).astype(np.int64))
-                all_tags.append(packed(tags))
-                prefixes.append(packed(prefix))
+                    key = key[:0]
+                keys.append(np.concatenate([key, prefix_keys(hashes, percent)]).view(np.int64))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
+            flat = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(narrows, pa.binary()),
-                 pa.array(all_tags, pa.binary()), pa.array(prefixes, pa.binary()), flat(keys), flat(places)],
-                ["doc_id", "n", "digest", "registers", "tags", "prefix", "keys", "places"],
+                 pa.array(bits, pa.binary()), flat],
+                ["doc_id", "n", "digest", "registers", "bits", "keys"],
             )
 
     rows = by_bytes(docs.select(F.col("doc_id").cast("long"), "text"))
-    return rows.mapInArrow(
-        sign, "doc_id long, n long, digest binary, registers binary, tags binary, prefix binary, keys array<long>, places array<long>"
-    )
+    return rows.mapInArrow(sign, "doc_id long, n long, digest binary, registers binary, bits binary, keys array<long>")
 
 
 class Judge:
-    """Which pairs of register rows may reach the threshold, and their estimate."""
+    """Which pairs of bits and of register rows may reach the threshold, and their estimate."""
 
     def __init__(self, threshold: float) -> None:
         self.t = threshold
 
+    def sizes_fit(self, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        return np.minimum(na, nb) >= self.t * np.maximum(na, nb) - 1e-9
+
+    def most_bits(self, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """The most bits in which alike sets differ: each is at least one shingle that is in one set alone.
+
+        Of large sets fewer do: about as many as a Poisson variable of this mean, which is
+        above this limit less than once in 10**9 pairs.
+        """
+        apart = (na + nb) * (1 - self.t) / (1 + self.t) + 1e-9
+        mean = REGISTERS * -np.expm1(-(na + nb) / (1 + self.t) / REGISTERS) * (1 - self.t) / 2
+        return np.minimum(apart, mean + 6 * np.sqrt(mean) + 6)
+
     def estimate(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
         """For broadcastable rows: the corrected estimate, or -1 where the pair can't be alike."""
         same = (a == b) & (a != 0)
@@ -146,7 +154,7 @@ class Judge:
         agree = same.sum(-1)
         # each register that differs is at least one shingle that is in one set alone
         possible = (filled - agree) <= (na + nb) * (1 - self.t) / (1 + self.t) + 1e-9
-        possible &= np.minimum(na, nb) >= self.t * np.maximum(na, nb) - 1e-9
+        possible &= self.sizes_fit(na, nb)
         share = (agree / np.maximum(filled, 1) - COLLISION) / (1 - COLLISION)
         low = self.t - DEVIATIONS * np.sqrt(self.t * (1 - self.t) / np.maximum(filled, 1))
         fine = (share >= low) | (np.maximum(na, nb) <= SHORT)
@@ -154,45 +162,25 @@ class Judge:
 
 
 def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers and estimates of the passing pairs of whole groups sorted by key and block pair."""
+    """Row numbers, the first below the second, and differing bits of the passing pairs of whole groups sorted by key and block pair."""
     key, bi, bj = (np.asarray(table[c]) for c in ("key", "bi", "bj"))
-    block, comp, n, place = (np.asarray(table[c]) for c in ("block", "comp", "n", "place"))
-    regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint32).reshape(-1, BANDS)
-    held = [np.frombuffer(p, np.uint64) for p in table["prefix"].to_pylist()]
-    prefix = np.zeros((len(held), max(map(len, held), default=0)), np.uint64)  # no key is 0
-    for row in np.flatnonzero(place < 0):
-        prefix[row, : len(held[row])] = held[row]
-    size = size_class(n)
+    block, comp, n = (np.asarray(table[c]) for c in ("block", "comp", "n"))
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(key), -1)
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
     end = np.append(start[1:], len(key))
     group = np.repeat(np.arange(len(start)), end - start)
     small = (end - start <= NEAR)[group]
-    left, right, score = [], [], []
+    left, right, apart = [], [], []
 
     def tried(i: np.ndarray, j: np.ndarray) -> None:
-        # a pair of one block is compared where that block meets itself, and any pair only
-        # in the first band and the largest class that its documents share, or, if both are
-        # short, by the first shingle of both prefixes
-        use = (comp[i] != comp[j]) & ((block[i] != block[j]) | (bi[i] == bj[i]))
-        short = place[i] < 0
-        use &= short | (np.minimum(size[i], size[j]) == place[i] // BANDS) & (np.maximum(n[i], n[j]) > SHORT)
-        use &= np.minimum(n[i], n[j]) >= judge.t * np.maximum(n[i], n[j]) - 1e-9
+        # a pair of one block is compared where that block meets itself
+        use = (comp[i] != comp[j]) & ((block[i] != block[j]) | (bi[i] == bj[i])) & judge.sizes_fit(n[i], n[j])
         i, j = i[use], j[use]
-        for at in range(0, len(i), 1 << 15):
-            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-            first = ((tags[x] == tags[y]) & (tags[x] != 0)).argmax(1) == place[x] % BANDS
-            short = np.flatnonzero(place[x] < 0)
-            if len(short):
-                mine, common = prefix[x[short]], np.zeros((len(short), prefix.shape[1]), bool)
-                for other in prefix[y[short]].T:
-                    common |= mine == other[:, None]
-                first[short] = mine[np.arange(len(short)), (common & (mine != 0)).argmax(1)] == key[x[short]].view(np.uint64)
-            x, y = x[first], y[first]
-            e = judge.estimate(regs[x], n[x], regs[y], n[y])
-            left.append(x[e >= 0])
-            right.append(y[e >= 0])
-            score.append(e[e >= 0])
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        fine = differ <= judge.most_bits(n[i], n[j])
+        left.append(i[fine])
+        right.append(j[fine])
+        apart.append(differ[fine])
 
     for step in range(1, NEAR):
         i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(group) > step else np.zeros(0, np.int64)
@@ -204,45 +192,115 @@ def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np
             for i in range(s, e - 1):
                 tried(np.full(e - i - 1, i), np.arange(i + 1, e))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([np.zeros(0), *score])
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none, *apart])
+
+
+def _confirmed(table: pa.Table, judge: Judge, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that pass by their registers and whose least common key is that of their group."""
+    key, n = np.asarray(table["key"]), np.asarray(table["n"])
+    regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    lists = table["keys"].combine_chunks()
+    sizes = np.diff(np.asarray(lists.offsets))
+    keys, held = np.zeros((len(key), max(sizes)), np.int64), np.arange(max(sizes)) < sizes[:, None]
+    keys[held] = np.asarray(lists.flatten())
+    left, right = [], []
+    for at in range(0, len(i), 1 << 14):
+        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        passed = judge.estimate(regs[x], n[x], regs[y], n[y]) >= 0
+        x, y = x[passed], y[passed]
+        mine, common = keys[x], np.zeros((len(x), keys.shape[1]), bool)
+        for column in range(keys.shape[1]):
+            common |= (mine == keys[y, column, None]) & held[y, column, None]
+        least = np.where(common & held[x], mine, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == key[x]
+        left.append(x[least])
+        right.append(y[least])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def candidate_pairs(met: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Distinct (a, b), a < b, of ``met`` (key, place, blocks, doc_id, comp, n, registers, tags, prefix) that may be alike.
+    """(a, b, key) of ``met`` (key, blocks, doc_id, comp, n, bits): pairs a < b that may be alike, without a key.
 
-    With ``best_only`` each document names only its best partner in each pair of blocks.
+    With ``best_only`` each document names only its best partner by bits in each pair of blocks;
+    for a pair kept back, both documents come as ``a`` with the bucket's key, and rows may
+    repeat. Else rows have ``registers`` and ``keys`` too: a pair must pass by its registers
+    and comes from the least of its common keys only.
     """
     judge = Judge(threshold)
+    more = [] if best_only else ["registers", "keys"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, ["key", "bi", "bj"]):
             table = table.combine_chunks()
-            i, j, score = _pairs_in(table, judge)
-            doc = np.asarray(table["doc_id"])
+            i, j, differ = _pairs_in(table, judge)
+            doc, back = np.asarray(table["doc_id"]), np.zeros(0, np.int64)
             if best_only and len(i):
-                who, whom, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([score, score])
-                order = np.lexsort((doc[whom], -value, who))
-                who, whom = who[order], whom[order]
-                first = np.flatnonzero(np.diff(who, prepend=-1))
-                i, j = who[first], whom[first]
+                who, whom, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ])
+                order = np.lexsort((doc[whom], value, who))
+                best = order[np.flatnonzero(np.diff(who[order], prepend=-1))] % len(i)
+                named = np.zeros(len(i), bool)
+                named[best] = True
+                back = np.unique(np.concatenate([i[~named], j[~named]]))
+                i, j = i[named], j[named]
+            elif len(i):
+                i, j = _confirmed(table, judge, i, j)
             a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
             pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            here = np.arange(len(pairs) + len(back)) < len(pairs)
+            key = np.asarray(table["key"])[back]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([pairs[:, 0], doc[back]])),
+                    pa.array(np.concatenate([pairs[:, 1], doc[back]]), mask=~here),
+                    pa.array(np.concatenate([pairs[:, 0], key]), mask=here),
+                ],
+                ["a", "b", "key"],
+            )
 
     block = F.expr("pmod(xxhash64(doc_id), blocks)")
     rows = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     rows = rows.select(
         "key", F.least("block", "other").cast("long").alias("bi"), F.greatest("block", "other").cast("long").alias("bj"),
-        F.col("block").cast("long").alias("block"), "doc_id", "comp", "n", "place", "registers", "tags", "prefix",
+        F.col("block").cast("long").alias("block"), "doc_id", "comp", "n", "bits", *more,
     )
     sorted_rows = by_bytes(rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block"))
-    return sorted_rows.mapInArrow(compare, "a long, b long").distinct()
+    return sorted_rows.mapInArrow(compare, "a long, b long, key long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of at least the documents in ``ids`` (id); a bounded bitmap picks them in the scan."""
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """A bounded bitmap of ``ids`` (id), which picks at least their rows in a scan."""
     hashed = ids.select(F.xxhash64("id").alias("hash"))
-    wanted = bitmap(hashed, bitmap_bits(64 * hashed.count()))
+    return bitmap(hashed, bitmap_bits(64 * hashed.count()))
+
+
+def estimated(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose registers in ``signed`` let them reach the threshold."""
+    judge, wanted = Judge(threshold), bitmap_of(ids_of(pairs))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = set_in(wanted, np.asarray(batch.column(0)).astype(np.int64).view(np.uint64))
+            yield batch.select([1, 2, 3]).filter(pa.array(use))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+            of = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            use = judge.estimate(of("registers_a"), na, of("registers_b"), nb) >= 0
+            yield batch.select(["a", "b"]).filter(pa.array(use))
+
+    rows = signed.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "n", "registers")
+    some = by_bytes(rows).mapInArrow(picked, "doc_id long, n long, registers binary")
+    of = lambda side: some.select(*[F.col(c).alias(f"{c}_{side}" if c != "doc_id" else side) for c in some.columns])
+    return by_bytes(pairs.join(of("a"), "a").join(of("b"), "b")).mapInArrow(judged, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of at least the documents in ``ids`` (id); the ids of ``docs`` are unique and not null."""
+    wanted = bitmap_of(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = WordRolling(SEED)
@@ -255,16 +313,13 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 [batch.column(1).take(pa.array(use)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "shingles"]
             )
 
-    rows = docs.filter("doc_id is not null").select(
-        F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text"
-    )
-    return by_bytes(rows).mapInArrow(sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return by_bytes(rows).mapInArrow(sets, "doc_id long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs with ``100 * intersection >= percent * union`` of their full shingle sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage(shingle_sets(docs, ids), "shingles")
+    sets = stage(shingle_sets(docs, ids_of(pairs)), "shingles")
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -276,38 +331,34 @@ def classes_of(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, component) of each row of ``docs`` (doc_id, text), whose ids are unique and not null."""
     threshold = percent / 100
     signed = stage(signatures(docs, threshold), "signatures")
-    classes = signed.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
-    classes = stage(classes, "classes")
-    reps = (
-        signed.join(classes, ["n", "digest"])
-        .filter("doc_id = rep")
-        .select("doc_id", "n", "registers", "tags", "prefix", "keys", "places")
-    )
-    reps = stage(reps, "representatives")
-    bands = reps.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("x"))
-    bands = bands.select("doc_id", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = stage(bands.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).drop("size"), "buckets")
-    light = reps.select("doc_id", "n", "registers", "tags", "prefix")
+    sets = signed.select("doc_id", "n", "digest")
+    classes = stage(sets.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("rep")), "classes")
+    copies = sets.join(classes, ["n", "digest"]).filter("doc_id <> rep").select("doc_id")
+    bands = signed.select("doc_id", "keys").join(copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    blocks = F.ceil(F.count("*") / BLOCK).alias("blocks")
+    shared = bands.groupBy("key").agg(blocks, F.count("*").alias("size")).filter("size > 1").drop("size")
+    met = stage(bands.join(shared, "key"), "buckets")
+    light = signed.select("doc_id", "n", "bits")
 
     first = met.join(light, "doc_id").withColumn("comp", F.col("doc_id"))
-    tried = stage(candidate_pairs(first, threshold, True), "pairs")
-    same_id = signed.join(classes, ["n", "digest"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = stage(verified(tried, docs, percent).unionByName(same_id.filter("a <> b").distinct()), "verified")
+    looked = stage(candidate_pairs(first, threshold, True), "looked")
+    tried = stage(looked.filter("key is null").select("a", "b").distinct(), "pairs")
+    links = stage(verified(stage(estimated(tried, signed, threshold), "estimated"), docs, percent), "verified")
     found = stage(components(links), "components")
 
-    named = met.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn(
-        "comp", F.coalesce("component", "doc_id")
-    )
-    named = stage(named.drop("component"), "named")
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    across = named.join(open_keys.select("key"), "key").join(light, "doc_id")
-    more = candidate_pairs(across, threshold, False).join(tried, ["a", "b"], "left_anti")
-    more = stage(more, "pairs")
-    new_links = verified(more, docs, percent)
-    final = stage(components(links.unionByName(new_links)), "components")
-
-    result = signed.select("doc_id", "n").join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    back = looked.filter("key is not null").select("key", F.col("a").alias("doc_id")).distinct()
+    named = back.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    named = stage(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "named")
+    open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks).filter("low < high")
+    across = named.join(open_keys.select("key", "blocks"), "key").join(signed.drop("digest"), "doc_id")
+    more = candidate_pairs(across, threshold, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    new_links = stage(verified(stage(more, "pairs"), docs, percent), "verified")
+    if not new_links.isEmpty():
+        found = stage(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(new_links)), "components")
+
+    ends = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    ends = ends.select("n", "digest", F.coalesce("component", "rep").alias("component"))
+    result = sets.join(ends, ["n", "digest"], "left")
     return result.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
 

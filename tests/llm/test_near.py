@@ -77,6 +77,21 @@ def test_short_pairs_equal_brute_force(spark, percent, words):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent)
 
 
+def test_unlike_texts_that_meet_go_no_further(spark, monkeypatch):
+    compare, met_rows = near_dedup.candidate_pairs, []
+
+    def counted(met, threshold, best_only):
+        met_rows.append(met.count())
+        return compare(met, threshold, best_only)
+
+    monkeypatch.setattr(near_dedup, "candidate_pairs", counted)
+    shared = [f"shared{j}" for j in range(120)]
+    rows = [(k, " ".join([*shared, *(f"own{k}x{j}" for j in range(100))])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert all(r.kept for r in near_dedup.near_duplicates(docs).collect())
+    assert met_rows[0] > 0 and met_rows[1] == 0
+
+
 def test_rows_without_own_ids(spark, unnamed, awkward, empty_docs):
     got = near_dedup.near_duplicates(unnamed).collect()
     assert len(got) == unnamed.count()
