@@ -13,9 +13,13 @@ No bucket is read whole by a task and no bucket sends out all of its pairs:
 
 * copies with equal sets are one document from the start (a digest of the set);
 * large buckets are cut into blocks, and a task compares a pair of blocks;
-* the first round sends only each document's best partner of a block, verifies these pairs
-  and forms components; the second round takes only documents of which the first kept a pair
-  back, in buckets where these are of several components, and there pairs across components.
+* the first round takes a part of the buckets, each block by itself, and sends only each
+  document's best partner; these pairs are verified and form components;
+* the second round takes all buckets that hold several components, and there pairs across
+  components. A component sends its best partner of a block, at most two rows for each document
+  of a bucket, whatever its size; again pairs are verified and components grow;
+* the third round takes only buckets of which the second kept a pair back, where they still hold
+  several components, and sends all pairs across components that pass by their registers.
   So a link is left out only where its documents are connected anyway.
 """
 
@@ -41,6 +45,7 @@ BANDS, ROWS = 32, 5  # a pair of large sets at 0.85 shares no band once in 10**8
 SHORT = 48  # shingles up to which sets meet by single ones
 BLOCK = 1024  # documents of a bucket that a task compares with as many others
 NEAR = 16  # groups up to this size are compared all at once
+LEAD = 4  # one of so many buckets is in the first round
 CLASS_RATIO = 2.0
 DEVIATIONS = 5.5  # of the estimate, below the threshold, at which a pair is let go
 SEED = 7
@@ -161,8 +166,11 @@ class Judge:
         return np.where(possible & fine, np.maximum(share, 0.0), -1.0)
 
 
-def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, the first below the second, and differing bits of the passing pairs of whole groups sorted by key and block pair."""
+def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, the first below the second, and differing bits of the passing pairs of whole groups sorted by key and block pair.
+
+    The last array is the group of each row.
+    """
     key, bi, bj = (np.asarray(table[c]) for c in ("key", "bi", "bj"))
     block, comp, n = (np.asarray(table[c]) for c in ("block", "comp", "n"))
     bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(key), -1)
@@ -192,7 +200,27 @@ def _pairs_in(table: pa.Table, judge: Judge) -> tuple[np.ndarray, np.ndarray, np
             for i in range(s, e - 1):
                 tried(np.full(e - i - 1, i), np.arange(i + 1, e))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none, *apart])
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none, *apart]), group
+
+
+def _best(table: pa.Table, i: np.ndarray, j: np.ndarray, differ: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which pairs are the best of a component, by bits, in their group.
+
+    A document is tried as the component's end in its own block and against one other, dealt
+    by its id, so the pairs of a bucket are at most twice its documents.
+    """
+    doc, comp, block, blocks = (np.asarray(table[c]) for c in ("doc_id", "comp", "block", "blocks"))
+    who, whom, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ])
+    step = 1 + (mixed(doc.astype(np.int64).view(np.uint64)) % np.maximum(blocks - 1, 1).astype(np.uint64)).astype(np.int64)
+    may = np.flatnonzero((block[who] == block[whom]) | ((block[who] + step[who]) % blocks[who] == block[whom]))
+    who, whom, value = who[may], whom[may], value[may]
+    order = np.lexsort((doc[who], doc[whom], value, comp[who], group[who]))
+    mine, where = comp[who[order]], group[who[order]]
+    first = np.ones(len(order), bool)
+    first[1:] = (mine[1:] != mine[:-1]) | (where[1:] != where[:-1])
+    named = np.zeros(len(i), bool)
+    named[may[order[first]] % len(i)] = True
+    return named
 
 
 def _confirmed(table: pa.Table, judge: Judge, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,53 +245,56 @@ def _confirmed(table: pa.Table, judge: Judge, i: np.ndarray, j: np.ndarray) -> t
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidate_pairs(met: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """(a, b, key) of ``met`` (key, blocks, doc_id, comp, n, bits): pairs a < b that may be alike, without a key.
-
-    With ``best_only`` each document names only its best partner by bits in each pair of blocks;
-    for a pair kept back, both documents come as ``a`` with the bucket's key, and rows may
-    repeat. Else rows have ``registers`` and ``keys`` too: a pair must pass by its registers
-    and comes from the least of its common keys only.
-    """
+def _compared(rows: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """``candidate_pairs`` of rows that have been dealt to pairs of blocks, ``bi`` and ``bj``."""
     judge = Judge(threshold)
-    more = [] if best_only else ["registers", "keys"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, ["key", "bi", "bj"]):
             table = table.combine_chunks()
-            i, j, differ = _pairs_in(table, judge)
+            i, j, differ, group = _pairs_in(table, judge)
             doc, back = np.asarray(table["doc_id"]), np.zeros(0, np.int64)
             if best_only and len(i):
-                who, whom, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ])
-                order = np.lexsort((doc[whom], value, who))
-                best = order[np.flatnonzero(np.diff(who[order], prepend=-1))] % len(i)
-                named = np.zeros(len(i), bool)
-                named[best] = True
-                back = np.unique(np.concatenate([i[~named], j[~named]]))
+                named = _best(table, i, j, differ, group)
+                back = np.unique(np.asarray(table["key"])[i[~named]])
                 i, j = i[named], j[named]
             elif len(i):
                 i, j = _confirmed(table, judge, i, j)
             a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
             pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
             here = np.arange(len(pairs) + len(back)) < len(pairs)
-            key = np.asarray(table["key"])[back]
+            ends = [pa.array(np.concatenate([pairs[:, c], back]), mask=~here) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([pairs[:, 0], doc[back]])),
-                    pa.array(np.concatenate([pairs[:, 1], doc[back]]), mask=~here),
-                    pa.array(np.concatenate([pairs[:, 0], key]), mask=here),
-                ],
-                ["a", "b", "key"],
+                [*ends, pa.array(np.concatenate([pairs[:, 0], back]), mask=here)], ["a", "b", "key"]
             )
 
+    sorted_rows = by_bytes(rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block"))
+    return sorted_rows.mapInArrow(compare, "a long, b long, key long")
+
+
+def leading_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    """``candidate_pairs`` with ``best_only`` inside the blocks of each bucket, to which it deals documents anew."""
+    block = F.expr("pmod(xxhash64(doc_id, key), blocks)").cast("long")
+    rows = met.select("key", block.alias("bi"), block.alias("bj"), block.alias("block"), "blocks", "doc_id", "comp", "n", "bits")
+    return _compared(rows, threshold, True)
+
+
+def candidate_pairs(met: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """(a, b, key) of ``met`` (key, blocks, doc_id, comp, n, bits): pairs a < b that may be alike, without a key.
+
+    With ``best_only`` each component names only its best partner by bits in each pair of blocks;
+    a bucket that keeps pairs back comes as its key alone, and rows may repeat. Else rows have
+    ``registers`` and ``keys`` too: a pair must pass by its registers and comes from the least
+    of its common keys only.
+    """
+    more = [] if best_only else ["registers", "keys"]
     block = F.expr("pmod(xxhash64(doc_id), blocks)")
     rows = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     rows = rows.select(
         "key", F.least("block", "other").cast("long").alias("bi"), F.greatest("block", "other").cast("long").alias("bj"),
-        F.col("block").cast("long").alias("block"), "doc_id", "comp", "n", "bits", *more,
+        F.col("block").cast("long").alias("block"), "blocks", "doc_id", "comp", "n", "bits", *more,
     )
-    sorted_rows = by_bytes(rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "block"))
-    return sorted_rows.mapInArrow(compare, "a long, b long, key long")
+    return _compared(rows, threshold, best_only)
 
 
 def ids_of(pairs: DataFrame) -> DataFrame:
@@ -327,6 +358,13 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return counted.filter(f"100L * shared >= {percent}L * (total - shared)").select("a", "b")
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) of those ``found`` and of more links."""
+    if links.isEmpty():
+        return found
+    return stage(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(links)), "components")
+
+
 def classes_of(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, component) of each row of ``docs`` (doc_id, text), whose ids are unique and not null."""
     threshold = percent / 100
@@ -336,25 +374,36 @@ def classes_of(docs: DataFrame, percent: int) -> DataFrame:
     copies = sets.join(classes, ["n", "digest"]).filter("doc_id <> rep").select("doc_id")
     bands = signed.select("doc_id", "keys").join(copies, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     blocks = F.ceil(F.count("*") / BLOCK).alias("blocks")
-    shared = bands.groupBy("key").agg(blocks, F.count("*").alias("size")).filter("size > 1").drop("size")
+    shared = bands.groupBy("key").agg(blocks, F.count("*").alias("size")).filter("size > 1")
     met = stage(bands.join(shared, "key"), "buckets")
     light = signed.select("doc_id", "n", "bits")
 
-    first = met.join(light, "doc_id").withColumn("comp", F.col("doc_id"))
-    looked = stage(candidate_pairs(first, threshold, True), "looked")
-    tried = stage(looked.filter("key is null").select("a", "b").distinct(), "pairs")
-    links = stage(verified(stage(estimated(tried, signed, threshold), "estimated"), docs, percent), "verified")
-    found = stage(components(links), "components")
+    def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """``rows`` with the component of their document."""
+        named = rows.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+        return named.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return stage(verified(stage(estimated(pairs, signed, threshold), "estimated"), docs, percent), "verified")
+
+    leading = met.filter(f"pmod(key, {LEAD}) = 0").join(light, "doc_id").withColumn("comp", F.col("doc_id"))
+    led = stage(leading_pairs(leading, threshold).filter("key is null").select("a", "b").distinct(), "pairs")
+    found = stage(components(confirmed(led)), "components")
+
+    ends = [F.min("comp").alias("low"), F.max("comp").alias("high")]
+    joint = placed(met.filter(f"size > {NEAR}"), found).groupBy("key").agg(*ends).filter("low = high").select("key")
+    apart = met.drop("size").join(stage(joint, "joint"), "key", "left_anti").join(placed(light, found), "doc_id")
+    looked = stage(candidate_pairs(apart, threshold, True), "looked")
+    tried = stage(looked.filter("key is null").select("a", "b").distinct().join(led, ["a", "b"], "left_anti"), "pairs")
+    found = joined(found, confirmed(tried))
 
-    back = looked.filter("key is not null").select("key", F.col("a").alias("doc_id")).distinct()
-    named = back.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    named = stage(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "named")
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks).filter("low < high")
+    back = stage(looked.filter("key is not null").select("key").distinct(), "back")
+    named = stage(placed(met.select("key", "doc_id").join(back, "key", "left_semi"), found), "named")
+    open_keys = named.groupBy("key").agg(*ends, blocks).filter("low < high")
     across = named.join(open_keys.select("key", "blocks"), "key").join(signed.drop("digest"), "doc_id")
-    more = candidate_pairs(across, threshold, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    new_links = stage(verified(stage(more, "pairs"), docs, percent), "verified")
-    if not new_links.isEmpty():
-        found = stage(components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(new_links)), "components")
+    more = candidate_pairs(across, threshold, False).select("a", "b").distinct()
+    more = more.join(led.unionByName(tried), ["a", "b"], "left_anti")
+    found = joined(found, stage(verified(stage(more, "pairs"), docs, percent), "verified"))
 
     ends = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     ends = ends.select("n", "digest", F.coalesce("component", "rep").alias("component"))

@@ -92,6 +92,24 @@ def test_unlike_texts_that_meet_go_no_further(spark, monkeypatch):
     assert met_rows[0] > 0 and met_rows[1] == 0
 
 
+def test_a_bucket_sends_rows_in_proportion_to_its_documents(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    compare, sent = near_dedup.candidate_pairs, []
+
+    def counted(met, threshold, best_only):
+        out = compare(met, threshold, best_only)
+        if best_only:
+            sent.append((met.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "candidate_pairs", counted)
+    rows = [(k, changed(prose(41, 300), 5, k)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(docs, 85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows, 85)
+    assert 0 < sent[0][1] <= 2 * sent[0][0]
+
+
 def test_rows_without_own_ids(spark, unnamed, awkward, empty_docs):
     got = near_dedup.near_duplicates(unnamed).collect()
     assert len(got) == unnamed.count()
