@@ -399,8 +399,8 @@ def classes_of(docs: DataFrame, percent: int) -> DataFrame:
 
     back = stage(looked.filter("key is not null").select("key").distinct(), "back")
     named = stage(placed(met.select("key", "doc_id").join(back, "key", "left_semi"), found), "named")
-    open_keys = named.groupBy("key").agg(*ends, blocks).filter("low < high")
-    across = named.join(open_keys.select("key", "blocks"), "key").join(signed.drop("digest"), "doc_id")
+    open_keys = stage(named.groupBy("key").agg(*ends, blocks).filter("low < high").select("key", "blocks"), "open")
+    across = named.join(open_keys, "key").join(signed.drop("digest"), "doc_id")
     more = candidate_pairs(across, threshold, False).select("a", "b").distinct()
     more = more.join(led.unionByName(tried), ["a", "b"], "left_anti")
     found = joined(found, stage(verified(stage(more, "pairs"), docs, percent), "verified"))
