@@ -195,16 +195,21 @@ def bitmap_bits(wanted: int) -> int:
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits at the top bits of the hashes; at most ``bits / 32`` words come to the driver."""
+    """Packed bits at the top bits of the hashes; at most ``bits / 32`` words come to the driver, eight bytes each.
+
+    They come as Arrow batches whatever the session's settings: as rows, each word would be a
+    Python object of some hundred bytes, and a full bitmap has four million.
+    """
     at = F.shiftrightunsigned("hash", 64 - (bits.bit_length() - 1))
     words = (
         hashes.select(at.alias("at"))
-        .groupBy(F.expr("at div 32").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
-        .toPandas()
+        .groupBy(F.expr("cast(at div 32 as int)").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1, cast(at % 32 as int))")).alias("bits"))
+        .toArrow()
     )
     out = np.zeros(bits // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    for batch in words.to_batches():
+        out[np.asarray(batch.column("word"))] = np.asarray(batch.column("bits")).view(np.uint32)
     return out
 
 

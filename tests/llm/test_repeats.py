@@ -1,12 +1,14 @@
 """Repeated words and bytes against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from recollect.llm import substring_dedup, suffix_dedup
-from recollect.llm.common import Rolling, WordRolling, from_planes, from_rising, planes, rising, word_bounds, word_values
+from recollect.llm.common import Rolling, WordRolling, bitmap, from_planes, from_rising, planes, rising, set_in, word_bounds, word_values
 
 from .conftest import prose
 
@@ -169,3 +171,28 @@ def test_bytes_of_a_chunk_do_not_grow_with_the_buckets():
 
     (few, n), (many, same) = sent(32), sent(4096)
     assert n == same and many <= few + 24 * n
+
+
+ARROW = "spark.sql.execution.arrow.pyspark.enabled"
+
+
+@pytest.mark.parametrize("arrow", ["false", "true"])
+def test_words_of_a_bitmap_are_no_python_objects_in_the_driver(spark, arrow):
+    n, bits = 400_000, 1 << 23
+    hashes = spark.range(n).selectExpr("xxhash64(id) as hash")
+    before = spark.conf.get(ARROW)
+    spark.conf.set(ARROW, arrow)
+    try:
+        tracemalloc.start()
+        got = bitmap(hashes, bits)
+        peak = tracemalloc.get_traced_memory()[1]
+        none = bitmap(hashes.filter("hash is null"), bits)
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(ARROW, before)
+    values = np.array(hashes.toPandas()["hash"]).view(np.uint64)
+    wanted = np.zeros(bits, bool)
+    wanted[(values >> np.uint64(64 - 23)).astype(np.int64)] = True
+    assert (np.unpackbits(got.view(np.uint8), bitorder="little") == wanted).all()
+    assert set_in(got, values).all() and not none.any()
+    assert peak < 32 * len(got)
